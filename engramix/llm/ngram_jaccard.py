@@ -4,9 +4,9 @@
    shingles (rare first), so estimates cost speed at worst, never a link.
 2. Each document's prefix holds its first n - ceil(t n) + 1 shingles in that order: two documents with a
    similarity of t or more share one. Documents with the same prefix and size form one group; only groups are joined.
-3. Buckets of groups that share a prefix shingle give candidates: first each bucket's groups against two hubs (a
-   star, linear in the bucket), then, between groups that are still unconnected, every pair that passes the
-   size and position bounds.
+3. Buckets of groups that share a prefix shingle give candidates: first each group with two hubs of its buckets
+   (stars, linear in the groups), then, between groups that are still unconnected, every pair that passes the
+   size bound and the position bound.
 4. Candidates are expanded to the groups' members (one for each distinct shingle set) and verified on whole texts.
 
 Pairs inside a component that is already connected by verified links are not compared again, so a group of m
@@ -117,11 +117,6 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     return [c.to_numpy() for c in whole.columns]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = lambda t: pa.nulls(len(a), t)
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int32())], ["kind", "a", "b", "token", "gid", "n", "pos"])
-
-
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((hi, lo))
@@ -130,9 +125,21 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lo[keep], hi[keep]
 
 
+def _paired(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    a, b = _unique_pairs(*np.concatenate(held, axis=1))
+    return _rows(np.zeros(len(a), np.int32), a, b, None)
+
+
+def _fits(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar enough if the first that they share is at pos and at. A pair that
+    is similar enough passes in the bucket of that shingle, so refusing it in others loses nothing."""
+    need = -(-(n + m) * percent // (100 + percent))
+    return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(n - pos, m - at) >= need)
+
+
 def _stars(percent: int):
-    """Over one hash partition of entries: each bucket's groups against its two hubs (kind 0), and the entries of
-    buckets with several groups (kind 1)."""
+    """Over one hash partition of entries: each bucket's groups with two hubs, the smallest group id (kind 0) and the
+    group with the fewest rarer shingles (kind 2), and the entries of buckets with several groups (kind 1)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -140,30 +147,30 @@ def _stars(percent: int):
             return
         token, gid, n, pos = _columns(batches)
         order = np.lexsort((gid, pos, token))
-        token, gid, n, pos = token[order], gid[order], n[order], pos[order]
+        token, gid, n, pos = token[order], gid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
         new = np.concatenate([[True], token[1:] != token[:-1]])
         at = np.flatnonzero(new)
         which = np.cumsum(new) - 1
-        mixed = np.maximum.reduceat(gid, at) != np.minimum.reduceat(gid, at)
-        keep = mixed[which]
-        if not keep.any():
-            return
-        early, low = gid[at][which], np.minimum.reduceat(gid, at)[which]
-        size = n[at][which]
-        near = lambda x, y: np.minimum(x, y).astype(np.int64) * 100 >= np.maximum(x, y).astype(np.int64) * percent
-        one = keep & near(n, size)
-        a, b = _unique_pairs(np.concatenate([early[one], low[keep]]), np.concatenate([gid[one], gid[keep]]))
-        for lo in range(0, len(a), 50_000):
-            yield _pairs(a[lo : lo + 50_000], b[lo : lo + 50_000])
-        token, gid, n, pos = token[keep], gid[keep], n[keep], pos[keep]
-        for lo in range(0, len(token), 50_000):
-            part = slice(lo, lo + 50_000)
-            m = len(token[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *(pa.array(x[part]) for x in (token, gid, n, pos))], ["kind", "a", "b", "token", "gid", "n", "pos"])
+        keep = (np.maximum.reduceat(gid, at) != np.minimum.reduceat(gid, at))[which]
+        by_id = np.lexsort((gid, token))[at]  # buckets have the same order and sizes
+        for kind, hub in ((0, by_id[which]), (2, at[which])):
+            i = np.flatnonzero(keep & (gid != gid[hub]) & _fits(n, pos, n[hub], pos[hub], percent))
+            yield from _rows(np.full(len(i), kind, np.int32), gid[hub[i]], gid[i], None)
+        yield from _rows(np.ones(int(keep.sum()), np.int32), None, None, [token[keep], gid[keep], n[keep].astype(np.int32), pos[keep].astype(np.int32)])
 
     return read
 
 
+def _rows(kind: np.ndarray, a: np.ndarray | None, b: np.ndarray | None, entry: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Batches of _PAIR's columns; those not given are null."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    given = [a, b, *(entry or [None] * 4)]
+    for lo in range(0, len(kind), 50_000):
+        part = slice(lo, lo + 50_000)
+        m = len(kind[part])
+        yield pa.RecordBatch.from_arrays([pa.array(kind[part]), *(pa.nulls(m, t) if c is None else pa.array(c[part]) for c, t in zip(given, kinds, strict=True))], ["kind", "a", "b", "token", "gid", "n", "pos"])
+
+
 def _crossings(percent: int):
     """Over one hash partition of entries with components: pairs of a bucket between different components that
     pass the size bound and the position bound. Each group meets only those of fitting size, in slices."""
@@ -185,16 +192,15 @@ def _crossings(percent: int):
             for i in range(lo, hi - 1):
                 j = np.arange(i + 1, last[i - lo])
                 j = j[root[j] != root[i]]
-                need = -(-(n[i] + n[j]) * percent // (100 + percent))
-                j = j[1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) + np.minimum(pos[i], pos[j]) >= need]
+                j = j[_fits(n[i], pos[i], n[j], pos[j], percent)]
                 if len(j):
                     held.append(np.stack([np.full(len(j), gid[i]), gid[j]]))
                     count += len(j)
                 if count > 200_000:
-                    yield _pairs(*_unique_pairs(*np.concatenate(held, axis=1)))
+                    yield from _paired(held)
                     held, count = [], 0
         if held:
-            yield _pairs(*_unique_pairs(*np.concatenate(held, axis=1)))
+            yield from _paired(held)
 
     return read
 
@@ -256,7 +262,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = signed.filter("prefix is not null and doc is not null").select("gid", "n", "prefix").mapInArrow(_explode, _ENTRY)
     stars = stored(entries.repartition(parts, "token").mapInArrow(_stars(percent), _PAIR), "stars")
-    star = stars.filter("kind = 0").select("a", "b").distinct()
+    # each group with the hub of either kind that it shares most buckets with: two comparisons for each group
+    shares = stars.filter("kind <> 1").groupBy("kind", "a", "b").agg(F.count("*").alias("c"))
+    best = shares.groupBy("kind", "b").agg(F.max_by("a", F.struct(F.col("c"), F.xxhash64("a"))).alias("a"))
+    star = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     # a group of several sets: its members against the smallest one first
     hubs = reps.groupBy("gid").agg(F.min("rep").alias("a"))
     inner = reps.join(hubs, "gid").filter("rep <> a").select("a", F.col("rep").alias("b"))
