@@ -156,7 +156,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(read, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", languages: list[str] | None = None, least: float = 0.2) -> DataFrame:
+def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", languages: list[str] | None = None, least: float = 0.05) -> DataFrame:
     """docs, all columns, without the rows in no language (`und`), in none of `languages`, or with a cosine below `least`."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     column = docs.columns.index(text_col)
