@@ -1,0 +1,107 @@
+"""Session briefings: a pool by a cheap proxy, exact salience, novelty, near-copies out, quotas, a token budget."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from engramix.functions import score, text
+from engramix.operators.lifecycle import with_salience
+
+POOL = 500
+WINDOW_HOURS = 72
+
+
+def pool(chunks: DataFrame, as_of: Column, agent: str | None = None, scope: str | None = None, since: Column | None = None, size: int = POOL) -> DataFrame:
+    """The `size` best chunks by 0.55 importance + 0.10 pain + 0.1 if read, newest first among equals, with exact salience.
+
+    agent: value of the agent column; scope: text in the path, metacharacters as they are; since: the oldest source_date."""
+    own = chunks
+    if agent is not None:
+        own = own.filter(F.col("agent") == agent)
+    if scope is not None:
+        own = own.filter(F.contains(F.lower("source_file"), F.lit(scope.lower())))
+    if since is not None:
+        own = own.filter(F.col("source_date") >= since)
+    proxy = 0.55 * F.coalesce("importance", F.lit(0.5)) + 0.10 * F.coalesce("pain", F.lit(0.2)) + F.when(F.coalesce("access_count", F.lit(0)) > 0, 0.1).otherwise(0.0)
+    top = own.withColumn("proxy", F.round(proxy, 9)).orderBy(F.desc("proxy"), F.desc("created_at"), "id").limit(size)
+    return with_salience(top, as_of)
+
+
+def serves(log: DataFrame, as_of: Column, hours: int = WINDOW_HOURS) -> DataFrame:
+    """(chunk_id, serves) within the hours before as_of."""
+    age = score.days_between(as_of, F.col("served_at")) * 24
+    return log.filter((age >= 0) & (age <= hours)).groupBy("chunk_id").agg(F.count("*").alias("serves"))
+
+
+def novelty(rows: DataFrame, served: DataFrame) -> DataFrame:
+    """brief_score: salience minus min(0.15, 0.05 ln(1 + serves)); nothing off if pain is 0.9 or more."""
+    joined = rows.join(served.withColumnRenamed("chunk_id", "id"), "id", "left")
+    off = F.when(F.coalesce("pain", F.lit(0.2)) >= 0.9, 0.0).otherwise(F.least(F.lit(0.15), 0.05 * F.log1p(F.coalesce("serves", F.lit(0)).cast("double"))))
+    return joined.withColumn("penalty", F.round(off, 6)).withColumn("brief_score", F.round(F.col("salience") - off, 6))
+
+
+def fresh(chunks: DataFrame, served: DataFrame, as_of: Column, days: int = 7, slots: int = 2) -> DataFrame:
+    """The newest important or painful chunks that were not served lately."""
+    weighty = (F.col("importance") >= 0.7) | (F.col("pain") >= 0.7)
+    own = chunks.filter(weighty & (score.days_between(as_of, F.col("created_at")) <= days)).join(served, F.col("id") == F.col("chunk_id"), "left_anti")
+    return own.orderBy(F.desc("created_at"), F.desc("importance"), "id").limit(slots)
+
+
+def titled(rows: DataFrame) -> DataFrame:
+    line = text.one_liner(F.coalesce("chunk_text", F.lit("")))
+    return rows.withColumns({"title": text.title_of(F.col("source_file")), "line": line})
+
+
+def _distinct(frame: pd.DataFrame, n: int) -> pd.DataFrame:
+    """Greedy: the best rows first, none whose tokens mostly are those of a kept one."""
+    frame = frame.sort_values(["brief_score", "id"], ascending=[False, True])
+    kept, sets, seen = [], [], set()
+    for i, title, line in zip(frame.index, frame["title"], frame["line"], strict=True):
+        tokens = {t for t in re.split(r"[^\w.]+|_", f"{title} {line}".lower()) if len(t) >= 4}
+        near = any(len(tokens) >= 3 and len(s) >= 3 and len(tokens & s) >= 0.6 * min(len(tokens), len(s)) for s in sets)
+        if line in seen or near:
+            continue
+        kept.append(i)
+        sets.append(tokens)
+        seen.add(line)
+        if len(kept) == n:
+            break
+    return frame.loc[kept]
+
+
+def distinct_lines(rows: DataFrame, n: int) -> DataFrame:
+    """At most n rows of each pool (pool, id, title, line, brief_score), without exact and near copies (pools hold at most POOL rows)."""
+    own = rows.select("pool", "id", "title", "line", "brief_score")
+    return own.groupBy("pool").applyInPandas(lambda frame: _distinct(frame, n), own.schema)
+
+
+def build(chunks: DataFrame, log: DataFrame, as_of: Column, agent: str, scope: str, n: int = 10) -> DataFrame:
+    """(place, pool, id, title, line, brief_score, age_days, tokens): half of the rows for the agent, half for the scope; what one
+    pool lacks, the other fills."""
+    served = serves(log, as_of)
+    one = lambda name, **kw: titled(novelty(pool(chunks, as_of, **kw), served)).withColumn("pool", F.lit(name)).select("pool", "id", "title", "line", "brief_score")
+    picked = distinct_lines(one("agent", agent=agent).unionByName(one("scope", scope=scope)), n)
+    order = Window.partitionBy("pool").orderBy(F.desc("brief_score"), "id")
+    quota = F.when(F.col("pool") == "agent", -(-n // 2)).otherwise(n // 2)
+    once = picked.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("pool"))).filter("k = 1").drop("k")
+    ranked = once.withColumn("p", F.row_number().over(order)).withColumn("extra", F.col("p") > quota)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("extra", F.desc("brief_score"), "id"))  # 2 n rows at most
+    dated = ranked.withColumn("place", place).filter(F.col("place") <= n).join(chunks.select("id", "source_date"), "id")
+    tokens = F.ceil((F.length("title") + F.length("line")) / 4)
+    return dated.select("place", "pool", "id", "title", "line", "brief_score", F.datediff(as_of.cast("date"), "source_date").alias("age_days"), tokens.alias("tokens"))
+
+
+def within_budget(rows: DataFrame, budget: int = 1200, by: list[str] | None = None) -> DataFrame:
+    """The first rows (place, tokens) that fit the budget together."""
+    run = F.sum("tokens").over(Window.partitionBy(*(by or []), F.lit(1)).orderBy("place"))
+    return rows.withColumn("upto", run).filter(F.col("upto") <= budget)
+
+
+def differences(served_now: DataFrame, served_before: DataFrame) -> DataFrame:
+    """(id, change): ids that would enter and leave."""
+    enter = served_now.select("id").exceptAll(served_before.select("id")).withColumn("change", F.lit("would_enter"))
+    return enter.unionByName(served_before.select("id").exceptAll(served_now.select("id")).withColumn("change", F.lit("would_leave")))
