@@ -21,7 +21,7 @@ from engramix.llm.work import stored
 K, SCALE, PIVOTS = 20, 64, 16
 #: Rows of a block of candidates and of a block of queries.
 CANDIDATES, QUERIES = 4096, 2048
-#: Candidates scored at once in bound order.
+#: Candidates of a query and block that are scored first.
 STEP = 256
 
 _BLOCK = "block long, n int, ids binary, vectors binary, extra binary, pivots binary"
@@ -64,6 +64,31 @@ def _blocks(vectors: DataFrame, rows: int, dim: int, pivots: np.ndarray, longest
     return made.join(at, "block").drop("block")
 
 
+def _best(top: np.ndarray, q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of all that may be among a query's best k, given the bounds and its k-th score so far.
+
+    floor is raised in place. The candidates with the best bounds are scored first; then those whose bounds reach the
+    k-th score that they gave. A candidate that is left out has a bound, and so a score, below it."""
+    n = top.shape[1]
+    if n > 4 * STEP and not np.isfinite(floor).all():
+        first = np.argpartition(-top, STEP, axis=1)[:, :STEP]
+        s = np.stack([_product(q[i : i + 1], x[first[i]], wide)[0] for i in range(len(q))]).astype(np.float64)
+        s[np.take_along_axis(top, first, 1) == -np.inf] = -np.inf
+        np.maximum(floor, np.partition(s, STEP - k, axis=1)[:, STEP - k], out=floor)
+    open_ = (top >= floor[:, None]) & (top > -np.inf)
+    scores = np.full(top.shape, -np.inf)
+    if open_.mean() > 0.2:
+        np.copyto(scores, _product(q, x, wide), where=open_)
+    else:
+        for i in np.flatnonzero(open_.any(1)):
+            j = np.flatnonzero(open_[i])
+            scores[i, j] = _product(q[i : i + 1], x[j], wide)[0]
+    if n > k:
+        np.maximum(floor, np.partition(scores, n - k, axis=1)[:, n - k], out=floor)
+    i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+    return i, j, scores[i, j]
+
+
 def _search(k: int, dim: int, longest: float, wide: bool):
     """Rows of a query block beside a candidate block: each query's best k of the block, if they may be of its k best."""
 
@@ -73,53 +98,31 @@ def _search(k: int, dim: int, longest: float, wide: bool):
             for row in batch.to_pylist():
                 ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 x, q = (np.frombuffer(row[c], np.float64).reshape(-1, dim) for c in ("vectors", "q_vectors"))
-                px = np.frombuffer(row["pivots"], np.float64).reshape(len(ids), -1)
+                px = np.frombuffer(row["pivots"], np.float64).reshape(len(ids), -1).astype(np.float32)
                 square = (q * q).sum(1)
                 # the query's last component is 0, so its distances to pivots differ from those it has as a candidate
-                pq = np.frombuffer(row["q_flat"], np.float64).reshape(len(qids), -1)
+                pq = np.frombuffer(row["q_flat"], np.float64).reshape(len(qids), -1).astype(np.float32)
                 slack = 1e-9 * (longest + square.max(initial=0) + 1)
                 if row["q_number"] not in known:
                     known[row["q_number"]] = np.full(len(qids), -np.inf)
                 floor = known[row["q_number"]]
-                best_q, best_x, best_s = [], [], []
+                out = []
                 for lo in range(0, len(qids), 256):
                     part = slice(lo, lo + 256)
                     low = np.zeros((len(qids[part]), len(ids)), np.float32)
                     gap = np.empty_like(low)
                     for p in range(px.shape[1]):
-                        np.subtract(pq[part, p, None], px[None, :, p], out=gap, casting="unsafe")
+                        np.subtract(pq[part, p, None], px[None, :, p], out=gap)
                         np.abs(gap, out=gap)
                         np.maximum(low, gap, out=low)
                     # the float32 bound is lowered by more than its rounding
                     low = np.maximum(0, low * np.float32(1 - 1e-5) - np.float32(1e-5 * (1 + np.sqrt(longest))))
                     top = (square[part, None] + longest - low.astype(np.float64) ** 2) / 2 + slack
                     top[ids[None, :] == qids[part, None]] = -np.inf
-                    for i in range(len(top)):
-                        j = lo + i
-                        own = top[i]
-                        open_ = np.flatnonzero(own >= floor[j]) if np.isfinite(floor[j]) else np.flatnonzero(own > -np.inf)
-                        if not len(open_):
-                            continue
-                        open_ = open_[np.argsort(-own[open_], kind="stable")]
-                        got_i, got_s = np.zeros(0, np.int64), np.zeros(0)
-                        kth, at = floor[j], 0
-                        while at < len(open_) and own[open_[at]] >= kth:
-                            now = open_[at : at + STEP]
-                            now = now[own[now] >= kth]
-                            s = _product(x[now], q[j : j + 1], wide)[:, 0]
-                            got_i, got_s = np.concatenate([got_i, ids[now]]), np.concatenate([got_s, s])
-                            order = np.lexsort((got_i, -got_s))[:k]
-                            got_i, got_s = got_i[order], got_s[order]
-                            if len(got_s) == k:
-                                kth = max(kth, got_s[-1])
-                            at += STEP
-                        keep = got_s >= floor[j]
-                        floor[j] = kth
-                        best_q.append(np.full(int(keep.sum()), qids[j]))
-                        best_x.append(got_i[keep])
-                        best_s.append(got_s[keep])
-                if best_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(best_q)), pa.array(np.concatenate(best_x)), pa.array(np.concatenate(best_s).astype(np.int64))], ["query_id", "vec_id", "score"])
+                    i, j, found = _best(top, q[part], x, floor[part], k, wide)
+                    out.append((qids[lo + i], ids[j], found))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]).astype(np.int64)) for c in range(3)], ["query_id", "vec_id", "score"])
 
     return read
 
