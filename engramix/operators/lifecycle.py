@@ -84,7 +84,7 @@ def compactable(chunks: DataFrame, as_of: Column, days: int = 30, least: int = 3
 
 def first_sentence(body: Column) -> Column:
     """The first sentence of more than ten characters, else the first 100 characters."""
-    parts = F.filter(F.transform(F.split(body, r"[.!?\n]"), F.trim), lambda s: F.length(s) > 10)
+    parts = F.filter(F.transform(F.split(body, r"[.!?\n]"), lambda s: F.trim(s)), lambda s: F.length(s) > 10)
     return F.coalesce(F.get(parts, F.lit(0)), F.substring(body, 1, 100))
 
 
