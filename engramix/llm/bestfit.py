@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramix.llm.tokens import cut, encoder, public_bpe
-from engramix.llm.work import stored
+from engramix.llm.work import small_batches, stored
 
 CAPACITY = 1024
 
@@ -85,6 +85,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: tuple[str, str | None, str | None] | None = None) -> DataFrame:
     vocabulary = vocabulary or public_bpe()
+    small_batches(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*vocabulary)

@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engramix.llm.kernel import ALNUM, hash_words, utf8
-from engramix.llm.work import stored
+from engramix.llm.work import small_batches, stored
 
 #: Consecutive item words that count as leaked.
 WINDOW = 10
 #: Bytes of text in a shard (one longer document makes a shard alone).
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: Bytes of benchmark text broadcast at once; a larger benchmark is taken in several passes.
 BENCH_BYTES = 16 << 20
 
@@ -197,6 +197,7 @@ def _digest(names: list[str]) -> str:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
     """The benchmark's rows with an id, in frames of about BENCH_BYTES at most."""
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BENCH_BYTES) or 1

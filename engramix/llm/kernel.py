@@ -14,8 +14,10 @@ _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _SHIFTS = (np.uint64(30), np.uint64(27), np.uint64(31))
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POW = np.ones(1, np.uint64)
-_IPOW = np.ones(1, np.uint64)
+#: Bytes in a segment: powers are taken of the position in it.
+_SEGMENT = 1 << 16
+_POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_SEGMENT - 1, _MULT)]), dtype=np.uint64)
+_IPOW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_SEGMENT - 1, _INV)]), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,15 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _SHIFTS[2])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _IPOW
-    if len(_POW) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _MULT)]), dtype=np.uint64)
-        _IPOW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INV)]), dtype=np.uint64)
-    return _POW, _IPOW
-
-
 class WordClass:
     """Which bytes form words (A-Z count as a-z)."""
 
@@ -71,12 +64,23 @@ def hash_words(texts: Sequence[bytes], kind: WordClass) -> tuple[np.ndarray, np.
     inside = kind.word[buf].view(np.int8)
     edge = np.diff(inside, prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(buf))
     sums = kind.value[buf]
-    sums *= power[: len(buf)]
+    whole = len(buf) // _SEGMENT * _SEGMENT
+    sums[:whole].reshape(-1, _SEGMENT)[:] *= _POW
+    sums[whole:] *= _POW[: len(buf) - whole]
     np.cumsum(sums, out=sums)
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0)) if len(starts) else np.zeros(0, np.uint64)
-    h = (sums[ends - 1] - before) * inverse[starts]
+    h = (sums[ends - 1] - before) * _IPOW[starts % _SEGMENT]
+    for i in np.flatnonzero(starts // _SEGMENT != (ends - 1) // _SEGMENT):  # the few words over a segment's end
+        own = kind.value[buf[starts[i] : ends[i]]]
+        scale = np.uint64(1)
+        total = np.uint64(0)
+        for lo in range(0, len(own), _SEGMENT):
+            part = own[lo : lo + _SEGMENT]
+            with np.errstate(over="ignore"):
+                total += (part * _POW[: len(part)]).sum(dtype=np.uint64) * scale
+                scale *= _POW[-1] * _MULT
+        h[i] = total
     return mix(h + (ends - starts).astype(np.uint64) * _MIX_B), np.searchsorted(starts, begins)
 
 
@@ -107,7 +111,7 @@ def shingle_sets(texts: Sequence[bytes], k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def chunks(texts: Sequence[bytes | None], limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Sequence[bytes | None], limit: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) runs of at most about limit bytes; null counts as empty."""
     run: list[bytes] = []
     size = first = 0

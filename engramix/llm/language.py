@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramix.llm.kernel import chunks, utf8
+from engramix.llm.work import small_batches
 
 DIM = 1024
 #: Documents to fit on, at most (those with the smallest hashed ids).
@@ -144,6 +145,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     lang_pred is the language with the largest cosine (ties: the first by name), `und` for null texts, texts without a
     letter, and when no language was learned; score is that cosine, 0 for `und`. held_out marks ids whose crc32 (as text)
     mod 4 is 2; false for null ids. Repeated rows get the same answer; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +160,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", languages: list[str] | None = None, least: float = 0.05) -> DataFrame:
     """docs, all columns, without the rows in no language (`und`), in none of `languages`, or with a cosine below `least`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     column = docs.columns.index(text_col)
 

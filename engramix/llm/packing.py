@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramix.llm.tokens import cut, encoder, public_bpe
+from engramix.llm.work import small_batches
 
 CAPACITY = 1024
 BLOCK_TOKENS = 4 << 20
@@ -81,6 +82,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     empty texts are the END id alone; rows that repeat an id or have none are packed like any other; an empty table
     gives no rows. sequence_id is unique; which documents share a sequence depends on the input's partitions."""
     vocabulary = vocabulary or public_bpe()
+    small_batches(docs.sparkSession)
 
     def emit(block: list[tuple[int | None, np.ndarray]], first: int) -> Iterator[tuple[pa.RecordBatch, int]]:
         parts = [(d, k, a, n, ids) for d, ids in block for k, (a, n) in enumerate(cut(len(ids), capacity))]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramix.llm.kernel import SPACED, chunks, hash_words, mix, utf8
+from engramix.llm.work import small_batches
 
 #: Labelled documents to fit on, at most (those with the smallest hashed ids).
 SAMPLE = 6000
@@ -271,6 +272,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     score is the chance that the label is 1; null, empty and blank texts score 0. predicted is 1 if score >= 0.3.
     held_out marks ids whose crc32 (as text) mod 5 is 0; it is false for null ids. Repeated rows are scored alike;
     an empty table gives no rows. Only the text is looked at."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +287,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows that score below the threshold."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text_col)
 

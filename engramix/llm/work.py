@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return got
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python 1000 rows at a time, unless the session asks for another number than Spark's default of 10000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: lineage ends here, lost executors cost
     no recomputation beyond their running tasks. The table is removed when the driver's Python ends or by clear()."""
