@@ -15,6 +15,7 @@ near copies costs about m comparisons instead of m * m / 2; the components are e
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from engramix.llm.components import components
 from engramix.llm.kernel import chunks, mix, shingle_sets, utf8
-from engramix.llm.work import id_filter, passes, stored
+from engramix.llm.work import id_filter, passes, small_batches, stored
 
 #: Words in a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: Cells of the count sketch, and cells in each of its rows on the way to the driver.
-CELLS, BLOCK = 1 << 20, 1 << 14
+#: Cells of the count sketch (a byte each where it is broadcast), and cells in each of its rows on the way there.
+CELLS, BLOCK = 1 << 23, 1 << 17
 
 _DOC = "doc long, n long, fp1 long, fp2 long, gid long, prefix binary"
 _ENTRY = "token long, gid long, n int, pos int"
@@ -37,31 +38,40 @@ _PAIR = "kind int, a long, b long, token long, gid long, n int, pos int"
 
 
 def sketch(texts: DataFrame, words: int) -> np.ndarray:
-    """Level (log2 of the estimated count over all rows) of each cell, as bytes."""
+    """Level (4 log2 of the estimated count over all rows) of each cell, as bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for _, run in chunks(list(dict.fromkeys(utf8(batch.column(0))))):
                 for s in shingle_sets(run, words):
-                    np.add.at(cells, (s & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+                    np.add.at(cells, _cell(s), np.uint32(1))
         blocks = cells.reshape(-1, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "cells"])
+        for b in np.flatnonzero(blocks.any(1)):
+            low = np.minimum(blocks[b], 0xFFFF).astype(np.uint16)  # more than that in one task are as frequent as any
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(low, 1)], pa.binary())], ["block", "cells"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.floor(np.log2(np.maximum(s, 1))).astype(np.uint8).tobytes() for s in sums.values()], pa.binary())], ["block", "cells"])
+                part = np.frombuffer(zlib.decompress(c), np.uint16)
+                sums[b] = sums[b] + part if b in sums else part.astype(np.int64)
+        for b, s in sums.items():
+            level = np.minimum(255, 4 * np.log2(np.maximum(s, 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "cells"])
 
     parts = texts.mapInArrow(count, "block int, cells binary")
     out = np.zeros(CELLS, np.uint8)
-    for b, c in parts.repartition(CELLS // BLOCK, "block").mapInArrow(total, "block int, cells binary").collect():
+    for b, c in parts.repartition(CELLS // BLOCK, "block").mapInArrow(total, "block int, cells binary").toLocalIterator():
         out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(c, np.uint8)
     return out
 
 
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (-(-n * percent // 100)) + 1 if n else 0
 
@@ -81,7 +91,7 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         fp1, fp2 = int(mix(s).sum()), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()) if n else 0
                     p = prefix_length(n, percent)
-                    key = np.sort(level[(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8))[:p]
+                    key = np.sort(level[_cell(s)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8))[:p]
                     gid = int(mix(np.append(mix(key + np.arange(p, dtype=np.uint64)).sum(dtype=np.uint64), np.uint64(n)))[:2].sum()) if n else 0
                     again = (fp1, fp2) in seen
                     seen.add((fp1, fp2))
@@ -255,6 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are returned with a null component. Rows that repeat an id count as one node with the links of each of their texts.
     An empty table gives no rows. Other columns are ignored."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signed = stored(prefixes(rows, words, percent), "signatures")
     sets = signed.filter("n > 0 and doc is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.min("gid").alias("gid"))
