@@ -76,7 +76,9 @@ def _best(top: np.ndarray, q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: i
         s[np.take_along_axis(top, first, 1) == -np.inf] = -np.inf
         np.maximum(floor, np.partition(s, STEP - k, axis=1)[:, STEP - k], out=floor)
     open_ = (top >= floor[:, None]) & (top > -np.inf)
-    scores = np.full(top.shape, -np.inf)
+    # exact integers either way; comparing wide ones with the float floor can only keep more
+    none = np.iinfo(np.int64).min if wide else -np.inf
+    scores = np.full(top.shape, none, np.int64 if wide else np.float64)
     if open_.mean() > 0.2:
         np.copyto(scores, _product(q, x, wide), where=open_)
     else:
@@ -84,8 +86,9 @@ def _best(top: np.ndarray, q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: i
             j = np.flatnonzero(open_[i])
             scores[i, j] = _product(q[i : i + 1], x[j], wide)[0]
     if n > k:
-        np.maximum(floor, np.partition(scores, n - k, axis=1)[:, n - k], out=floor)
-    i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        kth = np.partition(scores, n - k, axis=1)[:, n - k]
+        np.maximum(floor, np.where(kth > none, kth.astype(np.float64), -np.inf), out=floor)
+    i, j = np.nonzero((scores >= floor[:, None]) & (scores > none))
     return i, j, scores[i, j]
 
 
