@@ -28,8 +28,8 @@ _FURNITURE = set("nav footer aside form menu dialog".split())
 _HINTS = set(
     "nav navbar navigation menu sidebar footer masthead topbar toolbar ad ads advert advertisement adverts sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search breadcrumb breadcrumbs "
-    "share sharing social related recommended recommendations more comment comments reply replies respond disqus discussion widget pagination pager "
-    "copyright legal disclaimer tags tagcloud byline metadata".split()
+    "share sharing social related recommended recommendations comment comments reply replies respond disqus discussion widget pagination pager "
+    "copyright legal disclaimer tagcloud".split()
 )
 _ARTICLE = set("article content post entry story main".split())
 
@@ -105,7 +105,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack and stack[-1][0] == "p":
                     stack.pop()
                 _, article, furniture = stack[-1] if stack else ("", 0, 0)
-                named = {t for m in _NAMED.finditer(rest) for t in _TOKENS.findall((m[1] or m[2] or m[3] or "").lower())} if rest else set()
+                named = {t for m in _NAMED.finditer(rest) for t in _TOKENS.findall((m[1] or m[2] or m[3] or "").lower())} if rest and tag not in ("html", "body") else set()
                 hint = bool(named & _HINTS)
                 if tag in _FURNITURE or hint or (tag == "header" and not article):
                     furniture += 1
@@ -116,76 +116,43 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-#: Names of the columns of the table and of the tree's features.
+# Labelled blocks of typical pages, in page order: words, words in links, inside an article, inside furniture (menus, footers,
+# adverts, notices, forms, comments), heading, and 1 for the article's text.
+EXAMPLES: list[list[tuple[int, int, int, int, int, int]]] = [
+    # marked article between a menu, an advert and a footer
+    [(1, 1, 0, 1, 0, 0), (1, 1, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (8, 0, 0, 1, 0, 0), (9, 0, 1, 0, 1, 1), (60, 0, 1, 0, 0, 1), (80, 0, 1, 0, 0, 1), (4, 0, 1, 0, 0, 1), (120, 0, 1, 0, 0, 1), (12, 0, 0, 1, 0, 0)],
+    # the same with short paragraphs, the last one a single word
+    [(1, 1, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (15, 0, 0, 1, 0, 0), (2, 0, 1, 0, 1, 1), (9, 0, 1, 0, 0, 1), (1, 0, 1, 0, 0, 1), (3, 0, 1, 0, 0, 1), (25, 0, 1, 0, 0, 1), (1, 0, 1, 0, 0, 1), (18, 0, 0, 1, 0, 0)],
+    # a long article without a footer, links in its text, a heading that is a link
+    [(6, 6, 0, 1, 0, 0), (4, 4, 0, 1, 0, 0), (8, 8, 1, 0, 1, 1), (150, 4, 1, 0, 0, 1), (30, 9, 1, 0, 0, 1), (70, 7, 1, 0, 0, 1), (6, 3, 1, 0, 0, 1), (200, 0, 1, 0, 0, 1), (14, 0, 1, 0, 0, 1)],
+    [(2, 2, 0, 1, 0, 0), (6, 6, 1, 0, 1, 1), (30, 0, 1, 0, 0, 1), (4, 4, 1, 0, 1, 1), (12, 0, 1, 0, 0, 1), (9, 0, 0, 1, 0, 0)],
+    [(1, 1, 0, 1, 0, 0), (7, 7, 1, 0, 1, 1), (5, 0, 1, 0, 0, 1), (3, 3, 1, 0, 1, 1), (44, 5, 1, 0, 0, 1), (16, 0, 0, 1, 0, 0)],
+    # an article of one block; one of two
+    [(1, 1, 0, 1, 0, 0), (10, 0, 0, 1, 0, 0), (6, 0, 1, 0, 0, 1), (14, 0, 0, 1, 0, 0)],
+    [(1, 1, 0, 1, 0, 0), (5, 0, 1, 0, 1, 1), (40, 0, 1, 0, 0, 1)],
+    # short articles that end the page
+    [(2, 2, 0, 1, 0, 0), (3, 0, 1, 0, 1, 1), (2, 0, 1, 0, 0, 1)],
+    [(1, 1, 0, 1, 0, 0), (4, 0, 1, 0, 0, 1), (1, 0, 1, 0, 0, 1), (3, 0, 1, 0, 0, 1)],
+    [(5, 5, 0, 1, 0, 0), (1, 0, 1, 0, 0, 1)],
+    [(7, 7, 0, 1, 0, 0), (2, 0, 1, 0, 0, 1), (10, 0, 1, 0, 0, 1)],
+    [(3, 3, 0, 1, 0, 0), (4, 0, 1, 0, 1, 1), (6, 0, 1, 0, 0, 1), (5, 0, 1, 0, 0, 1), (8, 0, 1, 0, 0, 1)],
+    # sections with headings and lists, a pull quote and a form inside the article
+    [(5, 0, 0, 1, 1, 0), (2, 2, 0, 1, 0, 0), (7, 0, 1, 0, 1, 1), (55, 0, 1, 0, 0, 1), (11, 0, 1, 1, 0, 0), (3, 0, 1, 0, 1, 1), (5, 0, 1, 0, 0, 1), (7, 2, 1, 0, 0, 1), (6, 0, 1, 0, 0, 1), (90, 0, 1, 0, 0, 1), (8, 0, 1, 1, 0, 0), (22, 2, 0, 1, 0, 0)],
+    # links after the article's text, not marked as furniture
+    [(1, 1, 0, 1, 0, 0), (8, 0, 1, 0, 1, 1), (75, 0, 1, 0, 0, 1), (45, 3, 1, 0, 0, 1), (4, 4, 1, 0, 0, 0), (5, 5, 1, 0, 0, 0), (3, 3, 1, 0, 0, 0), (9, 0, 0, 1, 0, 0)],
+    # a notice, a sidebar of long texts, readers' comments longer than the article
+    [(26, 1, 0, 1, 0, 0), (1, 0, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (4, 0, 0, 1, 1, 0), (50, 2, 0, 1, 0, 0), (35, 0, 0, 1, 0, 0), (6, 0, 1, 0, 1, 1), (40, 0, 1, 0, 0, 1), (28, 0, 1, 0, 0, 1), (3, 0, 0, 1, 1, 0), (90, 0, 0, 1, 0, 0), (60, 0, 1, 1, 0, 0), (110, 0, 0, 1, 0, 0)],
+    # pages without any marks: a menu, an article, a footer
+    [(1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (65, 0, 0, 0, 0, 1), (90, 4, 0, 0, 0, 1), (24, 0, 0, 0, 0, 1), (48, 0, 0, 0, 0, 1), (9, 0, 0, 0, 0, 0)],
+    [(4, 4, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (5, 0, 0, 0, 1, 1), (120, 0, 0, 0, 0, 1), (30, 2, 0, 0, 0, 1), (70, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (7, 3, 0, 0, 0, 0)],
+    [(1, 1, 0, 1, 0, 0), (2, 0, 0, 0, 1, 1), (40, 0, 0, 0, 0, 1), (33, 0, 0, 0, 0, 1), (2, 2, 0, 0, 0, 0)],
+    [(3, 3, 0, 0, 0, 0), (1, 0, 0, 0, 1, 1), (50, 0, 0, 0, 0, 1), (3, 0, 0, 0, 1, 1), (44, 0, 0, 0, 0, 1), (6, 0, 0, 0, 0, 0)],
+    [(4, 4, 0, 1, 0, 0), (3, 0, 0, 0, 1, 1), (29, 0, 0, 0, 0, 1), (2, 0, 0, 0, 1, 1), (61, 0, 0, 0, 0, 1), (10, 0, 0, 1, 0, 0)],
+    [(2, 2, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (200, 6, 0, 0, 0, 1), (1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0)],
+    [(9, 8, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0), (11, 10, 0, 0, 0, 0), (8, 0, 0, 0, 1, 1), (34, 0, 0, 0, 0, 1), (22, 0, 0, 0, 0, 1), (27, 0, 0, 0, 0, 1), (25, 20, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0)],
+]
+#: Names of the tree's features.
 COLUMNS = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "article", "furniture", "heading")
-# Labelled blocks, columns as above, then 1 for the article's text. Words and densities are of typical pages.
-EXAMPLES = np.array(
-    [
-        # menus, breadcrumbs, lists of links
-        (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0),
-        (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0),
-        (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0),
-        (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-        (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0),
-        (6, 1.0, 5, 1.0, 7, 1.0, 0, 0, 0, 0),
-        (9, 1.0, 8, 1.0, 6, 1.0, 1, 1, 0, 0),
-        (12, 0.9, 3, 1.0, 60, 0.0, 0, 0, 0, 0),
-        (25, 0.8, 4, 0.5, 5, 1.0, 0, 0, 0, 0),
-        # page headers and adverts
-        (4, 0.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0),
-        (3, 0.3, 0, 0.0, 2, 1.0, 0, 1, 1, 0),
-        (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0),
-        (15, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0),
-        (40, 0.1, 70, 0.0, 90, 0.0, 1, 1, 0, 0),
-        (5, 0.2, 80, 0.0, 60, 0.0, 1, 1, 0, 0),
-        # notices, forms, sidebars
-        (22, 0.1, 0, 0.0, 2, 1.0, 0, 1, 0, 0),
-        (6, 0.0, 22, 0.1, 1, 0.0, 0, 1, 0, 0),
-        (30, 0.0, 0, 0.0, 3, 0.0, 0, 1, 0, 0),
-        (18, 0.3, 50, 0.0, 6, 1.0, 0, 1, 0, 0),
-        (4, 0.0, 18, 0.3, 3, 1.0, 0, 1, 1, 0),
-        (3, 0.0, 2, 0.0, 4, 0.5, 0, 0, 0, 0),
-        # footers
-        (12, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0, 0),
-        (20, 0.0, 9, 0.0, 0, 0.0, 0, 1, 0, 0),
-        (9, 0.0, 6, 1.0, 0, 0.0, 0, 0, 0, 0),
-        (7, 0.4, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
-        (5, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0),
-        # readers' comments
-        (25, 0.0, 3, 0.3, 3, 0.3, 0, 1, 0, 0),
-        (60, 0.0, 40, 0.0, 30, 0.0, 0, 1, 0, 0),
-        (35, 0.0, 60, 0.0, 50, 0.0, 1, 1, 0, 0),
-        (2, 0.0, 35, 0.0, 60, 0.0, 1, 1, 1, 0),
-        (80, 0.0, 90, 0.0, 70, 0.0, 0, 1, 0, 0),
-        # articles that are marked as such: headings, long and short paragraphs, list items, links in the text
-        (9, 0.0, 8, 0.0, 60, 0.0, 1, 0, 1, 1),
-        (7, 0.0, 12, 0.0, 9, 0.0, 1, 0, 1, 1),
-        (2, 0.0, 1, 1.0, 3, 0.0, 1, 0, 1, 1),
-        (60, 0.0, 9, 0.0, 80, 0.0, 1, 0, 0, 1),
-        (150, 0.0, 60, 0.0, 12, 0.0, 1, 0, 0, 1),
-        (12, 0.0, 90, 0.0, 15, 0.0, 1, 0, 0, 1),
-        (4, 0.0, 12, 0.0, 10, 0.0, 1, 0, 0, 1),
-        (1, 0.0, 30, 0.0, 50, 0.0, 1, 0, 0, 1),
-        (1, 0.0, 9, 0.0, 12, 0.0, 1, 0, 0, 1),
-        (3, 0.0, 2, 0.0, 2, 0.0, 1, 0, 0, 1),
-        (30, 0.3, 80, 0.0, 45, 0.1, 1, 0, 0, 1),
-        (8, 0.2, 7, 0.1, 9, 0.0, 1, 0, 0, 1),
-        (70, 0.1, 40, 0.2, 14, 0.0, 1, 0, 0, 1),
-        (6, 0.5, 30, 0.0, 40, 0.0, 1, 0, 0, 1),
-        # articles without such marks
-        (60, 0.0, 5, 0.0, 70, 0.0, 0, 0, 0, 1),
-        (45, 0.0, 60, 0.0, 8, 0.0, 0, 0, 0, 1),
-        (90, 0.1, 2, 1.0, 50, 0.0, 0, 0, 0, 1),
-        (25, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 1),
-        (20, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0, 1),
-        (14, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
-        (6, 0.0, 50, 0.0, 70, 0.0, 0, 0, 1, 1),
-        (8, 0.0, 4, 1.0, 60, 0.0, 0, 0, 1, 1),
-        (5, 0.0, 1, 1.0, 80, 0.0, 0, 0, 1, 1),
-        (35, 0.2, 70, 0.0, 5, 0.0, 0, 0, 0, 1),
-        (120, 0.0, 8, 0.0, 9, 0.0, 0, 0, 0, 1),
-    ]
-)
 
 
 class Tree(NamedTuple):
@@ -198,8 +165,9 @@ class Tree(NamedTuple):
     answer: list[bool]
 
 
-def train(table: np.ndarray = EXAMPLES, depth: int = 6, least: int = 1) -> Tree:
-    """Least Gini impurity at each cut; ties to the first feature and the lowest cut."""
+def train(pages: list[list[tuple[int, int, int, int, int, int]]] = EXAMPLES, depth: int = 6, least: int = 2) -> Tree:
+    """Least Gini impurity at each cut, `least` rows on either side; ties to the first feature and the lowest cut."""
+    table = labelled(pages)
     tree = Tree([], [], [], [], [])
 
     def gini(y: np.ndarray) -> float:
@@ -226,7 +194,7 @@ def train(table: np.ndarray = EXAMPLES, depth: int = 6, least: int = 1) -> Tree:
             tree.right[node] = grow(rows[rows[:, f] >= c], level + 1)
         return node
 
-    grow(np.asarray(table, float), 0)
+    grow(table, 0)
     return tree
 
 
@@ -237,6 +205,11 @@ def features(blocks: list[Block]) -> list[tuple[float, ...]]:
     return [(words[i], density[i], around(words, i - 1), around(density, i - 1), around(words, i + 1), around(density, i + 1), b.article, b.furniture, b.heading) for i, b in enumerate(blocks)]
 
 
+def labelled(pages: list[list[tuple[int, int, int, int, int, int]]]) -> np.ndarray:
+    """Rows of features and labels; features that depend on neighbours are those within the page."""
+    return np.array([[*f, label] for page in pages for f, (*_, label) in zip(features([Block("", w, k, bool(a), bool(u), bool(h)) for w, k, a, u, h, _ in page]), page, strict=True)], float)
+
+
 def main_text(page: str | None, tree: Tree) -> str:
     """The kept blocks, joined by line feeds."""
     blocks = blocks_of(page or "")
@@ -250,7 +223,7 @@ def main_text(page: str | None, tree: Tree) -> str:
     return "\n".join(kept)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", table: np.ndarray = EXAMPLES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", table: list[list[tuple[int, int, int, int, int, int]]] = EXAMPLES) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars (code points).
 
     Null and empty pages, and pages without an article, have an empty text. Broken markup is read as far as it goes:
