@@ -1,0 +1,163 @@
+"""Extraction with and without a language model: structured facts, typed links, search anchors, consolidation of daily notes."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from engramix.functions import chunkers, score, text
+
+#: Structured facts of a chunk that make a model superfluous.
+ENOUGH_FACTS = 3
+# Confidence of what each rule finds: fixed values.
+CONFIDENCE = {"frontmatter": 0.95, "markdown_link": 0.90, "wikilink": 0.90, "bare_ref": 0.75, "code_ref": 0.75, "llm": 0.70}
+_SECTIONS = ["compiled", "frontmatter", "timeline"]
+_PROSE = ["conversation", "daily_log", "freeform"]
+
+# Words that are their own anchors, and translations in both directions: fixed values.
+COGNATES = (
+    "chunk schema embedding cache query search index batch cron snapshot backup database token pipeline fts5 rrf bm25 cosine hybrid semantic dense lexical tier salience pain "
+    "boost reason temporal webhook gateway systemd process docker container service restart sigkill model agent rerank graph entity relation triple injection shadow active auth "
+    "reindex consolidate vectorize compact audit api fts spo kg plugin section retention heartbeat watchdog probe migration rollback recovery protocol sanitizer degradation fallback "
+    "fault secret credential chmod chattr permission binary risk vulnerable exploit leak rotate rotation key sed rsync when first last deployed activated bumped incident milestone "
+    "ocr scan scanned document pdf tesseract contract certificate notary"
+).split()
+TRANSLATIONS = {
+    "reindexar": "reindex", "reiniciar": "restart", "ativar": "activate", "desativar": "deactivate", "erro": "error", "falha": "failure", "segurança": "security", "configuração": "configuration", "busca": "search",
+    "memória": "memory", "arquivo": "file", "pasta": "folder", "comando": "command", "consulta": "query", "resposta": "response", "mudança": "change", "execução": "execution", "desempenho": "performance",
+    "latência": "latency", "rede": "network", "banco": "database", "tabela": "table", "coluna": "column", "agente": "agent", "recuperação": "recovery", "restauração": "restoration", "registro": "log",
+    "ferramenta": "tool", "evolução": "evolution", "fluxo": "flow", "rotina": "routine", "incidente": "incident", "gatilho": "trigger", "seção": "section", "retenção": "retention", "porta": "port", "regra": "rule",
+    "segredos": "secrets", "credenciais": "credentials", "chave": "key", "permissão": "permission", "rotacionar": "rotate", "binário": "binary", "vulnerável": "vulnerable", "vazamento": "leak",
+    "quando": "when", "primeira": "first", "última": "last", "deployado": "deployed", "subiu": "bumped", "mudou": "changed", "lição": "lesson", "documento": "document", "digitalizado": "scanned", "escaneado": "scanned",
+    "escritura": "deed", "cartório": "notary", "consulado": "consulate", "cidadania": "citizenship", "contrato": "contract", "protocolo": "protocol", "certidão": "certificate", "imóvel": "property", "cláusula": "clause",
+}
+_IDENTIFIERS = [
+    r"(?<![A-Za-z0-9_])([A-Z][A-Z_]{3,})(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z0-9_])([a-z]+[A-Z][a-zA-Z]+)(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z0-9_])([a-z][a-z]+_[a-z][a-z_]+)(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z0-9_])(v\d+(?:\.\d+){1,2})(?![A-Za-z0-9])",
+    r"(?i)(?<![A-Za-z0-9_])((?:schema|version|migration)\s+v?\d+)",
+    r"(?<![A-Za-z0-9_])([a-z_][a-z_]{2,}\.(?:ts|js|py|md|sh|json|yaml|yml))(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9_])(\d{4}-\d{2}-\d{2})(?![A-Za-z0-9])",
+]
+
+
+def anchors(body: Column, names: list[str] | None = None) -> Column:
+    """Sorted words to index beside a text: known terms and names in it, translations of its words, and identifiers."""
+
+    def held(term: str) -> Column:
+        tail = "" if len(term) <= 3 else r"\w*"
+        return body.rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(term)}{tail}(?![A-Za-z0-9_])")
+
+    give = [(t, t) for t in [*COGNATES, *(names or [])]] + [*TRANSLATIONS.items()] + [(en, pt) for pt, en in TRANSLATIONS.items()]
+    words = F.array_compact(F.array(*(F.when(held(term), F.lit(out)) for term, out in give)))
+    found = [F.transform(F.filter(F.regexp_extract_all(body, F.lit(p), F.lit(1)), lambda m: F.length(m) >= 4), lambda m: F.lower(m)) for p in _IDENTIFIERS]
+    return F.array_join(F.array_sort(F.array_distinct(F.concat(words, *found))), " ")
+
+
+def by_rule(chunks: DataFrame) -> DataFrame:
+    """(id, relation_type, target, method, confidence) of links, references to code and frontmatter fields in chunks (id, chunk_text)."""
+    spark = chunks.sparkSession
+    chunkers.register(spark)
+    method = lambda c: score.lookup(c, CONFIDENCE, 0.75)
+    refs = chunks.select("id", F.explode(text.links(F.col("chunk_text"))).alias("l")).select("id", F.lit("mentions").alias("relation_type"), F.concat_ws("/", "l.type", "l.slug").alias("target"), F.col("l.source").alias("method"))
+    code = chunks.select("id", F.explode(F.array_distinct(text.code_refs(F.col("chunk_text")))).alias("target")).select("id", F.lit("references").alias("relation_type"), "target", F.lit("code_ref").alias("method"))
+    front = spark.sql("SELECT c.id, f.relation AS relation_type, f.target, 'frontmatter' AS method FROM {c} c, LATERAL frontmatter_relations(c.chunk_text) f", c=chunks.select("id", "chunk_text"))
+    return refs.unionByName(code).unionByName(front).withColumn("confidence", method(F.col("method")))
+
+
+def needs_model(chunks: DataFrame, found: DataFrame, least: float = 0.8) -> DataFrame:
+    """chunks with `model`: false where the section is structured, the type isn't prose, and a rule found something sure enough."""
+    best = found.groupBy("id").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
+    sure = F.col("section").isin(_SECTIONS) & ~F.col("chunk_type").isin(_PROSE) & (F.coalesce("n", F.lit(0)) >= 1) & (F.col("best") >= least)
+    return chunks.join(best, "id", "left").withColumn("model", ~F.coalesce(sure, F.lit(False))).drop("n", "best")
+
+
+def combined(rules: DataFrame, model: DataFrame) -> DataFrame:
+    """Relations (id, relation_type, target) of both kinds; where both have one, the rule's stays. The model's have 0.7."""
+    both = rules.withColumn("p", F.lit(0)).unionByName(model.select("id", "relation_type", "target", F.lit("llm").alias("method"), F.lit(CONFIDENCE["llm"]).alias("confidence"), F.lit(1).alias("p")))
+    r = F.row_number().over(Window.partitionBy("id", "relation_type", "target").orderBy("p", F.desc("confidence"), "method"))
+    return both.withColumn("r", r).filter("r = 1").drop("r", "p")
+
+
+def with_model(chunks: DataFrame, extract: Callable[[str], dict], batch_error: str = "error") -> DataFrame:
+    """(id, entities, relations, error): each chunk's facts where it has enough, else what an outside model returns as
+    {entities: [{name, type, attributes}], relations: [{source, type, target, reason}]}. A failure stays with its chunk."""
+    prepared = chunks.select("id", "chunk_text", text.facts(F.col("chunk_text")).alias("facts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for i, body, facts in zip(frame["id"], frame["chunk_text"], frame["facts"], strict=True):
+                try:
+                    said = {"entities": [{"name": f["match"], "type": f["kind"]} for f in facts]} if len(facts) >= ENOUGH_FACTS else extract(body)
+                    rows.append((i, json.dumps(said.get("entities", [])), json.dumps(said.get("relations", [])), None))
+                except Exception as e:  # an outside service
+                    rows.append((i, "[]", "[]", str(e)))
+            yield pd.DataFrame(rows, columns=["id", "entities", "relations", batch_error])
+
+    return prepared.mapInPandas(run, f"id long, entities string, relations string, {batch_error} string")
+
+
+def model_relations(extracted: DataFrame) -> DataFrame:
+    """(id, source, relation_type, target, reason), one row for each triple; unknown reasons follow from the verb."""
+    rows = extracted.select("id", F.explode(F.from_json("relations", "array<struct<source:string,type:string,target:string,reason:string>>")).alias("r"))
+    out = rows.select("id", "r.source", F.col("r.type").alias("relation_type"), "r.target", text.relation_reason(F.col("r.reason"), F.col("r.type")).alias("reason"))
+    return out.filter("source is not null and target is not null").dropDuplicates(["source", "relation_type", "target"])
+
+
+def merged_attributes(old: Column, new: Column) -> Column:
+    """Two JSON objects of strings as one; the new one's keys win."""
+    parse = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(parse(old), lambda k, _: ~F.map_contains_key(parse(new), k))
+    return F.to_json(F.map_concat(kept, parse(new)))
+
+
+def event_secrets(body: Column) -> Column:
+    """struct(text, count) of an event without the credentials that events are searched for."""
+    patterns = [r"AIza[0-9A-Za-z_-]{30,}", r"AQ\.[0-9A-Za-z_-]{30,}", r"sk-[0-9A-Za-z_-]{20,}", r"ghp_[0-9A-Za-z]{30,}", r"xox[baprs]-[0-9A-Za-z-]{10,}", r"Bearer\s+[0-9A-Za-z._~+/=-]{16,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"]
+    counts = []
+    for p in patterns:
+        counts.append(F.regexp_count(body, F.lit(p)))
+        body = F.regexp_replace(body, p, "[REDACTED]")
+    return F.struct(body.alias("text"), reduce(lambda a, b: a + b, counts).alias("count"))
+
+
+def blocks(messages: DataFrame, size: int = 2000, least: int = 3) -> DataFrame:
+    """(session_key, block, text): a session's messages (session_key, n, role, text), without noise, in runs of about `size`
+    characters. Sessions of fewer than `least` messages are left out."""
+    own = messages.filter(~text.is_noise(F.col("text")))
+    order = Window.partitionBy("session_key").orderBy("n")
+    many = own.withColumn("c", F.count("*").over(Window.partitionBy("session_key"))).filter(F.col("c") >= least)
+    run = many.withColumn("upto", F.sum(F.length("text")).over(order)).withColumn("block", F.floor((F.col("upto") - F.length("text")) / size))
+    lines = F.array_sort(F.collect_list(F.struct("n", F.concat_ws(": ", "role", "text").alias("t"))))
+    return run.groupBy("session_key", "block").agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("text"))
+
+
+def pending_days(chunks: DataFrame, done: DataFrame, most: int = 5) -> DataFrame:
+    """The oldest daily files (source_file) that are not in `done` (source_file, status)."""
+    days = chunks.filter("chunk_type = 'daily'").groupBy("source_file").agg(F.min("source_date").alias("day"))
+    return days.join(done, "source_file", "left_anti").orderBy("day", "source_file").limit(most)
+
+
+def consolidated(chunks: DataFrame, days: DataFrame, extract: Callable[[str], dict[str, list[str]]]) -> DataFrame:
+    """(source_file, status, kind, text): what an outside model finds in each of the daily files (decisions, lessons, people,
+    projects, pending); status 1, or -1 with no rows of text where it failed."""
+    own = chunks.join(days.select("source_file"), "source_file", "left_semi").filter(~text.is_noise(F.col("chunk_text"))).select("source_file", "id", "chunk_text")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        name = frame["source_file"].iloc[0]
+        try:
+            said = extract("\n\n".join(frame.sort_values("id")["chunk_text"]))
+            rows = [(name, 1, k, t) for k in ("decisions", "lessons", "people", "projects", "pending") for t in said.get(k, [])]
+            return pd.DataFrame(rows or [(name, 1, None, None)], columns=["source_file", "status", "kind", "text"])
+        except Exception:  # an outside service
+            return pd.DataFrame([(name, -1, None, None)], columns=["source_file", "status", "kind", "text"])
+
+    return own.groupBy("source_file").applyInPandas(run, "source_file string, status int, kind string, text string")
