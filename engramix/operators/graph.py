@@ -135,7 +135,7 @@ def vault_facts(queries: DataFrame, entities: DataFrame, relations: DataFrame, k
     asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("w"))
     hit = entities.join(F.broadcast(asked), F.lower("name") == F.col("w")).select("query_id", F.col("id").alias("e"))  # a caller's words
     ends = relations.select(F.col("source_id").alias("e"), "id").union(relations.select("target_id", "id"))
-    own = ends.join(F.broadcast(hit), "e").select("query_id", "id").distinct()
+    own = ends.join(hit, "e").select("query_id", "id").distinct()
     rows = relations.join(own, "id")
     order = [(F.col("reason") == "unknown").cast("int"), F.col("confidence").desc_nulls_last(), F.col("id").desc()]
     top = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter((F.col("place") <= k) & (F.col("place") * 25 + 20 <= budget))

@@ -31,16 +31,17 @@ def distribution(chunks: DataFrame, as_of: Column, value: str = "salience_produc
 def kth(values: DataFrame, place: Column, by: list[str] | None = None) -> DataFrame:
     """([by], v) of the element at `place` (from 1; may use `total`) of the multiset (v, c), for each group of `by`.
 
-    Two levels: values are put into 256 ranges by their hash-free order (rounded quantile bounds), ranges are summed,
-    and only the range that holds the place is sorted."""
+    Each group's values are cut into 256 ranges of equal width; the ranges are summed, and a range is sorted on its own, so no
+    task sorts a whole group."""
     keep = by or []
     total = values.groupBy(*keep).agg(F.sum("c").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    placed = values.join(F.broadcast(total), keep) if keep else values.crossJoin(F.broadcast(total))
-    part = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.floor((F.col("v") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * 255)).cast("int")
-    placed = placed.withColumn("part", part)
+    placed = values.join(total, keep) if keep else values.crossJoin(F.broadcast(total))  # one row
+    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
+    placed = placed.withColumn("part", F.coalesce(F.floor((F.col("v") - F.col("lo")) / width * 255).cast("int"), F.lit(0)))
     sums = placed.groupBy(*keep, "part").agg(F.sum("c").alias("pc"))
-    before = sums.withColumn("before", F.coalesce(F.sum("pc").over(Window.partitionBy(*keep, F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 256 rows a group
-    within = placed.join(F.broadcast(before.drop("pc")), [*keep, "part"])
+    earlier = Window.partitionBy(*keep, F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a group
+    before = sums.withColumn("before", F.coalesce(F.sum("pc").over(earlier), F.lit(0))).drop("pc")
+    within = placed.join(before, [*keep, "part"])
     run = F.sum("c").over(Window.partitionBy(*keep, "part").orderBy("v"))
     hit = within.withColumn("upto", F.col("before") + run).filter((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place))
     return hit.select(*keep, "v")

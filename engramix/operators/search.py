@@ -27,13 +27,17 @@ def _weighted(tokens: Column, weight: float) -> Column:
 
 
 def postings(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(id, token, wtf, dl): weighted frequency of each term in each chunk, and the chunk's terms over all columns.
-
-    One pass over the chunks; the exploded terms are combined before they are shuffled. by: columns to keep."""
+    """(id, token, wtf, dl): weighted frequency of each term in each chunk, and the chunk's terms over all columns: an index to
+    store, partitioned or bucketed by token, where one store is searched often. by: columns to keep."""
     keep = by or []
+    return _terms(chunks, keep).groupBy("id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
+
+
+def _terms(chunks: DataFrame, keep: list[str]) -> DataFrame:
+    """(id, [keep], dl, token, w): every term of every indexed column; no shuffle."""
     lists = {c: text.terms(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS}
     sized = chunks.select("id", *keep, sum((F.size(x) for x in lists.values()), F.lit(0)).alias("dl"), F.concat(*(_weighted(x, WEIGHTS[c]) for c, x in lists.items())).alias("ts"))
-    return sized.select("id", *keep, "dl", F.explode("ts").alias("t")).groupBy("id", *keep, "dl", "t.token").agg(F.sum("t.w").alias("wtf"))
+    return sized.select("id", *keep, "dl", F.explode("ts").alias("t")).select("id", *keep, "dl", "t.token", "t.w")
 
 
 def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -50,7 +54,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, by: list[str] | None = None, lim
     keep = by or []
     asked = queries.select("query_id", F.explode(F.array_distinct(text.terms(F.col("query")))).alias("token"))
     wanted = queries.select("query_id", F.size(F.array_distinct(text.terms(F.col("query")))).alias("terms"))
-    held = (index or postings(chunks, keep)).join(F.broadcast(asked), "token")  # queries come from a caller, not from the data
+    # queries come from a caller, not from the data, so they are broadcast; other terms are dropped before any shuffle
+    if index is not None:
+        held = index.join(F.broadcast(asked), "token")
+    else:
+        held = _terms(chunks, keep).join(F.broadcast(asked), "token").groupBy("query_id", "id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
     df = held.groupBy("query_id", *keep, "token").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks, keep)
     rated = held.join(F.broadcast(df), ["query_id", *keep, "token"])

@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramix.functions import score
+from engramix.operators.lifecycle import kth
 
 
 def ranked_value(rows: DataFrame, value: str, place: Column, by: list[str]) -> DataFrame:
-    """([by], value) of the element at `place` (from 1; may use `n`), from counts of equal values.
-
-    Counting equal values first keeps a group with many rows out of one sort."""
+    """([by], value) of the element at `place` (from 1; may use `total`) of each group, without sorting a group in one task."""
     counts = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("v"))
-    n = F.sum("c").over(Window.partitionBy(*by))
-    return counts.withColumns({"n": n, "upto": upto}).filter((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select(*by, F.col("v").alias(value))
+    return kth(counts, place, by).withColumnRenamed("v", value)
 
 
 def command_stats(runs: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -24,7 +21,7 @@ def command_stats(runs: DataFrame, start: Column, end: Column) -> DataFrame:
     p95 is the largest of fewer than 20 runs, else the element ceil(0.95 n) in order."""
     own = runs.filter((F.col("ts") > start) & (F.col("ts") < end))
     base = own.groupBy("command").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("success"), (F.floor(F.avg("duration_ms") * 10 + 0.5) / 10).alias("avg_ms"), F.max("ts").alias("last_ts"))
-    place = F.when(F.col("n") < 20, F.col("n")).otherwise(F.ceil(F.col("n") * 95 / 100))
+    place = F.when(F.col("total") < 20, F.col("total")).otherwise(F.ceil(F.col("total") * 95 / 100))
     high = ranked_value(own, "duration_ms", place, ["command"]).withColumnRenamed("duration_ms", "p95_ms")
     return base.join(high, "command")
 
@@ -67,7 +64,7 @@ def search_rollup(log: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """One row over the searches (ts, latency_ms, results_count, has_semantic) of the last hours; p95 at max(1, floor(0.95 n))."""
     own = log.filter((F.col("ts") >= F.timestamp_add("HOUR", F.lit(-hours), as_of)) & (F.col("ts") <= as_of)).withColumn("g", F.lit(1))
     base = own.groupBy("g").agg(F.count("*").alias("searches"), F.round(F.avg("latency_ms"), 6).alias("avg_ms"), F.round(F.count_if("has_semantic") / F.count("*"), 6).alias("semantic_share"), F.count_if(F.col("results_count") == 0).alias("empty"))
-    high = ranked_value(own, "latency_ms", F.greatest(F.lit(1), F.floor(F.col("n") * 95 / 100)), ["g"]).withColumnRenamed("latency_ms", "p95_ms")
+    high = ranked_value(own, "latency_ms", F.greatest(F.lit(1), F.floor(F.col("total") * 95 / 100)), ["g"]).withColumnRenamed("latency_ms", "p95_ms")
     return base.join(high, "g").drop("g")
 
 

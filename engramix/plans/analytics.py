@@ -87,11 +87,12 @@ _LONG = r"list_filter(regexp_split_to_array(lower(chunk_text), '\s+'), lambda t:
 
 
 @query(
-    CHUNKS + f", n AS (SELECT * FROM chunks WHERE chunk_type IN ('decision', 'lesson') QUALIFY row_number() OVER (PARTITION BY chunk_type ORDER BY id DESC) <= 30), t AS (SELECT id, chunk_type, {_LONG} AS ws, regexp_matches(chunk_text, '{vocab.NEGATION[4:]}', 'i') AS neg FROM n), "
+    CHUNKS.replace("text AS chunk_text", "concat(CASE WHEN doc_id % 3 = 0 THEN 'Nunca: ' ELSE '' END, text) AS chunk_text") + f", n AS (SELECT * FROM chunks WHERE chunk_type IN ('decision', 'lesson') QUALIFY row_number() OVER (PARTITION BY chunk_type ORDER BY id DESC) <= 30), t AS (SELECT id, chunk_type, {_LONG} AS ws, regexp_matches(chunk_text, '{vocab.NEGATION[4:]}', 'i') AS neg FROM n), "
     "d AS (SELECT id, neg, unnest(list_distinct(ws)) AS w FROM t WHERE chunk_type = 'decision'), l AS (SELECT id, neg, unnest(ws) AS w FROM t WHERE chunk_type = 'lesson') SELECT d.id AS decision_id, l.id AS lesson_id, count(*) AS shared FROM d JOIN l USING (w) WHERE d.neg <> l.neg GROUP BY 1, 2 HAVING count(*) >= 5"
 )
 def c08_contradictions(spark: SparkSession, folder: str) -> DataFrame:
-    return lifecycle.contradictions(chunks(spark, folder))
+    c = chunks(spark, folder).withColumn("chunk_text", F.concat(F.when(F.col("id") % 3 == 0, "Nunca: ").otherwise(""), "chunk_text"))
+    return lifecycle.contradictions(c)
 
 
 @query(
@@ -155,14 +156,14 @@ def j05_confidence_decay(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def j09_vault_facts(spark: SparkSession, folder: str) -> DataFrame:
     entities, relations = graph_of(spark, folder)
-    asked = spark.createDataFrame([(0, "who supplies Supplier#000000001 and france"), (1, "germany")], "query_id long, query string")
+    asked = spark.createDataFrame([(0, "who supplies Supplier#000000001 in nation_4"), (1, "nation_3")], "query_id long, query string")
     return graph.vault_facts(asked, entities, relations)
 
 
-@query(GRAPH + ", k AS (SELECT e.id AS e FROM entities e WHERE lower(name) = 'germany' OR lower(name) = 'france'), r AS (SELECT r.*, row_number() OVER (ORDER BY CASE WHEN reason = 'unknown' THEN 1 ELSE 0 END, confidence DESC NULLS LAST, id DESC) AS place FROM (SELECT DISTINCT r.* FROM relations r JOIN k ON r.source_id = k.e OR r.target_id = k.e) r) SELECT id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 7")
+@query(GRAPH + ", k AS (SELECT e.id AS e FROM entities e WHERE lower(name) = 'nation_3' OR lower(name) = 'nation_7'), r AS (SELECT r.*, row_number() OVER (ORDER BY CASE WHEN reason = 'unknown' THEN 1 ELSE 0 END, confidence DESC NULLS LAST, id DESC) AS place FROM (SELECT DISTINCT r.* FROM relations r JOIN k ON r.source_id = k.e OR r.target_id = k.e) r) SELECT id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 7")
 def f03_ordered_triples(spark: SparkSession, folder: str) -> DataFrame:
     entities, relations = graph_of(spark, folder)
-    asked = spark.createDataFrame([(0, "germany or france")], "query_id long, query string")
+    asked = spark.createDataFrame([(0, "nation_3 or NATION_7")], "query_id long, query string")
     found = graph.vault_facts(asked, entities, relations.withColumn("reason", F.col("reason")))
     named = graph.described(relations, entities).select("id", "source_name", "relation_type", "target_name")
     return found.join(named, ["source_name", "relation_type", "target_name"]).select("id", "place")
@@ -430,7 +431,9 @@ def h19_token_costs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def o04_proposals(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.proposals(_runs(spark, folder), F.lit("2024-01-29").cast("timestamp"))
+    late = F.col("ts") > F.lit("2024-01-22").cast("timestamp")
+    runs = _runs(spark, folder).filter((F.col("command") != "signup") | late).withColumn("duration_ms", F.col("duration_ms") * F.when(late & (F.col("command") == "view"), 5).otherwise(1))
+    return telemetry.proposals(runs, F.lit("2024-01-29").cast("timestamp"))
 
 
 @query("SELECT event_id % 500 AS op_id, arg_max(event_type, ts) AS status, epoch_us(max(ts)) AS at_us FROM events GROUP BY 1")

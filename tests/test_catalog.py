@@ -1,6 +1,7 @@
 """Every query against its oracle's SQL in another engine."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def shown(x):
     if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "null"
-    if isinstance(x, (int, float)) and not isinstance(x, bool):
+    if isinstance(x, (int, float, np.integer)) and not isinstance(x, bool):
         return repr(round(float(x), 5) + 0.0)
     return str(x)
 
