@@ -102,3 +102,11 @@ def over_cap(calls: DataFrame, as_of: Column, cap_usd: float, hours: int = 24) -
     """Whether the calls (ts, cost_usd) of the last hours cost the cap or more."""
     spent = calls.filter((score.days_between(as_of, F.col("ts")) * 24).between(0, hours)).agg(F.sum("cost_usd")).first()[0]
     return (spent or 0.0) >= cap_usd
+
+
+def cache_stats(cache: DataFrame, top: int = 5) -> DataFrame:
+    """(place, query_hash, hits, entries, total_hits): the most used entries of a cache (query_hash, hit_count)."""
+    total = cache.agg(F.count("*").alias("entries"), F.sum("hit_count").alias("total_hits"))
+    best = cache.orderBy(F.desc("hit_count"), "query_hash").limit(top)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("hit_count"), "query_hash"))  # top rows
+    return best.select(place.alias("place"), "query_hash", F.col("hit_count").alias("hits")).crossJoin(F.broadcast(total))  # one row

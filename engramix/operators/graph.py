@@ -210,3 +210,18 @@ def rename_cycles(renames: DataFrame, most: int = 16) -> DataFrame:
         at = at.filter("start <> now").join(renames, F.col("now") == F.col("old")).select("start", F.col("new").alias("now")).distinct()
         found = found.union(at.filter("start = now").select("start"))
     return found.distinct()
+
+
+def top_entities(entities: DataFrame, n: int = 200) -> DataFrame:
+    return entities.orderBy(F.desc("mention_count"), "id").limit(n)
+
+
+def newest_named(entities: DataFrame, name: str, others: int = 5) -> DataFrame:
+    """(place, id, name): entities of that name, ignoring case, most mentioned first; place 1 is meant, the next are alternatives."""
+    own = entities.filter(F.lower("name") == name.lower()).orderBy(F.desc("mention_count"), F.desc("id")).limit(others + 1)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("mention_count"), F.desc("id")))  # others + 1 rows
+    return own.select(place.alias("place"), "id", "name")
+
+
+def candidate_counts(candidates: DataFrame) -> DataFrame:
+    return candidates.groupBy("rule", "risk").agg(F.count("*").alias("n"))

@@ -240,6 +240,34 @@ def temporal_rerank(rows: DataFrame, queries: DataFrame, as_of: Column, sigma: f
     return moved.withColumn("new_rank", place)
 
 
+def expanded(queries: DataFrame, expand: Callable[[str], list[str]], variants: int = 2) -> DataFrame:
+    """(query_id, batch_no, query): each query and up to `variants` rewordings by an outside model; none for queries of fewer than
+    three words, or where the model fails. Queries are few and the caller's, so the model is asked on the driver."""
+    out = []
+    for r in queries.select("query_id", "query").collect():
+        said: list[str] = []
+        if len((r.query or "").split()) >= 3:
+            try:
+                said = [v.strip() for v in expand(r.query) if v and v.strip() and v.strip() != r.query]
+            except Exception:  # an outside service
+                said = []
+        out += [(r.query_id, i, q) for i, q in enumerate([r.query, *said[:variants]])]
+    return queries.sparkSession.createDataFrame(out, "query_id long, batch_no int, query string")
+
+
+def search_log(queries: DataFrame, results: DataFrame, as_of: Column, latency_ms: float, semantic: bool) -> DataFrame:
+    """Telemetry rows of answered queries: hash, words, results."""
+    n = results.groupBy("query_id").agg(F.count("*").alias("results_count"))
+    words = F.size(F.filter(F.split("query", r"\s+"), lambda w: w != ""))
+    out = queries.join(n, "query_id", "left")
+    return out.select(as_of.alias("ts"), text.query_hash(F.col("query")).alias("query_hash"), words.alias("query_words"), F.coalesce("results_count", F.lit(0)).cast("int").alias("results_count"), F.lit(semantic).alias("has_semantic"), F.lit(latency_ms).alias("latency_ms"))
+
+
+def churn_report(found: DataFrame) -> DataFrame:
+    """(new_file, old_file, exact, n, first_new_id) of churn() rows."""
+    return found.groupBy("new_file", "old_file", "exact").agg(F.count("*").alias("n"), F.min("new_id").alias("first_new_id"))
+
+
 def rerank(rows: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], k_in: int = 50, k_out: int = 10) -> DataFrame:
     """The best k_out of each query's first k_in rows (query_id, query, id, chunk_text, rank) by an external scorer.
 

@@ -197,3 +197,11 @@ def inserted_under(document: str, heading: str, line: str) -> str:
 def write_report(lines: DataFrame, path: str) -> None:
     """A report (place, line) as one text file."""
     lines.orderBy("place").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def changed_files(spark: SparkSession, repository: str, base: str = "HEAD~1") -> DataFrame:
+    """(source_file) of files that differ from a revision of a git repository on the driver's machine."""
+    import subprocess
+
+    said = subprocess.run(["git", "-C", repository, "diff", "--name-only", base], capture_output=True, text=True, check=True).stdout
+    return spark.createDataFrame([(x,) for x in said.splitlines()], "source_file string")
