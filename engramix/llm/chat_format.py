@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from engramix.llm.work import stored
 
-#: Turns in a chunk (by turn number) and in a rendered part, at most.
+#: Turn numbers in a chunk, and turns in a rendered part.
 CHUNK = 64
 #: One turn's text; {role} and {text} are replaced.
 TEMPLATE = "<|im_start|>{role}\n{text}<|im_end|>\n"
@@ -59,19 +59,18 @@ def maximal(prefixes: DataFrame) -> DataFrame:
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = TEMPLATE) -> DataFrame:
     """(conv_id long, part long, n_turns long, text string): each maximal conversation, rendered in order.
 
-    A conversation's parts 0, 1, ... hold its turns numbered 0-63, 64-127, ... (negative numbers come in earlier
-    parts, null ones in the first); almost all have one part. n_turns counts the part's turns. Rows with a null
-    conversation are left out; exactly repeated rows count once; turns with equal numbers follow by role and
+    A conversation's parts 0, 1, ... hold 64 turns each, the last one what is left; almost all have one part. n_turns counts
+    the part's turns. Rows with a null conversation are left out; null turn numbers come first; exactly repeated rows count once; turns with equal numbers follow by role and
     text, nulls first. A null role is rendered as `user`, a null text as an empty one; both differ from those for the
     comparison. An empty table gives no rows; other columns are ignored."""
     own = turns.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).filter("conv is not null").distinct()
     chunk = F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / CHUNK)
     numbered, prefixes = _placed(own.withColumn("chunk", chunk))
     kept = maximal(prefixes).select("conv")
-    rows = numbered.join(kept, "conv").select("conv", "chunk", F.struct("pos", _rendered(template).alias("t")).alias("x"))
-    parts = rows.groupBy("conv", "chunk").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    number = F.row_number().over(Window.partitionBy("conv").orderBy("chunk")) - 1
-    return parts.select(F.col("conv").alias("conv_id"), number.cast("long").alias("part"), F.size("xs").cast("long").alias("n_turns"), F.array_join(F.transform("xs", lambda x: x["t"]), "").alias("text"))
+    part = F.floor((F.col("pos") - 1) / CHUNK).alias("part")
+    rows = numbered.join(kept, "conv").select("conv", part, F.struct("pos", _rendered(template).alias("t")).alias("x"))
+    parts = rows.groupBy("conv", "part").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # 64 turns at most
+    return parts.select(F.col("conv").alias("conv_id"), "part", F.size("xs").cast("long").alias("n_turns"), F.array_join(F.transform("xs", lambda x: x["t"]), "").alias("text"))
 
 
 #: DuckDB SQL for format_chats(conversations): whole lists of turns are compared.
@@ -87,8 +86,8 @@ cuts AS (
   SELECT DISTINCT k AS n, l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM lists WHERE n > 1)),
 kept AS (SELECT conv_id FROM one WHERE NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.n = one.n AND cuts.l = one.l)),
 parts AS (
-  SELECT conv_id, floor(coalesce(turn, -4611686018427387904) / 64.0) AS chunk, count(*) AS n_turns,
+  SELECT conv_id, (pos - 1) // 64 AS part, count(*) AS n_turns,
     string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
   FROM placed JOIN kept USING (conv_id) GROUP BY 1, 2)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY chunk) - 1 AS part, n_turns, text FROM parts
+SELECT conv_id, part, n_turns, text FROM parts
 """
