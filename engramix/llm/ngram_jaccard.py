@@ -198,10 +198,16 @@ def _crossings(percent: int):
         held: list[np.ndarray] = []
         count = 0
         for lo, hi in zip(at[several], ends[several], strict=True):
-            last = lo + np.searchsorted(n[lo:hi], n[lo:hi] * 100 // percent, side="right")
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, last[i - lo])
-                j = j[root[j] != root[i]]
+            sizes, own = n[lo:hi], root[lo:hi]
+            labels, counts = np.unique(own, return_counts=True)
+            most = labels[counts.argmax()]
+            # the pairs within the largest component need no look, however large it is
+            few = np.flatnonzero(own != most)
+            first = np.searchsorted(sizes, -(-sizes[few] * percent // 100))
+            last = np.searchsorted(sizes, sizes[few] * 100 // percent, side="right")
+            for i, a, b in zip(few + lo, first + lo, last + lo, strict=True):
+                j = np.arange(a, b)
+                j = j[(root[j] != root[i]) & ((root[j] == most) | (j > i))]
                 j = j[_fits(n[i], pos[i], n[j], pos[j], percent)]
                 if len(j):
                     held.append(np.stack([np.full(len(j), gid[i]), gid[j]]))
