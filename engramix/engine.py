@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramix import schemas
-from engramix.operators import answers, brief, graph, lifecycle, reports, search, telemetry
+from engramix.functions import score, text
+from engramix.operators import answers, brief, extract, graph, lifecycle, reports, search, telemetry
 from engramix.sources import files
+from engramix.streaming import streams
 
 
 class Engine:
@@ -105,3 +107,95 @@ class Engine:
 
     def decisions(self) -> DataFrame:
         return graph.decision_history(self.table("decision_versions").withColumnRenamed("decision_key", "key").drop("superseded_at", "is_current"))
+
+    def decision_history(self, key: str) -> DataFrame:
+        return self.decisions().filter(F.col("key") == key).orderBy("version")
+
+    def decision_get(self, key: str) -> DataFrame:
+        return self.decision_history(key).filter("is_current")
+
+    def kg_build(self, names: dict[str, list[str]], aliases: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Entities and edges of co-occurrence in all chunks; names: known persons, projects and agents by type."""
+        return graph.build(self.table("chunks"), names, aliases)
+
+    def kg_stats(self) -> DataFrame:
+        return self.table("kg_entities").groupBy("entity_type").agg(F.count("*").alias("entities"), F.sum("mention_count").alias("mentions")).orderBy(F.desc("entities"), "entity_type")
+
+    def kg_facts(self, query: str, k: int = 8) -> DataFrame:
+        return graph.vault_facts(self._asked(query), self.table("kg_entities"), self.table("kg_relations"), max(1, min(int(k), 32)))
+
+    def kg_extract(self, model) -> DataFrame:
+        """Triples of all chunks: structured facts and rules first, the outside model for the rest."""
+        chunks = self.table("chunks")
+        found = extract.by_rule(chunks)
+        asked = extract.needs_model(chunks, found).filter("model").drop("model")
+        said = extract.model_relations(extract.with_model(asked, model)).select("id", "relation_type", "target")
+        return extract.combined(found, said)
+
+    def cross_kg(self, stores: dict[str, str]) -> DataFrame | None:
+        entities = files.read_stores(self.spark, stores)
+        return None if entities is None else graph.merge_stores(entities)
+
+    def tier_stats(self) -> DataFrame:
+        return self.table("chunks").groupBy("tier", "section").agg(F.count("*").alias("n")).orderBy("tier", "section")
+
+    def retention_stats(self) -> DataFrame:
+        return lifecycle.retention_buckets(self.table("chunks"))
+
+    def archive_candidates(self) -> DataFrame:
+        return lifecycle.archive_candidates(self.table("chunks"), self.as_of)
+
+    def pull_shared(self, agent: str) -> DataFrame:
+        return lifecycle.shared_for(self.table("shared_chunks"), agent)
+
+    def shared_stats(self) -> DataFrame:
+        return self.table("shared_chunks").groupBy("source_agent", "chunk_type").agg(F.count("*").alias("n"))
+
+    def insights(self) -> tuple[DataFrame, DataFrame]:
+        """Contradictions between decisions and lessons, and topics of recent decisions."""
+        return lifecycle.contradictions(self.table("chunks")), lifecycle.topics(self.table("chunks"), self.as_of)
+
+    def profile(self) -> DataFrame:
+        return reports.profile(self.table("kg_entities"), self.table("chunks"), self.as_of)
+
+    def search_stats(self) -> DataFrame:
+        return telemetry.search_rollup(self.table("search_telemetry"), self.as_of)
+
+    def provider_costs(self) -> DataFrame:
+        return telemetry.provider_costs(self.table("provider_telemetry"), self.as_of)
+
+    def coverage(self) -> DataFrame:
+        return telemetry.coverage(self.table("chunks"), self.table("vectors"))
+
+    def vectorize(self, embed, dim: int) -> DataFrame:
+        """Vectors for the chunks that have none, by an outside service."""
+        return files.embedded(files.missing_vectors(self.table("chunks"), self.table("vectors")), embed, dim)
+
+    def pending_days(self) -> DataFrame:
+        return extract.pending_days(self.table("chunks"), self.table("consolidated_files"))
+
+    def consolidate(self, model) -> DataFrame:
+        return extract.consolidated(self.table("chunks"), self.pending_days(), model)
+
+    def distill(self, path: str) -> DataFrame:
+        """Blocks of text of session logs, ready for a model."""
+        return extract.blocks(files.read_sessions(self.spark, path))
+
+    def watch(self, folder: str, handle, checkpoint: str):
+        return streams.run_ingest(streams.watch_files(self.spark, folder), handle, checkpoint)
+
+    def _said(self, value: str) -> DataFrame:
+        return self.spark.createDataFrame([(value,)], "said string")
+
+    def redact(self, value: str) -> DataFrame:
+        return self._said(value).select(text.redacted(F.col("said")).alias("r")).select("r.*")
+
+    def noise_check(self, value: str) -> DataFrame:
+        return self._said(value).select(text.is_noise(F.col("said")).alias("noise"))
+
+    def temporal(self, query: str) -> DataFrame:
+        return self._said(query).select(text.temporal_intent(F.col("said"), self.as_of).alias("i")).select("i.*")
+
+    def classify(self, path: str) -> DataFrame:
+        kind = text.chunk_type(F.col("said"))
+        return self._said(path).select(kind.alias("chunk_type"), text.path_kind(F.col("said")).alias("source_type"), text.path_date(F.col("said")).alias("source_date"), lifecycle.default_retention(kind).alias("retention_days"), score.importance(F.lit(None).cast("double"), kind).alias("importance"))

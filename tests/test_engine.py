@@ -35,8 +35,18 @@ def test_engine(store, tmp_path):
     assert store.answer("parquet store", lambda p: "[chunk_1]")["citations"] in ([1], [3])
     assert {r.check: r.ok for r in store.doctor().collect()} == {"vectors": False, "consolidation": True}
     assert store.brief("", "memory", 3).count() >= 1
-    for name in ("stats", "salience", "tiers", "kg_merge_preview", "kg_prune", "proposals", "audit", "decisions"):
+    for name in ("stats", "salience", "tiers", "kg_merge_preview", "kg_prune", "proposals", "audit", "decisions", "kg_stats", "tier_stats", "retention_stats", "archive_candidates", "shared_stats", "profile", "search_stats", "provider_costs", "coverage", "pending_days"):
         getattr(store, name)().collect()
+    assert [df.count() for df in store.insights()] == [0, 0]
+    assert store.decision_get("k").count() == store.pull_shared("a").count() == 0
+    assert store.kg_facts("ann and store").count() == 1
+    assert store.redact("key sk-" + "a" * 30).first()["count"] == 1
+    assert store.noise_check("ok").first().noise and store.temporal("on 2025-01-02").first().source == "iso_date"
+    assert store.classify("memory/feedback/a.md").first().chunk_type == "feedback"
+    assert store.vectorize(lambda t: [[1.0, 0.0]] * len(t), 2).count() == 3
+    assert store.kg_extract(lambda t: {"relations": [{"source": "a", "type": "uses", "target": "b"}]}).count() == 1
+    entities, edges = store.kg_build({"person": ["we"], "project": ["parquet"]})
+    assert (entities.count(), edges.count()) == (2, 1)
     note = tmp_path / "notes" / "memory" / "2026-01-15.md"
     note.parent.mkdir(parents=True)
     note.write_text("## today\n" + "we wrote some words " * 10)
