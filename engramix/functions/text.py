@@ -147,18 +147,26 @@ def cards(text: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """struct(text, count, kinds): secrets replaced by [REDACTED:kind], kind by kind in a fixed order."""
-    counts: list[tuple[str, Column]] = []
-    for kind, pattern in vocab.SECRETS:
-        counts.append((kind, F.regexp_count(text, F.lit(pattern))))
-        by = "Authorization: [REDACTED:auth-header]" if kind == "auth-header" else f"[REDACTED:{kind}]"
-        text = F.regexp_replace(text, pattern, by.replace("$", r"\$"))
-    found = cards(text)
-    # each number's occurrences; numbers can't overlap, so replacing one leaves the others
-    counts.append(("credit-card", F.aggregate(found, F.lit(0), lambda s, m: s + F.regexp_count(text, F.concat(F.lit(r"\b"), m, F.lit(r"\b"))))))
-    text = F.aggregate(found, text, lambda t, m: F.regexp_replace(t, F.concat(F.lit(r"\b"), m, F.lit(r"\b")), F.lit("[REDACTED:credit-card]")))
-    kinds = F.array_compact(F.array(*(F.when(c > 0, F.lit(k)) for k, c in counts)))
-    return F.struct(text.alias("text"), reduce(lambda a, b: a + b, [c for _, c in counts]).cast("long").alias("count"), kinds.alias("kinds"))
+    """struct(text, count, kinds): secrets replaced by [REDACTED:kind], kind by kind in a fixed order.
+
+    The steps are folded over an array, so each sees the one before once; nested calls would repeat all earlier steps."""
+    told = lambda k: "Authorization: [REDACTED:auth-header]" if k == "auth-header" else f"[REDACTED:{k}]"
+    steps = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"), F.lit(told(k)).alias("by")) for k, p in vocab.SECRETS))
+    start = F.struct(text.alias("text"), F.lit(0).cast("long").alias("count"), F.array().cast("array<string>").alias("kinds"))
+
+    def replaced(so_far: Column, pattern: Column, by: Column, n: Column, kinds: Column) -> Column:
+        return F.struct(F.regexp_replace(so_far["text"], pattern, by).alias("text"), (so_far["count"] + n).alias("count"), kinds.alias("kinds"))
+
+    def step(so_far: Column, x: Column) -> Column:
+        n = F.regexp_count(so_far["text"], x["pattern"])
+        return F.when(n > 0, replaced(so_far, x["pattern"], x["by"], n, F.concat(so_far["kinds"], F.array(x["kind"])))).otherwise(so_far)
+
+    def card(so_far: Column, number: Column) -> Column:
+        pattern = F.concat(F.lit(r"\b"), number, F.lit(r"\b"))
+        return replaced(so_far, pattern, F.lit(told("credit-card")), F.regexp_count(so_far["text"], pattern), F.array_union(so_far["kinds"], F.array(F.lit("credit-card"))))
+
+    done = F.transform(F.array(F.aggregate(steps, start, step)), lambda r: F.aggregate(cards(r["text"]), r, card))
+    return F.when(text.isNotNull(), F.element_at(done, 1))
 
 
 def facts(text: Column) -> Column:
