@@ -51,12 +51,16 @@ _IDENTIFIERS = [
 def anchors(body: Column, names: list[str] | None = None) -> Column:
     """Sorted words to index beside a text: known terms and names in it, translations of its words, and identifiers."""
 
-    def held(term: str) -> Column:
-        tail = "" if len(term) <= 3 else r"\w*"
-        return body.rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(term)}{tail}(?![A-Za-z0-9_])")
-
     give = [(t, t) for t in [*COGNATES, *(names or [])]] + [*TRANSLATIONS.items()] + [(en, pt) for pt, en in TRANSLATIONS.items()]
-    words = F.array_compact(F.array(*(F.when(held(term), F.lit(out)) for term, out in give)))
+    plain = [(t.lower(), out) for t, out in give if re.fullmatch(r"[A-Za-z0-9_]+", t)]
+    other = [(t, out) for t, out in give if not re.fullmatch(r"[A-Za-z0-9_]+", t)]
+    # terms of up to three letters are words, longer ones begin them; those beyond ASCII are sought by pattern
+    terms = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(len(t) <= 3).alias("whole"), F.lit(out).alias("out")) for t, out in plain))
+    tokens = F.array_distinct(F.filter(F.split(F.lower(body), "[^a-z0-9_]+"), lambda w: w != ""))
+    begun = lambda ws: F.transform(F.filter(terms, lambda d: F.exists(ws, lambda w: F.when(d["whole"], w == d["t"]).otherwise(F.startswith(w, d["t"])))), lambda d: d["out"])
+    words = F.flatten(F.transform(F.array(tokens), begun))
+    for term, out in other:
+        words = F.concat(words, F.when(body.rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(term)}\w*(?![A-Za-z0-9_])"), F.array(F.lit(out))).otherwise(F.array().cast("array<string>")))
     found = [F.transform(F.filter(F.regexp_extract_all(body, F.lit(p), F.lit(1)), lambda m: F.length(m) >= 4), lambda m: F.lower(m)) for p in _IDENTIFIERS]
     return F.array_join(F.array_sort(F.array_distinct(F.concat(words, *found))), " ")
 
