@@ -15,13 +15,19 @@ _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttu
 
 
 def fold(text: Column) -> Column:
-    """Lower case, without accents."""
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    """Lower case, without accents; plain ASCII skips the character map."""
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _PLAIN))
 
 
 def terms(text: Column) -> Column:
     """Search terms in order, with repeats: runs of letters and digits, folded."""
-    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: fold(t))
+
+
+def term_count(text: Column) -> Column:
+    """How many terms a text has."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
 
 
 def sanitized_query(text: Column) -> Column:

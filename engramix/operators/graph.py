@@ -97,21 +97,26 @@ def undirected(relations: DataFrame) -> DataFrame:
 def shortest_path(relations: DataFrame, start: int, end: int, most: int = 4) -> DataFrame:
     """(depth, path array<long>) of a shortest undirected path of at most `most` edges; of equals the one with the smallest ids.
 
-    One frontier join a step; a node keeps its smallest shortest path, so a frontier never has more rows than nodes."""
-    edges = undirected(relations)
-    spark = relations.sparkSession
-    frontier = spark.createDataFrame([(start, [start])], "node long, path array<long>")
-    seen = frontier.select("node")
-    layers = [frontier.withColumn("depth", F.lit(0))]
-    for depth in range(1, most + 1):
-        grown = frontier.join(edges, frontier.node == edges.u).select(F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"))
-        frontier = grown.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        seen = seen.union(frontier.select("node"))
-        layers.append(frontier.withColumn("depth", F.lit(depth)))
-    found = layers[0]
-    for layer in layers[1:]:
-        found = found.unionByName(layer)
-    return found.filter(F.col("node") == end).select("depth", "path").orderBy("depth").limit(1)
+    Searched from both ends to the middle, one frontier join a step; a node keeps its smallest path from either end, so a
+    frontier never has more rows than nodes. The edges are persisted, as each step reads them."""
+    edges = undirected(relations).persist()
+
+    def layers(origin: int, steps: int, forward: bool) -> DataFrame:
+        frontier = relations.sparkSession.createDataFrame([(origin, [origin])], "node long, path array<long>")
+        seen, out = frontier.select("node"), frontier.withColumn("depth", F.lit(0))
+        for depth in range(1, steps + 1):
+            longer = F.concat("path", F.array("v")) if forward else F.concat(F.array("v"), "path")
+            grown = frontier.join(edges, frontier.node == edges.u).select(F.col("v").alias("node"), longer.alias("path"))
+            frontier = grown.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+            seen = seen.union(frontier.select("node"))
+            out = out.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        return out
+
+    there = layers(start, -(-most // 2), True)
+    back = layers(end, most // 2, False).select("node", F.col("path").alias("rest"), F.col("depth").alias("more"))
+    whole = F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))
+    met = there.join(back, "node").select((F.col("depth") + F.col("more")).alias("depth"), whole.alias("path"))
+    return met.orderBy("depth", "path").limit(1)
 
 
 def neighbourhood(relations: DataFrame, node: int) -> DataFrame:

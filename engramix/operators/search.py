@@ -33,18 +33,24 @@ def postings(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
     return _terms(chunks, keep).groupBy("id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
 
 
-def _terms(chunks: DataFrame, keep: list[str]) -> DataFrame:
-    """(id, [keep], dl, token, w): every term of every indexed column; no shuffle."""
-    lists = {c: text.terms(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS}
-    sized = chunks.select("id", *keep, sum((F.size(x) for x in lists.values()), F.lit(0)).alias("dl"), F.concat(*(_weighted(x, WEIGHTS[c]) for c, x in lists.items())).alias("ts"))
+def _length() -> Column:
+    return sum((text.term_count(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS), F.lit(0))
+
+
+def _terms(chunks: DataFrame, keep: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(id, [keep], dl, token, w): every term of every indexed column, or those in the one-row frame wanted (array all); no shuffle."""
+    if wanted is not None:
+        chunks = chunks.crossJoin(F.broadcast(wanted))  # one row
+    fits = (lambda ts: F.filter(ts, lambda t: F.array_contains("all", t))) if wanted is not None else lambda ts: ts
+    weighted = F.concat(*(_weighted(fits(text.terms(F.coalesce(F.col(c), F.lit("")))), w) for c, w in WEIGHTS.items()))
+    sized = chunks.select("id", *keep, _length().alias("dl"), weighted.alias("ts"))
     return sized.select("id", *keep, "dl", F.explode("ts").alias("t")).select("id", *keep, "dl", "t.token", "t.w")
 
 
 def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(n, avgdl), for each group of `by`: one row for a store."""
     keep = by or []
-    dl = sum((F.size(text.terms(F.coalesce(F.col(c), F.lit("")))) for c in WEIGHTS), F.lit(0))
-    return chunks.select(*keep, dl.alias("dl")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return chunks.select(*keep, _length().alias("dl")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, by: list[str] | None = None, limit: int | None = CANDIDATES, index: DataFrame | None = None) -> DataFrame:
@@ -58,7 +64,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, by: list[str] | None = None, lim
     if index is not None:
         held = index.join(F.broadcast(asked), "token")
     else:
-        held = _terms(chunks, keep).join(F.broadcast(asked), "token").groupBy("query_id", "id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
+        every = asked.agg(F.collect_set("token").alias("all"))
+        held = _terms(chunks, keep, every).join(F.broadcast(asked), "token").groupBy("query_id", "id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
     df = held.groupBy("query_id", *keep, "token").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks, keep)
     rated = held.join(F.broadcast(df), ["query_id", *keep, "token"])
