@@ -310,3 +310,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
         out = out.mapInArrow(scan, T.StructType(out.schema.fields))
     return out
+
+
+_ORACLE_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+#: DuckDB SQL for contamination(documents, benchmark) on small tables: every window is joined by its text.
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_ORACLE_WORDS} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ORACLE_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item, w, least(10, len(w)) AS k FROM items WHERE len(w) > 0),
+leaks AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+windows AS (
+  SELECT row, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM leaks) WHERE len(w) >= k)),
+met AS (SELECT row, windows.k, i, item FROM windows JOIN leaks USING (k, g)),
+hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS p FROM met) GROUP BY row),
+named AS (SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM met GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""

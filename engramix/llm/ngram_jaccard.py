@@ -321,3 +321,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     may = F.coalesce(passes(docs.sparkSession, id_filter(gone), F.col(id_col).cast("long")), F.lit(False))
     kept = docs.filter(may).join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
     return docs.filter(~may).unionByName(kept)
+
+
+#: DuckDB SQL for near_duplicates(documents) on small tables: all pairs that share a shingle, then their transitive closure.
+ORACLE = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM split),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+near AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT near.doc_id, e.b FROM near JOIN both_ways e ON e.a = near.other)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(other) FROM near WHERE near.doc_id = sets.doc_id), doc_id)) AS component_id FROM sets
+"""

@@ -61,4 +61,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_lists": url_lists.ORACLE, "op10_chat_format": chat_format.ORACLE}
+    return {
+        "op2_ngram_jaccard_join": ngram_jaccard.ORACLE,
+        "op4_url_lists": url_lists.ORACLE,
+        "op7_decontamination": decontaminate.ORACLE,
+        "op8_exact_top_k": topk.ORACLE,
+        "op10_chat_format": chat_format.ORACLE,
+    }
