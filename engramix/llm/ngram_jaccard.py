@@ -195,8 +195,12 @@ def _crossings(percent: int):
         at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(at[1:], len(token))
         several = np.maximum.reduceat(root, at) != np.minimum.reduceat(root, at)
-        held: list[np.ndarray] = []
-        count = 0
+        # buckets of two, the most frequent by far, all at once
+        two = at[several & (ends - at == 2)]
+        two = two[_fits(n[two], pos[two], n[two + 1], pos[two + 1], percent)]
+        held: list[np.ndarray] = [np.stack([gid[two], gid[two + 1]])]
+        count = len(two)
+        several &= ends - at > 2
         for lo, hi in zip(at[several], ends[several], strict=True):
             sizes, own = n[lo:hi], root[lo:hi]
             labels, counts = np.unique(own, return_counts=True)
@@ -215,8 +219,7 @@ def _crossings(percent: int):
                 if count > 200_000:
                     yield from _paired(held)
                     held, count = [], 0
-        if held:
-            yield from _paired(held)
+        yield from _paired(held or [np.zeros((2, 0), np.int64)])
 
     return read
 
