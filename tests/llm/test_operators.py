@@ -352,6 +352,23 @@ def test_top_k_matches_brute_force(spark, seed, n, dim, scale, monkeypatch):
         assert got[q] == [(i, -s) for s, i in sorted(scores)[:20]]
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_bound_order_loses_nothing(wide, monkeypatch):
+    monkeypatch.setattr(topk, "STEP", 24)
+    rng = np.random.default_rng(6)
+    for slack in (0, 3, 400):
+        x, q = rng.integers(-9, 9, (300, 4)).astype(float), rng.integers(-9, 9, (15, 4)).astype(float)
+        true = q @ x.T
+        top = true + rng.random(true.shape) * slack
+        top[3] = -np.inf
+        floor = np.where(np.arange(15) % 2 == 0, -np.inf, np.sort(true, axis=1)[:, -40])
+        i, j, s = topk._best(top, q, x, floor.copy(), 20, wide)
+        for row in range(15):
+            got = sorted(zip(-s[i == row], j[i == row], strict=True))[:20]
+            want = sorted(zip(-true[row], range(300), strict=True))[:20]
+            assert got == ([] if row == 3 else [(v, c) for v, c in want])
+
+
 def test_top_k_odd_input(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [3.0]), (None, [1.0, 1.0]), (6, []), (0, [1.0, 2.0]), (7, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "score": F.lit(1)})
