@@ -54,8 +54,35 @@ SPACED = WordClass(_not_space(), 11)
 ALNUM = WordClass(_alphanumeric(), 29)
 
 
+#: Bytes hashed at once; longer texts are taken in pieces that end between words.
+_MOST = 8 << 20
+
+
+def _pieces(text: bytes, kind: WordClass) -> Iterator[bytes]:
+    lo = 0
+    while len(text) - lo > _MOST:
+        gaps = np.flatnonzero(~kind.word[np.frombuffer(text, np.uint8, _MOST, lo)])
+        if len(gaps):
+            hi = lo + int(gaps[-1]) + 1
+        else:  # a word longer than that stays whole
+            rest = np.flatnonzero(~kind.word[np.frombuffer(text, np.uint8, offset=lo)])
+            hi = lo + int(rest[0]) + 1 if len(rest) else len(text)
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
 def hash_words(texts: Sequence[bytes], kind: WordClass) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts in order, offsets of each text's words; len(texts) + 1 of them)."""
+    """(word hashes of all texts in order, offsets of each text's words; len(texts) + 1 of them).
+
+    A word's hash doesn't depend on its place, so texts of any length are hashed in bounded memory beside the hashes."""
+    if any(len(t) > _MOST for t in texts):
+        parts = [[_hash_words([p], kind)[0] for p in _pieces(t, kind)] for t in texts]
+        return np.concatenate([h for hs in parts for h in hs]), np.concatenate([[0], np.cumsum([sum(map(len, hs)) for hs in parts])])
+    return _hash_words(texts, kind)
+
+
+def _hash_words(texts: Sequence[bytes], kind: WordClass) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)

@@ -50,6 +50,17 @@ def test_words_over_segments():
     assert h[at[1] - 1] == h[at[1]] and h[0] == h[at[2]] and len(set(h.tolist())) == 2
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join("w" * rng.randint(1, 90) + str(rng.randrange(50)) for _ in range(200)).encode(), b"", b"z" * 500, b" " * 300, b"tail " + b"y" * 150]
+    for kind in (kernel.SPACED, kernel.ALNUM):
+        whole = kernel.hash_words(texts, kind)
+        monkeypatch.setattr(kernel, "_MOST", 100)
+        cut = kernel.hash_words(texts, kind)
+        monkeypatch.undo()
+        assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])
+
+
 # --- 2: near duplicates ----------------------------------------------------------------------------------------------
 
 
