@@ -54,8 +54,33 @@ def bound(codes: np.ndarray, dim: int) -> np.ndarray:
     return v[0][codes >> 2 * _BITS] * v[1][codes >> _BITS & mask] * v[2][codes & mask]
 
 
+#: Bytes of a text above which its trigrams are counted in pieces.
+_MOST = 8 << 20
+
+
+def _long(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram, count) of one long text; a byte of memory for each character."""
+    chars = text.decode()
+    parts = [_letters()[np.frombuffer(chars[i : i + _MOST].encode("utf-32-le"), np.uint32)] for i in range(0, len(chars), _MOST)]
+    letter = np.concatenate([np.zeros(1, np.uint8), *parts, np.zeros(1, np.uint8)])
+    letter = letter[np.concatenate([[True], (letter[1:] != 0) | (letter[:-1] != 0)])]
+    total = np.zeros(1 << 3 * _BITS, np.int64)
+    for i in range(0, len(letter) - 2, _MOST):
+        run = letter[i : i + _MOST + 2].astype(np.int32)
+        total += np.bincount(run[:-2] << 2 * _BITS | run[1:-1] << _BITS | run[2:], minlength=len(total))
+    code = np.flatnonzero(total)
+    return code, total[code]
+
+
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, trigram, count), sorted, over runs of letters with one gap between them and at both ends."""
+    if not any(len(t) > _MOST for t in texts):
+        return _trigrams(texts)
+    each = [_long(t) if len(t) > _MOST else _trigrams([t])[1:] for t in texts]
+    return np.repeat(np.arange(len(texts)), [len(c) for c, _ in each]), np.concatenate([c for c, _ in each]), np.concatenate([n for _, n in each])
+
+
+def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = np.frombuffer(b"".join(texts).decode().encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t.decode()) for t in texts], np.int64)
     letter = _letters()[points]

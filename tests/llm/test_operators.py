@@ -494,6 +494,15 @@ def test_bundles_equal_slow_binding():
     assert np.array_equal(count[first] @ language.bound(code[first], 64).astype(float), slow)
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aé ,Bç1漢") for _ in range(rng.choice([0, 1, 3, 90, 400]))).encode() for _ in range(30)]
+    whole = language.trigrams(texts)
+    monkeypatch.setattr(language, "_MOST", 50)
+    for a, b in zip(whole, language.trigrams(texts), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_held_out_language(spark):
     rows = spoken(4)
     docs = spark.createDataFrame(rows, DOC)
