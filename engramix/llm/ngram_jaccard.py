@@ -77,25 +77,28 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of each row (doc long, text string): its set's size and fingerprint, its group, and once a batch the prefix."""
+    """Of each row (doc long, text string): its set's size and fingerprint, its group, and once a batch the prefix (in a row with an id)."""
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), words))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
             ids, texts, seen = batch.column(0), utf8(batch.column(1)), set()
+            known = ids.is_valid().to_pylist()
             for first, run in chunks(texts):
                 rows = []
-                for s in shingle_sets(run, words):
+                for k, s in enumerate(shingle_sets(run, words), first):
                     n = len(s)
                     with np.errstate(over="ignore"):
                         fp1, fp2 = int(mix(s).sum()), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()) if n else 0
                     p = prefix_length(n, percent)
                     key = np.sort(level[_cell(s)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8))[:p]
                     gid = int(mix(np.append(mix(key + np.arange(p, dtype=np.uint64)).sum(dtype=np.uint64), np.uint64(n)))[:2].sum()) if n else 0
-                    again = (fp1, fp2) in seen
-                    seen.add((fp1, fp2))
-                    rows.append((n, fp1, fp2, gid, None if again or not n else key.tobytes()))
+                    # rows without an id take no part, so they don't stand for those that have one
+                    shown = known[k] and n and (fp1, fp2) not in seen
+                    if shown:
+                        seen.add((fp1, fp2))
+                    rows.append((n, fp1, fp2, gid, key.tobytes() if shown else None))
                 n, fp1, fp2, gid, prefix = zip(*rows, strict=True)
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(run)), pa.array(n, pa.int64()), signed(fp1), signed(fp2), signed(gid), pa.array(prefix, pa.binary())], ["doc", "n", "fp1", "fp2", "gid", "prefix"])

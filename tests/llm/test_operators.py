@@ -124,6 +124,14 @@ def test_near_duplicates_odd_input(spark):
     assert {(r.doc_id, r.component_id) for r in ngram_jaccard.near_duplicates(again).collect()} == {(1, 1), (2, 1)}
 
 
+def test_null_id_before_a_near_copy(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near = "other " + text  # another prefix or size, so the two meet in the join only
+    docs = docs_of(spark, [text, text, near], [None, 5, 7]).coalesce(1)
+    assert sorted((r.doc_id or -1, r.component_id) for r in ngram_jaccard.near_duplicates(docs).collect()) == [(-1, None), (5, 5), (7, 5)]
+    assert sorted(r.doc_id or -1 for r in ngram_jaccard.keep_one(docs).collect()) == [-1, 5]
+
+
 def test_one_of_each_group_stays(spark):
     texts = families(3, 60)
     _, roots = brute_components(texts)
