@@ -153,25 +153,50 @@ def decision_history(versions: DataFrame) -> DataFrame:
     return versions.withColumns({"superseded_at": F.lead("created_at").over(order), "is_current": F.lead("version").over(order).isNull()})
 
 
-def merge_candidates(entities: DataFrame, evidence: DataFrame, least: float = 0.85) -> DataFrame:
-    """(a, b, rule, similarity, shared, risk): pairs of one type with equal, contained or similar folded names.
-
-    Pairs are sought among names that share a block: equal folded names, or a folded token of three letters or more, or the
-    same first three letters; evidence is (entity_id, chunk_id)."""
+def _near_keys(keys: DataFrame, least: float) -> DataFrame:
+    """(entity_type, x, y), once each, x < y: every two keys (entity_type, key) of a type of which one contains the other or
+    whose Levenshtein ratio can be `least` or more, and some others.
+
+    Contained keys are met by the longer one's pieces of each length that keys have. For the ratio, at most t edits may
+    lie between a key of length l and one no longer: of t + 1 segments of the first, one is in the other, moved by no more
+    than the edits on its two sides allow."""
+    sized = keys.withColumn("n", F.length("key"))
+    lengths = sized.agg(F.array_sort(F.collect_set("n")).alias("ls"))  # one row, as many lengths as names have
+    each = sized.crossJoin(F.broadcast(lengths))
+    pieces = "explode(array_distinct(flatten(transform(filter(ls, l -> l < n), l -> transform(sequence(1, n - l + 1), p -> substring(key, p, l))))))"
+    inside = each.select("entity_type", F.col("key").alias("b"), F.expr(pieces).alias("a")).join(keys.withColumnRenamed("key", "a"), ["entity_type", "a"])
+    edits = lambda n: f"cast(floor({1 - least!r} * {n} + 1e-9) as int)"
+    cut = "transform(sequence(0, t), i -> struct(i, i * l div (t + 1) AS s, (i + 1) * l div (t + 1) - i * l div (t + 1) AS m))"
+    held = sized.withColumnRenamed("n", "l").withColumn("t", F.expr(edits("l"))).filter("t > 0").select("entity_type", F.col("key").alias("b"), "l", F.expr(f"inline({cut})"))
+    held = held.selectExpr("entity_type", "b", "l", "i", "substring(b, int(s + 1), int(m)) AS piece")
+    asked = each.select("entity_type", F.col("key").alias("a"), "n", F.explode(F.filter("ls", lambda l: l >= F.col("n"))).alias("l")).withColumn("t", F.expr(edits("l"))).filter("t > 0 and l - n <= t")
+    asked = asked.selectExpr("entity_type", "a", "n", "l", "t", f"inline({cut})").withColumns({"lo": F.expr("greatest(0L, s - (t + l - n) div 2)"), "hi": F.expr("least(n - m, s + (t - l + n) div 2)")}).filter("lo <= hi")
+    asked = asked.selectExpr("entity_type", "a", "l", "i", "explode(transform(sequence(lo, hi), p -> substring(a, int(p + 1), int(m)))) AS piece")
+    near = asked.join(held, ["entity_type", "l", "i", "piece"]).filter("a <> b")
+    return inside.select("entity_type", "a", "b").unionByName(near.select("entity_type", "a", "b")).select("entity_type", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
+def merge_candidates(entities: DataFrame, evidence: DataFrame, least: float = 0.85, protected: list[str] | None = None) -> DataFrame:
+    """(a, b, rule, similarity, shared, risk): all pairs of one type with equal, contained or similar folded names.
+
+    evidence is (entity_id, chunk_id); pairs with one of the `protected` names (a short list of the caller's) have that risk."""
     named = entities.withColumn("key", text.entity_key(F.col("name"))).filter("key <> ''")
-    blocks = F.array_distinct(F.concat(F.array(F.col("key"), F.concat(F.lit("^"), F.substring("key", 1, 3))), F.filter(F.split("key", " "), lambda t: F.length(t) >= 3)))
-    keyed = named.select("id", "entity_type", "name", "key", "mention_count", F.explode(blocks).alias("block"))
-    one = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "key", "mention_count")]
-    pairs = keyed.select("entity_type", "block", *one("a")).join(keyed.select("entity_type", "block", *one("b")), ["entity_type", "block"]).filter("a_id < b_id").drop("block").distinct()
-    ratio = text.levenshtein_ratio(F.col("a_key"), F.col("b_key"))
-    inside = F.contains(F.col("a_key"), F.col("b_key")) | F.contains(F.col("b_key"), F.col("a_key"))
-    rule = F.when(F.col("a_key") == F.col("b_key"), "normalized").when(inside, "substring").when(ratio >= least, "similar")
-    found = pairs.withColumn("rule", rule).filter("rule is not null").withColumn("similarity", F.round(F.when(F.col("rule") == "normalized", 1.0).otherwise(ratio), 6))
+    keys = _near_keys(named.select("entity_type", "key").distinct(), least)
+    ratio = text.levenshtein_ratio(F.col("x"), F.col("y"))
+    inside = F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
+    judged = keys.withColumn("rule", F.when(inside, "substring").when(ratio >= least, "similar")).filter("rule is not null").withColumn("similarity", F.round(ratio, 6))
+    one = lambda p: named.select("entity_type", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "key", "mention_count")))
+    ways = judged.select("entity_type", F.col("x").alias("a_key"), F.col("y").alias("b_key"), "rule", "similarity")
+    ways = ways.unionByName(judged.select("entity_type", F.col("y").alias("a_key"), F.col("x").alias("b_key"), "rule", "similarity"))
+    unlike = ways.join(one("a"), ["entity_type", "a_key"]).join(one("b"), ["entity_type", "b_key"]).filter("a_id < b_id")
+    equal = one("a").join(one("b").withColumn("a_key", F.col("b_key")), ["entity_type", "a_key"]).filter("a_id < b_id").withColumns({"rule": F.lit("normalized"), "similarity": F.lit(1.0)})
+    found = unlike.unionByName(equal).distinct()
     own = lambda p: evidence.select(F.col("entity_id").alias(f"{p}_id"), "chunk_id")
     shared = found.select("a_id", "b_id").join(own("a"), "a_id").join(own("b"), ["b_id", "chunk_id"]).groupBy("a_id", "b_id").agg(F.count_distinct("chunk_id").alias("n"))
     both = found.join(shared, ["a_id", "b_id"], "left").withColumn("shared", F.coalesce("n", F.lit(0)))
     lop = F.greatest("a_mention_count", "b_mention_count") > 10 * F.least("a_mention_count", "b_mention_count")
-    risk = F.when(lop, "mentions").when((F.col("shared") == 0) & (F.col("similarity") < 0.95), "no_evidence").when((F.col("rule") == "substring") & (F.abs(F.length("a_key") - F.length("b_key")) > 8), "length").otherwise("low")
+    kept = [n.strip().lower() for n in protected or []]
+    risk = F.when(F.col("a_key").isin(kept) | F.col("b_key").isin(kept), "protected").when(lop, "mentions").when((F.col("shared") == 0) & (F.col("similarity") < 0.95), "no_evidence").when((F.col("rule") == "substring") & (F.abs(F.length("a_key") - F.length("b_key")) > 8), "length").otherwise("low")
     return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "rule", "similarity", "shared", risk.alias("risk"))
 
 

@@ -187,7 +187,7 @@ def j01_cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def j11_merge_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "part").filter("p_partkey % 10 = 0 or p_partkey < 50").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS entity_type", "p_partkey % 19 AS mention_count")
+    names = table(spark, folder, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS entity_type", "p_partkey % 19 AS mention_count")
     evidence = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.col("l_suppkey").alias("chunk_id"))
     return graph.merge_candidates(names, evidence)
 

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -96,6 +98,44 @@ def test_merge_and_rename(spark):
     assert {x.start for x in graph.rename_cycles(r).collect()} == {"a", "b"}
 
 
+def ratio(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+@pytest.mark.parametrize("least", [0.85, 0.6])
+def test_merge_candidates_match_all_pairs(spark, least):
+    rng = random.Random(5)
+    names = ["kubernetes", "cubernetes", "book", "notebook", "Notebook", "a", "ab", "x" * 40, "x" * 41, "", "--"]
+    for _ in range(70):
+        base = list(rng.choice(names) if rng.random() < 0.6 else "".join(rng.choices("abc ", k=rng.randint(1, 30))))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(base))
+            base[at : at + rng.randint(0, 1)] = rng.choices("abcde", k=rng.randint(0, 2))
+        names.append("".join(base))
+    rows = [(i, n, "tu"[i % 7 == 0], 1) for i, n in enumerate(names)]
+    key = lambda n: " ".join(re.findall("[a-z0-9]+", n.lower()))
+    want = {}
+    for i, n, t, _ in rows:
+        for j, m, u, _ in rows[:i]:
+            x, y = key(n), key(m)
+            if x and y and t == u and (rule := "normalized" if x == y else "substring" if x in y or y in x else "similar" if ratio(x, y) >= least else None):
+                want[j, i] = rule
+    entities = spark.createDataFrame(rows, "id long, name string, entity_type string, mention_count long")
+    got = graph.merge_candidates(entities, spark.createDataFrame([], "entity_id long, chunk_id long"), least).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.rule for r in got} == want
+
+
+def test_protected_names_are_a_risk(spark):
+    e = spark.createDataFrame([(1, "Atlas", "p", 1), (2, "atlas", "p", 90), (3, "Other", "p", 1), (4, "other", "p", 1)], "id long, name string, entity_type string, mention_count long")
+    got = graph.merge_candidates(e, spark.createDataFrame([(1, 7), (2, 7)], "entity_id long, chunk_id long"), protected=["Atlas"]).collect()
+    assert {(r.a, r.b, r.shared, r.risk) for r in got} == {(1, 2, 1, "protected"), (3, 4, 0, "low")}
+
+
 def test_affected(spark):
     e = spark.createDataFrame([(1, "Big Thing", "project", 1), (2, "x", "person", 1), (3, "y", "person", 1)], "id long, name string, entity_type string, mention_count long")
     r = spark.createDataFrame([(7, 2, 3)], "id long, source_id long, target_id long")
