@@ -67,13 +67,13 @@ def g05_combined_relations(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def h10_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
     chunkers.register(spark)
-    d = table(spark, folder, "documents").withColumn("t", F.concat(F.lit("---\nagent: "), "source", F.lit("\nreferences: [a, b]\n---\n"), F.substring("text", 1, 50)))
+    d = table(spark, folder, "documents").withColumn("t", F.concat(F.lit("---\nagent: "), "source", F.lit("\nreferences: [a, b]\n---\n"), "text"))
     return spark.sql("SELECT d.doc_id, f.relation, f.target FROM {d} d, LATERAL frontmatter_relations(d.t) f", d=d.select("doc_id", "t"))
 
 
 @query()
 def h11_anchors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", extract.anchors(F.concat(F.substring("text", 1, 300), F.lit(" erro no banco v1.2.3 MAX_SIZE"))).alias("anchors"))
+    return table(spark, folder, "documents").select("doc_id", extract.anchors(F.concat("text", F.lit(" erro no banco v1.2.3 MAX_SIZE"))).alias("anchors"))
 
 
 @query(f"SELECT o_orderkey, round(CAST(0.5 AS DOUBLE) * exp(-pow(CAST(date_diff('day', DATE '1996-06-01', CAST(o_orderdate AS DATE)) AS DOUBLE), 2) / (2 * 900 * CAST(100 AS DOUBLE))), 6) AS near FROM orders")
@@ -133,7 +133,7 @@ def j12_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def j13_extraction_gate(spark: SparkSession, folder: str) -> DataFrame:
-    c = chunks(spark, folder).withColumn("chunk_text", F.concat(F.when(F.col("id") % 2 == 0, "see [[projects/p1]] ").otherwise(""), F.substring("chunk_text", 1, 100)))
+    c = chunks(spark, folder).withColumn("chunk_text", F.concat(F.when(F.col("id") % 2 == 0, "see [[projects/p1]] ").otherwise(""), "chunk_text"))
     return extract.needs_model(c, extract.by_rule(c)).groupBy("section", "model").agg(F.count("*").alias("n"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engramix import vocab
 from engramix.functions import chunkers, score, text
 from engramix.operators import lifecycle, search
-from engramix.plans.registry import query
+from engramix.plans.registry import ORACLES, query
 from engramix.plans.views import AS_OF, CHUNKS, chunks, now, table
 from engramix.sources import files
 from engramix.vocab import case_sql
@@ -85,11 +85,21 @@ def h01_sanitized(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.sanitized_query(F.substring("text", 1, 200)).alias("q"))
 
 
+@query(ORACLES["h01_sanitized"].replace("left(text, 200)", "text"))
+def h01_sanitized_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", text.sanitized_query(F.col("text")).alias("q"))
+
+
 @query(r"SELECT doc_id, trim(regexp_replace(strip_accents(lower(left(text, 300))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def h02_folded(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.entity_key(F.substring("text", 1, 300)).alias("key"))
 
 
+@query(ORACLES["h02_folded"].replace("left(text, 300)", "text"))
+def h02_folded_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", text.entity_key(F.col("text")).alias("key"))
+
+
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE), 6) AS ratio FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def h03_levenshtein(spark: SparkSession, folder: str) -> DataFrame:
     a = table(spark, folder, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
@@ -146,9 +156,15 @@ def h08_facts(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter("kind <> 'proper_noun'").groupBy("doc_id", "kind", "match").agg(F.count("*").alias("n"))
 
 
+@query()
+def h08_facts_whole(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", F.explode(text.facts(F.col("text"))).alias("f")).select("doc_id", "f.kind", "f.match")
+    return found.groupBy("doc_id", "kind", "match").agg(F.count("*").alias("n"))
+
+
 @query()
 def h09_links(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").withColumn("md", F.concat(F.lit("See [x](entities/projects/p"), F.col("doc_id").cast("string"), F.lit(".md) and [[decisions/d1|D]] or lessons/l2, not `agents/z`. src/a/b.py:12\n"), F.substring("text", 1, 80)))
+    docs = table(spark, folder, "documents").withColumn("md", F.concat(F.lit("See [x](entities/projects/p"), F.col("doc_id").cast("string"), F.lit(".md) and [[decisions/d1|D]] or lessons/l2, not `agents/z`. src/a/b.py:12\n"), "text"))
     return docs.select("doc_id", F.to_json(text.links(F.col("md"))).alias("links"), F.array_join(text.code_refs(F.col("md")), ",").alias("code"))
 
 
@@ -179,9 +195,15 @@ def h15_inferred_pain(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.round(score.infer_pain(F.lit("decision"), F.col("t")), 6).alias("pain"))
 
 
+@query(ORACLES["h15_inferred_pain"].replace("left(text, 40)", "text"))
+def h15_inferred_pain_whole(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").selectExpr("doc_id", "concat(CASE doc_id % 3 WHEN 0 THEN 'An Outage of ' WHEN 1 THEN 'P0: ' ELSE '' END, text) AS t")
+    return docs.select("doc_id", F.round(score.infer_pain(F.lit("decision"), F.col("t")), 6).alias("pain"))
+
+
 @query("SELECT doc_id, doc_id % 4 IN (0, 1) AS found, CASE WHEN doc_id % 4 = 1 THEN CAST(1 + doc_id % 1000 AS INTEGER) END AS days FROM documents")
 def h16_retention_override(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").selectExpr("doc_id", "concat('# t\n', CASE doc_id % 4 WHEN 0 THEN '<!-- retention: never -->' WHEN 1 THEN concat('<!-- retention: ', 1 + doc_id % 1000, ' days -->') WHEN 2 THEN '<!-- retention: 99999 -->' ELSE 'no' END, '\n', left(text, 100)) AS t")
+    docs = table(spark, folder, "documents").selectExpr("doc_id", "concat('# t\n', CASE doc_id % 4 WHEN 0 THEN '<!-- retention: never -->' WHEN 1 THEN concat('<!-- retention: ', 1 + doc_id % 1000, ' days -->') WHEN 2 THEN '<!-- retention: 99999 -->' ELSE 'no' END, '\n', text) AS t")
     return docs.select("doc_id", text.retention_override(F.col("t")).alias("o")).select("doc_id", "o.found", "o.days")
 
 
@@ -320,7 +342,7 @@ def e06_rank_changes(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def i10_entity_count(spark: SparkSession, folder: str) -> DataFrame:
     names = [r.r_name for r in table(spark, folder, "region").collect()]  # a dictionary of five names
-    asked = table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("trade of asia with Europe: "), F.substring("text", 1, 200)).alias("query"))
+    asked = table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("trade of asia with Europe: "), "text").alias("query"))
     return search.entity_count(asked, names)
 
 

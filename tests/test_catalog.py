@@ -47,3 +47,34 @@ def test_runs(name, spark, folder):
 def test_driver_contract(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+LATE = " [[people/late]] src/late/file.py:77 lib.v9.8.7 LATE_NAME Europe critical outage Marie Curie "
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """A folder whose documents have what the operators look for after thousands of characters."""
+    to = tmp_path_factory.mktemp("long")
+    rows = [(i, "plain words " * 500 + (LATE if i % 2 else ""), "en", "s", 6000) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{to}/documents.parquet")
+    spark.createDataFrame([(1, "EUROPE"), (2, "ASIA"), (3, "plain")], "r_regionkey long, r_name string").write.parquet(f"{to}/region.parquet")
+    return str(to)
+
+
+@pytest.mark.parametrize("name", ["h01_sanitized_whole", "h02_folded_whole", "h08_facts_whole", "h09_links", "h11_anchors"])
+def test_whole_texts_are_read(name, spark, long_texts):
+    got = {r.doc_id: [] for r in catalog.QUERIES[name](spark, long_texts).collect()}
+    for r in catalog.QUERIES[name](spark, long_texts).collect():
+        got[r.doc_id].append(str(r).lower())
+    word = {"h08_facts_whole": "marie curie", "h09_links": "src/late/file.py", "h11_anchors": "late_name"}.get(name, "curie")
+    assert all((word in " ".join(got.get(i, []))) == bool(i % 2) for i in range(12))
+
+
+def test_words_of_whole_texts_count(spark, long_texts):
+    pain = {r.doc_id: r.pain for r in catalog.QUERIES["h15_inferred_pain_whole"](spark, long_texts).collect()}
+    assert all(pain[i] == 0.8 for i in range(12) if i % 2 or i % 3 < 2) and pain[2] == 0.3
+    names = {r.query_id: r.entities for r in catalog.QUERIES["i10_entity_count"](spark, long_texts).collect()}
+    assert set(names.values()) == {3}  # "plain" comes after the first words only
+    model = catalog.QUERIES["j13_extraction_gate"](spark, long_texts).collect()
+    assert sum(r.n for r in model) == 12
