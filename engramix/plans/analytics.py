@@ -372,7 +372,7 @@ def l03_fresh(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def l01_brief(spark: SparkSession, folder: str) -> DataFrame:
-    log = table(spark, folder, "events").selectExpr("event_id % 300 AS chunk_id", "timestamp'2026-01-14' AS served_at").limit(100)
+    log = table(spark, folder, "events").selectExpr("event_id % 300 AS chunk_id", "timestamp'2026-01-14' AS served_at")
     return brief.build(chunks(spark, folder), log, now(), "agent1", "/src", 10)
 
 
@@ -415,7 +415,7 @@ def n03_citations(spark: SparkSession, folder: str) -> DataFrame:
 def n04_cached_reflections(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     cache = e.filter("vec_id % 2 = 0").select(F.concat(F.lit("h"), "vec_id").alias("query_hash"), F.concat(F.lit("r"), "vec_id").alias("response"), F.timestamp_add("HOUR", -(F.col("vec_id") % 30).cast("int"), now()).alias("created_at"), F.lit(24).alias("ttl_hours"), F.col("embedding").alias("cached_embedding"))
-    asked = e.filter("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("h"), "vec_id").alias("query_hash"), "embedding")
+    asked = e.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("h"), "vec_id").alias("query_hash"), "embedding")
     return answers.cached(asked, cache, now(), 0.8)
 
 

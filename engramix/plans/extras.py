@@ -29,6 +29,12 @@ def a17_embedded(spark: SparkSession, folder: str) -> DataFrame:
     return files.embedded(own, files.hashed_embedding(64), 64).select("id", F.lit("user:").alias("first"), F.size("embedding").alias("dim"))
 
 
+@query(ORACLES["a17_embedded"].replace(" WHERE doc_id % 10 = 0", ""))
+def a17_embedded_whole(spark: SparkSession, folder: str) -> DataFrame:
+    own = table(spark, folder, "documents").selectExpr("doc_id AS id", "text AS chunk_text")
+    return files.embedded(own, files.hashed_embedding(64), 64).select("id", F.lit("user:").alias("first"), F.size("embedding").alias("dim"))
+
+
 @query("SELECT count(*) AS searches, count(*) FILTER (WHERE results_count = 0) AS empty FROM (SELECT conv_id, count(*) FILTER (WHERE turn > 0) AS results_count FROM conversations GROUP BY 1)")
 def o01_search_log(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "conversations")
@@ -97,7 +103,8 @@ def i15_section_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def i16_reranked(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chunks(spark, folder).filter("id < 200").selectExpr("id % 4 AS query_id", "'x' AS query", "id", "chunk_text", "CAST(row_number() OVER (PARTITION BY id % 4 ORDER BY id) AS INT) AS rank")
+    # a query for every 50 ids, so that each row of the table is among those that are scored
+    rows = chunks(spark, folder).selectExpr("CAST(floor(id / 50) AS BIGINT) AS query_id", "'x' AS query", "id", "chunk_text", "CAST(row_number() OVER (PARTITION BY floor(id / 50) ORDER BY id) AS INT) AS rank")
     return search.rerank(rows, lambda q, t: [len(x) for x in t]).select("query_id", "id", "new_rank")
 
 

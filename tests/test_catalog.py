@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
+from engramix.operators import brief
 from engramix.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -78,3 +79,24 @@ def test_words_of_whole_texts_count(spark, long_texts):
     assert set(names.values()) == {3}  # "plain" comes after the first words only
     model = catalog.QUERIES["j13_extraction_gate"](spark, long_texts).collect()
     assert sum(r.n for r in model) == 12
+
+
+def test_whole_tables_are_covered(spark, folder):
+    docs = [r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
+    vectors = [r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r.id for r in catalog.QUERIES["a17_embedded_whole"](spark, folder).collect()) == sorted(docs)
+    asked = {r.query_id for r in catalog.QUERIES["n04_cached_reflections"](spark, folder).collect()}
+    assert asked >= {v for v in vectors if v % 2 == 0 and v % 30 <= 24}  # each has itself in the cache
+    lengths = {r.doc_id: r.text and len(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    want = set()
+    for q in {d // 50 for d in docs}:
+        best = sorted((d for d in docs if d // 50 == q), key=lambda d: (-lengths[d], d))[:10]
+        want |= {(q, d, i + 1) for i, d in enumerate(best)}
+    assert {tuple(r) for r in catalog.QUERIES["i16_reranked"](spark, folder).collect()} == want
+
+
+def test_brief_uses_the_whole_log(spark, folder, monkeypatch):
+    seen = []
+    monkeypatch.setattr(brief, "build", lambda chunks, log, *rest: seen.append(log) or log)
+    catalog.QUERIES["l01_brief"](spark, folder)
+    assert seen[0].count() == spark.read.parquet(f"{folder}/events.parquet").count()
