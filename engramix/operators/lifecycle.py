@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
+from engramix.operators import search
 
 
 def _columns() -> dict[str, Column]:
@@ -159,9 +160,27 @@ def exact_copies(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(F.sha2("chunk_text", 256).alias("fp")).agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1")
 
 
-def near_copies(new: DataFrame, index: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Ingest check: new rows (id, chunk_text) whose first eight words of four letters or more overlap an indexed chunk by more
-    than the threshold (share of the new row's words): (id, match_id, overlap). Fewer than three such words: no duplicate."""
+def near_copies(new: DataFrame, index: DataFrame, threshold: float = 0.7, vectors: DataFrame | None = None, least: float = 0.85, hits: int = 5) -> DataFrame:
+    """Ingest check: new rows (id, chunk_text) that are like an indexed chunk.
+
+    vectors (id, embedding): a new row with a vector is compared by cosine with its `hits` best lexical hits for its first
+    eight words; hits without a vector are passed over. Then the columns are (id, match_id, cosine, overlap), one of the
+    last two null. Rows without a vector, or all if none are given, (id, match_id, overlap): those whose first eight words of
+    four letters or more overlap an indexed chunk by more than the threshold (share of the new row's words). Fewer than
+    three such words: no duplicate."""
+    if vectors is not None:
+        held = vectors.filter("embedding is not null and size(embedding) > 0")
+        own = held.join(new.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("own"))
+        first = F.array_join(F.slice(F.filter(F.split("chunk_text", r"\s+"), lambda w: w != ""), 1, 8), " ")
+        asked = new.join(held, "id", "left_semi").select(F.col("id").alias("query_id"), first.alias("query"))
+        found = search.bm25(asked, index, limit=hits + 1).filter("id <> query_id")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("base_rank"))
+        top = found.withColumn("p", place).filter(F.col("p") <= hits).join(held, "id").join(own, "query_id")
+        like = top.filter(F.size("own") == F.size("embedding")).withColumn("cosine", search.cosine(F.col("own"), F.col("embedding"))).filter(F.col("cosine") >= least)
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy("p"))
+        same = like.withColumn("r", best).filter("r = 1").select(F.col("query_id").alias("id"), F.col("id").alias("match_id"), F.round("cosine", 6).alias("cosine"), F.lit(None).cast("double").alias("overlap"))
+        rest = near_copies(new.join(held, "id", "left_anti"), index, threshold)
+        return same.unionByName(rest.withColumn("cosine", F.lit(None).cast("double")))
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)
     probe = new.select("id", F.array_distinct(F.slice(words("chunk_text"), 1, 8)).alias("ws")).filter(F.size("ws") >= 3)
     asked = probe.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))

@@ -379,6 +379,13 @@ def i18_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.near_copies(c.filter("id % 20 = 0"), c)  # the newly read rows
 
 
+@query()
+def i18_near_copies_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row, by cosine where it has a vector."""
+    c = chunks(spark, folder)
+    return lifecycle.near_copies(c, c, vectors=_vectors(spark, folder))
+
+
 @query(
     CHUNKS + ", n AS (SELECT v.vec_id AS id, v.embedding, v.label, c.created_at, c.source_file FROM embeddings v JOIN chunks c ON c.id = v.vec_id), f AS (SELECT * FROM n WHERE created_at >= DATE '2024-11-01'), "
     "p AS (SELECT f.id AS new_id, n.id AS old_id, f.source_file AS new_file, n.source_file AS old_file, n.created_at, 1 - list_sum(list_transform(list_zip(CAST(n.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 2 AS sim FROM f JOIN n ON n.label = f.label AND n.id <> f.id), "

@@ -136,6 +136,18 @@ def test_protected_names_are_a_risk(spark):
     assert {(r.a, r.b, r.shared, r.risk) for r in got} == {(1, 2, 1, "protected"), (3, 4, 0, "low")}
 
 
+def test_near_copies_by_cosine(spark):
+    # 1 has a like vector but few of 10's words; 2 has its words but another vector; 3 has no vector; 4 is short; 5 isn't like 14
+    new = [(1, "alpha beta"), (2, "gamma delta words here"), (3, "third long words without vector"), (4, "tiny"), (5, "nothing alike here")]
+    old = [(10, "alpha beta and many other things said in another way"), (12, "gamma delta words here"), (13, "third long words without vector"), (14, "tiny bit"), (15, "tiny without vector")]
+    schema = "id long, source_file string, chunk_text string, chunk_type string"
+    rows = lambda r: spark.createDataFrame([(i, "f", t, "x") for i, t in r], schema)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (10, [0.9, 0.1]), (2, [1.0, 0.0]), (12, [0.0, 1.0]), (4, [0.0, 2.0]), (14, [0.0, 1.0]), (5, [1.0, 0.0])], "id long, embedding array<double>")
+    got = {(r.id, r.match_id, r.cosine, r.overlap) for r in lifecycle.near_copies(rows(new), rows(new + old), vectors=vectors).collect()}
+    assert got == {(1, 10, 0.993884, None), (3, 13, None, 1.0), (4, 14, 1.0, None)}
+    assert {(r.id, r.match_id) for r in lifecycle.near_copies(rows(new), rows(old)).collect()} == {(2, 12), (3, 13)}
+
+
 def test_affected(spark):
     e = spark.createDataFrame([(1, "Big Thing", "project", 1), (2, "x", "person", 1), (3, "y", "person", 1)], "id long, name string, entity_type string, mention_count long")
     r = spark.createDataFrame([(7, 2, 3)], "id long, source_id long, target_id long")
