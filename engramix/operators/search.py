@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -302,20 +303,67 @@ def rank_changes(before: DataFrame, after: DataFrame, k: int = 10) -> DataFrame:
     return both.groupBy("query_id").agg(F.count_if(~F.col("ra").eqNullSafe(F.col("rb"))).alias("position_changes"), F.round(F.sum(shift) / (F.count("*") * k), 6).alias("mean_shift"))
 
 
+#: Query vectors and candidate vectors in a block of the exact search.
+BLOCKS = (1024, 4096)
+
+
+def _pairs_kept(k: int):
+    """Of two blocks of vectors, each query's k most similar candidates (1 - d^2 / 2, to nine digits; then the smaller id)."""
+
+    def keep(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        sizes = held["embedding"].map(len)
+        for size, part in queries.groupby(queries["vector"].map(len)):
+            near = held[sizes == size]
+            if not size or near.empty:
+                continue
+            x, y = (np.stack(v.to_list()).astype(np.float64) for v in (part["vector"], near["embedding"]))
+            ids, at = near["id"].to_numpy(), (y * y).sum(1)
+            for q, v in zip(part["query_id"].to_numpy(), x, strict=True):
+                # products find what may be among the first, differences rank it
+                rough = at + v @ v - 2 * (y @ v)
+                rough[ids == q] = np.inf
+                bound = np.partition(rough, min(k, len(rough)) - 1)[min(k, len(rough)) - 1]
+                i = np.flatnonzero((rough <= bound + 1e-7 * (1 + v @ v + at)) & (ids != q))
+                s = 1 - ((y[i] - v) ** 2).sum(1) / 2
+                best = np.lexsort((ids[i], -np.round(s, 9)))[:k]
+                out.append((np.full(len(best), q), ids[i][best], s[best]))
+        q, i, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"query_id": q, "id": i, "similarity": s})
+
+    return keep
+
+
+def most_similar(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, similarity, r): the k vectors (id, embedding) most similar to each query (query_id, vector), itself aside,
+    among all of its size. Exact: each block of queries meets each block of vectors, however many there are of either."""
+    q, v = queries.filter("vector is not null"), vectors.filter("embedding is not null")
+    rows, columns = (max(1, -(-df.count() // n)) for df, n in ((q, BLOCKS[0]), (v, BLOCKS[1])))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("qb")).select("*", each(columns).alias("vb"))
+    right = v.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("vb")).select("*", each(rows).alias("qb"))
+    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(_pairs_kept(k), "query_id long, id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id"))
+    return met.withColumn("r", rank).filter(F.col("r") <= k)
+
+
 def churn(chunks: DataFrame, vectors: DataFrame, since: Column, k: int = 5, least: float = 0.8, kind: str | None = None, block: str | None = None) -> DataFrame:
     """For each chunk created after `since` its nearest older neighbour among the k + 1 nearest, if similar enough:
     (new_id, old_id, new_file, old_file, similarity, exact).
 
-    Similarity is 1 - d^2 / 2 of unit vectors. Neighbours are sought among all vectors, or within equal values of
-    `block` (a cluster or hash column of vectors), which bounds the pairs on large stores."""
+    Similarity is 1 - d^2 / 2 of unit vectors. Neighbours are sought among all vectors; with `block`, a column of vectors,
+    only within its equal values, which loses neighbours and changes the result."""
     own = chunks if kind is None else chunks.filter(F.col("chunk_type") == kind)
     on = [block] if block else []
     fresh = vectors.join(own.filter(F.col("created_at") >= since).select("id"), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), *on)
-    all_ = vectors.join(own.select("id", "created_at", "source_file"), "id")
-    pairs = all_.join(fresh, on) if block else all_.join(fresh, F.size("vector") == F.size("embedding"))
-    near = pairs.filter("id <> query_id").select("query_id", "id", "created_at", "source_file", (1 - F.pow(l2(F.col("vector"), F.col("embedding")), 2.0) / 2).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id"))
-    older = near.withColumn("r", rank).filter(F.col("r") <= k + 1).filter((F.col("created_at") < since) & (F.col("similarity") >= least))
+    if block:
+        pairs = vectors.join(own.select("id"), "id").join(fresh, on).filter("id <> query_id")
+        near = pairs.select("query_id", "id", (1 - F.pow(l2(F.col("vector"), F.col("embedding")), 2.0) / 2).alias("similarity"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id"))
+        top = near.withColumn("r", rank).filter(F.col("r") <= k + 1)
+    else:
+        top = most_similar(fresh, vectors.join(own.select("id"), "id"), k + 1)
+    older = top.join(own.select("id", "created_at", "source_file"), "id").filter((F.col("created_at") < since) & (F.col("similarity") >= least))
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("r"))
     best = older.withColumn("f", first).filter("f = 1")
     named = best.join(chunks.select(F.col("id").alias("query_id"), F.col("source_file").alias("new_file")), "query_id")

@@ -48,6 +48,11 @@ def k12_churn_report(spark: SparkSession, folder: str) -> DataFrame:
     return search.churn_report(search.churn(chunks(spark, folder), _vectors(spark, folder), F.lit("2024-11-01").cast("date"), 5, 0.3, block="label"))
 
 
+@query(ORACLES["k12_churn_report"].replace("n.label = f.label AND ", ""))
+def k12_churn_report_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return search.churn_report(search.churn(chunks(spark, folder), _vectors(spark, folder), F.lit("2024-11-01").cast("date"), 5, 0.3))
+
+
 @query("WITH c AS (SELECT user_id AS query_hash, count(*) AS hit_count FROM events GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY hit_count DESC, query_hash) AS INTEGER) AS place, query_hash, hit_count AS hits, (SELECT count(*) FROM c) AS entries, (SELECT CAST(sum(hit_count) AS BIGINT) FROM c) AS total_hits FROM c QUALIFY place <= 5")
 def d20_cache_stats(spark: SparkSession, folder: str) -> DataFrame:
     return answers.cache_stats(table(spark, folder, "events").groupBy(F.col("user_id").alias("query_hash")).agg(F.count("*").alias("hit_count")))

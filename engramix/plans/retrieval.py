@@ -395,6 +395,11 @@ def c10_churn(spark: SparkSession, folder: str) -> DataFrame:
     return search.churn(chunks(spark, folder), _vectors(spark, folder), F.lit("2024-11-01").cast("date"), 5, 0.3, block="label")
 
 
+@query(ORACLES["c10_churn"].replace("n.label = f.label AND ", ""))
+def c10_churn_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return search.churn(chunks(spark, folder), _vectors(spark, folder), F.lit("2024-11-01").cast("date"), 5, 0.3)
+
+
 @query(_RANKED.replace("AS rank FROM chunks)", "AS rank, left(chunk_text, 100) AS start FROM chunks)") + " SELECT query_id, count(DISTINCT start) AS texts FROM r GROUP BY 1")
 def g02_union_distinct(spark: SparkSession, folder: str) -> DataFrame:
     c = chunks(spark, folder).select((F.col("id") % 5).alias("query_id"), F.substring("chunk_text", 1, 100).alias("start"), "id")

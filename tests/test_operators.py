@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,6 +149,26 @@ def test_near_copies_by_cosine(spark):
     assert {(r.id, r.match_id) for r in lifecycle.near_copies(rows(new), rows(old)).collect()} == {(2, 12), (3, 13)}
 
 
+def test_churn_searches_all_vectors(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCKS", (7, 13))
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(90, 8))
+    e[40:60] = e[:20]  # equal vectors, with other labels
+    e[70:80] = e[0]
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    when = [dt.datetime(2026, 1, 10) if i % 3 == 0 else dt.datetime(2025, 1, 1) for i in range(90)]
+    chunks = spark.createDataFrame([(i, f"f{i}", "x", when[i]) for i in range(90)], "id long, source_file string, chunk_type string, created_at timestamp")
+    vectors = spark.createDataFrame([(i, [float(v) for v in e[i]], i % 4 + i // 40) for i in range(90)] + [(95, None, 0)], "id long, embedding array<double>, label int")
+    want = {}
+    for i in range(0, 90, 3):
+        s = 1 - ((e - e[i]) ** 2).sum(1) / 2
+        order = sorted((j for j in range(90) if j != i), key=lambda j: (-round(s[j], 9), j))[:6]
+        if older := [j for j in order if when[j] < dt.datetime(2026, 1, 1) and s[j] >= 0.3]:
+            want[i] = (older[0], round(s[older[0]], 6), bool(s[older[0]] >= 0.995))
+    got = {r.new_id: (r.old_id, r.similarity, r.exact) for r in search.churn(chunks, vectors, F.lit("2026-01-01").cast("date"), 5, 0.3).collect()}
+    assert got == want and any(x[2] for x in want.values())
+
+
 def test_affected(spark):
     e = spark.createDataFrame([(1, "Big Thing", "project", 1), (2, "x", "person", 1), (3, "y", "person", 1)], "id long, name string, entity_type string, mention_count long")
     r = spark.createDataFrame([(7, 2, 3)], "id long, source_id long, target_id long")
