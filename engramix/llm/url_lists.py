@@ -60,8 +60,10 @@ def verdicts(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     asked = own.filter("host <> '' and day is not null").select("host", "day").distinct()
     probes = asked.select("host", "day", F.explode(domains_of(F.col("host"))).alias("domain"), _period(F.col("day")).alias("period"))
     held = intervals(entries)
-    last = F.least(F.col("end"), F.lit("2100-01-01").cast("date"))
-    spread = held.select("list", F.col("host").alias("domain"), "start", "end", F.explode(F.sequence(_period(F.col("start")), F.greatest(_period(F.col("start")), _period(last)))).alias("period"))
+    # an interval is spread over the periods that have captures, however far they are and however long it holds
+    periods = own.filter("day is not null").agg(F.collect_set(_period(F.col("day"))).alias("periods"))  # one row
+    within = F.filter("periods", lambda p: (p >= _period(F.col("start"))) & (p <= _period(F.col("end"))))
+    spread = held.crossJoin(F.broadcast(periods)).select("list", F.col("host").alias("domain"), "start", "end", F.explode(within).alias("period"))
     met = probes.join(spread, ["domain", "period"]).filter("start <= day and day < end")
     found = met.groupBy("host", "day").agg(F.array_sort(F.collect_set("list")).alias("names"))
     judged = own.join(found, ["host", "day"], "left")

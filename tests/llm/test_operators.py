@@ -620,6 +620,13 @@ def test_long_chat_has_parts(spark):
 # --- 4: URL lists ----------------------------------------------------------------------------------------------------
 
 
+def test_captures_of_any_year_meet_open_entries(spark):
+    entries = spark.createDataFrame([("l1", "bad.com", "1950-01-10", "add"), ("l2", "bad.com", "2024-01-10", "add"), ("l2", "bad.com", "2150-01-10", "remove")], "list string, host string, day string, action string").withColumn("day", F.col("day").cast("date"))
+    days = [("1949-12-31", ""), ("1950-01-10", "l1"), ("2024-01-10", "l1,l2"), ("2101-05-05", "l1,l2"), ("2150-01-10", "l1"), ("2999-01-01", "l1"), ("9999-12-30", "l1")]
+    caps = spark.createDataFrame([(i, "http://bad.com/a", d) for i, (d, _) in enumerate(days)], "page_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("date"))
+    assert [r.lists for r in url_lists.verdicts(caps, entries).orderBy("page_id").collect()] == [x for _, x in days]
+
+
 def test_url_verdicts(spark):
     day = lambda s: s
     entries = spark.createDataFrame(
