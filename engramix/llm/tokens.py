@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
 
@@ -15,8 +16,9 @@ _RARE = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]")
 
 
 class Encoder:
-    """Ids as `tokenizers` gives them. `ranks` is the same vocabulary for a faster library, used for texts of plain
-    Latin characters; others go through `tokenizers` itself. Without ranks every text does."""
+    """Ids as `tokenizers` gives them by default, so a special token's string in a text is that token. `ranks` is the same
+    vocabulary for a faster library, used for texts of plain Latin characters without special strings; others go through
+    `tokenizers` itself. Without ranks every text does."""
 
     def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> None:
         self._vocabulary = vocabulary
@@ -28,18 +30,19 @@ class Encoder:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self._fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+            with open(vocabulary, encoding="utf-8") as whole:
+                self._added = [t["content"] for t in json.load(whole)["added_tokens"]]
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The document's ids, END included; null counts as empty."""
         text = text or ""
-        if self._fast is not None and (text.isascii() or not _RARE.search(text)):
+        if self._fast is not None and (text.isascii() or not _RARE.search(text)) and not any(t in text for t in self._added):
             ids = self._fast.encode_ordinary(text)
         else:
             if self._slow is None:
                 from tokenizers import Tokenizer
 
                 self._slow = Tokenizer.from_file(self._vocabulary)
-                self._slow.encode_special_tokens = True  # their strings in a text are ordinary text
             ids = self._slow.encode(text, add_special_tokens=False).ids
         out = np.empty(len(ids) + 1, "<u4")
         out[:-1] = ids
