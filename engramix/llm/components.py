@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramix.llm.work import stored
+from engramix.llm.work import drop, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     state is written to the shared folder between rounds; only one count a round reaches the driver."""
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
     edges = stored(both, "edges")
-    labels = stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    before = labels = stored(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = (
             edges.join(labels.withColumnRenamed("node", "b"), "b")
@@ -25,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.least("root", "low").alias("up"), F.col("root").alias("was"))
         up = lower.select(F.col("node").alias("up"), F.col("up").alias("over"))
         step = stored(lower.join(up, "up").select("node", F.col("over").alias("root"), (F.col("over") < F.col("was")).alias("moved")), "labels")
-        labels = step.select("node", "root")
+        drop(before)
+        before, labels = step, step.select("node", "root")
         if not step.filter("moved").limit(1).count():
+            drop(edges)
             return labels

@@ -1,6 +1,6 @@
 """Near-duplicate documents: exact Jaccard links over word shingles by a grouped prefix join.
 
-1. A fixed-size count sketch over all documents estimates how often each shingle occurs. It only orders the
+1. A count sketch over all documents, sized by their bytes within bounds, estimates how often each shingle occurs. It only orders the
    shingles (rare first), so estimates cost speed at worst, never a link.
 2. Each document's prefix holds its first n - ceil(t n) + 1 shingles in that order: two documents with a
    similarity of t or more share one. Documents with the same prefix and size form one group; only groups are joined.
@@ -17,20 +17,26 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramix.llm.components import components
 from engramix.llm.kernel import chunks, mix, shingle_sets, utf8
-from engramix.llm.work import id_filter, passes, small_batches, stored
+from engramix.llm.work import drop, id_filter, passes, small_batches, stored
 
 #: Words in a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: Cells of the count sketch (a byte each where it is broadcast), and cells in each of its rows on the way there.
-CELLS, BLOCK = 1 << 23, 1 << 17
+#: Cells of the count sketch (a byte each where it is broadcast), least and most: one for each KB of text within these.
+CELLS = 1 << 23, 1 << 26
+#: Cells in each of its rows on the way there.
+BLOCK = 1 << 17
+#: Prefix shingles of a task that joins buckets, on average.
+ENTRIES = 1 << 21
 
 _DOC = "doc long, n long, fp1 long, fp2 long, gid long, prefix binary"
 _ENTRY = "token long, gid long, n int, pos int"
@@ -39,13 +45,15 @@ _PAIR = "kind int, a long, b long, token long, gid long, n int, pos int"
 
 def sketch(texts: DataFrame, words: int) -> np.ndarray:
     """Level (4 log2 of the estimated count over all rows) of each cell, as bytes."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_cells = min(max(CELLS[0], 1 << (size >> 10).bit_length()), CELLS[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
+        cells = np.zeros(n_cells, np.uint32)
         for batch in batches:
             for _, run in chunks(list(dict.fromkeys(utf8(batch.column(0))))):
                 for s in shingle_sets(run, words):
-                    np.add.at(cells, _cell(s), np.uint32(1))
+                    np.add.at(cells, _cell(s, n_cells), np.uint32(1))
         blocks = cells.reshape(-1, BLOCK)
         for b in np.flatnonzero(blocks.any(1)):
             low = np.minimum(blocks[b], 0xFFFF).astype(np.uint16)  # more than that in one task are as frequent as any
@@ -62,14 +70,20 @@ def sketch(texts: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "cells"])
 
     parts = texts.mapInArrow(count, "block int, cells binary")
-    out = np.zeros(CELLS, np.uint8)
-    for b, c in parts.repartition(CELLS // BLOCK, "block").mapInArrow(total, "block int, cells binary").toLocalIterator():
+    out = np.zeros(n_cells, np.uint8)
+    for b, c in parts.repartition(n_cells // BLOCK, "block").mapInArrow(total, "block int, cells binary").toLocalIterator():
         out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(c, np.uint8)
     return out
 
 
-def _cell(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & np.uint64(CELLS - 1)).astype(np.int64)
+def _cell(shingles: np.ndarray, n_cells: int) -> np.ndarray:
+    return (shingles & np.uint64(n_cells - 1)).astype(np.int64)
+
+
+def _fingerprint(shingles: np.ndarray) -> tuple[int, int, int]:
+    """(size, two hashes) of a set."""
+    with np.errstate(over="ignore"):
+        return len(shingles), int(mix(shingles).sum()), int(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum())
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -89,10 +103,9 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 rows = []
                 for k, s in enumerate(shingle_sets(run, words), first):
                     n = len(s)
-                    with np.errstate(over="ignore"):
-                        fp1, fp2 = int(mix(s).sum()), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()) if n else 0
+                    _, fp1, fp2 = _fingerprint(s)
                     p = prefix_length(n, percent)
-                    key = np.sort(level[_cell(s)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8))[:p]
+                    key = np.sort(level[_cell(s, len(level))].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8))[:p]
                     gid = int(mix(np.append(mix(key + np.arange(p, dtype=np.uint64)).sum(dtype=np.uint64), np.uint64(n)))[:2].sum()) if n else 0
                     # rows without an id take no part, so they don't stand for those that have one
                     shown = known[k] and n and (fp1, fp2) not in seen
@@ -140,7 +153,7 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _paired(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     a, b = _unique_pairs(*np.concatenate(held, axis=1))
-    return _rows(np.zeros(len(a), np.int32), a, b, None)
+    return _batches(np.zeros(len(a), np.int32), a, b, None)
 
 
 def _fits(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -168,13 +181,13 @@ def _stars(percent: int):
         by_id = np.lexsort((gid, token))[at]  # buckets have the same order and sizes
         for kind, hub in ((0, by_id[which]), (2, at[which])):
             i = np.flatnonzero(keep & (gid != gid[hub]) & _fits(n, pos, n[hub], pos[hub], percent))
-            yield from _rows(np.full(len(i), kind, np.int32), gid[hub[i]], gid[i], None)
-        yield from _rows(np.ones(int(keep.sum()), np.int32), None, None, [token[keep], gid[keep], n[keep].astype(np.int32), pos[keep].astype(np.int32)])
+            yield from _batches(np.full(len(i), kind, np.int32), gid[hub[i]], gid[i], None)
+        yield from _batches(np.ones(int(keep.sum()), np.int32), None, None, [token[keep], gid[keep], n[keep].astype(np.int32), pos[keep].astype(np.int32)])
 
     return read
 
 
-def _rows(kind: np.ndarray, a: np.ndarray | None, b: np.ndarray | None, entry: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+def _batches(kind: np.ndarray, a: np.ndarray | None, b: np.ndarray | None, entry: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
     """Batches of _PAIR's columns; those not given are null."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     given = [a, b, *(entry or [None] * 4)]
@@ -264,26 +277,28 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     texts = docs.filter(passes(docs.sparkSession, needed, F.col("doc"))).select("doc", "text")
     with_a = members.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(_verify(words, percent), "a long, b long"), "links")
+    out = stored(both.mapInArrow(_verify(words, percent), "a long, b long"), "links")
+    drop(members)
+    return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row (doc_id long, n_shingles long, component_id long) for each row of docs.
+class _Classes(NamedTuple):
+    signed: DataFrame  # doc, n, fp1, fp2, gid, prefix of every row
+    sets: DataFrame  # fp1, fp2, n, component_id: the smallest id over the set's links
+    links: DataFrame  # a, b: verified links between sets' smallest ids
 
-    component_id is the smallest id reachable over links, the row's own id included; two documents link if
-    100 * |A & B| >= percent * |A | B| for their sets of distinct shingles (words separated by ASCII white space,
-    A-Z lower-cased; fewer words than a shingle: the whole sequence as one).
-    Null or empty texts and texts without words have empty sets, which link with nothing. Rows with a null id
-    are returned with a null component. Rows that repeat an id count as one node with the links of each of their texts.
-    An empty table gives no rows. Other columns are ignored."""
-    spark = docs.sparkSession
+
+def _classes(rows: DataFrame, words: int, percent: int) -> _Classes:
+    """The distinct sets of the rows (doc long, text string) with their components."""
+    spark = rows.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signed = stored(prefixes(rows, words, percent), "signatures")
     sets = signed.filter("n > 0 and doc is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.min("gid").alias("gid"))
     reps = stored(sets, "sets")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = signed.filter("prefix is not null and doc is not null").select("gid", "n", "prefix").mapInArrow(_explode, _ENTRY)
+    shown = signed.filter("prefix is not null and doc is not null").select("gid", "n", "prefix")
+    n_entries = (shown.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_entries // ENTRIES))
+    entries = shown.mapInArrow(_explode, _ENTRY)
     stars = stored(entries.repartition(parts, "token").mapInArrow(_stars(percent), _PAIR), "stars")
     # each group with the hub of either kind that it shares most buckets with: two comparisons for each group
     shares = stars.filter("kind <> 1").groupBy("kind", "a", "b").agg(F.count("*").alias("c"))
@@ -305,28 +320,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = split.select("gid", F.col("rep").alias("b"), F.col("root").alias("other"))
     inner = split.join(others, "gid").filter("rep < b and root <> other").select(F.col("rep").alias("a"), "b")
     more = _linked(_expand(second, reps, percent).unionByName(inner), rows, words, percent)
-    roots = components(links.unionByName(more))
-    by_set = reps.join(roots, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", "n", F.coalesce("root", "rep").alias("component_id"))
+    drop(stars, star)
+    every = links.unionByName(more)
+    by_set = reps.join(components(every), F.col("rep") == F.col("node"), "left").select("fp1", "fp2", "n", F.col("rep"), F.coalesce("root", "rep").alias("component_id"))
+    return _Classes(signed, by_set, every)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row (doc_id long, n_shingles long, component_id long) for each row of docs.
+
+    component_id is the smallest id reachable over links, the row's own id included; two documents link if
+    100 * |A & B| >= percent * |A | B| for their sets of distinct shingles (words separated by ASCII white space,
+    A-Z lower-cased; fewer words than a shingle: the whole sequence as one).
+    Null or empty texts and texts without words have empty sets, which link with nothing. Rows with a null id
+    are returned with a null component. Rows that repeat an id count as one node with the links of each of their texts.
+    An empty table gives no rows. Other columns are ignored."""
+    signed, sets, links = _classes(_rows(docs, id_col, text_col), words, percent)
     # an id that several sets share is one node: its sets' components are one
     shared_ids = signed.filter("n > 0 and doc is not null").groupBy("doc").agg(F.count_distinct("fp1", "fp2", "n").alias("k")).filter("k > 1")
     if shared_ids.limit(1).count():
-        tied = signed.join(shared_ids, "doc").join(by_set, ["fp1", "fp2", "n"]).select(F.col("doc").alias("a"), F.col("component_id").alias("b"))
-        whole = components(links.unionByName(more).unionByName(tied).unionByName(signed.filter("n > 0 and doc is not null").join(reps, ["fp1", "fp2", "n"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))))
+        own = signed.filter("n > 0 and doc is not null").join(sets, ["fp1", "fp2", "n"])
+        tied = own.join(shared_ids, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("component_id").alias("b"))
+        whole = components(links.unionByName(tied).unionByName(own.select(F.col("doc").alias("a"), F.col("rep").alias("b"))))
         by_doc = signed.select("doc", F.col("n").alias("n_shingles")).join(whole, F.col("doc") == F.col("node"), "left")
         return by_doc.select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("root", "doc").alias("component_id"))
-    out = signed.select("doc", "fp1", "fp2", "n").join(by_set, ["fp1", "fp2", "n"], "left")
+    out = signed.select("doc", "fp1", "fp2", "n").join(sets, ["fp1", "fp2", "n"], "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component's smallest id is another row's: one document of each group stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs, all columns, with one document of each group of near duplicates: that with the smallest id.
+
+    An id is one document, whatever rows repeat it; of the rows of the one that stays, one for each distinct shingle set
+    stays, the first by its columns (so too for its rows without words: null, empty or blank). Other documents without
+    words and all rows with a null id stay. An empty table stays empty. Only rows that may go (by a bounded filter of ids)
+    take part in joins."""
+    signed, sets, _ = _classes(_rows(docs, id_col, text_col), words, percent)
+    marked = signed.filter("doc is not null").join(sets, ["fp1", "fp2", "n"], "left").groupBy("doc").agg(F.count("*").alias("rows"), F.min("component_id").alias("root"))
+    # an id goes or stays as a whole; the rows of one that stays in several are looked at
+    judged = stored(marked.select(F.col("doc").alias("engramix doc"), (F.col("rows") > 1).alias("engramix again"), F.coalesce(F.col("root") < F.col("doc"), F.lit(False)).alias("engramix gone")).filter("`engramix again` or `engramix gone`"), "gone")
+    own = F.col(id_col).cast("long")
+    may = F.coalesce(passes(docs.sparkSession, id_filter(judged.select("engramix doc")), own), F.lit(False))
+    asked = docs.filter(may)
+    kept = asked.join(judged, own == F.col("`engramix doc`"), "left_anti")
+    out = docs.filter(~may).unionByName(kept)
+    if not judged.filter("`engramix again` and not `engramix gone`").limit(1).count():
+        return out
+    again = asked.join(judged.filter("`engramix again` and not `engramix gone`"), own == F.col("`engramix doc`"), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    signatures = again.select(own.alias("doc"), F.col(text_col).cast("string").alias("text"), whole)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, run in chunks(utf8(batch.column(1))):
+                part = batch.slice(first, len(run))
+                n, fp1, fp2 = zip(*(_fingerprint(s) for s in shingle_sets(run, words)), strict=True)
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), signed(fp1), signed(fp2), part.column(2)], ["doc", "n", "fp1", "fp2", "row"])
 
-    Rows with a null id stay. Only rows that may go (by a fixed-size filter of ids) take part in the join."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = stored(found.filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    may = F.coalesce(passes(docs.sparkSession, id_filter(gone), F.col(id_col).cast("long")), F.lit(False))
-    kept = docs.filter(may).join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    return docs.filter(~may).unionByName(kept)
+    kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "n", "fp1", "fp2")] + [signatures.schema["row"]])
+    placed = signatures.mapInArrow(sign, kinds)
+    order = F.struct(*(F.col("row")[f.name] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+    first = placed.groupBy("doc", "fp1", "fp2", "n").agg(F.min_by("row", order).alias("row"))
+    return out.unionByName(first.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
 
 #: DuckDB SQL for near_duplicates(documents) on small tables: all pairs that share a shingle, then their transitive closure.

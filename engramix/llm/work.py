@@ -13,16 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MADE: list[tuple[object, str]] = []
+_OWN: list[str] = []
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, one of our own (a single machine, as in tests)."""
+    """The folder in spark.checkpoint.dir; only where that is unset and the master is local (as in tests), one of our own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        got = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="engramix-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got
+    if got:
+        return got
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="engramix-"))
+    return _OWN[0]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -39,33 +47,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/engramix-{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
     _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = out, path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables of frames that stored() has returned; nothing that reads them can be used any more."""
+    for df in frames:
+        _, path = _PATHS.pop(id(df))
+        _MADE.remove((df.sparkSession, path))
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear() -> None:
     """Delete the tables that stored() has written so far; frames that read them can't be used any more."""
+    _PATHS.clear()
     while _MADE:
         spark, path = _MADE.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended
             return
 
 
 atexit.register(clear)
 
-#: Bits of an id filter: 1 MB, whatever the size of the data.
-FILTER_BITS = 1 << 23
+#: Bits of an id filter, least and most: 1 MB to 64 MB, whatever the size of the data.
+FILTER_BITS = 1 << 23, 1 << 29
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A fixed-size bitmap that has a bit for each id of the one-column frame. At most bits / 8 bytes reach the driver.
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap that has a bit for each id of the one-column frame, 16 bits for each of its rows within FILTER_BITS.
+    At most 64 MB reach the driver.
 
     It never misses an id but may let others pass, so an exact join follows; it only keeps texts that can't match
     out of that join's shuffle."""
     (column,) = ids.columns
+    bits = min(max(FILTER_BITS[0], 1 << (16 * ids.count()).bit_length()), FILTER_BITS[1])
     place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits)) + 1  # Spark numbers bitmap positions from 1
     rows = (
         ids.filter(F.col(column).isNotNull())

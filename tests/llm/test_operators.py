@@ -112,6 +112,22 @@ def test_components_match_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == list(zip(sizes, roots, strict=True))
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(WORDS)
+    near = text + " end"
+    other = " ".join(reversed(WORDS))
+    keep = lambda rows: sorted(((r.doc_id is not None, r.doc_id or 0, r.text) for r in ngram_jaccard.keep_one(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])).collect()), key=str)
+    want = lambda rows: sorted(((i is not None, i or 0, t) for i, t in rows), key=str)
+    assert keep([(1, text), (1, text), (2, text)]) == want([(1, text)])
+    assert keep([(2, text), (1, near), (2, near), (3, other)]) == want([(1, near), (3, other)])
+    assert keep([(7, text), (7, other), (7, other), (8, near), (8, "else"), (9, "else")]) == want([(7, text), (7, other)])
+    assert keep([(None, text), (None, text), (4, text), (4, text)]) == want([(None, text), (None, text), (4, text)])
+    assert keep([(5, None), (5, ""), (6, ""), (6, " "), (9, None), (9, text)])[0][1] == 5 and len(keep([(5, None), (5, ""), (6, ""), (6, " "), (9, None), (9, text)])) == 4
+    assert keep([]) == []
+    clash = docs_of(spark, [text, text], [1, 1]).withColumns({"doc": F.lit(1), "row": F.lit(2), "component_id": F.lit(3), "m": F.create_map(F.lit(1), F.lit(2))})
+    assert [r.asDict() for r in ngram_jaccard.keep_one(clash).collect()] == [clash.first().asDict()]
+
+
 def test_near_duplicates_odd_input(spark):
     ids = [*range(len(ODD))]
     extra = docs_of(spark, ODD, ids).withColumns({"gid": F.lit(1), "token": F.lit("x"), "rep": F.lit(None), "doc": F.lit(3)})
