@@ -506,16 +506,69 @@ def spoken(seed, n=120):
 
 
 def test_bundles_equal_slow_binding():
-    text = "Ab, ça b"
-    doc, code, count = language.trigrams([text.encode(), b"", "ÇA".encode()])
-    letters = [0, *[int(language._letters()[ord(c)]) for c in "ab"], 0, *[int(language._letters()[ord(c)]) for c in "ça"], 0, int(language._letters()[ord("b")]), 0]
-    grams = collections.Counter(a << 12 | b << 6 | c for a, b, c in zip(letters, letters[1:], letters[2:], strict=False))
-    first = doc == 0
-    assert dict(zip(code[first].tolist(), count[first].tolist(), strict=True)) == dict(grams)
-    assert set(doc.tolist()) == {0, 2}
-    v = language._vectors(64)
-    slow = sum(n * (v[0][g >> 12] * v[1][g >> 6 & 63] * v[2][g & 63]).astype(float) for g, n in grams.items())
-    assert np.array_equal(count[first] @ language.bound(code[first], 64).astype(float), slow)
+    texts = ["Ab, ça b", "", "ÇA", "漢字 \U00030001x\u0301"]
+    doc, code, count, has = language.trigrams([t.encode() for t in texts])
+    assert has.tolist() == [True, False, True, True]
+    vector = {c: language.letter_vectors(np.array([c]), 64)[0].astype(int) for c in {0, *(ord(c) for t in texts for c in t.lower())}}
+    for i, t in enumerate(texts):
+        letters = [0, *[0 if c in ", " else ord(c) for c in re.sub("[, ]+", " ", t.lower())], 0] if t else []
+        grams = collections.Counter(zip(letters, letters[1:], letters[2:], strict=False))
+        own = doc == i
+        assert {(c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF): n for c, n in zip(code[own].tolist(), count[own].tolist(), strict=True)} == dict(grams)
+        slow = sum((n * np.roll(vector[x], 2) * np.roll(vector[y], 1) * vector[z] for (x, y, z), n in grams.items()), np.zeros(64))
+        assert np.array_equal(language.bundles(len(texts), doc, code, count, 64)[i], slow)
+
+
+def test_letters_have_vectors_of_their_own():
+    points = np.array([ord(c) for c in "abßжщاپ漢字"] + [0x30000, 0x30001, 0x323AF])
+    v = language.letter_vectors(points, 1024).astype(int)
+    near = np.abs(v @ v.T - 1024 * np.eye(len(points)))
+    assert near.max() < 200 and set(np.unique(v)) == {-1, 1}
+    assert language._letters()[1][points].all()
+
+
+def test_sparse_and_dense_bundles_are_equal(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh жщ漢") for _ in range(rng.choice([0, 5, 300]))).encode() for _ in range(40)]
+    doc, code, count, _ = language.trigrams(texts)
+    whole = language.bundles(40, doc, code, count, 128)
+    monkeypatch.setattr(language, "_CODES", 7)
+    assert np.array_equal(whole, language.bundles(40, doc, code, count, 128))
+
+
+SCRIPTS = {
+    "ru": "это был очень хороший день когда мы пошли гулять что она сказала мне потом было ещё лучше потому что все люди",
+    "uk": "це був дуже гарний день коли ми пішли гуляти що вона сказала мені потім було ще краще тому що всі люди її",
+    "bg": "това беше много хубав ден когато отидохме на разходка какво каза тя след това беше още по добре защото всички хора",
+    "ar": "كان هذا يوما جميلا جدا عندما ذهبنا الى المدينة وقالت لي ان كل الناس هناك يعرفون بعضهم منذ زمن طويل",
+    "fa": "این روز بسیار خوبی بود وقتی که به شهر رفتیم و او به من گفت که همه مردم آنجا یکدیگر را می شناسند چون گفته",
+    "ur": "یہ بہت اچھا دن تھا جب ہم شہر گئے اور اس نے مجھے بتایا کہ وہاں کے سب لوگ ایک دوسرے کو جانتے ہیں",
+    "zh": "今天是非常好的一天我们去了城里她告诉我那里的人都认识因为他们住了很久",
+    "ja": "今日はとても良い日でした私たちは町に行きました彼女はそこの人々はみんな知り合いだと言いました",
+    "xx": "".join(chr(0x30000 + 7 * i) for i in range(40)),
+}
+
+
+def test_languages_of_many_scripts(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(360):
+        lang = [*SCRIPTS][i % len(SCRIPTS)]
+        words = SCRIPTS[lang].split()
+        text = " ".join(rng.choices(words, k=12)) if len(words) > 1 else "".join((lambda a: words[0][a : a + 6])(rng.randrange(len(words[0]) - 6)) for _ in range(4))
+        rows.append((i, text, lang, "s", 0))
+    docs = spark.createDataFrame(rows, DOC)
+    found = [r for r in language.identify(docs, language.train(docs)).collect() if r.held_out]
+    assert len(found) > 50 and [r.doc_id for r in found if r.lang_pred != rows[r.doc_id][2]] == []
+
+
+def test_sample_is_bounded_for_each_language(spark, monkeypatch):
+    rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([(f"abc abd {i}", "big") for i in range(300)] + [("xyz xyw", "rare")] * 3 + [("qqq", None)])] + [(1, "abc abd 1", "big", "s", 0)] * 500
+    profiles = language.train(spark.createDataFrame(rows, DOC), sample=20)
+    assert profiles.languages == ["big", "rare"]
+    doc, code, count, _ = language.trigrams([b"abc abd"])
+    bundle = language.bundles(1, doc, code, count, language.DIM)[0]
+    assert np.allclose(profiles.prototypes[0], bundle / np.linalg.norm(bundle))
 
 
 def test_long_texts_are_counted_in_pieces(monkeypatch):
