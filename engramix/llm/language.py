@@ -28,6 +28,8 @@ DIM = 1024
 #: Documents of a language to fit on, at most (those with the smallest hashes).
 SAMPLE = 2000
 UNKNOWN = "und"
+#: Trigrams below which a low cosine doesn't speak against a language.
+FEW = 60
 _BITS = 21  # of a code point; 0 is a gap between words
 
 
@@ -176,8 +178,8 @@ class Profiles(NamedTuple):
     languages: list[str]
     prototypes: np.ndarray  # unit vectors, a row for each language
 
-    def compare(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(whether a text has letters, cosine of its bundle with each prototype)."""
+    def compare(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether a text has letters, cosine of its bundle with each prototype, number of its trigrams)."""
         dim = self.prototypes.shape[1]
         doc, code, count, letters = trigrams(texts)
         out = np.zeros((len(texts), len(self.languages)))
@@ -185,7 +187,7 @@ class Profiles(NamedTuple):
             part = slice(*np.searchsorted(doc, [lo, lo + _DOCS]))
             bundle = bundles(min(_DOCS, len(texts) - lo), doc[part] - lo, code[part], count[part], dim)
             out[lo : lo + _DOCS] = (bundle @ self.prototypes.T) / np.maximum(np.sqrt((bundle**2).sum(1)), 1e-9)[:, None]
-        return letters, out
+        return letters, out, np.bincount(doc, weights=count, minlength=len(texts))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dim: int = DIM) -> Profiles:
@@ -228,12 +230,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Profiles(languages, prototypes / np.maximum(1e-9, np.sqrt((prototypes**2).sum(1)))[:, None])
 
 
-def _judge(profiles: Profiles, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+def _judge(profiles: Profiles, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, its cosine, trigrams) of each text."""
     if not profiles.languages:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    letters, near = profiles.compare(texts)
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    letters, near, size = profiles.compare(texts)
     best = near.argmax(1)
-    return [profiles.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, np.clip(near.max(1), 0, 1), 0.0)
+    return [profiles.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, np.clip(near.max(1), 0, 1), 0.0), size
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,15 +251,16 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, run in chunks(utf8(batch.column(2))):
-                names, cosine = _judge(shared.value, run)
+                names, cosine, _ = _judge(shared.value, run)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(run)), batch.column(1).slice(first, len(run)), pa.array(names, pa.string()), pa.array(cosine)], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(read, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", languages: list[str] | None = None, least: float = 0.05) -> DataFrame:
-    """docs, all columns, without the rows in no language (`und`), in none of `languages`, or with a cosine below `least`.
+def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", languages: list[str] | None = None, least: float = 0.1) -> DataFrame:
+    """docs, all columns, without the rows in no language (`und`), in none of `languages`, or with a cosine below `least`,
+    which says nothing of texts with fewer than FEW trigrams.
 
     So null and empty texts and those without a letter go. Repeated rows and null ids are judged row by row, other columns
     aren't looked at; an empty table stays empty, and all rows go if no language was learned."""
@@ -267,8 +271,8 @@ def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, run in chunks(utf8(batch.column(column))):
-                names, cosine = _judge(shared.value, run)
-                keep = [n != UNKNOWN and (languages is None or n in languages) and c >= least for n, c in zip(names, cosine, strict=True)]
+                names, cosine, size = _judge(shared.value, run)
+                keep = [n != UNKNOWN and (languages is None or n in languages) and (c >= least or k < FEW) for n, c, k in zip(names, cosine, size, strict=True)]
                 yield batch.slice(first, len(run)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(read, docs.schema)

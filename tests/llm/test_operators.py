@@ -589,6 +589,10 @@ def test_held_out_language(spark):
     assert all(r.lang_pred == rows[r.doc_id][2] and 0 < r.score <= 1 for r in held)
     kept = language.keep_known(docs, language.train(docs), languages=["aa"])
     assert {r.lang for r in kept.collect()} == {"aa"} and kept.columns == docs.columns
+    # no letters, a short text and long ones: of no known language, and of one
+    odd = docs_of(spark, [None, "", "12 !", "q", "漢字" * 200, rows[0][1], rows[0][1]], [1, 1, None, 2, 3, None, None]).withColumn("lang_pred", F.lit(1))
+    assert [r.text for r in language.keep_known(odd, language.train(docs)).collect()] == ["q", rows[0][1], rows[0][1]]
+    assert language.keep_known(odd, language.train(docs.limit(0))).count() == language.keep_known(odd.limit(0), language.train(docs)).count() == 0
 
 
 def test_language_odd_input(spark):
