@@ -18,13 +18,17 @@ _FOREVER = "9999-12-31"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host name of a URL with a scheme; empty or null otherwise."""
-    return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
+    """Lower-case host name of a URL with a scheme, without trailing dots; an IPv6 address keeps its brackets. Empty or null otherwise."""
+    return _plain(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)", 1))
+
+
+def _plain(host: Column) -> Column:
+    return F.rtrim(F.lower(host), F.lit("."))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and the domains above it that have two labels or more."""
-    labels = F.split(host, r"\.")
+    """The host and the domains above it that have two labels or more; an address is itself alone."""
+    labels = F.when(host.rlike(r"^\[|^\d+(\.\d+){3}$"), F.array(host)).otherwise(F.split(host, r"\."))
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
@@ -33,12 +37,13 @@ def _period(day: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(list, host, start, end) from entries (list, host, day, action): active on day if start <= day < end.
+    """(list, host, start, end) from entries (list, host, day, action): active on day if start <= day < end. Hosts are compared
+    in lower case without trailing dots.
 
     action is `add` or `remove`. Of several entries for a list and host on one day a removal wins. Entries with a null in
     any column take no part; additions while active and removals while inactive change nothing."""
     # one row for each day on which something happens
-    days = entries.filter("list is not null and host is not null and day is not null and action in ('add', 'remove')").groupBy("list", F.lower("host").alias("host"), "day").agg(F.max((F.col("action") == "remove").cast("int")).alias("off"))
+    days = entries.filter("list is not null and host is not null and day is not null and action in ('add', 'remove')").groupBy("list", _plain(F.col("host")).alias("host"), "day").agg(F.max((F.col("action") == "remove").cast("int")).alias("off"))
     # the next event, found in the event's own period or, for its last event, as the first of the next period that has one
     cut = days.withColumn("period", _period(F.col("day")))
     inside = Window.partitionBy("list", "host", "period").orderBy("day")
@@ -90,9 +95,9 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 #: DuckDB SQL for the query: the last event up to the fetch decides.
 ORACLE = r"""
 WITH captures AS (
-  SELECT page_id, url, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1) AS host,
+  SELECT page_id, url, rtrim(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)', 1)), '.') AS host,
     DATE '2023-01-01' + CAST(((page_id * 37) % 730 + 730) % 730 AS INTEGER) AS fetched FROM pages),
-split AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM captures WHERE host <> ''),
+split AS (SELECT DISTINCT host, CASE WHEN regexp_matches(host, '^\[|^\d+(\.\d+){3}$') THEN [host] ELSE string_split(host, '.') END AS l FROM captures WHERE host <> ''),
 domains AS (
   SELECT host, array_to_string(l[i:len(l)], '.') AS domain
   FROM (SELECT host, l, unnest(range(1, greatest(2, len(l)))) AS i FROM split)),

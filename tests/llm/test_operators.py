@@ -762,11 +762,12 @@ def test_captures_of_any_year_meet_open_entries(spark):
 def test_url_verdicts(spark):
     day = lambda s: s
     entries = spark.createDataFrame(
-        [("l1", "bad.com", "2024-01-10", "add"), ("l1", "bad.com", "2024-02-10", "remove"), ("l1", "bad.com", "2025-06-01", "add"), ("l1", "BAD.com", "2024-01-20", "add"), ("l2", "x.bad.com", "2024-01-15", "add"), ("l2", "x.bad.com", "2024-01-15", "remove"), ("l3", "b.org", "2024-03-01", "add"), (None, "b.org", "2024-03-01", "add"), ("l4", "b.org", "2024-03-01", "odd")],
+        [("l1", "bad.com", "2024-01-10", "add"), ("l1", "bad.com", "2024-02-10", "remove"), ("l1", "bad.com", "2025-06-01", "add"), ("l1", "BAD.com", "2024-01-20", "add"), ("l2", "x.bad.com", "2024-01-15", "add"), ("l2", "x.bad.com", "2024-01-15", "remove"), ("l3", "b.org", "2024-03-01", "add"), (None, "b.org", "2024-03-01", "add"), ("l5", "[::1]", "2024-01-01", "add"), ("l6", "10.0.0.7.", "2024-01-01", "add"), ("l7", "0.7", "2024-01-01", "add"), ("l7", "3.4]", "2024-01-01", "add"), ("l4", "b.org", "2024-03-01", "odd")],
         "list string, host string, day string, action string",
     ).withColumn("day", F.col("day").cast("date"))
     urls = [
         (1, "http://bad.com/a", "2024-01-09", ""), (2, "http://bad.com/a", "2024-01-10", "l1"), (3, "https://u:p@X.Bad.com:8080?q", "2024-02-09", "l1"), (4, "http://bad.com", "2024-02-10", ""), (5, "http://www.bad.com#f", "2030-01-01", "l1"),
+        (11, "http://a@b@bad.com./x", "2024-01-10", "l1"), (12, "http://[::1]:80/", "2024-01-10", "l5"), (13, "http://[2001:db8::1.2.3.4]", "2024-01-10", ""), (14, "http://10.0.0.7/", "2024-01-10", "l6"), (15, "http://9.10.0.0.7/", "2024-01-10", "l6,l7"), (16, "HTTP://bad.com..", "2024-01-10", "l1"),
         (6, "http://notbad.com", "2024-01-20", ""), (7, None, "2024-01-20", ""), (8, "nonsense", "2024-01-20", ""), (9, "http://b.org", None, ""), (10, "http://b.org", "2024-03-01", "l3"), (10, "http://b.org", "2024-03-01", "l3"),
     ]
     caps = spark.createDataFrame([u[:3] for u in urls], "page_id long, url string, fetched string").withColumns({"fetched": F.col("fetched").cast("date"), "names": F.lit("x"), "day": F.lit(1)})
