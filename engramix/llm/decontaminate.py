@@ -293,7 +293,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs, all columns, without the rows that hold a window of a benchmark item. Rows without words stay."""
+    """docs, all columns, without the rows that hold a window of a benchmark item. Rows without words (null or empty texts too)
+    stay. Repeated rows and null ids are judged row by row, other columns aren't looked at; an empty table stays empty, and
+    an empty benchmark removes nothing."""
     out = docs
     for block in _blocks(benchmark, item_col, item_text_col):
         shared = _load(block)

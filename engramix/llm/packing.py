@@ -128,7 +128,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """(doc_id, piece, start, ids array<long>) of every segment: the round trip's other half."""
+    """(doc_id, piece, start, ids array<long>) of every segment: the round trip's other half.
+
+    Null and repeated ids come back as they were packed, a row for each segment; an empty table gives no rows; columns
+    beyond those of pack() are ignored."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

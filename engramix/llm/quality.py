@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramix.llm.kernel import SPACED, chunks, hash_words, mix, utf8
 from engramix.llm.work import small_batches
 
-#: Labelled documents to fit on, at most (those with the smallest hashed ids).
-SAMPLE = 6000
+#: Labelled documents to fit on, at most (those with the smallest hashed ids), and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
 THRESHOLD = 0.3
 
 #: Upper ends of the bins of each feature of a line.
@@ -245,11 +246,24 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.where(np.diff(lines.at) > 0, 1 / (1 + np.exp(-z)), 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` of the labelled rows whose crc32(id as text) mod 5 is not 0."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most `sample` of the labelled rows whose crc32(id as text) mod 5 is not 0, with whole texts of at most
+    `sample_bytes` together (a text that goes beyond is passed over).
+
+    Null ids, labels other than 0 and 1, and labels without a document take no part; of rows that repeat an id the first
+    text counts, with each of its labels. Without any label the model scores all texts alike."""
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)").filter(F.crc32(F.col("_id").cast("string")) % 5 != 0)
     chosen = own.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_label")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    sizes = texts.join(F.broadcast(chosen.select("_id").distinct()), "_id").groupBy("_id").agg(F.max(F.octet_length("_text")).alias("n"))
+    left, fitting = sample_bytes, []
+    for i, n in sizes.orderBy(F.xxhash64("_id"), "_id").collect():  # `sample` rows at most
+        if (n or 0) <= left:
+            left -= n or 0
+            fitting.append((i,))
+    chosen = chosen.join(F.broadcast(docs.sparkSession.createDataFrame(fitting, T.StructType([T.StructField("_id", sizes.schema["_id"].dataType)]))), "_id")
+    first = texts.join(F.broadcast(chosen.select("_id").distinct()), "_id").groupBy("_id").agg(F.min("_text").alias("_text"))
+    rows = first.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +300,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that score below the threshold."""
+    """docs, all columns, without the rows that score below the threshold; so null, empty and blank texts go.
+
+    Repeated rows and null ids are judged row by row, other columns aren't looked at; an empty table stays empty."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text_col)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -431,26 +432,76 @@ def noisy(seed, n=160):
     return texts, labels
 
 
+def paths(u, move):
+    """Weights of all labellings of a document's lines, one by one."""
+    return {path: sum(x for x, y in zip(u, path, strict=True) if y) + sum(move[p, q] for p, q in zip(path, path[1:], strict=False)) for path in itertools.product((0, 1), repeat=len(u))}
+
+
 def test_marginals_are_exact():
     texts, labels = noisy(3, 40)
+    texts = ["\n".join(t.split("\n")[:8]) for t in texts]
     lines = quality.lines_of([t.encode() for t in texts])
     model = quality.fit(lines, np.array(labels))
     good, pairs, log_z = quality.marginals(model, lines)
     u = quality._evidence(model, lines)
     total, moves = 0.0, np.zeros((2, 2))
     for a, b in zip(lines.at, lines.at[1:], strict=False):
-        if b - a > 8:
-            lines_short = False
-            break
-        import itertools
-
-        weights = {}
-        for path in itertools.product((0, 1), repeat=int(b - a)):
-            weights[path] = sum(u[a + t] for t, y in enumerate(path) if y) + sum(model.move[p, q] for p, q in zip(path, path[1:], strict=False))
+        weights = paths(u[a:b], model.move)
         z = np.logaddexp.reduce(list(weights.values()))
         for t in range(int(b - a)):
             assert good[a + t] == pytest.approx(sum(np.exp(w - z) for p, w in weights.items() if p[t]), abs=1e-9)
+        for p, w in weights.items():
+            for x, y in zip(p, p[1:], strict=False):
+                moves[x, y] += np.exp(w - z)
         total += z
+    assert log_z == pytest.approx(total) and pairs == pytest.approx(moves) and max(np.diff(lines.at)) == 8
+
+
+def test_scores_equal_all_labellings(spark):
+    """The whole query's scores from an enumeration of every labelling of every document."""
+    texts, labels = noisy(5, 60)
+    texts = ["\n".join(t.split("\n")[:7]) for t in texts] + [None, "", " \n\t\n"]
+    docs = docs_of(spark, texts)
+    model = quality.train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int"))
+    want = []
+    for t in texts:
+        own = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        if not own:
+            want.append(0.0)
+            continue
+        lines = quality.lines_of([t.encode()])
+        evidence = [model.bias + sum(model.weight[o + 1, f, lines.bins[i + o, f]] for o in (-1, 0, 1) if 0 <= i + o < len(own) for f in range(lines.bins.shape[1])) for i in range(len(own))]
+        weights = paths(evidence, model.move)
+        z = np.logaddexp.reduce(list(weights.values()))
+        size = [len(x.encode()) for x in own]
+        share = sum(np.exp(w - z) * sum(s for s, y in zip(size, p, strict=True) if y) for p, w in weights.items()) / sum(size)
+        share = min(max(share, 0.005), 0.995)
+        want.append(1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * np.log(share / (1 - share))))))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    texts, labels = noisy(6, 40)
+    docs = docs_of(spark, [*texts, "x" * 100_000, *["y z"] * 200], [*range(40), 40, *[41] * 200])
+    marks = spark.createDataFrame([*enumerate(labels), (40, 1), (41, 0), (41, 0)], "doc_id long, quality int")
+    bound = quality.train(docs, marks, sample_bytes=sum(map(len, texts)) + 10)
+    plain = quality.train(docs.filter("doc_id <> 40").distinct(), marks.filter("doc_id <> 40"))
+    assert np.array_equal(bound.weight, plain.weight) and np.array_equal(bound.curve, plain.curve)
+
+
+def test_filters_of_odd_rows(spark):
+    texts, labels = noisy(9, 60)
+    model = quality.train(docs_of(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int"))
+    good = texts[1]
+    odd = docs_of(spark, [None, "", " \n ", good, good, good], [1, None, 2, None, 3, 3]).withColumns({"score": F.lit("x"), "predicted": F.lit(None)})
+    kept = quality.keep_good(odd, model)
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, good), (3, good), (3, good)]
+    assert quality.keep_good(odd.limit(0), model).count() == 0
+    bench = spark.createDataFrame([(1, good)], "item_id long, text string")
+    clean = decontaminate.clean(odd, bench)
+    assert clean.columns == odd.columns and sorted((r.doc_id or 0, str(r.text)) for r in clean.collect()) == [(0, ""), (1, "None"), (2, " \n ")]
+    assert decontaminate.clean(odd, bench.limit(0)).count() == 6 and decontaminate.clean(odd.limit(0), bench).count() == 0
 
 
 def test_held_out_quality(spark):
