@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.kernel import ALNUM, hash_words, utf8
+from engramix.llm.kernel import ALNUM, hash_words, mix, utf8
 from engramix.llm.work import small_batches, stored
 
 #: Consecutive item words that count as leaked.
@@ -51,6 +51,26 @@ class Items(NamedTuple):
         return int(self.left.max(initial=0))
 
 
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class Sums(NamedTuple):
+    """Hashes of any run of a sequence from prefix sums: equal runs have equal hashes wherever they are."""
+
+    sums: np.ndarray
+    back: np.ndarray
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Sums:
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(values), _MULT)]), dtype=np.uint64)
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(values), _INVERSE)]), dtype=np.uint64)
+        return cls(np.concatenate([[np.uint64(0)], np.cumsum(mix(values.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)]), back)
+
+    def run(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[first]) * self.back[first]
+
+
 class Shard:
     """The suffix array of the documents' words, sorted by the first `depth` words of each suffix."""
 
@@ -61,12 +81,13 @@ class Shard:
         doc = np.repeat(np.arange(len(texts)), self.n_words)
         n = len(words) + len(texts)
         self.place = np.arange(len(words)) + doc  # one separator (0) ends each document
-        self.seq = np.zeros(n + depth + 64, np.int32)
+        self.seq = np.zeros(n + 64, np.int32)
         self.seq[self.place] = rank + 1
         self.doc_begin = at[:-1] + np.arange(len(texts))
         self.doc = np.full(n, -1, np.int32)
         self.doc[self.place] = doc
-        self._sort(n, depth)
+        self._sort(n, min(depth, n))
+        self.sums: Sums | None = None  # made for the first search
 
     def _sort(self, n: int, depth: int) -> None:
         bits = max(1, int(len(self.vocabulary) + 1).bit_length())
@@ -99,66 +120,95 @@ class Shard:
         known = self.vocabulary[at] == words if len(self.vocabulary) else np.zeros(len(words), bool)
         return np.where(known, at + 1, len(self.vocabulary) + 1).astype(np.int32)
 
-    def _bound(self, query: np.ndarray, upper: bool) -> np.ndarray:
-        """For each row (padded with -1): the first place of the suffix array whose suffix isn't below it; upper: the
-        first whose suffix doesn't begin with it or with something below it."""
-        lo, hi = np.zeros(len(query), np.int64), np.full(len(query), len(self.sa), np.int64)
-        width = np.arange(query.shape[1])
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) // 2
-            q = query[open_]
-            s = self.seq[self.sa[mid][:, None] + width]
-            differs = (s != q) & (q >= 0)
-            j = differs.argmax(1)
-            rows = np.arange(len(j))
-            below = np.where(differs[rows, j], s[rows, j] < q[rows, j], upper)
-            lo[open_] = np.where(below, mid + 1, lo[open_])
-            hi[open_] = np.where(below, hi[open_], mid)
+
+class Search:
+    """Suffixes of benchmark items (position in their words) in a shard. Comparisons find the first different word by
+    halving over hashes of runs, so their cost doesn't grow with the items' lengths."""
+
+    def __init__(self, shard: Shard, items: Items) -> None:
+        if shard.sums is None:
+            shard.sums = Sums.of(shard.seq)
+        self.shard, self.left = shard, items.left
+        self.ranks = np.append(shard.ranks(items.words), np.int32(0))
+        self.sums = Sums.of(self.ranks)
+        unknown = np.append(np.flatnonzero(self.ranks[:-1] > len(shard.vocabulary)), len(items.words))
+        every = np.arange(len(items.words))
+        #: Words from each position up to one that the shard doesn't have: no match is longer.
+        self.run = np.minimum(unknown[np.searchsorted(unknown, every)] - every, items.left)
+
+    def common(self, at: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Equal words of the items from `at` and the documents from `place`, up to `most`."""
+        most = np.minimum(most, len(self.shard.seq) - place)
+        low, width = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+        high = most.copy()
+        going = np.flatnonzero(most > 0)
+        while len(going):  # twice as far each time
+            end = np.minimum(low[going] + width[going], most[going])
+            same = self._same(at[going], place[going], low[going], end)
+            high[going[~same]] = end[~same] - 1
+            low[going[same]] = end[same]
+            going = going[same & (end < most[going])]
+            width[going] *= 2
+        while len(going := np.flatnonzero(low < high)):
+            mid = (low[going] + high[going] + 1) // 2
+            same = self._same(at[going], place[going], low[going], mid)
+            low[going[same]] = mid[same]
+            high[going[~same]] = mid[~same] - 1
+        return low
+
+    def _same(self, at: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.sums.run(at + first, at + end) == self.shard.sums.run(place + first, place + end)
+
+    def bound(self, at: np.ndarray, most: np.ndarray, upper: bool) -> np.ndarray:
+        """The first place of the suffix array whose suffix isn't below the items' `most` words from `at`; upper: the first
+        whose suffix doesn't begin with them or with something below them."""
+        sa = self.shard.sa
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(sa), np.int64)
+        while len(going := np.flatnonzero(lo < hi)):
+            mid = (lo[going] + hi[going]) // 2
+            same = self.common(at[going], sa[mid], most[going])
+            whole = same == most[going]
+            step = np.where(whole, 0, same)
+            below = np.where(whole, upper, self.shard.seq[sa[mid] + step] < self.ranks[at[going] + step])
+            lo[going] = np.where(below, mid + 1, lo[going])
+            hi[going] = np.where(below, hi[going], mid)
         return lo
 
-    def longest(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(length, place) of the longest match of each row (padded with -1)."""
-        if not len(self.sa):
-            return np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
-        at = self._bound(query, False)
-        best, where = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
-        for near in (np.maximum(at - 1, 0), np.minimum(at, len(self.sa) - 1)):
-            place = self.sa[near]
-            same = (self.seq[place[:, None] + np.arange(query.shape[1])] == query) & (query >= 0)
-            length = np.where(same.all(1), same.shape[1], same.argmin(1))
-            where = np.where(length > best, place, where)
+    def longest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, place) of the longest verbatim match of the items' suffixes from `at`."""
+        best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        sa = self.shard.sa
+        if not len(sa):
+            return best, where
+        found = self.bound(at, self.left[at], False)
+        for near in (np.maximum(found - 1, 0), np.minimum(found, len(sa) - 1)):
+            length = self.common(at, sa[near], self.left[at])
+            where = np.where(length > best, sa[near], where)
             best = np.maximum(best, length)
         return best, where
 
-
-def _queries(shard: Shard, items: Items, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions of benchmark words, their suffixes of up to depth words as ranks), in blocks of bounded size."""
-    ranks = np.concatenate([shard.ranks(items.words), np.full(depth, -1, np.int32)])
-    some = np.flatnonzero(ranks[: len(items.words)] <= len(shard.vocabulary))
-    block = max(1, (4 << 20) // max(1, depth))
-    for lo in range(0, len(some), block):
-        at = some[lo : lo + block]
-        rows = ranks[at[:, None] + np.arange(depth)]
-        rows[np.arange(depth) >= items.left[at][:, None]] = -1
-        yield at, rows
+    def blocks(self, need: np.ndarray) -> Iterator[np.ndarray]:
+        """Positions of the suffixes that may match `need` words, in blocks of bounded size."""
+        some = np.flatnonzero((self.run >= need) & (need > 0))
+        for lo in range(0, len(some), 1 << 17):
+            yield some[lo : lo + (1 << 17)]
 
 
 def _hits(shard: Shard, items: Items, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hit flag of each place, and the pairs doc, item that share a window)."""
     marks = np.zeros(len(shard.doc) + 1, np.int64)
     docs, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    whole = np.bincount(items.item, minlength=len(items.names))[items.item] if len(items.words) else np.zeros(0, int)
-    for at, rows in _queries(shard, items, items.depth()):
-        need = np.minimum(window, whole[at])
-        length, _ = shard.longest(rows)
-        found = (length >= need) & (items.left[at] >= need)
-        at, rows, need = at[found], rows[found][:, :window].copy(), need[found]
-        rows[np.arange(rows.shape[1]) >= need[:, None]] = -1
-        lo, hi = shard._bound(rows, False), shard._bound(rows, True)
+    search = Search(shard, items)
+    whole = np.bincount(items.item, minlength=len(items.names))[items.item] if len(items.words) else np.zeros(0, np.int64)
+    need = np.minimum(window, whole)
+    for at in search.blocks(need):
+        length, _ = search.longest(at)
+        at = at[length >= need[at]]
+        lo, hi = search.bound(at, need[at], False), search.bound(at, need[at], True)
         for i in np.flatnonzero(hi > lo):
             places = shard.sa[lo[i] : hi[i]]
             np.add.at(marks, places, 1)
-            np.add.at(marks, places + need[i], -1)
+            np.add.at(marks, places + need[at[i]], -1)
             held = np.unique(shard.doc[places])
             docs.append(held)
             which.append(np.full(len(held), items.item[at[i]]))
@@ -278,8 +328,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             for held, texts in _shards(batches, 1):
                 shard = Shard(texts, items.depth())
                 ids = pa.concat_arrays([b.column(0) for b in held]).to_numpy()
-                for at, suffixes in _queries(shard, items, items.depth()):
-                    length, place = shard.longest(suffixes)
+                search = Search(shard, items)
+                for at in search.blocks(np.full(len(items.words), least)):
+                    length, place = search.longest(at)
                     keep = length >= least
                     at, length, place = at[keep], length[keep], place[keep]
                     doc = shard.doc[place]

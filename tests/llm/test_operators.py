@@ -222,8 +222,9 @@ def test_longest_match(texts, item):
     items = decontaminate.Items.of([("i", " ".join(item))])
     flat = [tuple(t) for t in texts]
     got = dict.fromkeys(range(len(item)), 0)
-    for at, rows in decontaminate._queries(shard, items, items.depth()):
-        length, place = shard.longest(rows)
+    search = decontaminate.Search(shard, items)
+    for at in search.blocks(np.ones(len(items.words), np.int64)):
+        length, place = search.longest(at)
         for a, n, p in zip(at.tolist(), length.tolist(), place.tolist(), strict=True):
             got[a] = n
             if n:
@@ -235,6 +236,19 @@ def test_longest_match(texts, item):
         assert got[a] == best
 
 
+def test_cost_does_not_grow_with_the_longest_item():
+    rng = random.Random(1)
+    item = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    items = decontaminate.Items.of([("a", " ".join(item)), ("b", "a b c d e f g h i j")])
+    shard = decontaminate.Shard([" ".join(item[50_000:170_000]).encode(), b"q a b c d e f g h i j q"], items.depth())
+    search = decontaminate.Search(shard, items)
+    at = np.concatenate([*search.blocks(np.full(len(items.words), 10))])
+    length, place = search.longest(at)
+    assert length.max() == 120_000 and place[length.argmax()] == 0 and length[at == 200_000].tolist() == [10]
+    _, n_hit, names = decontaminate._per_doc(shard, items, 10)
+    assert n_hit.tolist() == [120_000, 10] and names == {0: ["a"], 1: ["b"]}
+
+
 def test_longest_matches_table(spark):
     item = " ".join(WORDS)
     docs = docs_of(spark, ["x " + " ".join(WORDS[3:15]) + " y", " ".join(WORDS[3:18])])
