@@ -4,7 +4,12 @@ Vectors x get one more component, sqrt(M^2 - |x|^2) for the largest squared leng
 a larger inner product is a smaller distance, score = (|q|^2 + M^2 - distance^2) / 2. Distances of every vector to a
 fixed set of pivots are computed once and stored with it. For a query, |d(q, p) - d(x, p)| bounds d(q, x) from below for
 each pivot p; the largest such bound gives an upper bound of the score. Candidates are scored in the order of their
-bounds until the next bound is below the k-th score found; the result is exact.
+bounds until the next bound is below the k-th score found; the result is exact. The order is kept in two steps for each
+block of candidates: those with the best bounds while a query has no k scores yet, then all whose bounds reach the k-th
+score; where these are more than a fifth of a block, one matrix product scores them.
+
+Candidates stay where they are: the queries come to them, in passes of bounded size, and each task keeps the best k of
+each query over all its candidates. So vectors are shuffled once, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -16,15 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramix.llm.work import stored
+from engramix.llm.work import small_batches, stored
 
 K, SCALE, PIVOTS = 20, 64, 16
-#: Rows of a block of candidates and of a block of queries.
-CANDIDATES, QUERIES = 4096, 2048
+#: Rows of a block of candidates, and queries compared with it at once.
+CANDIDATES, QUERIES = 4096, 256
 #: Candidates of a query and block that are scored first.
 STEP = 256
+#: Bytes of query vectors that are broadcast in a pass.
+PASS_BYTES = 16 << 20
+#: Candidates of a task, on average, where there are many.
+SHARE = 1 << 18
 
-_BLOCK = "block long, n int, ids binary, vectors binary, extra binary, pivots binary"
+_BLOCK = "ids binary, vectors binary, extra binary, pivots binary"
+_QUERY = "ids binary, vectors binary, pivots binary"
 _SCORED = "query_id long, vec_id long, score long"
 
 
@@ -40,28 +50,36 @@ def _product(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T if wide else a @ b.T
 
 
-def _blocks(vectors: DataFrame, rows: int, dim: int, pivots: np.ndarray, longest: float) -> DataFrame:
-    """vectors (id, v) in blocks of at most `rows` with their distances to the pivots."""
-    n = vectors.count()
+def _blocks(vectors: DataFrame, dim: int, pivots: np.ndarray, longest: float, kind: str) -> DataFrame:
+    """vectors (id, v) in blocks of at most CANDIDATES rows with their distances to the pivots."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), rows):
-                part = batch.slice(lo, rows)
+            for lo in range(0, len(batch), CANDIDATES):
+                part = batch.slice(lo, CANDIDATES)
                 x = _padded(part.column(1).to_pylist(), dim)
                 square = (x * x).sum(1)
                 extra = np.sqrt(np.maximum(0, longest - square))
                 far = np.sqrt(np.maximum(0, square[:, None] + extra[:, None] ** 2 + (pivots**2).sum(1) - 2 * (x @ pivots[:, :-1].T + extra[:, None] * pivots[:, -1])))
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[:1]), pa.array([len(ids)], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids.astype(np.int64), x, extra, far.astype(np.float64)))], ["block", "n", "ids", "vectors", "extra", "pivots"])
+                yield _binary(_BLOCK, part.column(0).to_numpy().astype(np.int64), x.astype(kind), extra, far.astype(np.float32))
+
+    return vectors.mapInArrow(read, _BLOCK)
+
+
+def _binary(schema: str, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], [c.split()[0] for c in schema.split(", ")])
 
-    made = stored(vectors.repartition(max(1, -(-n // rows))).mapInArrow(read, _BLOCK), "blocks")
-    order = Window.partitionBy("shard").orderBy("block")
-    numbered = made.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(1 << 10))).select("shard", "block").distinct()
-    sizes = numbered.groupBy("shard").agg(F.count("*").alias("c"))
-    base = sizes.select("shard", F.coalesce(F.sum("c").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # 1024 rows at most
-    at = numbered.withColumn("k", F.row_number().over(order) - 1).join(base, "shard").select("block", (F.col("base") + F.col("k")).alias("number"))
-    return made.join(at, "block").drop("block")
+
+def _flat(dim: int, pivots: np.ndarray, kind: str):
+    """Queries with their distances to the pivots, with a last component of 0; so these differ from those as a candidate."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _padded(batch.column(1).to_pylist(), dim)
+            d = np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (pivots**2).sum(1) - 2 * v @ pivots[:, :-1].T))
+            yield _binary(_QUERY, batch.column(0).to_numpy().astype(np.int64), v.astype(kind), d.astype(np.float32))
+
+    return read
 
 
 def _best(top: np.ndarray, q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,40 +110,53 @@ def _best(top: np.ndarray, q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: i
     return i, j, scores[i, j]
 
 
-def _search(k: int, dim: int, longest: float, wide: bool):
-    """Rows of a query block beside a candidate block: each query's best k of the block, if they may be of its k best."""
+def _merged(held: tuple[np.ndarray, np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): the best k of each query, ties to the smaller id."""
+    i, ids, score = (np.concatenate(c) for c in zip(held, new, strict=True))
+    order = np.lexsort((ids, -score, i))
+    i, ids, score = i[order], ids[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+    keep = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
+    return i[keep], ids[keep], score[keep]
+
+
+def _search(asked, k: int, dim: int, longest: float, wide: bool, kind: str):
+    """Over blocks of candidates: the best k of each broadcast query among them all."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        qids, q, pq = asked.value
+        square = (q.astype(np.float64) ** 2).sum(1)
+        slack = 1e-9 * (longest + square.max(initial=0) + 1)
+        floor = np.full(len(qids), -np.inf)
+        none = np.zeros(0, np.int64)
+        best = [(none, none, none)] * -(-len(qids) // QUERIES)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                x, q = (np.frombuffer(row[c], np.float64).reshape(-1, dim) for c in ("vectors", "q_vectors"))
-                px = np.frombuffer(row["pivots"], np.float64).reshape(len(ids), -1).astype(np.float32)
-                square = (q * q).sum(1)
-                # the query's last component is 0, so its distances to pivots differ from those it has as a candidate
-                pq = np.frombuffer(row["q_flat"], np.float64).reshape(len(qids), -1).astype(np.float32)
-                slack = 1e-9 * (longest + square.max(initial=0) + 1)
-                if row["q_number"] not in known:
-                    known[row["q_number"]] = np.full(len(qids), -np.inf)
-                floor = known[row["q_number"]]
-                out = []
-                for lo in range(0, len(qids), 256):
-                    part = slice(lo, lo + 256)
+                ids = np.frombuffer(row["ids"], np.int64)
+                x = np.frombuffer(row["vectors"], kind).reshape(-1, dim).astype(np.float64)
+                px = np.ascontiguousarray(np.frombuffer(row["pivots"], np.float32).reshape(len(ids), -1).T)
+                for n, lo in enumerate(range(0, len(qids), QUERIES)):
+                    part = slice(lo, lo + QUERIES)
                     low = np.zeros((len(qids[part]), len(ids)), np.float32)
                     gap = np.empty_like(low)
-                    for p in range(px.shape[1]):
-                        np.subtract(pq[part, p, None], px[None, :, p], out=gap)
+                    for p in range(len(px)):
+                        np.subtract(pq[part, p, None], px[None, p], out=gap)
                         np.abs(gap, out=gap)
                         np.maximum(low, gap, out=low)
                     # the float32 bound is lowered by more than its rounding
                     low = np.maximum(0, low * np.float32(1 - 1e-5) - np.float32(1e-5 * (1 + np.sqrt(longest))))
                     top = (square[part, None] + longest - low.astype(np.float64) ** 2) / 2 + slack
                     top[ids[None, :] == qids[part, None]] = -np.inf
-                    i, j, found = _best(top, q[part], x, floor[part], k, wide)
-                    out.append((qids[lo + i], ids[j], found))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]).astype(np.int64)) for c in range(3)], ["query_id", "vec_id", "score"])
+                    i, j, found = _best(top, q[part].astype(np.float64), x, floor[part], k, wide)
+                    if len(i):
+                        best[n] = _merged(best[n], (i, ids[j], found.astype(np.int64)), k)
+                        own, _, score = best[n]
+                        size = np.bincount(own, minlength=len(low))
+                        full = np.flatnonzero(size == k)
+                        floor[lo + full] = np.maximum(floor[lo + full], score[np.cumsum(size)[full] - 1])
+        for n, (i, ids, score) in enumerate(best):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[n * QUERIES + i]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return read
 
@@ -138,41 +169,48 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     null or non-finite component, take no part; shorter vectors count as padded with zeros; an id given in several
     query rows is answered once, and repeated candidate rows count one by one. Empty tables give no rows.
 
-    Queries meet candidates in blocks of bounded size: each block of candidates is sent to each block of queries once.
-    The pivots are a bounded sample (n_pivots rows with the smallest hashed ids)."""
+    A task holds PASS_BYTES of queries, their best k and a block of candidates; more queries take several passes over the
+    candidates. The pivots are a bounded sample (n_pivots rows with the smallest hashed ids)."""
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double"))
     fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    small_batches(vectors.sparkSession)
     of = lambda df: df.filter(fine).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
     x, q = of(vectors), of(queries).dropDuplicates(["id"])
-    about = x.unionByName(q).agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)), F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()
     spark = vectors.sparkSession
-    if about[0] is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, longest, widest = max(1, about[0]), float(about[1] or 0), about[2] or 0.0
+    nothing = "query_id long, rank int, vec_id long, score long"
+    bound = [F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)), F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))), F.count("*")]
+    dim, longest, widest, n = x.agg(*bound).first()
+    dim_q, longest_q, widest_q, n_asked = q.agg(*bound).first()
+    if not n or not n_asked:
+        return spark.createDataFrame([], nothing)
+    dim, longest, widest = max(1, dim, dim_q), float(max(longest, longest_q)), max(widest or 0.0, widest_q or 0.0)
     wide = widest * widest * dim >= 2**52
+    kind = "<f4" if widest < 2**24 else "<f8"  # exact either way
     sample = x.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     p = _padded([r.v for r in sample], dim)
     pivots = np.hstack([p, np.sqrt(np.maximum(0, longest - (p * p).sum(1)))[:, None]])
-
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries' distances to the pivots, with a last component of 0."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                v = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
-                d = np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (pivots**2).sum(1) - 2 * v @ pivots[:, :-1].T))
-                yield pa.RecordBatch.from_arrays([pa.array([row["number"]], pa.int64()), *(pa.array([b], pa.binary()) for b in (row["ids"], row["vectors"], d.tobytes()))], ["q_number", "q_ids", "q_vectors", "q_flat"])
-
-    candidates = _blocks(x, CANDIDATES, dim, pivots, longest)
-    asked = stored(_blocks(q, QUERIES, dim, pivots, longest).mapInArrow(flat, "q_number long, q_ids binary, q_vectors binary, q_flat binary"), "queries")
-    n_asked = asked.count()
-    if not n_asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shards = 64  # a query block's candidates are dealt over so many tasks
-    sent = candidates.select("ids", "vectors", "pivots", F.pmod("number", F.lit(shards)).alias("shard")).withColumn("q_number", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).withColumn("q_number", F.col("q_number").cast("long"))
-    copies = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-    scored = sent.join(copies, ["q_number", "shard"]).mapInArrow(_search(k, dim, longest, wide), _SCORED)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARE))
+    candidates = stored(_blocks(x, dim, pivots, longest, kind).repartition(tasks), "blocks")
+    passes = -(-n_asked * dim * 8 // PASS_BYTES)
+    found = None
+    for turn in range(passes):
+        own = q if passes == 1 else q.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(passes)) == turn)
+        rows = own.mapInArrow(_flat(dim, pivots, kind), _QUERY).collect()  # about PASS_BYTES
+        if not rows:
+            continue
+        parts = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.vectors, kind).reshape(-1, dim), np.frombuffer(r.pivots, np.float32).reshape(-1, len(p))) for r in rows]
+        asked = spark.sparkContext.broadcast(tuple(np.concatenate(c) for c in zip(*parts, strict=True)))
+        scored = candidates.mapInArrow(_search(asked, k, dim, longest, wide, kind), _SCORED)
+        if passes > 1:
+            scored = stored(_ranked(scored, k), "best")
+            asked.unpersist()
+        found = scored if found is None else found.unionByName(scored)
+    return (_ranked(found, k) if passes == 1 else found).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 #: DuckDB SQL for the query: every stated query against every vector.

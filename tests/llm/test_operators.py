@@ -402,6 +402,22 @@ def test_top_k_matches_brute_force(spark, seed, n, dim, scale, monkeypatch):
         assert got[q] == [(i, -s) for s, i in sorted(scores)[:20]]
 
 
+def test_top_k_in_passes_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(c) for c in rng.integers(-3, 4, 5)]) for i in range(300)] + [(7, [1.0, 0.0, 2.0, -1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = df.filter("vec_id % 3 = 0")
+    whole = sorted(topk.top_k(df, asked, scale=1).collect())
+    monkeypatch.setattr(topk, "PASS_BYTES", 1000)
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    assert sorted(topk.top_k(df, asked, scale=1).collect()) == whole and len(whole) == 2000
+    by = dict(rows[:300])
+    for q in (0, 150, 297):
+        want = sorted((-sum(a * b for a, b in zip(by[q], v, strict=True)), i) for i, v in rows if i != q)[:20]
+        assert [(-r.score, r.vec_id) for r in whole if r.query_id == q] == want
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_bound_order_loses_nothing(wide, monkeypatch):
     monkeypatch.setattr(topk, "STEP", 24)
