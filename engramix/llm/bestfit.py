@@ -116,8 +116,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     salts = [1] * (capacity + 1)
     for n, c in counts.items():
         salts[n] = max(1, round(c**0.5))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1))
-    spread = stored(found.withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(64))).otherwise(salt)), "salted")
+    # by the row's place, so repeated rows and null ids are spread too; written once, since places may change
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(F.array(*map(F.lit, salts)), F.col("length").cast("int") + 1))
+    spread = stored(found.withColumn("salt", salt), "salted")
     groups = spread.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
