@@ -10,7 +10,7 @@ from engramix.engine import Engine
 
 COMMANDS = {
     "search": (str,), "stats": (), "salience": (), "tiers": (), "primer": (), "digest": (), "doctor": (), "proposals": (), "audit": (), "decisions": (),
-    "kg-query": (str,), "kg-path": (int, int), "kg-impact": (int,), "kg-merge-preview": (), "kg-prune": (), "brief": (str, str), "compact": (int,),
+    "kg-query": (str,), "kg-path": (int, int), "kg-impact": (int,), "kg-merge-preview": (), "kg-prune": (), "brief": (str,), "build-index": (), "kg-block": (str,), "compact": (int,),
     "decision-get": (str,), "decision-history": (str,), "kg-stats": (), "kg-facts": (str,), "tier-stats": (), "retention-stats": (), "archive-candidates": (), "pull-shared": (str,), "shared-stats": (),
     "insights": (), "profile": (), "search-stats": (), "provider-costs": (), "coverage": (), "pending-days": (), "distill": (str,), "redact": (str,), "noise-check": (str,), "temporal": (str,), "classify": (str,),
 }

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramix import schemas
+from engramix import schemas, vocab
 from engramix.functions import score, text
 from engramix.operators import answers, brief, extract, graph, lifecycle, reports, search, telemetry
 from engramix.sources import files
@@ -38,12 +38,31 @@ class Engine:
         number = F.monotonically_increasing_id() + F.lit(old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1)
         return files.replaced(old, schemas.migrated(new.withColumn("id", number), "chunks"))
 
+    def build_index(self) -> None:
+        """Writes the search index of the chunks as they are: postings in parts by term, and the collection's statistics. Searches
+        use it until the chunks are of another number."""
+        chunks = self.table("chunks")
+        made = search.postings(chunks).withColumn("part", search.part_of(F.col("token")))
+        made.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/postings")
+        search.corpus_stats(chunks).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/index_stats")
+
+    def _index(self, chunks: DataFrame) -> dict[str, DataFrame]:
+        """The stored index, if it is of these chunks: a search reads the parts of its terms only."""
+        path = f"{self.root}/index_stats"
+        if not files.exists(self.spark, path):
+            return {}
+        stats = self.spark.read.parquet(path)
+        if stats.first().n != chunks.count():
+            return {}
+        return {"index": self.spark.read.parquet(f"{self.root}/postings"), "stats": stats}
+
     def search(self, query: str, limit: int = 5, vector: list[float] | None = None) -> DataFrame:
-        """Hybrid with a query vector, else lexical."""
+        """Hybrid with a query vector, else lexical. AND, OR and NOT (upper case) join words."""
         limit = max(1, min(int(limit), 50))
         chunks = self.table("chunks")
         if vector is None:
-            return search.lexical(self._asked(query), chunks, self.as_of, limit).select("rank", "score", "id", "chunk_type", "source_file", "chunk_text")
+            found = search.lexical(self._asked(query), chunks, self.as_of, limit, **self._index(chunks))
+            return found.select("rank", "score", "id", "chunk_type", "source_file", "chunk_text")
         asked = self.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")
         return search.hybrid(self._asked(query), asked, self.table("vectors"), chunks, self.as_of, limit)
 
@@ -56,9 +75,44 @@ class Engine:
         hits = search.lexical(self._asked(question), self.table("chunks"), self.as_of, 2 * k).select("query_id", "id", F.col("chunk_text").alias("content"), "score", F.sha2("chunk_text", 256).alias("content_hash"))
         return answers.answer(question, hits, complete, k)
 
-    def brief(self, agent: str, scope: str, n: int = 10, budget: int = 1200) -> DataFrame:
-        chunks = self.table("chunks").withColumn("agent", F.coalesce(F.get_json_object("metadata", "$.agent"), F.lit("")))
-        return brief.within_budget(brief.build(chunks, self.table("brief_log"), self.as_of, agent, scope, max(1, min(int(n), 25))), budget)
+    def reflect(self, question: str, complete: answers.Completer, vector: list[float] | None = None, use_cache: bool = True) -> dict[str, object]:
+        """An answer from the cache or, by an outside model, from search results, entities, decisions and a path between the first two
+        entities. `entry` is for remember()."""
+        return answers.reflect(question, self.table("reflect_cache"), lambda q: self._evidence(q, vector), complete, self.as_of, vector, use_cache)
+
+    def _evidence(self, question: str, vector: list[float] | None) -> answers.Evidence:
+        found = self.search(question, 10, vector)
+        rows = found.join(self.table("chunks").select("id", "chunk_text"), "id") if "chunk_text" not in found.columns else found
+        chunks = [(r.chunk_text, r.source_file, float(r.score)) for r in rows.orderBy("rank").collect()]  # ten rows
+        entities, ids = [], []
+        for name in answers.names_in(question):  # five at most
+            own = self.table("kg_entities").filter(F.contains(F.lower("name"), F.lit(name.lower()))).orderBy(F.desc("mention_count"), "id").first()
+            if own is not None and own.id not in ids:
+                near = self.kg_query(name).orderBy(F.desc("id")).limit(5).collect()
+                entities.append((own["name"], own.entity_type, [f"{r.relation_type} -> {r.target_name}" for r in near]))
+                ids.append(own.id)
+        paths = []
+        if len(ids) > 1:
+            path = self.kg_path(ids[0], ids[1]).first()
+            if path is not None:
+                names = {r.id: r["name"] for r in self.table("kg_entities").filter(F.col("id").isin(path.path)).collect()}
+                paths = [" -> ".join(names.get(i, str(i)) for i in path.path)]
+        decisions = [(r.key, r.content) for r in answers.related_decisions(question, self.decisions()).collect()]  # three
+        return answers.Evidence(chunks, entities, decisions, paths)
+
+    def remember(self, entry: tuple[str, str, str, list[float] | None], model: str = "model") -> DataFrame:
+        """The cache of reflections with a new entry."""
+        return answers.remembered(self.table("reflect_cache"), entry, model, self.as_of)
+
+    def brief(self, scope: str, agent: str = "", n: int = 10, budget: int = 1200, since: str = "") -> DataFrame:
+        """The briefing of a scope (`global`: all paths) and, if given, an agent's sessions; since: 24h, 30d, 2w."""
+        for value, shape, name in ((scope, vocab.SCOPE, "scope"), (agent, vocab.AGENT, "agent"), (since, vocab.SINCE, "since")):
+            if (value or name == "scope") and not self._said(value).select(text.valid(F.col("said"), shape)).first()[0]:
+                raise ValueError(f"{name}: {value!r}")
+        hours = self._said(since).select(text.since_hours(F.col("said"))).first()[0] if since else None
+        oldest = None if hours is None else F.timestamp_add("HOUR", F.lit(-hours), self.as_of).cast("date")
+        made = brief.build(self.table("chunks"), self.table("brief_log"), self.as_of, scope, agent or None, max(1, min(int(n), 25)), oldest)
+        return brief.within_budget(made, budget)
 
     def kg_query(self, name: str) -> DataFrame:
         return graph.lookup(self.table("kg_entities"), self.table("kg_relations"), name)
@@ -174,12 +228,36 @@ class Engine:
     def pending_days(self) -> DataFrame:
         return extract.pending_days(self.table("chunks"), self.table("consolidated_files"))
 
+    def _learned(self) -> list[str]:
+        return [r.text_original for r in self.table("noise_prototypes").select("text_original").collect()]  # short phrases that were learned
+
     def consolidate(self, model) -> DataFrame:
-        return extract.consolidated(self.table("chunks"), self.pending_days(), model)
+        return extract.consolidated(self.table("chunks"), self.pending_days(), model, self._learned())
+
+    def consolidation_lines(self, found: DataFrame) -> DataFrame:
+        """What consolidate() found as lines for the files of notes, without what the store holds already."""
+        return extract.sink_lines(found, self.table("chunks"))
+
+    def learned_noise(self, found: DataFrame) -> DataFrame:
+        return extract.learned_noise(self.table("chunks"), found)
+
+    def distill(self, path: str, model=None) -> DataFrame:
+        """Blocks of text of session logs, ready for a model; with a model, the memories that it finds in them."""
+        runs = extract.blocks(files.read_sessions(self.spark, path), learned=self._learned())
+        return runs if model is None else extract.distilled(runs, model, self.table("chunks"), self.as_of)
+
+    def take_in(self, events: DataFrame) -> DataFrame:
+        """Chunks of the valid events that the store doesn't hold."""
+        return streams.taken_in(events, self.table("chunks").filter("metadata is not null"), self.as_of)
+
+    def error(self, kind: str, message: str) -> DataFrame:
+        return self._said(message).select(extract.public_error(F.lit(kind), F.col("said")).alias("e")).select("e.*")
+
+    def merge_candidates(self, evidence: DataFrame, protected: list[str] | None = None) -> DataFrame:
+        return graph.merge_candidates(self.table("kg_entities"), evidence, protected=protected)
 
-    def distill(self, path: str) -> DataFrame:
-        """Blocks of text of session logs, ready for a model."""
-        return extract.blocks(files.read_sessions(self.spark, path))
+    def kg_block(self, query: str, k: int = 8) -> DataFrame:
+        return graph.facts_block(self.kg_facts(query, k))
 
     def watch(self, folder: str, handle, checkpoint: str):
         return streams.run_ingest(streams.watch_files(self.spark, folder), handle, checkpoint)

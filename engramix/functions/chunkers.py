@@ -10,11 +10,17 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 MOST_WORDS, LEAST_WORDS = 500, 20
-_HEADING = re.compile(r"^#{2,3}\s", re.M)
+_HEADING = re.compile(r"^#{2,3}[^\S\n]", re.M)
+
+
+def _words(text: str) -> int:
+    """Pieces between runs of white space; an empty one counts at either end."""
+    return len(re.split(r"\s+", text))
 
 
 def chunk_markdown(text: str | None) -> list[str]:
-    """Sections at second and third level headings; long ones are packed from paragraphs, short ones join the one before."""
+    """Sections at second and third level headings; those of more than MOST_WORDS are packed from paragraphs, and those of fewer
+    than LEAST_WORDS join the chunk before. What is packed stays, however short."""
     text = text or ""
     cuts = [0, *(m.start() for m in _HEADING.finditer(text) if m.start()), len(text)]
     out: list[str] = []
@@ -22,37 +28,37 @@ def chunk_markdown(text: str | None) -> list[str]:
         section = text[a:b].strip()
         if not section:
             continue
-        pieces = [section]
-        if len(section.split()) > MOST_WORDS:
-            pieces, held, n = [], [], 0
-            for paragraph in re.split(r"\n\s*\n", section):
-                words = len(paragraph.split())
-                if held and n + words > MOST_WORDS:
-                    pieces.append("\n\n".join(held))
-                    held, n = [], 0
-                held.append(paragraph)
-                n += words
-            pieces.append("\n\n".join(held))
-        for piece in pieces:
-            if out and len(piece.split()) < LEAST_WORDS:
-                out[-1] += "\n\n" + piece
-            else:
-                out.append(piece)
+        n = _words(section)
+        if n > MOST_WORDS:
+            held = ""
+            for paragraph in re.split(r"\n\n+", section):
+                if not paragraph.strip():
+                    continue
+                longer = f"{held}\n\n{paragraph}" if held else paragraph
+                if held and _words(longer) > MOST_WORDS:
+                    out.append(held.strip())
+                    longer = paragraph
+                held = longer
+            out.append(held.strip())
+        elif n < LEAST_WORDS and out:
+            out[-1] += "\n\n" + section
+        else:
+            out.append(section)
     return out
 
 
 def chunk_json(text: str | None) -> list[str]:
-    """A chunk for each item of an array, or of each member of an object (arrays in it: for each item); else the whole text."""
+    """A chunk for each item of an array (indented), or of each member of an object (in one line; arrays in it: for each item);
+    else the whole text."""
     try:
         value = json.loads(text or "")
     except ValueError:
         return [text] if text else []
-    show = lambda v: json.dumps(v, indent=2, ensure_ascii=False)
     if isinstance(value, list):
-        return [show(v) for v in value]
-    if isinstance(value, dict):
-        return [f"{k}: {show(x)}" for k, v in value.items() for x in (v if isinstance(v, list) else [v])]
-    return [show(value)]
+        return [json.dumps(v, indent=2, ensure_ascii=False) for v in value]
+    if isinstance(value, dict) and value:
+        return [f"{k}: {json.dumps(x, ensure_ascii=False, separators=(',', ':'))}" for k, v in value.items() for x in (v if isinstance(v, list) else [v])]
+    return [text]
 
 
 def parse_frontmatter(text: str | None) -> tuple[dict[str, str | list[str]], str]:

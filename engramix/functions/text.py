@@ -257,3 +257,19 @@ def links(text: Column) -> Column:
 def code_refs(text: Column) -> Column:
     """array<string> of references to source files, with a line if given."""
     return F.regexp_extract_all(text, F.lit(r"(?im)(?<=^|[\s(,;:'\"`])((?:src|specs|audits|eval|validation|memory|paper|docs|runbooks|scripts|lessons|benchmark)/[a-z0-9_\-/.]+\.(?:ts|js|md|sh|json|yaml|yml|sql|py)(?::\d+)?)"), F.lit(1))
+
+
+def since_hours(since: Column) -> Column:
+    """Hours of a span such as 24h, 30d or 2w; null if it isn't one."""
+    number, unit = F.regexp_extract(since, vocab.SINCE, 1).try_cast("int"), F.regexp_extract(since, vocab.SINCE, 2)
+    return number * F.when(unit == "h", 1).when(unit == "d", 24).when(unit == "w", 168)
+
+
+def valid(value: Column, shape: str) -> Column:
+    """Whether a parameter has its shape (vocab.SCOPE, AGENT, ...); false for null."""
+    return F.coalesce(value.rlike(shape), F.lit(False))
+
+
+def clamped(value: Column, least: int, most: int, default: int) -> Column:
+    """A count within its bounds; the default for null and what isn't a number."""
+    return F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce(value.try_cast("int"), F.lit(default))))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramix.functions import score
+from engramix.functions import score, text
 from engramix.operators.search import cosine
 
 EMPTY = "No relevant memories were found for this question."
@@ -64,24 +65,94 @@ def answer(question: str, hits: DataFrame, complete: Completer, k: int = 5, retr
 
 
 def cached(questions: DataFrame, cache: DataFrame, as_of: Column, least: float = 0.88, newest: int = 500) -> DataFrame:
-    """(query_id, hit, response) of questions (query_id, query_hash, embedding) from a cache (query_hash, response, created_at,
-    ttl_hours, cached_embedding): equal hash, else the most similar of the newest live entries if similar enough."""
-    live = cache.filter(score.days_between(as_of, F.col("created_at")) * 24 <= F.col("ttl_hours"))
-    exact = questions.join(live.select("query_hash", "response"), "query_hash").select("query_id", F.lit("exact").alias("hit"), "response", F.lit(2.0).alias("s"))
-    new = live.orderBy(F.desc("created_at"), "query_hash").limit(newest)  # bounded, so it may be broadcast
-    near = questions.join(F.broadcast(new.drop("query_hash")), F.size("embedding") == F.size("cached_embedding")).withColumn("s", cosine(F.col("embedding"), F.col("cached_embedding")))
-    similar = near.filter(F.col("s") >= least).select("query_id", F.lit("semantic").alias("hit"), "response", "s")
-    best = exact.unionByName(similar).groupBy("query_id").agg(F.max_by(F.struct("hit", "response"), F.struct("s", "response")).alias("b"))
-    return best.select("query_id", "b.hit", "b.response")
+    """(query_id, hit, response, sources) of questions (query_id, query_hash, embedding) from a cache (query_hash, response,
+    evidence_sources, created_at, ttl_hours, cached_embedding): equal hash, else the most similar (to nine digits) of the
+    newest live entries if similar enough."""
+    live = cache.filter(score.days_between(as_of, F.col("created_at")) * 24 <= F.col("ttl_hours")).withColumn("sources", F.coalesce("evidence_sources", F.lit("[]")) if "evidence_sources" in cache.columns else F.lit("[]"))
+    exact = questions.join(live.select("query_hash", "response", "sources"), "query_hash").select("query_id", F.lit("exact").alias("hit"), "response", "sources", F.lit(2.0).alias("s"))
+    new = live.filter("cached_embedding is not null").orderBy(F.desc("created_at"), "query_hash").limit(newest)  # bounded, so it may be broadcast
+    near = questions.join(F.broadcast(new.drop("query_hash")), F.size("embedding") == F.size("cached_embedding")).withColumn("s", F.round(cosine(F.col("embedding"), F.col("cached_embedding")), 9))
+    similar = near.filter(F.col("s") >= least).select("query_id", F.lit("semantic").alias("hit"), "response", "sources", "s")
+    best = exact.unionByName(similar).groupBy("query_id").agg(F.max_by(F.struct("hit", "response", "sources"), F.struct("s", "response")).alias("b"))
+    return best.select("query_id", "b.hit", "b.response", "b.sources")
+
+
+class Evidence(NamedTuple):
+    """What an answer by reflection rests on."""
+
+    chunks: list[tuple[str, str, float]]  # text, source, score
+    entities: list[tuple[str, str, list[str]]]  # name, type, "relation -> target"
+    decisions: list[tuple[str, str]]  # key, content
+    paths: list[str]
+
+    def text(self, most: int = 2000) -> str:
+        parts = ["MEMORY CHUNKS:", *(f"- [score:{s:.2f}] {t[:300]}" for t, _, s in self.chunks[:5])] if self.chunks else []
+        if self.entities:
+            parts += ["\nKG ENTITIES:", *(f"- {n} ({k}) rels: {', '.join(rs[:5]) or 'none'}" for n, k, rs in self.entities[:5])]
+        if self.decisions:
+            parts += ["\nDECISIONS:", *(f"- [{k}] {c[:200]}" for k, c in self.decisions[:3])]
+        if self.paths:
+            parts += ["\nGRAPH PATHS:", *(f"- {p}" for p in self.paths)]
+        whole = "\n".join(parts)
+        return whole if len(whole) <= most else whole[:most] + "\n[truncated]"
+
+
+def names_in(question: str, most: int = 5) -> list[str]:
+    """Capitalised words of three letters or more, each once: entities that a question may mean."""
+    found = dict.fromkeys("".join(c for c in w if c.isalpha() or c == "-") for w in question.split() if len(w) > 2 and w[0] == w[0].upper())
+    return [n for n in found if n][:most]
+
+
+def related_decisions(question: str, decisions: DataFrame, most: int = 3) -> DataFrame:
+    """(key, content) of the current decisions that hold a word of four letters or more of the question."""
+    words = F.array(*(F.lit(w.lower()) for w in question.split() if len(w) > 3)).cast("array<string>")
+    said = F.lower(F.concat_ws("\n", "key", "content"))
+    return decisions.filter("is_current").filter(F.exists(words, lambda w: F.contains(said, w))).orderBy("key").limit(most).select("key", "content")
+
+
+def reflect(question: str, cache: DataFrame, gather: Callable[[str], Evidence], complete: Completer, as_of: Column, vector: list[float] | None = None, use_cache: bool = True) -> dict[str, object]:
+    """An answer from the cache (equal question, else a similar one if `vector` is given), else by an outside model from evidence.
+
+    `entry` is the row that remembered() adds to the cache; None for answers that come from it."""
+    spark = cache.sparkSession
+    asked = spark.createDataFrame([(0, question, [float(x) for x in vector or []])], "query_id long, query string, embedding array<double>").withColumn("query_hash", text.rolling_hash(F.col("query")))
+    found = cached(asked, cache, as_of).first() if use_cache else None
+    if found is not None:
+        return {"answer": found.response, "evidence_count": 0, "cached": found.hit, "sources": json.loads(found.sources), "entry": None}
+    evidence = gather(question)
+    sources = [source for _, source, _ in evidence.chunks[:5]]
+    try:
+        said = complete(f"Answer from the evidence, in the question's language; cite sources; say so if it isn't enough.\n\nQUESTION: {question}\n\nEVIDENCE:\n{evidence.text()}").strip() or "[reflect: empty response]"
+    except Exception as e:  # an outside service
+        said = f"[reflect error: {str(e)[:150]}]"
+    entry = (question, said, json.dumps(sources), [float(x) for x in vector] if vector else None)
+    return {"answer": said, "evidence_count": len(evidence.chunks) + len(evidence.entities) + len(evidence.decisions), "cached": None, "sources": sources, "entry": entry}
+
+
+def remembered(cache: DataFrame, entry: tuple[str, str, str, list[float] | None], model: str, as_of: Column, ttl_hours: int = 24) -> DataFrame:
+    """The cache with the entry; an older one of an equal question goes."""
+    row = cache.sparkSession.createDataFrame([entry], "query string, response string, evidence_sources string, cached_embedding array<float>")
+    row = row.withColumns({"query_hash": text.rolling_hash(F.col("query")), "model": F.lit(model), "created_at": as_of, "ttl_hours": F.lit(ttl_hours)})
+    return cache.join(F.broadcast(row.select("query_hash")), "query_hash", "left_anti").unionByName(row.select(*cache.columns))  # one row
 
 
 class Chain:
-    """Providers asked in turn; one that fails is skipped for the cooldown."""
+    """Providers asked in turn; one that fails, or is slower than the timeout (seconds), is skipped for the cooldown. A refused
+    key (PermissionError) ends the chain."""
 
-    def __init__(self, providers: list[tuple[str, Completer]], clock: Callable[[], float], cooldown: float = 60.0) -> None:
-        self.providers, self.clock, self.cooldown = providers, clock, cooldown
+    def __init__(self, providers: list[tuple[str, Completer]], clock: Callable[[], float], cooldown: float = 60.0, timeout: float = 30.0) -> None:
+        self.providers, self.clock, self.cooldown, self.timeout = providers, clock, cooldown, timeout
         self.resting: dict[str, float] = {}
 
+    def _asked(self, provider: Completer, prompt: str) -> str:
+        from concurrent.futures import ThreadPoolExecutor
+
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(provider, prompt).result(self.timeout)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
     def __call__(self, prompt: str) -> str:
         failures = []
         for name, provider in self.providers:
@@ -89,7 +160,7 @@ class Chain:
                 failures.append(f"{name}: cooling down")
                 continue
             try:
-                return provider(prompt)
+                return self._asked(provider, prompt)
             except PermissionError:
                 raise
             except Exception as e:  # an outside service
@@ -98,10 +169,15 @@ class Chain:
         raise RuntimeError("; ".join(failures) or "no provider")
 
 
+def spent(calls: DataFrame, as_of: Column, cap_usd: float, hours: int = 24) -> DataFrame:
+    """(usd, over) of the calls (ts, cost_usd) of the last hours; over: they cost the cap or more."""
+    recent = (score.days_between(as_of, F.col("ts")) * 24).between(0, hours)
+    return calls.agg(F.round(F.coalesce(F.sum(F.when(recent, F.col("cost_usd"))), F.lit(0.0)), 9).alias("usd")).withColumn("over", F.col("usd") >= cap_usd)
+
+
 def over_cap(calls: DataFrame, as_of: Column, cap_usd: float, hours: int = 24) -> bool:
     """Whether the calls (ts, cost_usd) of the last hours cost the cap or more."""
-    spent = calls.filter((score.days_between(as_of, F.col("ts")) * 24).between(0, hours)).agg(F.sum("cost_usd")).first()[0]
-    return (spent or 0.0) >= cap_usd
+    return spent(calls, as_of, cap_usd, hours).first().over
 
 
 def cache_stats(cache: DataFrame, top: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,19 @@ from engramix.operators.lifecycle import with_salience
 
 POOL = 500
 WINDOW_HOURS = 72
+#: Pain from which a chunk is never penalised or pushed out; slots for fresh chunks, and their age in days.
+PAIN_FLOOR, FRESH_SLOTS, FRESH_DAYS = 0.9, 2, 7
+
+
+def prefixes(scope: str, agent: str | None = None) -> list[str]:
+    """Beginnings of the paths of a scope (`global`: all paths, no prefix) and of an agent's sessions."""
+    own = [] if scope == "global" else [f"memory/mac-docs/{scope}/", f"shared/imports/Claude/Projetos/{scope}/", f"shared/imports/{scope}/", f"{scope}/"]
+    return own + ([f"sessions/{agent}/"] if agent else [])
+
+
+def under(chunks: DataFrame, begin: list[str]) -> DataFrame:
+    """Chunks whose path begins with one of these; all if there are none."""
+    return chunks.filter(reduce(lambda a, b: a | b, [F.startswith("source_file", F.lit(p)) for p in begin])) if begin else chunks
 
 
 def pool(chunks: DataFrame, as_of: Column, agent: str | None = None, scope: str | None = None, since: Column | None = None, size: int = POOL) -> DataFrame:
@@ -44,11 +58,12 @@ def novelty(rows: DataFrame, served: DataFrame) -> DataFrame:
     return joined.withColumn("penalty", F.round(off, 6)).withColumn("brief_score", F.round(F.col("salience") - off, 6))
 
 
-def fresh(chunks: DataFrame, served: DataFrame, as_of: Column, days: int = 7, slots: int = 2) -> DataFrame:
-    """The newest important or painful chunks that were not served lately."""
+def fresh(chunks: DataFrame, served: DataFrame, as_of: Column, days: int = FRESH_DAYS, slots: int = FRESH_SLOTS) -> DataFrame:
+    """The newest (by source_date, else created_at) important or painful chunks that were not served lately."""
     weighty = (F.col("importance") >= 0.7) | (F.col("pain") >= 0.7)
-    own = chunks.filter(weighty & (score.days_between(as_of, F.col("created_at")) <= days)).join(served, F.col("id") == F.col("chunk_id"), "left_anti")
-    return own.orderBy(F.desc("created_at"), F.desc("importance"), "id").limit(slots)
+    day = F.coalesce(F.col("source_date").cast("timestamp"), F.col("created_at").cast("timestamp"))
+    own = chunks.filter(weighty & (score.days_between(as_of, day) <= days)).join(served, F.col("id") == F.col("chunk_id"), "left_anti")
+    return own.orderBy(day.desc(), F.desc("importance"), "id").limit(slots)
 
 
 def titled(rows: DataFrame) -> DataFrame:
@@ -56,49 +71,94 @@ def titled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"title": text.title_of(F.col("source_file")), "line": line})
 
 
-def _distinct(frame: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Greedy: the best rows first, none whose tokens mostly are those of a kept one."""
-    frame = frame.sort_values(["brief_score", "id"], ascending=[False, True])
-    kept, sets, seen = [], [], set()
-    for i, title, line in zip(frame.index, frame["title"], frame["line"], strict=True):
-        tokens = {t for t in re.split(r"[^\w.]+|_", f"{title} {line}".lower()) if len(t) >= 4}
-        near = any(len(tokens) >= 3 and len(s) >= 3 and len(tokens & s) >= 0.6 * min(len(tokens), len(s)) for s in sets)
-        if line in seen or near:
-            continue
-        kept.append(i)
-        sets.append(tokens)
-        seen.add(line)
-        if len(kept) == n:
-            break
-    return frame.loc[kept]
-
-
-def distinct_lines(rows: DataFrame, n: int) -> DataFrame:
-    """At most n rows of each pool (pool, id, title, line, brief_score), without exact and near copies (pools hold at most POOL rows)."""
-    own = rows.select("pool", "id", "title", "line", "brief_score")
-    return own.groupBy("pool").applyInPandas(lambda frame: _distinct(frame, n), own.schema)
-
-
-def build(chunks: DataFrame, log: DataFrame, as_of: Column, agent: str, scope: str, n: int = 10) -> DataFrame:
-    """(place, pool, id, title, line, brief_score, age_days, tokens): half of the rows for the agent, half for the scope; what one
-    pool lacks, the other fills."""
+class _Chosen:
+    """Rows that are picked one by one: none with an id, or with the title and line, of an earlier one, and none whose tokens
+    mostly are those of one."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+        self.ids: set[int] = set()
+        self.shown: set[tuple[str, str]] = set()
+        self.tokens: list[set[str]] = []
+
+    def add(self, row: dict, fresh: bool = False) -> bool:
+        shown = row["title"], row["line"]
+        if row["id"] in self.ids or shown in self.shown:
+            return False
+        own = {t for t in re.split(r"[^\w.]+|_", " ".join(shown).lower()) if len(t) >= 4}
+        if len(own) >= 3 and any(len(s) >= 3 and len(own & s) >= 0.6 * min(len(own), len(s)) for s in self.tokens):
+            return False
+        self.ids.add(row["id"])
+        self.shown.add(shown)
+        self.tokens.append(own)
+        self.rows.append(row | {"fresh": fresh})
+        return True
+
+    def fill(self, rows: list[dict], most: int, upto: int, fresh: bool = False) -> None:
+        """Adds rows in order, `most` of them, until there are `upto` in all."""
+        for row in rows:
+            if most <= 0 or len(self.rows) >= upto:
+                return
+            most -= self.add(row, fresh)
+
+
+def choose(pools: list[list[dict]], quotas: list[int], n: int, by: str, new: list[dict] | None = None, slots: int = 0, pinned: frozenset[int] = frozenset()) -> list[dict]:
+    """n rows of the pools (each in order of salience), best `by` first: pinned ones; each pool's quota; what one pool lacks from the
+    others; new ones in the slots; the rest from the pools."""
+    order = lambda rows: sorted(rows, key=lambda r: (-r[by], r["id"]))
+    rows = order([r for pool in pools for r in pool])
+    out, main = _Chosen(), max(0, n - slots)
+    out.fill([r for r in rows if r["id"] in pinned], n, n)
+    for pool, quota in zip(pools, quotas, strict=True):
+        out.fill(pool, quota, main)
+    out.fill(rows, n, main)
+    out.fill(new or [], slots, n, fresh=True)
+    out.fill(rows, n, n)
+    return order(out.rows)
+
+
+_COLUMNS = "id long, title string, line string, chunk_type string, pain double, salience double, brief_score double, age_days int"
+
+
+def build(chunks: DataFrame, log: DataFrame, as_of: Column, scope: str, agent: str | None = None, n: int = 10, since: Column | None = None, slots: int = FRESH_SLOTS) -> DataFrame:
+    """(place, id, title, line, chunk_type, pain, salience, brief_score, age_days, fresh, tokens, change): the brief, and with place
+    null what it leaves out of the one by salience alone.
+
+    With an agent half of the rows are from its sessions, half from the scope. Chunks that were served lately lose score,
+    `slots` rows are for fresh ones, and chunks with a pain of 0.9 or more that salience alone would choose are kept.
+    change: `would_enter` for rows that salience alone would not choose, `would_leave` for the opposite."""
     served = serves(log, as_of)
-    one = lambda name, **kw: titled(novelty(pool(chunks, as_of, **kw), served)).withColumn("pool", F.lit(name)).select("pool", "id", "title", "line", "brief_score")
-    picked = distinct_lines(one("agent", agent=agent).unionByName(one("scope", scope=scope)), n)
-    order = Window.partitionBy("pool").orderBy(F.desc("brief_score"), "id")
-    quota = F.when(F.col("pool") == "agent", -(-n // 2)).otherwise(n // 2)
-    once = picked.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("pool"))).filter("k = 1").drop("k")
-    ranked = once.withColumn("p", F.row_number().over(order)).withColumn("extra", F.col("p") > quota)
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("extra", F.desc("brief_score"), "id"))  # 2 n rows at most
-    dated = ranked.withColumn("place", place).filter(F.col("place") <= n).join(chunks.select("id", "source_date"), "id")
-    tokens = F.ceil((F.length("title") + F.length("line")) / 4)
-    return dated.select("place", "pool", "id", "title", "line", "brief_score", F.datediff(as_of.cast("date"), "source_date").alias("age_days"), tokens.alias("tokens"))
+    ways = [prefixes("global", agent), prefixes(scope)] if agent else [prefixes(scope)]
+    quotas = [-(-n // 2), n // 2] if agent else [n]
+    age = F.greatest(F.lit(0), F.floor(score.days_between(as_of, F.coalesce(F.col("source_date").cast("timestamp"), F.col("created_at").cast("timestamp"))))).cast("int")
+    shape = lambda df, name: titled(df).select(F.lit(name).alias("pool"), "id", "title", "line", "chunk_type", F.coalesce("pain", F.lit(0.2)).alias("pain"), F.round("salience", 9).alias("salience"), "brief_score", F.coalesce(age, F.lit(0)).alias("age_days"))
+    rows = None
+    for i, begin in enumerate(ways):
+        part = shape(novelty(pool(under(chunks, begin), as_of, since=since), served), i)
+        rows = part if rows is None else rows.unionByName(part)
+    new = with_salience(fresh(under(chunks, prefixes(scope, agent)), served, as_of, slots=max(1, 4 * slots)), as_of)
+    rows = rows.unionByName(shape(new.withColumn("brief_score", F.round("salience", 6)), len(ways)))
+
+    def pick(frame: pd.DataFrame) -> pd.DataFrame:
+        every = frame.sort_values(["salience", "id"], ascending=[False, True]).to_dict("records")
+        pools = [[r for r in every if r["pool"] == i] for i in range(len(ways))]
+        plain = choose(pools, quotas, n, "salience")
+        pinned = frozenset(r["id"] for r in plain if r["pain"] >= PAIN_FLOOR)
+        late = sorted((r for r in every if r["pool"] == len(ways)), key=lambda r: (r["age_days"], -r["salience"], r["id"]))
+        now = choose(pools, quotas, n, "brief_score", late, slots, pinned)
+        before, after = {r["id"] for r in plain}, {r["id"] for r in now}
+        out = [(i, *(r[c.split()[0]] for c in _COLUMNS.split(", ")), r["fresh"], -(-(len(r["title"]) + len(r["line"]) + 24) // 4), None if r["id"] in before else "would_enter") for i, r in enumerate(now, 1)]
+        out += [(None, *(r[c.split()[0]] for c in _COLUMNS.split(", ")), False, 0, "would_leave") for r in plain if r["id"] not in after]
+        names = ["place", *(c.split()[0] for c in _COLUMNS.split(", ")), "fresh", "tokens", "change"]
+        return pd.DataFrame(out, columns=names).astype({"place": "Int32"})
+
+    return rows.groupBy(F.lit("brief")).applyInPandas(pick, f"place int, {_COLUMNS}, fresh boolean, tokens int, change string")  # two pools and the new rows
 
 
 def within_budget(rows: DataFrame, budget: int = 1200, by: list[str] | None = None) -> DataFrame:
-    """The first rows (place, tokens) that fit the budget together."""
+    """The first rows (place, tokens) that fit the budget together; without `by`, of a brief (few rows)."""
     run = F.sum("tokens").over(Window.partitionBy(*(by or []), F.lit(1)).orderBy("place"))
-    return rows.withColumn("upto", run).filter(F.col("upto") <= budget)
+    return rows.filter("place is not null").withColumn("upto", run).filter(F.col("upto") <= budget)
 
 
 def differences(served_now: DataFrame, served_before: DataFrame) -> DataFrame:

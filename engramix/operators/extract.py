@@ -21,13 +21,15 @@ _SECTIONS = ["compiled", "frontmatter", "timeline"]
 _PROSE = ["conversation", "daily_log", "freeform"]
 
 # Words that are their own anchors, and translations in both directions: fixed values.
-COGNATES = (
-    "chunk schema embedding cache query search index batch cron snapshot backup database token pipeline fts5 rrf bm25 cosine hybrid semantic dense lexical tier salience pain "
-    "boost reason temporal webhook gateway systemd process docker container service restart sigkill model agent rerank graph entity relation triple injection shadow active auth "
-    "reindex consolidate vectorize compact audit api fts spo kg plugin section retention heartbeat watchdog probe migration rollback recovery protocol sanitizer degradation fallback "
-    "fault secret credential chmod chattr permission binary risk vulnerable exploit leak rotate rotation key sed rsync when first last deployed activated bumped incident milestone "
-    "ocr scan scanned document pdf tesseract contract certificate notary"
-).split()
+COGNATES = [
+    "chunk", "schema", "embedding", "cache", "query", "search", "index", "batch", "cron", "snapshot", "backup", "database", "token", "pipeline", "fts5", "rrf", "bm25",
+    "cosine", "hybrid", "semantic", "dense", "lexical", "tier", "salience", "pain", "boost", "reason", "temporal", "webhook", "gateway", "systemd", "process", "docker",
+    "container", "service", "restart", "sigkill", "model", "agent", "rerank", "graph", "entity", "relation", "triple", "injection", "shadow", "active", "auth", "reindex",
+    "consolidate", "vectorize", "compact", "audit", "api", "fts", "spo", "kg", "plugin", "section", "retention", "heartbeat", "watchdog", "probe", "migration",
+    "rollback", "recovery", "protocol", "sanitizer", "degradation", "fallback", "fault", "secret", "credential", "chmod", "chattr", "permission", "binary", "risk",
+    "vulnerable", "exploit", "leak", "rotate", "rotation", "key", "sed", "rsync", "when", "first", "last", "deployed", "activated", "bumped", "incident", "milestone",
+    "ocr", "scan", "scanned", "document", "pdf", "tesseract", "contract", "certificate", "notary",
+]
 TRANSLATIONS = {
     "reindexar": "reindex", "reiniciar": "restart", "ativar": "activate", "desativar": "deactivate", "erro": "error", "falha": "failure", "segurança": "security", "configuração": "configuration", "busca": "search",
     "memória": "memory", "arquivo": "file", "pasta": "folder", "comando": "command", "consulta": "query", "resposta": "response", "mudança": "change", "execução": "execution", "desempenho": "performance",
@@ -133,15 +135,120 @@ def event_secrets(body: Column) -> Column:
     return F.struct(body.alias("text"), reduce(lambda a, b: a + b, counts).alias("count"))
 
 
-def blocks(messages: DataFrame, size: int = 2000, least: int = 3) -> DataFrame:
-    """(session_key, block, text): a session's messages (session_key, n, role, text), without noise, in runs of about `size`
-    characters. Sessions of fewer than `least` messages are left out."""
-    own = messages.filter(~text.is_noise(F.col("text")))
-    order = Window.partitionBy("session_key").orderBy("n")
-    many = own.withColumn("c", F.count("*").over(Window.partitionBy("session_key"))).filter(F.col("c") >= least)
-    run = many.withColumn("upto", F.sum(F.length("text")).over(order)).withColumn("block", F.floor((F.col("upto") - F.length("text")) / size))
-    lines = F.array_sort(F.collect_list(F.struct("n", F.concat_ws(": ", "role", "text").alias("t"))))
-    return run.groupBy("session_key", "block").agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("text"))
+#: What audit rows hide: pattern and what stays of it. Fixed values.
+_AUDIT = [
+    (r"AIza[A-Za-z0-9_-]{35}", "AIza[REDACTED]"),
+    (r"(?i)sk-ant-(oat|api)[A-Za-z0-9_-]+", "sk-ant-$1[REDACTED]"),
+    (r"sk-[A-Za-z0-9_-]{20,}", "sk-[REDACTED]"),
+    (r"oat_[A-Za-z0-9_-]{20,}", "oat_[REDACTED]"),
+    (r"(?i)Bearer\s+[A-Za-z0-9_.-]+", "Bearer [REDACTED]"),
+    (r"/root/\.[^/\s'\"`)]+/[^\s'\"`)]+\.env", "/root/[REDACTED-PATH].env"),
+    (r"/home/[^/\s'\"`)]+/\.[^\s'\"`)]+", "/home/[USER]/[REDACTED-DOTFILE]"),
+]
+#: Status, code and, where the message is never shown, the text for each kind of error. Fixed values.
+_ERRORS = {
+    "ValidationError": (400, "VALIDATION_ERROR", None), "InvalidBodyError": (400, "INVALID_BODY", None), "BadRequestError": (400, "BAD_REQUEST", None), "WeakPassphraseError": (400, "WEAK_PASSPHRASE", None),
+    "UnauthorizedError": (401, "UNAUTHORIZED", "missing or invalid auth token"), "ForbiddenError": (403, "FORBIDDEN", "forbidden"), "NotFoundError": (404, "NOT_FOUND", "resource not found"), "ConflictError": (409, "CONFLICT", None),
+    "PayloadTooLargeError": (413, "PAYLOAD_TOO_LARGE", None), "BadPassphraseError": (422, "BAD_PASSPHRASE", "bad passphrase or wrong key"), "TamperedArchiveError": (422, "TAMPERED_ARCHIVE", "archive integrity check failed"),
+    "MissingAADError": (422, "MISSING_AAD", None), "SchemaVersionError": (422, "SCHEMA_VERSION_MISMATCH", None), "ManifestError": (422, "MANIFEST_ERROR", None), "ArchiveFormatError": (422, "ARCHIVE_FORMAT_ERROR", None),
+    "HallucinationError": (422, "HALLUCINATION_AFTER_RETRY", None), "RateLimitError": (429, "RATE_LIMITED", "rate limit exceeded"), "CostCapExceededError": (429, "COST_CAP_EXCEEDED", None),
+    "LLMUnreachableError": (502, "LLM_UNREACHABLE", "upstream LLM unreachable"), "RetrievalEmptyError": (503, "RETRIEVAL_EMPTY", None), "LLMTimeoutError": (504, "LLM_TIMEOUT", "upstream LLM timed out"),
+}
+_ERROR_SECRETS = [
+    r"AIza[0-9A-Za-z_-]{20,}", r"sk-[A-Za-z0-9]{20,}", r"(?i)Bearer\s+[A-Za-z0-9._-]{20,}", r"eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"xox[bps]-[A-Za-z0-9-]{20,}", r"ghp_[A-Za-z0-9]{20,}",
+    r"key=[A-Za-z0-9_-]{16,}", r"token=[A-Za-z0-9_-]{16,}", r"(?i)password=[^\s&]+", r"(?i)passphrase=[^\s&]+", r"\b[A-Z]{2,}_[A-Z_]+=[^\s]+", r"(?i)\b(?:GEMINI|ANTHROPIC)_API_KEY=[^\s]+",
+]
+_INNER_PATHS = r"/(?:Users|home|root|var|etc|tmp|opt)/[^\s'\"`]+|(?i:[A-Z]:\\)[^\s'\"`]+|\(node:\d+\)"
+
+
+def audit_scrubbed(message: Column) -> Column:
+    """An error message as it is kept in the audit: without keys, tokens and hidden paths."""
+    for pattern, by in _AUDIT:
+        message = F.regexp_replace(message, pattern, by)
+    return message
+
+
+def public_error(kind: Column, message: Column, most: int = 200) -> Column:
+    """struct(status, code, error) of an error by its kind's name, as a caller may see it.
+
+    Messages of errors of the server's own, and of kinds with a fixed text, aren't shown; others lose secrets and settings, and
+    are withheld whole if they name an inner path."""
+    status = F.coalesce(score.lookup(kind, {k: v[0] for k, v in _ERRORS.items()}, None), F.lit(500))
+    code = F.coalesce(score.lookup(kind, {k: v[1] for k, v in _ERRORS.items()}, None), F.lit("INTERNAL_ERROR"))
+    fixed = score.lookup(kind, {k: v[2] for k, v in _ERRORS.items() if v[2]}, None)
+    plain = F.coalesce(message, F.lit(""))
+    for pattern in _ERROR_SECRETS:
+        plain = F.regexp_replace(plain, pattern, "[REDACTED]")
+    line = F.regexp_replace(plain, r"[\r\n]+", " ")
+    shown = F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
+    own = F.when(plain == "", "request failed").when(plain.rlike(_INNER_PATHS), "request failed (details redacted)").otherwise(shown)
+    return F.struct(status.alias("status"), code.alias("code"), F.coalesce(fixed, F.when(status >= 500, "internal error").otherwise(own)).alias("error"))
+
+
+def blocks(messages: DataFrame, size: int = 2000, least: int = 3, learned: list[str] | None = None) -> DataFrame:
+    """(session_key, block, text): a session's messages (session_key, n, role, text), without noise, as lines `[ROLE]: text` in runs
+    of at most `size` characters, or one longer line. Sessions of fewer than `least` messages are left out.
+
+    A session is read in order by one task, a line at a time, so its length doesn't matter."""
+    many = messages.groupBy("session_key").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("session_key")
+    own = messages.filter(~text.is_noise(F.col("text"), learned)).join(many, "session_key", "left_semi")
+    lines = own.select("session_key", "n", F.concat(F.lit("["), F.upper("role"), F.lit("]: "), "text").alias("line"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, number, held = None, 0, ""
+        for frame in frames:
+            out = []
+            for k, line in zip(frame["session_key"], frame["line"], strict=True):
+                full = bool(held) and len(held) + len(line) > size
+                if key is not None and (k != key or full):
+                    if held.strip():
+                        out.append((key, number, held.strip()))
+                    number, held = (number + 1 if k == key else 0), ""
+                key = k
+                held += line + "\n"
+            yield pd.DataFrame(out, columns=["session_key", "block", "text"])
+        if key is not None and held.strip():
+            yield pd.DataFrame([(key, number, held.strip())], columns=["session_key", "block", "text"])
+
+    return lines.repartition("session_key").sortWithinPartitions("session_key", "n").mapInPandas(cut, "session_key string, block long, text string")
+
+
+def distilled(runs: DataFrame, extract: Callable[[str], list[dict]], known: DataFrame, as_of: Column, least: float = 0.5) -> DataFrame:
+    """Memories of blocks(), ready to be stored: (source_file, chunk_text, chunk_type, source_date, tier, importance, metadata).
+
+    An outside model gives [{text, category, importance}] for a block; a block that it fails for gives none. Those below
+    `least` go, and those that are known already: equal to one of the same run or like a chunk of `known` (id, chunk_text)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, block, body in zip(frame["session_key"], frame["block"], frame["text"], strict=True):
+                try:
+                    rows += [(key, block, i, str(m["text"]), str(m.get("category", "other")), float(m.get("importance", 0))) for i, m in enumerate(extract(body))]
+                except Exception:  # an outside service
+                    continue
+            yield pd.DataFrame(rows, columns=["session_key", "block", "i", "said", "category", "importance"])
+
+    found = runs.mapInPandas(run, "session_key string, block long, i long, said string, category string, importance double").filter(F.col("importance") >= least)
+    once = found.groupBy("said").agg(F.min_by(F.struct("session_key", "block", "i", "category", "importance"), F.struct("session_key", "block", "i")).alias("m")).select("said", "m.*")
+    numbered = once.withColumn("id", F.xxhash64("said"))
+    from engramix.operators import lifecycle
+
+    old = known.select(F.col("id").cast("long").alias("id"), "chunk_text")
+    copies = lifecycle.near_copies(numbered.select("id", F.col("said").alias("chunk_text")), old)
+    fresh = numbered.join(copies.select("id"), "id", "left_anti").join(old.select(F.col("chunk_text").alias("said")), "said", "left_anti")
+    agent = F.regexp_extract("session_key", r"^([^:]*):", 1)
+    parts = F.split("session_key", ":")
+    source = F.concat_ws("/", F.lit("sessions"), F.when(agent != "", agent), F.element_at(parts, -1))
+    return fresh.select(
+        source.alias("source_file"),
+        F.concat(F.lit("["), "category", F.lit("|"), agent, F.lit("] "), "said").alias("chunk_text"),
+        F.lit("distilled").alias("chunk_type"),
+        as_of.cast("date").alias("source_date"),
+        F.when(F.col("importance") >= 0.8, "working").otherwise("peripheral").alias("tier"),
+        "importance",
+        F.to_json(F.struct("category", agent.alias("source_agent"), F.col("session_key").alias("session"))).alias("metadata"),
+    )
 
 
 def pending_days(chunks: DataFrame, done: DataFrame, most: int = 5) -> DataFrame:
@@ -150,18 +257,53 @@ def pending_days(chunks: DataFrame, done: DataFrame, most: int = 5) -> DataFrame
     return days.join(done, "source_file", "left_anti").orderBy("day", "source_file").limit(most)
 
 
-def consolidated(chunks: DataFrame, days: DataFrame, extract: Callable[[str], dict[str, list[str]]]) -> DataFrame:
+KINDS = ["decisions", "lessons", "people", "projects", "pending"]
+
+
+def consolidated(chunks: DataFrame, days: DataFrame, extract: Callable[[str], dict[str, list[str]]], learned: list[str] | None = None) -> DataFrame:
     """(source_file, status, kind, text): what an outside model finds in each of the daily files (decisions, lessons, people,
-    projects, pending); status 1, or -1 with no rows of text where it failed."""
-    own = chunks.join(days.select("source_file"), "source_file", "left_semi").filter(~text.is_noise(F.col("chunk_text"))).select("source_file", "id", "chunk_text")
+    projects, pending); status 1, or -1 with no rows of text where it failed. Files of noise only are done without asking.
+
+    The days are few (pending_days), a file's text is what the model takes at once."""
+    own = chunks.join(days.select("source_file"), "source_file", "left_semi").select("source_file", "id", "chunk_text", text.is_noise(F.col("chunk_text"), learned).alias("noise"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         name = frame["source_file"].iloc[0]
+        columns = ["source_file", "status", "kind", "text"]
+        told = frame[~frame["noise"].astype(bool)].sort_values("id")["chunk_text"]
         try:
-            said = extract("\n\n".join(frame.sort_values("id")["chunk_text"]))
-            rows = [(name, 1, k, t) for k in ("decisions", "lessons", "people", "projects", "pending") for t in said.get(k, [])]
-            return pd.DataFrame(rows or [(name, 1, None, None)], columns=["source_file", "status", "kind", "text"])
+            said = extract("\n\n".join(told)) if len(told) else {}
+            rows = [(name, 1, k, t) for k in KINDS for t in said.get(k, [])]
+            return pd.DataFrame(rows or [(name, 1, None, None)], columns=columns)
         except Exception:  # an outside service
-            return pd.DataFrame([(name, -1, None, None)], columns=["source_file", "status", "kind", "text"])
+            return pd.DataFrame([(name, -1, None, None)], columns=columns)
 
     return own.groupBy("source_file").applyInPandas(run, "source_file string, status int, kind string, text string")
+
+
+# Where each kind of finding is written, and how: file and section. Fixed values.
+_SINKS = {
+    "decisions": ("memory/decisions.md", "Consolidação Automática"), "lessons": ("memory/lessons.md", "⏳ Táticas"), "people": ("memory/people.md", "Consolidação Automática"),
+    "projects": ("memory/projects.md", "Consolidação Automática"), "pending": ("memory/pending.md", "Consolidação Automática"),
+}
+
+
+def sink_lines(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(file, section, line): consolidated() findings as lines under a heading of their kind's file, each once, without those that
+    are like a chunk of `known` (id, chunk_text)."""
+    rows = found.filter("text is not null").groupBy("kind", "text").agg(F.min("source_file").alias("source_file")).withColumn("id", F.xxhash64("kind", "text"))
+    from engramix.operators import lifecycle
+
+    old = known.select("id", "chunk_text")
+    copies = lifecycle.near_copies(rows.select("id", F.col("text").alias("chunk_text")), old)
+    fresh = rows.join(copies.select("id"), "id", "left_anti").join(old.select(F.col("chunk_text").alias("text")), "text", "left_anti")
+    day = F.coalesce(F.nullif(F.regexp_extract("source_file", r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.lit("unknown"))
+    return fresh.select(score.lookup(F.col("kind"), {k: f for k, (f, _) in _SINKS.items()}, None).alias("file"), score.lookup(F.col("kind"), {k: h for k, (_, h) in _SINKS.items()}, None).alias("section"), F.concat(F.lit("- **"), day, F.lit(":** "), "text").alias("line"))
+
+
+def learned_noise(chunks: DataFrame, found: DataFrame, most: int = 200) -> DataFrame:
+    """(text_normalized, text_original) to remember as noise: chunks of fewer than `most` characters of files in which the model
+    found nothing."""
+    empty = found.groupBy("source_file").agg(F.min("status").alias("status"), F.count("text").alias("n")).filter("status = 1 and n = 0")
+    own = chunks.join(empty, "source_file", "left_semi").filter((F.length(F.trim("chunk_text")) < most) & ~text.is_noise(F.col("chunk_text")))
+    return own.groupBy(text.noise_key(F.col("chunk_text")).alias("text_normalized")).agg(F.min("chunk_text").alias("text_original"))

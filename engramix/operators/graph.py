@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
+from engramix.operators.search import if_few
 
 
 def _named(pattern: str, kind: str) -> Column:
@@ -90,33 +91,38 @@ def confirmed(relations: DataFrame, ids: list[int], as_of: Column) -> DataFrame:
 
 
 def undirected(relations: DataFrame) -> DataFrame:
+    """(u, v) for each relation, either way: an adjacency to store, bucketed by u, where paths are sought often."""
     r = relations.filter("source_id <> target_id")
-    return r.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), "id").union(r.select(F.col("target_id").alias("u"), F.col("source_id").alias("v"), "id")).groupBy("u", "v").agg(F.min("id").alias("rel"))
+    return r.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).union(r.select("target_id", "source_id"))
 
 
-def shortest_path(relations: DataFrame, start: int, end: int, most: int = 4) -> DataFrame:
+def shortest_path(relations: DataFrame, start: int, end: int, most: int = 4, edges: DataFrame | None = None) -> DataFrame:
     """(depth, path array<long>) of a shortest undirected path of at most `most` edges; of equals the one with the smallest ids.
 
-    Searched from both ends to the middle, one frontier join a step; a node keeps its smallest path from either end, so a
-    frontier never has more rows than nodes. The edges are persisted, as each step reads them."""
-    edges = undirected(relations).persist()
-
-    def layers(origin: int, steps: int, forward: bool) -> DataFrame:
-        frontier = relations.sparkSession.createDataFrame([(origin, [origin])], "node long, path array<long>")
-        seen, out = frontier.select("node"), frontier.withColumn("depth", F.lit(0))
-        for depth in range(1, steps + 1):
-            longer = F.concat("path", F.array("v")) if forward else F.concat(F.array("v"), "path")
-            grown = frontier.join(edges, frontier.node == edges.u).select(F.col("v").alias("node"), longer.alias("path"))
-            frontier = grown.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-            seen = seen.union(frontier.select("node"))
-            out = out.unionByName(frontier.withColumn("depth", F.lit(depth)))
-        return out
-
-    there = layers(start, -(-most // 2), True)
-    back = layers(end, most // 2, False).select("node", F.col("path").alias("rest"), F.col("depth").alias("more"))
-    whole = F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))
-    met = there.join(back, "node").select((F.col("depth") + F.col("more")).alias("depth"), whole.alias("path"))
-    return met.orderBy("depth", "path").limit(1)
+    Searched from both ends, one frontier join a step, until they meet; a node keeps its smallest path from either end, so a
+    frontier never has more rows than nodes. edges: a stored undirected(), else the relations are read once and kept for the steps."""
+    spark = relations.sparkSession
+    kept = [(undirected(relations) if edges is None else edges.select("u", "v")).persist()]
+    shape = "node long, path array<long>"
+    sides = [spark.createDataFrame([(n, [n])], shape) for n in (start, end)]
+    seen = [side.select("node") for side in sides]
+    found = [(0, [start])] if start == end else []
+    for depth in range(1, most + 1):
+        if found:
+            break
+        own = 0 if depth % 2 else 1
+        longer = F.array_append("path", F.col("v")) if own == 0 else F.array_prepend("path", F.col("v"))
+        grown = sides[own].join(kept[0], F.col("node") == F.col("u")).select(F.col("v").alias("node"), longer.alias("path"))
+        sides[own] = grown.join(seen[own], "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).persist()
+        kept.append(sides[own])
+        seen[own] = seen[own].union(sides[own].select("node"))
+        met = sides[0].join(sides[1].select("node", F.col("path").alias("rest")), "node")
+        best = met.agg(F.min(F.concat("path", F.slice("rest", F.lit(2), F.size("rest"))))).first()[0]  # one path
+        if best is not None:
+            found = [(depth, best)]
+    for df in kept:
+        df.unpersist()
+    return spark.createDataFrame(found, "depth int, path array<long>")
 
 
 def neighbourhood(relations: DataFrame, node: int) -> DataFrame:
@@ -138,7 +144,7 @@ def vault_facts(queries: DataFrame, entities: DataFrame, relations: DataFrame, k
     exactly: known reasons first, then confidence (none last), then the newest; within a budget of 25 tokens each and 20."""
     words = F.slice(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}#_-]+"), lambda w: F.length(w) >= 2), 1, 32)
     asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("w"))
-    hit = entities.join(F.broadcast(asked), F.lower("name") == F.col("w")).select("query_id", F.col("id").alias("e"))  # a caller's words
+    hit = entities.join(if_few(asked), F.lower("name") == F.col("w")).select("query_id", F.col("id").alias("e"))
     ends = relations.select(F.col("source_id").alias("e"), "id").union(relations.select("target_id", "id"))
     own = ends.join(hit, "e").select("query_id", "id").distinct()
     rows = relations.join(own, "id")
@@ -147,6 +153,16 @@ def vault_facts(queries: DataFrame, entities: DataFrame, relations: DataFrame, k
     return described(top, entities).select("query_id", "place", "source_name", "relation_type", "target_name", "reason", "confidence")
 
 
+def facts_block(facts: DataFrame) -> DataFrame:
+    """(query_id, block): each query's triples as lines of one tagged block. Angle brackets and line breaks in names become spaces, so
+    that no name can close the block; names are cut to 80 characters, relations to 40, reasons (none if unknown) to 20."""
+    plain = lambda c, n: F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[<>\n\r]", " "), r"\s+", " ")), 1, n)
+    why = F.when(F.col("reason").isNotNull() & (F.col("reason") != "unknown"), F.concat(F.lit(" ["), plain("reason", 20), F.lit("]"))).otherwise("")
+    line = F.concat(plain("source_name", 80), F.lit(" "), plain("relation_type", 40), F.lit(" "), plain("target_name", 80), why)
+    lines = F.array_sort(F.collect_list(F.struct("place", line.alias("t"))))  # k of a query
+    return facts.groupBy("query_id").agg(F.concat(F.lit("<vault-facts>\n"), F.array_join(F.transform(lines, lambda x: x["t"]), "\n"), F.lit("\n</vault-facts>")).alias("block"))
+
+
 def decision_history(versions: DataFrame) -> DataFrame:
     """Versions (key, version, content, created_at) with when each was superseded and which is current."""
     order = Window.partitionBy("key").orderBy("version")
@@ -179,7 +195,8 @@ def _near_keys(keys: DataFrame, least: float) -> DataFrame:
 def merge_candidates(entities: DataFrame, evidence: DataFrame, least: float = 0.85, protected: list[str] | None = None) -> DataFrame:
     """(a, b, rule, similarity, shared, risk): all pairs of one type with equal, contained or similar folded names.
 
-    evidence is (entity_id, chunk_id); pairs with one of the `protected` names (a short list of the caller's) have that risk."""
+    evidence is (entity_id, chunk_id); pairs with one of the `protected` names (a short list of the caller's) have that risk, else those whose mentions differ by
+    more than ten times (none counts as one)."""
     named = entities.withColumn("key", text.entity_key(F.col("name"))).filter("key <> ''")
     keys = _near_keys(named.select("entity_type", "key").distinct(), least)
     ratio = text.levenshtein_ratio(F.col("x"), F.col("y"))
@@ -194,7 +211,7 @@ def merge_candidates(entities: DataFrame, evidence: DataFrame, least: float = 0.
     own = lambda p: evidence.select(F.col("entity_id").alias(f"{p}_id"), "chunk_id")
     shared = found.select("a_id", "b_id").join(own("a"), "a_id").join(own("b"), ["b_id", "chunk_id"]).groupBy("a_id", "b_id").agg(F.count_distinct("chunk_id").alias("n"))
     both = found.join(shared, ["a_id", "b_id"], "left").withColumn("shared", F.coalesce("n", F.lit(0)))
-    lop = F.greatest("a_mention_count", "b_mention_count") > 10 * F.least("a_mention_count", "b_mention_count")
+    lop = F.greatest("a_mention_count", "b_mention_count") > 10 * F.greatest(F.lit(1), F.least("a_mention_count", "b_mention_count"))
     kept = [n.strip().lower() for n in protected or []]
     risk = F.when(F.col("a_key").isin(kept) | F.col("b_key").isin(kept), "protected").when(lop, "mentions").when((F.col("shared") == 0) & (F.col("similarity") < 0.95), "no_evidence").when((F.col("rule") == "substring") & (F.abs(F.length("a_key") - F.length("b_key")) > 8), "length").otherwise("low")
     return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "rule", "similarity", "shared", risk.alias("risk"))

@@ -75,6 +75,6 @@ def strengths(chunks: DataFrame, least: int = 50) -> DataFrame:
     return chunks.groupBy("agent").agg(F.count("*").alias("n")).filter(F.col("n") > least)
 
 
-def formatted(rows: DataFrame) -> DataFrame:
+def formatted(rows: DataFrame, *keep: str) -> DataFrame:
     """Search results (rank, score, chunk_type, source_file, chunk_text) as lines."""
-    return rows.select("rank", F.format_string("%d. [%s] %s (%.2f)\n   %s", "rank", "chunk_type", "source_file", F.col("score").cast("double"), text.one_liner(F.col("chunk_text"))).alias("line"))
+    return rows.select(*keep, "rank", F.format_string("%d. [%s] %s (%.2f)\n   %s", "rank", "chunk_type", "source_file", F.col("score").cast("double"), text.one_liner(F.col("chunk_text"))).alias("line"))

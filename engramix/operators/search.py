@@ -5,6 +5,7 @@ All operators take a frame of queries (query_id, query), so one query is a one-r
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,17 +24,48 @@ CANDIDATES = 20
 RRF_K = 60
 
 
+#: Rows of a caller's queries (or of what is found for them) that are sent to every task; more are joined by shuffle.
+FEW = 10_000
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def parsed(query: Column) -> Column:
+    """The query as alternatives (OR) of factors (AND) of groups of terms: a factor's first group is wanted, each other one
+    (NOT) is refused; within a group all terms. The operators are upper-case words; words beside each other are a group. Null
+    if an operator lacks a side, or there is no term."""
+    cut = lambda c, word: F.split(c, rf"(?<!\S){word}(?!\S)")
+    groups = lambda factor: F.transform(cut(factor, "NOT"), lambda g: F.array_distinct(text.terms(g)))
+    factors = lambda clause: F.transform(cut(clause, "AND"), groups)
+    whole = F.transform(cut(text.sanitized_query(query), "OR"), factors)
+    return F.when(~F.exists(F.flatten(F.flatten(whole)), lambda g: F.size(g) == 0), whole)
+
+
+def _satisfied(expression: Column, have: Column) -> Column:
+    holds = lambda group: F.forall(group, lambda t: F.array_contains(have, t))
+    fits = lambda factor: holds(F.get(factor, F.lit(0))) & ~F.exists(F.slice(factor, F.lit(2), F.size(factor)), holds)
+    return F.exists(expression, lambda clause: F.forall(clause, fits))
+
+
 def _weighted(tokens: Column, weight: float) -> Column:
     return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
 
 
 def postings(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(id, token, wtf, dl): weighted frequency of each term in each chunk, and the chunk's terms over all columns: an index to
-    store, partitioned or bucketed by token, where one store is searched often. by: columns to keep."""
+    store, partitioned by part_of(token), where one store is searched often. by: columns to keep."""
     keep = by or []
     return _terms(chunks, keep).groupBy("id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
 
 
+def part_of(token: Column, parts: int = 256) -> Column:
+    """The part of a stored index that holds a term."""
+    return F.pmod(F.xxhash64(token), F.lit(parts)).cast("int")
+
+
 def _length() -> Column:
     return sum((text.term_count(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS), F.lit(0))
 
@@ -49,32 +81,41 @@ def _terms(chunks: DataFrame, keep: list[str], wanted: DataFrame | None = None)
 
 
 def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(n, avgdl), for each group of `by`: one row for a store."""
+    """(n, avgdl), for each group of `by`: one row for a store; to be stored beside an index."""
     keep = by or []
     return chunks.select(*keep, _length().alias("dl")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, by: list[str] | None = None, limit: int | None = CANDIDATES, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, [by], id, bm25, base_rank): chunks that hold every term of a query, best first, at most `limit`.
+def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = None, limit: int | None = CANDIDATES, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, [by], id, bm25, base_rank): chunks that a query (see parsed()) matches, best first, at most `limit`. Terms that a
+    query refuses only don't score.
 
-    by: columns of chunks that name a store; each has its own statistics and its own ranking."""
+    by: columns of chunks that name a store; each has its own statistics and its own ranking. index and stats: stored
+    postings() and corpus_stats(), with which the chunks aren't read."""
     keep = by or []
-    asked = queries.select("query_id", F.explode(F.array_distinct(text.terms(F.col("query")))).alias("token"))
-    wanted = queries.select("query_id", F.size(F.array_distinct(text.terms(F.col("query")))).alias("terms"))
-    # queries come from a caller, not from the data, so they are broadcast; other terms are dropped before any shuffle
+    read = queries.select("query_id", parsed(F.col("query")).alias("expression")).filter("expression is not null")
+    flat = F.flatten(F.flatten("expression"))
+    positive = F.flatten(F.transform(F.flatten("expression"), lambda factor: F.get(factor, F.lit(0))))
+    asked = read.select("query_id", F.explode(F.array_distinct(F.flatten(flat))).alias("token"), positive.alias("ps")).select("query_id", "token", F.array_contains("ps", F.col("token")).alias("scores"))
+    few = asked.limit(FEW + 1).count() <= FEW
+    hint = F.broadcast if few else lambda df: df
     if index is not None:
-        held = index.join(F.broadcast(asked), "token")
-    else:
+        part = "part" in index.columns
+        wanted = asked.withColumn("part", part_of(F.col("token"))) if part else asked
+        held = index.join(hint(wanted), ["token", "part"] if part else "token")
+    elif few:  # other terms are dropped before any shuffle
         every = asked.agg(F.collect_set("token").alias("all"))
-        held = _terms(chunks, keep, every).join(F.broadcast(asked), "token").groupBy("query_id", "id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
+        held = _terms(chunks, keep, every).join(hint(asked), "token").groupBy("query_id", "id", *keep, "dl", "token", "scores").agg(F.sum("w").alias("wtf"))
+    else:
+        held = postings(chunks, keep).join(asked, "token")
     df = held.groupBy("query_id", *keep, "token").agg(F.count("*").alias("df"))
-    stats = corpus_stats(chunks, keep)
-    rated = held.join(F.broadcast(df), ["query_id", *keep, "token"])
-    rated = rated.join(F.broadcast(stats), keep) if keep else rated.crossJoin(F.broadcast(stats))  # one row
+    stats = corpus_stats(chunks, keep) if stats is None else stats
+    rated = held.join(hint(df), ["query_id", *keep, "token"])
+    rated = rated.join(stats, keep) if keep else rated.crossJoin(F.broadcast(stats))  # one row
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = rated.groupBy("query_id", *keep, "id").agg(F.sum(gain).alias("bm25"), F.count("*").alias("met"))
-    hits = hits.join(F.broadcast(wanted), "query_id").filter("met = terms").select("query_id", *keep, "id", "bm25")
+    hits = rated.groupBy("query_id", *keep, "id").agg(F.sum(F.when(F.col("scores"), gain)).alias("bm25"), F.collect_set("token").alias("have"))
+    hits = hits.join(hint(read), "query_id").filter(_satisfied(F.col("expression"), F.col("have"))).select("query_id", *keep, "id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
     rank = F.row_number().over(Window.partitionBy("query_id", *keep).orderBy(F.round("bm25", 9).desc(), "id"))
     ranked = hits.withColumn("base_rank", rank)
     return ranked.filter(F.col("base_rank") <= limit) if limit else ranked
@@ -91,9 +132,9 @@ def boosts(as_of: Column, kind: float, recent: float, entities: Column, tiers: b
     return total
 
 
-def lexical(queries: DataFrame, chunks: DataFrame, as_of: Column, limit: int = 5, entities: Column | None = None, **options: bool) -> DataFrame:
-    """Boosted lexical results: (query_id, id, score, rank) and the chunks' columns."""
-    hits = bm25(queries, chunks).join(chunks, "id")
+def lexical(queries: DataFrame, chunks: DataFrame, as_of: Column, limit: int = 5, entities: Column | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, **options: bool) -> DataFrame:
+    """Boosted lexical results: (query_id, id, score, rank) and the chunks' columns. index, stats: see bm25()."""
+    hits = bm25(queries, chunks, index=index, stats=stats).join(chunks, "id")
     scored = hits.withColumn("score", score.round2(F.abs("bm25") * (1 + boosts(as_of, 1.0, 0.5, entities or F.lit(0), **options))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "base_rank"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
@@ -112,10 +153,13 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, base_rank) of the k nearest vectors (id, embedding) of each query (query_id, vector).
 
-    The stated queries are sent to the vectors; each task keeps k of each before anything is shuffled."""
-    pairs = vectors.join(F.broadcast(queries), F.size("vector") == F.size("embedding"))  # queries come from a caller
-    far = pairs.select("query_id", "id", l2(F.col("vector"), F.col("embedding")).alias("distance"))
+    A few stated queries are sent to the vectors; more go there in passes. Each task keeps k of each before anything is shuffled."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    if queries.limit(STATED + 1).count() <= STATED:
+        pairs = vectors.join(F.broadcast(queries), F.size("vector") == F.size("embedding"))
+        far = pairs.select("query_id", "id", l2(F.col("vector"), F.col("embedding")).alias("distance"))
+    else:
+        far = _in_passes(queries, vectors, k, False).select("query_id", "id", F.sqrt("far").alias("distance"))
     return far.withColumn("base_rank", rank).filter(F.col("base_rank") <= k)
 
 
@@ -214,19 +258,11 @@ def entity_count(queries: DataFrame, names: list[str]) -> DataFrame:
         found = F.array_distinct(F.regexp_extract_all("query", F.lit(r"(\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b|\"[^\"]+\")"), F.lit(1)))
         return queries.select("query_id", F.size(found).alias("entities"))
 
-    @F.pandas_udf("int")
-    def count(values: pd.Series) -> pd.Series:
-        def one(value: str | None) -> int:
-            rest, n = (value or "").lower(), 0
-            for name in ordered:
-                if name in rest:
-                    n += 1
-                    rest = rest.replace(name, " " * len(name))
-            return n
-
-        return values.map(one)
-
-    return queries.select("query_id", count("query").alias("entities"))
+    known = F.from_json(F.lit(json.dumps(ordered)), "array<string>")
+    start = F.struct(F.lower(F.coalesce("query", F.lit(""))).alias("rest"), F.lit(0).alias("n"))
+    blanked = lambda s, name: F.struct(F.replace(s["rest"], name, F.repeat(F.lit(" "), F.length(name))).alias("rest"), (s["n"] + 1).alias("n"))
+    found = F.aggregate(known, start, lambda s, name: F.when(F.contains(s["rest"], name), blanked(s, name)).otherwise(s), lambda s: s["n"])
+    return queries.select("query_id", found.alias("entities"))
 
 
 def temporal_rerank(rows: DataFrame, queries: DataFrame, as_of: Column, sigma: float = 30.0) -> DataFrame:
@@ -234,7 +270,7 @@ def temporal_rerank(rows: DataFrame, queries: DataFrame, as_of: Column, sigma: f
 
     Without a date in the query, the upper median of the top five's days stands in (two days at least)."""
     intent = queries.select("query_id", text.temporal_intent(F.col("query"), as_of).alias("i")).select("query_id", "i.source", "i.anchor")
-    top = rows.filter("rank <= 20").join(F.broadcast(intent), "query_id")
+    top = rows.filter("rank <= 20").join(if_few(intent), "query_id")
     within = Window.partitionBy("query_id")
     days = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("rank") <= 5, F.col("day"))).over(within)))
     middle = F.when(F.size(days) >= 2, F.get(days, F.floor(F.size(days) / 2).cast("int")))
@@ -303,66 +339,78 @@ def rank_changes(before: DataFrame, after: DataFrame, k: int = 10) -> DataFrame:
     return both.groupBy("query_id").agg(F.count_if(~F.col("ra").eqNullSafe(F.col("rb"))).alias("position_changes"), F.round(F.sum(shift) / (F.count("*") * k), 6).alias("mean_shift"))
 
 
-#: Query vectors and candidate vectors in a block of the exact search.
-BLOCKS = (1024, 4096)
+#: Stated queries that are compared by column expressions, and bytes of query vectors that are sent to all tasks in a pass beyond.
+STATED, PASS_BYTES = 64, 16 << 20
 
 
-def _pairs_kept(k: int):
-    """Of two blocks of vectors, each query's k most similar candidates (1 - d^2 / 2, to nine digits; then the smaller id)."""
+def _nearest_here(asked, k: int, rounded: bool):
+    """Over frames of vectors: the k nearest of each broadcast query among them all, its own id aside if `rounded`."""
 
-    def keep(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        sizes = held["embedding"].map(len)
-        for size, part in queries.groupby(queries["vector"].map(len)):
-            near = held[sizes == size]
-            if not size or near.empty:
-                continue
-            x, y = (np.stack(v.to_list()).astype(np.float64) for v in (part["vector"], near["embedding"]))
-            ids, at = near["id"].to_numpy(), (y * y).sum(1)
-            for q, v in zip(part["query_id"].to_numpy(), x, strict=True):
-                # products find what may be among the first, differences rank it
-                rough = at + v @ v - 2 * (y @ v)
-                rough[ids == q] = np.inf
-                bound = np.partition(rough, min(k, len(rough)) - 1)[min(k, len(rough)) - 1]
-                i = np.flatnonzero((rough <= bound + 1e-7 * (1 + v @ v + at)) & (ids != q))
-                s = 1 - ((y[i] - v) ** 2).sum(1) / 2
-                best = np.lexsort((ids[i], -np.round(s, 9)))[:k]
-                out.append((np.full(len(best), q), ids[i][best], s[best]))
-        q, i, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": q, "id": i, "similarity": s})
+    def order(far: np.ndarray) -> np.ndarray:
+        return -np.round(1 - far / 2, 9) if rounded else far
 
-    return keep
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for frame in frames:
+            sizes = frame["embedding"].map(len).to_numpy()
+            for size, (qids, x) in asked.value.items():
+                near = frame[sizes == size]
+                if not size or near.empty:
+                    continue
+                y, ids = np.stack(near["embedding"].to_list()).astype(np.float64), near["id"].to_numpy()
+                at = (y * y).sum(1)
+                for lo in range(0, len(qids), 256):
+                    rough = at - 2 * (x[lo : lo + 256] @ y.T) + (x[lo : lo + 256] ** 2).sum(1)[:, None]
+                    for n, row in enumerate(rough, lo):
+                        # products find what may be among the first, differences rank it
+                        own = ids == qids[n] if rounded else np.zeros(len(ids), bool)
+                        row[own] = np.inf
+                        held, far = best.get((size, n), (np.zeros(0, np.int64), np.zeros(0)))
+                        most = far[-1] if len(held) == k else np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1] if len(row) >= k else np.inf
+                        i = np.flatnonzero((row <= most + 1e-7 * (1 + at + (x[n] ** 2).sum())) & ~own)
+                        if len(i):
+                            held, far = np.concatenate([held, ids[i]]), np.concatenate([far, ((y[i] - x[n]) ** 2).sum(1)])
+                            first = np.lexsort((held, order(far)))[:k]
+                            best[size, n] = held[first], far[first]
+        for (size, n), (held, far) in best.items():
+            yield pd.DataFrame({"query_id": np.full(len(held), asked.value[size][0][n]), "id": held, "far": far})
+
+    return search
+
+
+def _in_passes(queries: DataFrame, vectors: DataFrame, k: int, rounded: bool) -> DataFrame:
+    """(query_id, id, far): squared distances of each query's k nearest vectors in each task. Vectors stay where they are; the
+    queries are sent to them PASS_BYTES at a time."""
+    q, v = queries.filter("vector is not null").select("query_id", "vector"), vectors.filter("embedding is not null").select("id", "embedding")
+    spark = q.sparkSession
+    components = q.agg(F.sum(F.size("vector"))).first()[0] or 0
+    passes = max(1, -(-8 * components // PASS_BYTES))
+    out = None
+    for turn in range(passes):
+        rows = q.filter(F.pmod(F.xxhash64("query_id", "vector"), F.lit(passes)) == turn).collect() if passes > 1 else q.collect()  # about PASS_BYTES
+        by: dict[int, list] = {}
+        for r in rows:
+            by.setdefault(len(r.vector), []).append(r)
+        asked = spark.sparkContext.broadcast({n: (np.array([r.query_id for r in rs], np.int64), np.array([r.vector for r in rs], np.float64).reshape(len(rs), n)) for n, rs in by.items()})
+        part = v.mapInPandas(_nearest_here(asked, k, rounded), "query_id long, id long, far double")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def most_similar(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, similarity, r): the k vectors (id, embedding) most similar to each query (query_id, vector), itself aside,
-    among all of its size. Exact: each block of queries meets each block of vectors, however many there are of either."""
-    q, v = queries.filter("vector is not null"), vectors.filter("embedding is not null")
-    rows, columns = (max(1, -(-df.count() // n)) for df, n in ((q, BLOCKS[0]), (v, BLOCKS[1])))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("qb")).select("*", each(columns).alias("vb"))
-    right = v.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("vb")).select("*", each(rows).alias("qb"))
-    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(_pairs_kept(k), "query_id long, id long, similarity double")
+    """(query_id, id, similarity, r): the k vectors (id, embedding) most similar (1 - d^2 / 2, to nine digits; then the smaller id)
+    to each query (query_id, vector), itself aside, among all of its size. Exact, however many there are of either."""
+    met = _in_passes(queries, vectors, k, True).withColumn("similarity", 1 - F.col("far") / 2).drop("far")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id"))
     return met.withColumn("r", rank).filter(F.col("r") <= k)
 
 
-def churn(chunks: DataFrame, vectors: DataFrame, since: Column, k: int = 5, least: float = 0.8, kind: str | None = None, block: str | None = None) -> DataFrame:
-    """For each chunk created after `since` its nearest older neighbour among the k + 1 nearest, if similar enough:
-    (new_id, old_id, new_file, old_file, similarity, exact).
-
-    Similarity is 1 - d^2 / 2 of unit vectors. Neighbours are sought among all vectors; with `block`, a column of vectors,
-    only within its equal values, which loses neighbours and changes the result."""
+def churn(chunks: DataFrame, vectors: DataFrame, since: Column, k: int = 5, least: float = 0.8, kind: str | None = None) -> DataFrame:
+    """For each chunk created after `since` its nearest older neighbour among the k + 1 nearest of all, if similar enough:
+    (new_id, old_id, new_file, old_file, similarity, exact). Similarity is 1 - d^2 / 2 of unit vectors."""
     own = chunks if kind is None else chunks.filter(F.col("chunk_type") == kind)
-    on = [block] if block else []
-    fresh = vectors.join(own.filter(F.col("created_at") >= since).select("id"), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), *on)
-    if block:
-        pairs = vectors.join(own.select("id"), "id").join(fresh, on).filter("id <> query_id")
-        near = pairs.select("query_id", "id", (1 - F.pow(l2(F.col("vector"), F.col("embedding")), 2.0) / 2).alias("similarity"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id"))
-        top = near.withColumn("r", rank).filter(F.col("r") <= k + 1)
-    else:
-        top = most_similar(fresh, vectors.join(own.select("id"), "id"), k + 1)
+    fresh = vectors.join(own.filter(F.col("created_at") >= since).select("id"), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    top = most_similar(fresh, vectors.join(own.select("id"), "id", "left_semi"), k + 1)
     older = top.join(own.select("id", "created_at", "source_file"), "id").filter((F.col("created_at") < since) & (F.col("similarity") >= least))
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("r"))
     best = older.withColumn("f", first).filter("f = 1")

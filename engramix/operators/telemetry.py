@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,9 +129,19 @@ def health(numbers: DataFrame) -> DataFrame:
 
 def deltas(snapshots: DataFrame, hours: int = 24) -> DataFrame:
     """(ts, value, change) against the latest snapshot (ts, value) that is at least so old, found by an as-of window."""
-    seconds = F.unix_seconds("ts")
-    earlier = Window.partitionBy(F.lit(1)).orderBy(seconds).rangeBetween(Window.unboundedPreceding, -hours * 3600)  # one store's snapshots
-    return snapshots.withColumn("was", F.last("value").over(earlier)).select("ts", "value", (F.col("value") - F.col("was")).alias("change"))
+    # by day of the snapshot: the one sought is the last of the same or the day before that is old enough, else the last of the
+    # latest day before; days are few, their snapshots are looked at day by day
+    step = F.expr(f"INTERVAL {hours} HOURS")
+    own = snapshots.select("ts", "value", F.to_date("ts").alias("day"))
+    days = own.groupBy("day").agg(F.max_by("value", "ts").alias("last"))
+    order = Window.partitionBy(F.lit(1)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    asked = own.withColumn("upto", F.col("ts") - step).withColumn("on", F.to_date("upto"))
+    same = asked.join(own.select(F.col("day").alias("on"), F.col("ts").alias("t"), F.col("value").alias("v")), "on").filter("t <= upto").groupBy("ts", "value").agg(F.max_by("v", "t").alias("was"))
+    covered = asked.join(same, ["ts", "value"], "left")
+    # without one of that day: the last of the latest day before it
+    known = days.select("day").union(asked.select("on")).distinct()
+    upto = known.join(days, "day", "left").withColumn("before", F.last("last", ignorenulls=True).over(order)).select(F.col("day").alias("on"), "before")
+    return covered.join(upto, "on", "left").select("ts", "value", (F.col("value") - F.coalesce("was", "before")).alias("change"))
 
 
 def agent_profiles(chunks: DataFrame, top: int = 5) -> DataFrame:
@@ -138,3 +151,31 @@ def agent_profiles(chunks: DataFrame, top: int = 5) -> DataFrame:
     ranked = by.withColumn("r", r)
     types = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "chunk_type", "n")))), lambda x: F.concat_ws(":", x["chunk_type"], x["n"].cast("string"))), ",")
     return ranked.groupBy("agent").agg(F.sum("n").alias("chunks"), F.max("last").alias("last_date"), F.max(F.when(F.col("r") == 1, F.col("chunk_type"))).alias("dominant"), types.alias("types"))
+
+
+class Queue:
+    """Rows of telemetry on their way to a sink: at most `capacity` wait, of more the oldest go. put() never waits for the sink;
+    drain() hands over what is there, and a row that the sink refuses is counted and dropped."""
+
+    def __init__(self, write: Callable[[dict], None], capacity: int = 500) -> None:
+        self.rows: deque[dict] = deque(maxlen=capacity)
+        self.write, self.dropped, self.refused = write, 0, 0
+
+    def put(self, row: dict) -> None:
+        self.dropped += len(self.rows) == self.rows.maxlen
+        self.rows.append(row)
+
+    def drain(self) -> int:
+        done = 0
+        while self.rows:
+            try:
+                self.write(self.rows.popleft())
+                done += 1
+            except Exception:  # the sink's own fault
+                self.refused += 1
+        return done
+
+
+def newest_rows(rows: DataFrame, order: str, capacity: int = 500) -> DataFrame:
+    """What a Queue of the rows would hold: the newest `capacity` by `order`."""
+    return rows.orderBy(F.desc(order)).limit(capacity)

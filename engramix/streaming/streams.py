@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from engramix import vocab
+from engramix.functions import score, text
+from engramix.operators import extract
+
 
 def watch_files(spark: SparkSession, root: str, per_trigger: int = 100) -> DataFrame:
     """A stream of (source_file, text, modified) of new and changed .md and .txt files up to 5 MB."""
@@ -16,14 +21,42 @@ def watch_files(spark: SparkSession, root: str, per_trigger: int = 100) -> DataF
 
 
 def latest_of_each(batch: DataFrame) -> DataFrame:
-    """The newest version of each file of a micro-batch, in place of a debounce."""
-    r = F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("modified")))
+    """The newest version of each file of a micro-batch, in place of a debounce; of versions of one time the last by text."""
+    r = F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("modified"), F.desc("text")))
     return batch.withColumn("_r", r).filter("_r = 1").drop("_r")
 
 
-def run_ingest(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch's newest files go to `handle`; runs until all that is there is done."""
-    return stream.writeStream.foreachBatch(lambda batch, n: handle(latest_of_each(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def allowed(hour: int, forbidden: tuple[int, int] | None) -> bool:
+    """Whether a batch may run at this hour of the day; forbidden: (from, to) hours, over midnight if from is the larger."""
+    if forbidden is None or forbidden[0] == forbidden[1]:
+        return True
+    first, last = forbidden
+    inside = first <= hour < last if first < last else hour >= first or hour < last
+    return not inside
+
+
+def allowed_at(hour: Column, forbidden: tuple[int, int]) -> Column:
+    """allowed() of a column of hours."""
+    return hour.isin([h for h in range(24) if allowed(h, forbidden)])
+
+
+class Forbidden(RuntimeError):
+    """A batch came in hours in which none may run; the stream ends, and goes on from its checkpoint later."""
+
+
+def run_ingest(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, forbidden: tuple[int, int] | None = None, hour: Callable[[], int] | None = None) -> StreamingQuery:
+    """Each micro-batch's newest files go to `handle`; runs until all that is there is done or, with `every` (an interval), on and on.
+
+    No batch runs in the forbidden hours; hour gives the time of day (UTC by default)."""
+    clock = hour or (lambda: dt.datetime.now(dt.UTC).hour)
+
+    def run(batch: DataFrame, n: int) -> None:
+        if not allowed(clock(), forbidden):
+            raise Forbidden(f"batch {n} at {clock()} h")
+        handle(latest_of_each(batch), n)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def once_only(events: DataFrame, time: str = "ts", delay: str = "1 hour", keys: tuple[str, ...] = ("kind", "session_id", "seq")) -> DataFrame:
@@ -38,6 +71,34 @@ def new_events(events: DataFrame, store: DataFrame) -> DataFrame:
     return own.join(held, ["kind", "session_id", "seq"], "left_anti")
 
 
+def checked(events: DataFrame) -> DataFrame:
+    """events (kind, session_id, content, scope, host, seq) with `error`: null, or why an event isn't taken in."""
+    given = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    bad = lambda c, shape: given(c) & ~text.valid(F.col(c), shape)
+    reason = F.when(~F.coalesce(F.col("kind").isin(*vocab.EVENT_KINDS), F.lit(False)), "kind").when(~text.valid(F.trim("session_id"), vocab.SESSION_ID), "session_id")
+    reason = reason.when(F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " ")) == "", "content").when(F.octet_length("content") > vocab.EVENT_BYTES, "content")
+    return events.withColumn("error", reason.when(bad("scope", vocab.SCOPE), "scope").when(bad("host", vocab.HOST), "host").when(bad("seq", vocab.SEQ), "seq"))
+
+
+def taken_in(events: DataFrame, store: DataFrame, as_of: Column) -> DataFrame:
+    """Chunks (source_file, chunk_text, chunk_type, source_date, retention_days, metadata) of the valid events that the store's
+    metadata doesn't hold yet: redacted, under a heading, in a file of their session."""
+    good = checked(events).filter("error is null").withColumn("session_id", F.trim("session_id"))
+    own = new_events(good, store).withColumn("r", extract.event_secrets(F.col("content")))
+    scope, host = (F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d)) for c, d in (("scope", "unscoped"), ("host", "unknown")))
+    seq = F.nullif(F.nullif(F.col("seq"), F.lit("")), F.lit("0"))
+    head = score.lookup(F.col("kind"), vocab.EVENT_KINDS, None)
+    day = as_of.cast("date")
+    return own.select(
+        F.concat(F.lit("events/"), host, F.lit("/"), scope, F.lit("/"), "session_id", F.coalesce(F.concat(F.lit("-"), seq), F.lit("")), F.lit(".md")).alias("source_file"),
+        F.concat(F.lit("## "), head, F.lit(" — "), scope, F.lit(" ("), host, F.lit(", "), day.cast("string"), F.lit(")\n\n"), "r.text").alias("chunk_text"),
+        F.lit("daily").alias("chunk_type"),
+        day.alias("source_date"),
+        F.lit(vocab.RETENTION_DAYS["daily"]).alias("retention_days"),
+        F.to_json(F.struct(F.lit("ingest-event").alias("source"), "kind", "session_id", seq.alias("seq"), scope.alias("scope"), host.alias("host"), F.col("r.count").alias("redaction_count"))).alias("metadata"),
+    )
+
+
 def tumbling(events: DataFrame, length: str = "1 day", delay: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """(start, by, n, total) of each window; the same for a batch and a stream (late events beyond the delay are dropped there)."""
     own = events.withWatermark("ts", delay) if events.isStreaming else events

@@ -102,12 +102,13 @@ FACTS = [
 ]
 
 NOISE = [
-    "ok", "ok entendi", "entendi", "certo", "certo entendi", "feito", "ok feito", "já feito", "sim", "não", "obrigado", "valeu", "muito obrigado",
-    "perfeito", "ótimo", "muito bom", "combinado", "pode ser", "tá bom", "tá ótimo", "beleza", "show", "boa", "muito boa",
-    "got it", "understood", "ok got it", "sounds good", "perfect", "done", "noted", "ack", "acknowledged", "will do",
-    "thanks", "thank you", "thx", "ty", "yes", "no", "yep", "nope", "sure", "push", "completed",
+    "ok", "ok entendi", "entendi", "certo", "certo entendi", "feito", "feito!", "ok feito", "já feito", "sim", "sim!", "não", "nao", "obrigado", "obrigado!", "obrigado!!", "valeu", "valeu!", "muito obrigado",
+    "perfeito", "perfeito!", "ótimo", "otimo", "ótimo!", "muito bom", "combinado", "combinado!", "pode ser", "tá bom", "ta bom", "tá ótimo", "beleza", "show", "show!", "boa", "boa!", "muito boa",
+    "👍", "👍👍", "✅", "🙏", "❤️", "👏", "ok!", "👌", "😊", "🤝",
+    "got it", "understood", "ok got it", "sounds good", "perfect", "done", "noted", "ack", "acknowledged", "will do", "thanks", "thank you", "thx", "ty", "yes", "no", "yep", "nope", "sure",
+    "push", "done!", "completed", "ok.",
 ]
-NOISE_PATTERNS = [r"^[\.\-_,;:!?\s]+$", r"^\s*\d+\s*$", r"(?i)^(ok|sim|não|nao|yes|no|yep|nope)\.?\s*$"]
+NOISE_PATTERNS = [r"^\s*[👍👌✅🙏❤️👏😊🤝💪🔥]+\s*$", r"^\s*[\.\-_,;:!?]+\s*$", r"^\s*\d+\s*$", r"(?i)^(ok|sim|não|nao|yes|no|yep|nope)\.?\s*$"]
 
 MONTHS = {
     "janeiro": 1, "fevereiro": 2, "março": 3, "marco": 3, "abril": 4, "maio": 5, "junho": 6, "julho": 7, "agosto": 8, "setembro": 9, "outubro": 10, "novembro": 11, "dezembro": 12,
@@ -126,6 +127,18 @@ NEGATION = r"(?i)não|nunca|evitar|proibido|errado|falha|bug|erro"
 TOPIC_STOP = r"(?i)decisão|projeto|sistema|porque|quando|sempre"
 
 
+# Shapes of a caller's parameters.
+SCOPE = r"^[\p{L}\p{N}][\p{L}\p{N}._-]{0,63}$"
+AGENT = r"^[a-z0-9][a-z0-9-]{0,31}$"
+SINCE = r"^(\d{1,4})([hdw])$"
+SESSION_ID = r"^[\p{L}\p{N}][\p{L}\p{N}._:-]{0,99}$"
+HOST = r"^[a-z0-9][a-z0-9.-]{0,31}$"
+SEQ = r"^[A-Za-z0-9._-]{1,32}$"
+# Kinds of events that are taken in, with the heading of their digest, and how long one may be.
+EVENT_KINDS = {"session_end": "Session digest", "pre_compact": "Compaction digest"}
+EVENT_BYTES = 16 * 1024
+
+
 def case_sql(column: str, values: dict, default: object) -> str:
     """A CASE expression over a fixed map, in plain SQL."""
     show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)"
