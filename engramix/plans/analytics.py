@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
-from engramix.operators import answers, brief, graph, lifecycle, telemetry
+from engramix.operators import answers, brief, graph, lifecycle, scan, telemetry
 from engramix.plans.registry import query
 from engramix.plans.retrieval import _SALIENT
 from engramix.plans.views import AS_OF, CHUNKS, GRAPH, chunks, now, table
@@ -21,43 +21,42 @@ from engramix.vocab import case_sql
 @query("SELECT p_partkey, p_name FROM part WHERE p_type ILIKE '%a%' AND starts_with(p_brand, 'Brand#1') AND p_name NOT LIKE '%\\_%' ESCAPE '\\'")
 def b01_like_filters(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
-    return part.filter(F.col("p_type").ilike("%a%") & F.col("p_brand").startswith("Brand#1") & ~F.contains("p_name", F.lit("_"))).select("p_partkey", "p_name")
+    return part.filter(scan.holds(F.col("p_type"), "a") & scan.begins(F.col("p_brand"), "Brand#1") & ~scan.holds(F.col("p_name"), "_")).select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey FROM orders WHERE lower(o_orderpriority) IN ('1-urgent', '2-high') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def b02_in_lists(spark: SparkSession, folder: str) -> DataFrame:
-    poor = table(spark, folder, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, folder, "orders").filter(F.lower("o_orderpriority").isin("1-urgent", "2-high")).join(poor, "o_custkey", "left_semi").select("o_orderkey")
+    poor = table(spark, folder, "customer").filter("c_acctbal < 0").select("c_custkey")
+    urgent = table(spark, folder, "orders").filter(scan.folded_in(F.col("o_orderpriority"), ["1-URGENT", "2-high"]))
+    return scan.members(urgent, "o_custkey", poor).select("o_orderkey")
 
 
 @query(CHUNKS + f" SELECT id, chunk_type FROM chunks WHERE source_date >= DATE '{AS_OF}' - 30 AND created_at < DATE '{AS_OF}' - 500")
 def b03_date_windows(spark: SparkSession, folder: str) -> DataFrame:
-    c = chunks(spark, folder)
-    return c.filter((F.col("source_date") >= F.date_sub(F.to_date(now()), 30)) & (F.col("created_at") < F.date_sub(F.to_date(now()), 500))).select("id", "chunk_type")
+    return chunks(spark, folder).filter(scan.since_days(F.col("source_date"), now(), 30) & scan.before_days(F.col("created_at"), now(), 500)).select("id", "chunk_type")
 
 
 @query("SELECT event_type, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-27') AS current, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20') AS baseline FROM events GROUP BY 1")
 def b04_dual_windows(spark: SparkSession, folder: str) -> DataFrame:
     at = lambda d: F.lit(d).cast("timestamp")
-    ts = F.col("ts").cast("timestamp")
-    return table(spark, folder, "events").groupBy("event_type").agg(F.count_if((ts > at("2024-01-20")) & (ts < at("2024-01-27"))).alias("current"), F.count_if((ts > at("2024-01-05")) & (ts < at("2024-01-20"))).alias("baseline"))
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return scan.two_windows(events, "event_type", "ts", (at("2024-01-20"), at("2024-01-27")), (at("2024-01-05"), at("2024-01-20")))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) % 7 = 3")
 def b05_json_predicates(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    return table(spark, folder, "events").withColumn("k", k).filter(F.coalesce("k", F.lit(0)) % 7 == 3).select("event_id", "k")
+    events = table(spark, folder, "events").filter(scan.json_number(F.col("props"), "$.k", 0) % 7 == 3)
+    return events.select("event_id", scan.json_number(F.col("props"), "$.k").alias("k"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 50")
 def b07_incremental_read(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").filter("doc_id > 100").orderBy("doc_id").limit(50).select("doc_id", "text")
+    return scan.page_after(table(spark, folder, "documents"), "doc_id", 100).select("doc_id", "text")
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\b\d{4}[- ]\d{4}[- ]\d{4}[- ]\d{4}\b') OR regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.-]+')")
 def b08_regex_predicates(spark: SparkSession, folder: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, folder, "documents").filter(t.rlike(r"\b\d{4}[- ]\d{4}[- ]\d{4}[- ]\d{4}\b") | t.rlike(r"[\w.+-]+@[\w-]+\.[\w.-]+")).select("doc_id")
+    return scan.matching(table(spark, folder, "documents"), "text", [r"\b\d{4}[- ]\d{4}[- ]\d{4}[- ]\d{4}\b", r"[\w.+-]+@[\w-]+\.[\w.-]+"]).select("doc_id")
 
 
 # --- graph -----------------------------------------------------------------------------------------------------------
@@ -78,9 +77,9 @@ def c04_touching_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(CHUNKS + " SELECT chunk_type, count(*) AS n FROM chunks WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1) AND id NOT IN (SELECT vec_id FROM embeddings) GROUP BY 1")
 def c06_semi_and_anti(spark: SparkSession, folder: str) -> DataFrame:
-    good = table(spark, folder, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
-    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"))
-    return chunks(spark, folder).join(good, "id", "left_semi").join(vectors, "id", "left_anti").groupBy("chunk_type").agg(F.count("*").alias("n"))
+    good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    own = scan.others(scan.members(chunks(spark, folder), "id", good), "id", table(spark, folder, "embeddings").select("vec_id"))
+    return own.groupBy("chunk_type").agg(F.count("*").alias("n"))
 
 
 _LONG = r"list_filter(regexp_split_to_array(lower(chunk_text), '\s+'), lambda t: length(t) > 4)"
@@ -131,7 +130,7 @@ def j08_impact(spark: SparkSession, folder: str) -> DataFrame:
     return graph.impact(*graph_of(spark, folder), 11)
 
 
-@query(GRAPH + ", f AS (SELECT id FROM entities WHERE contains(lower(name), 'supplier#0000') ORDER BY mention_count DESC, id LIMIT 1), o AS (SELECT DISTINCT r.id FROM relations r, f WHERE r.source_id = f.id OR r.target_id = f.id ORDER BY r.id DESC LIMIT 20) SELECT r.id, a.name AS source_name, r.relation_type, b.name AS target_name FROM relations r JOIN entities a ON a.id = r.source_id JOIN entities b ON b.id = r.target_id WHERE r.id IN (SELECT id FROM o)")
+@query(GRAPH + ", f AS (SELECT id FROM entities WHERE contains(lower(name), 'supplier#0000') ORDER BY mention_count DESC, id LIMIT 1), t AS MATERIALIZED (SELECT * FROM relations), o AS (SELECT id FROM (SELECT t.id FROM t JOIN f ON t.source_id = f.id UNION SELECT t.id FROM t JOIN f ON t.target_id = f.id) ORDER BY id DESC LIMIT 20) SELECT r.id, a.name AS source_name, r.relation_type, b.name AS target_name FROM o JOIN t r ON r.id = o.id JOIN entities a ON a.id = r.source_id JOIN entities b ON b.id = r.target_id")
 def j03_entity_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return graph.lookup(*graph_of(spark, folder), "Supplier#0000").select("id", "source_name", "relation_type", "target_name")
 
@@ -153,11 +152,19 @@ def j05_confidence_decay(spark: SparkSession, folder: str) -> DataFrame:
     return graph.decayed(dated, now()).select("id", "confidence_after", F.datediff("expires_after", now()).cast("long").alias("days_left"))
 
 
-@query()
+_ASKED_NAMES = "w AS (SELECT * FROM (VALUES (0, 'who'), (0, 'supplies'), (0, 'supplier#000000001'), (0, 'in'), (0, 'nation_4'), (1, 'nation_3')) v(query_id, w))"
+
+
+@query(
+    GRAPH + ", " + _ASKED_NAMES + ", t AS MATERIALIZED (SELECT * FROM relations), k AS (SELECT query_id, e.id AS e FROM entities e JOIN w ON lower(e.name) = w.w), "
+    "u AS (SELECT query_id, t.id FROM t JOIN k ON t.source_id = k.e UNION SELECT query_id, t.id FROM t JOIN k ON t.target_id = k.e), "
+    "p AS (SELECT u.query_id, t.*, row_number() OVER (PARTITION BY u.query_id ORDER BY CASE WHEN reason = 'unknown' THEN 1 ELSE 0 END, confidence DESC NULLS LAST, t.id DESC) AS place FROM u JOIN t USING (id)) "
+    "SELECT query_id, '<vault-facts>' || chr(10) || string_agg(a.name || ' ' || relation_type || ' ' || b.name || CASE WHEN reason <> 'unknown' THEN ' [' || reason || ']' ELSE '' END, chr(10) ORDER BY place) || chr(10) || '</vault-facts>' AS block FROM p JOIN entities a ON a.id = p.source_id JOIN entities b ON b.id = p.target_id WHERE place <= 7 GROUP BY 1"
+)
 def j09_vault_facts(spark: SparkSession, folder: str) -> DataFrame:
     entities, relations = graph_of(spark, folder)
     asked = spark.createDataFrame([(0, "who supplies Supplier#000000001 in nation_4"), (1, "nation_3")], "query_id long, query string")
-    return graph.vault_facts(asked, entities, relations)
+    return graph.facts_block(graph.vault_facts(asked, entities, relations))
 
 
 @query(GRAPH + ", k AS (SELECT e.id AS e FROM entities e WHERE lower(name) = 'nation_3' OR lower(name) = 'nation_7'), r AS (SELECT r.*, row_number() OVER (ORDER BY CASE WHEN reason = 'unknown' THEN 1 ELSE 0 END, confidence DESC NULLS LAST, id DESC) AS place FROM (SELECT DISTINCT r.* FROM relations r JOIN k ON r.source_id = k.e OR r.target_id = k.e) r) SELECT id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 7")
@@ -185,11 +192,31 @@ def j01_cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     return edges.select("source", "relation_type", "target", "evidence", "n")
 
 
-@query()
-def j11_merge_candidates(spark: SparkSession, folder: str) -> DataFrame:
+_CANDIDATES = (
+    r"WITH n AS (SELECT p_partkey AS id, trim(regexp_replace(strip_accents(lower(p_name)), '[^a-z0-9]+', ' ', 'g')) AS k, p_brand AS t, p_partkey % 19 AS m FROM part), "
+    "p AS (SELECT a.id AS a, b.id AS b, a.k AS ak, b.k AS bk, a.m AS am, b.m AS bm, CASE WHEN a.k = b.k THEN 1.0::DOUBLE ELSE round(1 - levenshtein(a.k, b.k) / CAST(greatest(length(a.k), length(b.k)) AS DOUBLE), 6) END AS similarity, "
+    "CASE WHEN a.k = b.k THEN 'normalized' WHEN contains(a.k, b.k) OR contains(b.k, a.k) THEN 'substring' WHEN 1 - levenshtein(a.k, b.k) / CAST(greatest(length(a.k), length(b.k)) AS DOUBLE) >= 0.85 THEN 'similar' END AS rule "
+    "FROM n a JOIN n b ON a.t = b.t AND a.id < b.id AND a.k <> '' AND b.k <> ''), r AS (SELECT * FROM p WHERE rule IS NOT NULL), "
+    "e AS (SELECT DISTINCT l_partkey AS id, l_suppkey AS c FROM lineitem), s AS (SELECT r.a, r.b, count(*) AS shared FROM r JOIN e x ON x.id = r.a JOIN e y ON y.id = r.b AND y.c = x.c GROUP BY 1, 2), "
+    "c AS (SELECT r.*, coalesce(shared, 0) AS shared FROM r LEFT JOIN s USING (a, b)), "
+    "j AS (SELECT a, b, rule, similarity, shared, CASE WHEN ak = 'blue bolt' OR bk = 'blue bolt' THEN 'protected' WHEN greatest(am, bm) > 10 * greatest(1, least(am, bm)) THEN 'mentions' WHEN shared = 0 AND similarity < 0.95 THEN 'no_evidence' WHEN rule = 'substring' AND abs(length(ak) - length(bk)) > 8 THEN 'length' ELSE 'low' END AS risk FROM c)"
+)
+
+
+def _merges(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS entity_type", "p_partkey % 19 AS mention_count")
     evidence = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.col("l_suppkey").alias("chunk_id"))
-    return graph.merge_candidates(names, evidence)
+    return graph.merge_candidates(names, evidence, protected=["Blue Bolt"])
+
+
+@query(_CANDIDATES + " SELECT * FROM j")
+def j11_merge_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return _merges(spark, folder)
+
+
+@query(_CANDIDATES + " SELECT rule, risk, count(*) AS n FROM j GROUP BY ALL")
+def d19_candidate_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.candidate_counts(_merges(spark, folder))
 
 
 @query("WITH e AS (SELECT DISTINCT c_nationkey AS source, c_custkey AS target, CASE WHEN c_custkey % 3 = 0 THEN 'manual' ELSE 'regex' END AS method FROM customer WHERE c_custkey % 4 <> 0), f AS (SELECT DISTINCT c_nationkey AS source, c_custkey AS target FROM customer WHERE c_custkey % 5 <> 0) SELECT source, target, CASE WHEN e.method IS NULL THEN 'add' WHEN f.target IS NOT NULL THEN 'noop' WHEN e.method = 'regex' THEN 'mark_stale' ELSE 'keep' END AS action FROM e FULL OUTER JOIN f USING (source, target)")
@@ -365,15 +392,17 @@ def l02_novelty(spark: SparkSession, folder: str) -> DataFrame:
     return brief.novelty(rows, _served(spark, folder)).select("id", "penalty", "brief_score")
 
 
-@query(CHUNKS + ", " + _SERVED + f" SELECT id FROM chunks WHERE (importance >= 0.7 OR pain >= 0.7) AND date_diff('day', created_at, DATE '{AS_OF}') <= 450 AND id NOT IN (SELECT chunk_id FROM sv) ORDER BY created_at DESC, importance DESC NULLS LAST, id LIMIT 5")
+@query(CHUNKS + ", " + _SERVED + f" SELECT id FROM chunks WHERE (importance >= 0.7 OR pain >= 0.7) AND date_diff('day', coalesce(source_date, created_at), DATE '{AS_OF}') <= 60 AND id NOT IN (SELECT chunk_id FROM sv) ORDER BY coalesce(source_date, created_at) DESC, importance DESC NULLS LAST, id LIMIT 5")
 def l03_fresh(spark: SparkSession, folder: str) -> DataFrame:
-    return brief.fresh(chunks(spark, folder), _served(spark, folder), now(), 450, 5).select("id")
+    return brief.fresh(chunks(spark, folder), _served(spark, folder), now(), 60, 5).select("id")
 
 
 @query()
 def l01_brief(spark: SparkSession, folder: str) -> DataFrame:
     log = table(spark, folder, "events").selectExpr("event_id % 300 AS chunk_id", "timestamp'2026-01-14' AS served_at")
-    return brief.build(chunks(spark, folder), log, now(), "agent1", "/src", 10)
+    sessions = F.when(F.col("id") % 3 == 0, F.concat(F.lit("sessions/"), "agent", F.lit("/"), (F.col("id") % 97).cast("string"), F.lit(".md")))
+    own = chunks(spark, folder).withColumn("source_file", F.coalesce(sessions, "source_file"))
+    return brief.build(own, log, now(), "memory", "agent1", 10)
 
 
 @query("WITH r AS (SELECT doc_id % 10 AS g, doc_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS place, CAST(ceil(length(text) / CAST(4 AS DOUBLE)) AS BIGINT) AS tokens FROM documents), u AS (SELECT *, sum(tokens) OVER (PARTITION BY g ORDER BY place) AS upto FROM r) SELECT g, doc_id FROM u WHERE upto <= 1200")
@@ -411,12 +440,23 @@ def n03_citations(spark: SparkSession, folder: str) -> DataFrame:
     return answers.citations(said, answers.context(_hits(spark, folder), 10))
 
 
-@query()
+@query(
+    f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT vec_id, 'h' || vec_id AS h, 'r' || vec_id AS response, e, TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR * CAST(vec_id % 30 AS INTEGER) AS made FROM v WHERE vec_id % 2 = 0 AND vec_id % 30 <= 24), "
+    "x AS (SELECT v.vec_id AS query_id, 'exact' AS hit, response, 2.0::DOUBLE AS s FROM v JOIN c USING (vec_id)), newest AS (SELECT * FROM c ORDER BY made DESC, h LIMIT 500), "
+    "m AS (SELECT v.vec_id AS query_id, 'semantic', n.response, round(list_cosine_similarity(v.e, n.e), 9) AS s FROM v, newest n), b AS (SELECT * FROM x UNION ALL SELECT * FROM m WHERE s >= 0.4) "
+    "SELECT query_id, hit, response FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, response DESC) = 1"
+)
 def n04_cached_reflections(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     cache = e.filter("vec_id % 2 = 0").select(F.concat(F.lit("h"), "vec_id").alias("query_hash"), F.concat(F.lit("r"), "vec_id").alias("response"), F.timestamp_add("HOUR", -(F.col("vec_id") % 30).cast("int"), now()).alias("created_at"), F.lit(24).alias("ttl_hours"), F.col("embedding").alias("cached_embedding"))
     asked = e.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("h"), "vec_id").alias("query_hash"), "embedding")
-    return answers.cached(asked, cache, now(), 0.8)
+    return answers.cached(asked, cache, now(), 0.4).drop("sources")
+
+
+@query("WITH c AS (SELECT value / 1000 AS cost_usd, ts FROM events), s AS (SELECT coalesce(sum(cost_usd) FILTER (WHERE ts >= TIMESTAMP '2024-01-14' AND ts <= TIMESTAMP '2024-01-15'), 0) AS usd FROM c) SELECT round(usd, 6) AS usd, usd >= 1 AS over FROM s")
+def n06_spent(spark: SparkSession, folder: str) -> DataFrame:
+    calls = table(spark, folder, "events").selectExpr("value / 1000 AS cost_usd", "CAST(ts AS TIMESTAMP) AS ts")
+    return answers.spent(calls, F.lit("2024-01-15").cast("timestamp"), 1.0).select(F.round("usd", 6).alias("usd"), "over")
 
 
 @query("WITH c AS (SELECT l_orderkey, l_linenumber, l_shipmode_model AS model, CAST(l_quantity * 100 AS BIGINT) AS ti, CAST(l_quantity * 10 AS BIGINT) AS tq FROM (SELECT *, 'm' || CAST(l_linenumber % 4 AS VARCHAR) AS l_shipmode_model FROM lineitem)) SELECT l_orderkey, l_linenumber, CASE model WHEN 'm0' THEN round((ti * 1.0::DOUBLE + tq * 2.0::DOUBLE) / 1000000, 9) WHEN 'm1' THEN round((ti * 3.0::DOUBLE + tq * 15.0::DOUBLE) / 1000000, 9) ELSE CAST(0 AS DOUBLE) END AS usd FROM c")
@@ -429,7 +469,22 @@ def h19_token_costs(spark: SparkSession, folder: str) -> DataFrame:
 # --- observability ---------------------------------------------------------------------------------------------------
 
 
-@query()
+_STATS = (
+    "{p} AS (SELECT command, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success, max(CASE WHEN r = CASE WHEN n < 20 THEN n ELSE (n * 95 + 99) // 100 END THEN duration_ms END) AS p95 "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY command ORDER BY duration_ms) AS r, count(*) OVER (PARTITION BY command) AS n FROM changed WHERE ts > TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}') GROUP BY 1)"
+)
+
+
+@query(
+    _RUNS + ", changed AS (SELECT command, status, ts, duration_ms * CASE WHEN ts > TIMESTAMP '2024-01-22' AND command = 'view' THEN 5 ELSE 1 END AS duration_ms FROM runs WHERE command <> 'signup' OR ts > TIMESTAMP '2024-01-22'), "
+    + _STATS.format(p="c", a="2024-01-22", b="2024-01-29") + ", " + _STATS.format(p="o", a="2023-12-30", b="2024-01-22") + ", "
+    "b AS (SELECT coalesce(c.command, o.command) AS command, c.total AS ct, o.total AS ot, c.p95 / nullif(o.p95, 0) AS ratio, (c.success / CAST(c.total AS DOUBLE) - o.success / CAST(o.total AS DOUBLE)) * 100 AS points, (c.total / 7.0::DOUBLE) / (o.total / 23.0::DOUBLE) AS busier FROM c FULL OUTER JOIN o USING (command)), "
+    "d AS (SELECT command, count(*) AS n, round(date_diff('microsecond', max(ts), TIMESTAMP '2024-01-29') / 86400000000.0::DOUBLE, 0) AS idle FROM changed GROUP BY 1) "
+    "SELECT command, 'slower' AS rule, CASE WHEN ratio >= 4 THEN 'alert' ELSE 'warn' END AS level, round(ratio, 6) AS value FROM b WHERE ratio >= 2 "
+    "UNION ALL SELECT command, 'errors', CASE WHEN points <= -25 THEN 'alert' ELSE 'warn' END, round(points, 6) FROM b WHERE points <= -10 UNION ALL SELECT command, 'recovery', 'info', round(points, 6) FROM b WHERE points >= 10 "
+    "UNION ALL SELECT command, 'busier', CASE WHEN busier >= 10 THEN 'alert' ELSE 'warn' END, round(busier, 6) FROM b WHERE busier >= 3 UNION ALL SELECT command, 'first_use', 'info', CAST(ct AS DOUBLE) FROM b WHERE ot IS NULL "
+    "UNION ALL SELECT command, 'dormant', CASE WHEN idle >= 60 THEN 'warn' ELSE 'info' END, idle FROM d WHERE idle >= 30 AND n >= 3"
+)
 def o04_proposals(spark: SparkSession, folder: str) -> DataFrame:
     late = F.col("ts") > F.lit("2024-01-22").cast("timestamp")
     runs = _runs(spark, folder).filter((F.col("command") != "signup") | late).withColumn("duration_ms", F.col("duration_ms") * F.when(late & (F.col("command") == "view"), 5).otherwise(1))

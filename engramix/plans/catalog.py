@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engramix.plans import analytics, extras, retrieval  # noqa: F401  (they register their queries)
+from engramix.plans import analytics, extras, flows, retrieval  # noqa: F401  (they register their queries)
 from engramix.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

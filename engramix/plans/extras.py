@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramix import schemas, vocab
 from engramix.functions import chunkers, score, text
-from engramix.operators import answers, extract, graph, lifecycle, reports, search, telemetry
+from engramix.operators import answers, extract, graph, lifecycle, reports, scan, search, telemetry
 from engramix.plans.analytics import _RUNS, _runs
 from engramix.plans.registry import ORACLES, query
 from engramix.plans.retrieval import _vectors
@@ -23,14 +23,8 @@ def a02_migrated(spark: SparkSession, folder: str) -> DataFrame:
     return schemas.source_type_of(schemas.migrated(old, "chunks")).select("id", "tier", "importance", "source_type")
 
 
-@query("SELECT doc_id AS id, 'user:' AS first, CAST(64 AS INTEGER) AS dim FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT doc_id AS id, 'user:' AS first, CAST(64 AS INTEGER) AS dim FROM documents")
 def a17_embedded(spark: SparkSession, folder: str) -> DataFrame:
-    own = table(spark, folder, "documents").filter("doc_id % 10 = 0").selectExpr("doc_id AS id", "text AS chunk_text")
-    return files.embedded(own, files.hashed_embedding(64), 64).select("id", F.lit("user:").alias("first"), F.size("embedding").alias("dim"))
-
-
-@query(ORACLES["a17_embedded"].replace(" WHERE doc_id % 10 = 0", ""))
-def a17_embedded_whole(spark: SparkSession, folder: str) -> DataFrame:
     own = table(spark, folder, "documents").selectExpr("doc_id AS id", "text AS chunk_text")
     return files.embedded(own, files.hashed_embedding(64), 64).select("id", F.lit("user:").alias("first"), F.size("embedding").alias("dim"))
 
@@ -45,11 +39,6 @@ def o01_search_log(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH c AS (" + ORACLES["c10_churn"] + ") SELECT new_file, old_file, exact, count(*) AS n, min(new_id) AS first_new_id FROM c GROUP BY ALL")
 def k12_churn_report(spark: SparkSession, folder: str) -> DataFrame:
-    return search.churn_report(search.churn(chunks(spark, folder), _vectors(spark, folder), F.lit("2024-11-01").cast("date"), 5, 0.3, block="label"))
-
-
-@query(ORACLES["k12_churn_report"].replace("n.label = f.label AND ", ""))
-def k12_churn_report_whole(spark: SparkSession, folder: str) -> DataFrame:
     return search.churn_report(search.churn(chunks(spark, folder), _vectors(spark, folder), F.lit("2024-11-01").cast("date"), 5, 0.3))
 
 
@@ -75,11 +64,15 @@ def g05_combined_relations(spark: SparkSession, folder: str) -> DataFrame:
     return extract.combined(rules, d.filter("id % 3 = 0")).select("id", "relation_type", "target", "method")
 
 
-@query()
+@query(
+    "SELECT doc_id, 'is_agent_of' AS relation, source AS target FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, 'references', unnest(CASE doc_id % 4 WHEN 0 THEN [lang, 'b' || doc_id] WHEN 1 THEN ['x ' || lang] ELSE [source, lang] END) FROM documents WHERE doc_id % 4 <> 3"
+)
 def h10_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
+    """Scalars, lists in one line, lists of lines, and files whose block isn't at their beginning."""
     chunkers.register(spark)
-    d = table(spark, folder, "documents").withColumn("t", F.concat(F.lit("---\nagent: "), "source", F.lit("\nreferences: [a, b]\n---\n"), "text"))
-    return spark.sql("SELECT d.doc_id, f.relation, f.target FROM {d} d, LATERAL frontmatter_relations(d.t) f", d=d.select("doc_id", "t"))
+    fields = "CASE doc_id % 4 WHEN 0 THEN concat('agent: ', source, '\\nreferences: [', lang, ', \"b', doc_id, '\"]') WHEN 1 THEN concat('agent: \"', source, '\"\\nreferences: x ', lang) ELSE concat('references:\\n  - ', source, '\\n  - ', lang, '\\nagent: ', source) END"
+    d = table(spark, folder, "documents").select("doc_id", F.expr(f"concat(CASE WHEN doc_id % 4 = 3 THEN 'text before\\n' ELSE '' END, '---\\n', {fields}, '\\n---\\n', text)").alias("t"))
+    return spark.sql("SELECT d.doc_id, f.relation, f.target FROM {d} d, LATERAL frontmatter_relations(d.t) f", d=d)
 
 
 @query()
@@ -93,9 +86,12 @@ def h13_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", F.round(0.5 * F.exp(-F.pow(days, 2.0) / (2 * 900 * 100.0)), 6).alias("near"))
 
 
-@query("SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS k, 'new' AS s FROM events")
+@query("SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS k, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id ELSE event_type END AS s FROM events")
 def h21_merged_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    merged = extract.merged_attributes(F.concat(F.lit('{"s": "old", "k": "'), F.get_json_object("props", "$.k"), F.lit('"}')), F.lit('{"s": "new"}'))
+    """Old attributes (a type and a number) with new ones, of which every third has a type."""
+    old = F.to_json(F.struct(F.col("event_type").alias("s"), F.get_json_object("props", "$.k").alias("k")))
+    new = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("s")))).otherwise("{}")
+    merged = extract.merged_attributes(old, new)
     return table(spark, folder, "events").withColumn("m", merged).select("event_id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.s").alias("s"))
 
 
@@ -106,7 +102,7 @@ def i15_section_deltas(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("id", delta(vocab.SECTION_FACTOR_TEMPORAL).alias("temporal"), delta(vocab.SECTION_FACTOR).alias("plain"))
 
 
-@query()
+@query(CHUNKS + ", t AS (SELECT id // 50 AS query_id, id, length(chunk_text) AS l, row_number() OVER (PARTITION BY id // 50 ORDER BY id) AS rank FROM chunks), k AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY l DESC, rank) AS INTEGER) AS new_rank FROM t WHERE rank <= 50) SELECT query_id, id, new_rank FROM k WHERE new_rank <= 10")
 def i16_reranked(spark: SparkSession, folder: str) -> DataFrame:
     # a query for every 50 ids, so that each row of the table is among those that are scored
     rows = chunks(spark, folder).selectExpr("CAST(floor(id / 50) AS BIGINT) AS query_id", "'x' AS query", "id", "chunk_text", "CAST(row_number() OVER (PARTITION BY floor(id / 50) ORDER BY id) AS INT) AS rank")
@@ -118,9 +114,23 @@ def k08_digest(spark: SparkSession, folder: str) -> DataFrame:
     return reports.digest_rows(chunks(spark, folder), now()).select("week", "id", F.md5(F.col("line").cast("binary")).alias("digest"))
 
 
-@query()
+_ONE_LINE = r"(SELECT CASE WHEN length(t) > 140 THEN left(t, 139) || '…' ELSE t END FROM (SELECT coalesce(list_filter([trim(replace(regexp_replace(regexp_replace(x, '^#{{1,6}}\s+', ''), '^[-*>]\s+', ''), '**', '')) for x in [trim(regexp_replace(regexp_replace(y, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) for y in string_split({}, chr(10))] if x <> '' AND x <> '---' AND x <> '```'], lambda x: x <> '')[1], '') AS t))"
+
+
+_TOLD = "concat(CASE id % 3 WHEN 0 THEN concat('- **Choice ', CAST(id AS VARCHAR(20)), '** is made') WHEN 1 THEN concat('intro\n', '**Decisão:** number ', CAST(id % 7 AS VARCHAR(20))) ELSE '' END, chr(10), chunk_text)"
+
+
+@query(
+    CHUNKS + f", c AS (SELECT *, {_TOLD} AS told FROM chunks)".replace("\n", "' || chr(10) || '") + ", "
+    "d AS (SELECT id, CASE id % 3 WHEN 0 THEN left('- **Choice ' || id || '** is made', 120) WHEN 1 THEN '- **Decisão:** number ' || id % 7 END AS line FROM (SELECT * FROM c WHERE chunk_type = 'decision' ORDER BY id DESC LIMIT 15)), "
+    "e AS (SELECT 'decisions' AS section, line, max(id) AS id FROM d WHERE line IS NOT NULL GROUP BY line ORDER BY id DESC LIMIT 5), "
+    "t AS (SELECT 'today' AS section, " + _ONE_LINE.format("told") + " AS line, id FROM c WHERE source_date = DATE '2026-01-10' ORDER BY id DESC LIMIT 3), "
+    "p AS (SELECT 'pending' AS section, " + _ONE_LINE.format("told") + " AS line, id FROM c WHERE chunk_type = 'pending' ORDER BY id DESC LIMIT 3), "
+    "u AS (SELECT * FROM e UNION ALL SELECT * FROM t UNION ALL SELECT * FROM p) SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY id DESC) AS INTEGER) AS place, line FROM u"
+)
 def k08_primer(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.primer(chunks(spark, folder), now())
+    told = chunks(spark, folder).withColumn("chunk_text", F.expr(_TOLD.replace("\n", "\\n")))
+    return reports.primer(told, F.lit("2026-01-10").cast("timestamp"))
 
 
 @query(CHUNKS + " SELECT chunk_type, " + case_sql("chunk_type", vocab.RETENTION_DAYS, vocab.RETENTION_FALLBACK) + " AS days FROM chunks GROUP BY chunk_type")
@@ -138,21 +148,29 @@ def i18_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.exact_copies(chunks(spark, folder))
 
 
-@query()
+@query(
+    GRAPH + ", " + CHUNKS.removeprefix("WITH ") + ", e AS (SELECT 'entities' AS section, name, mention_count AS n FROM entities ORDER BY mention_count DESC, id LIMIT 20), "
+    r"p AS (SELECT 'projects' AS section, regexp_replace(regexp_extract(source_file, '([^/]*)$', 1), '\.md$', '') AS name, count(*) AS n FROM chunks WHERE chunk_type = 'project' AND source_date >= DATE '" + AS_OF + "' - 30 GROUP BY 2), "
+    "d AS (SELECT 'decisions' AS section, " + _ONE_LINE.format("chunk_text") + f" AS name, CAST(1 AS BIGINT) AS n FROM chunks WHERE chunk_type = 'decision' AND source_date >= DATE '{AS_OF}' - 30) "
+    "SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM d"
+)
 def j12_profile(spark: SparkSession, folder: str) -> DataFrame:
     return reports.profile(graph_of(spark, folder)[0], chunks(spark, folder), now())
 
 
-@query()
+@query(CHUNKS + " SELECT section, NOT coalesce(section IN ('compiled', 'frontmatter', 'timeline') AND id % 2 = 0, false) AS model, count(*) AS n FROM chunks GROUP BY ALL")
 def j13_extraction_gate(spark: SparkSession, folder: str) -> DataFrame:
     c = chunks(spark, folder).withColumn("chunk_text", F.concat(F.when(F.col("id") % 2 == 0, "see [[projects/p1]] ").otherwise(""), "chunk_text"))
     return extract.needs_model(c, extract.by_rule(c)).groupBy("section", "model").agg(F.count("*").alias("n"))
 
 
-@query(CHUNKS + " SELECT 'vectors' AS \"check\", count(*) = count(v.vec_id) AS ok FROM chunks LEFT JOIN embeddings v ON v.vec_id = id UNION ALL SELECT 'consolidation', false")
+@query(
+    CHUNKS + ", v AS (SELECT count(*) AS n, count(v.vec_id) AS v FROM chunks LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) v ON v.vec_id = id), d AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS good, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0) AS bad FROM orders) "
+    "SELECT 'vectors' AS \"check\", n = v AS ok, v || ' of ' || n AS detail FROM v UNION ALL SELECT 'consolidation', bad = 0, good || ' done, ' || bad || ' failed' FROM d"
+)
 def o06_doctor(spark: SparkSession, folder: str) -> DataFrame:
-    done = spark.createDataFrame([("a", 1), ("b", -1)], "source_file string, status int")
-    return reports.doctor(chunks(spark, folder), _vectors(spark, folder), done).select("check", "ok")
+    done = table(spark, folder, "orders").selectExpr("CAST(o_orderkey AS STRING) AS source_file", "CASE WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN -1 ELSE 0 END AS status")
+    return reports.doctor(chunks(spark, folder), _vectors(spark, folder), done)
 
 
 @query("WITH n AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) AS ops, user_id % 100 / CAST(100 AS DOUBLE) AS coverage FROM events GROUP BY 1) SELECT user_id, CASE WHEN coverage >= 0.95 THEN 'ok' WHEN coverage >= 0.8 THEN 'warn' ELSE 'critical' END AS vector_level, CASE WHEN failed / CAST(ops AS DOUBLE) < 0.05 THEN 'ok' WHEN failed / CAST(ops AS DOUBLE) < 0.2 THEN 'warn' ELSE 'critical' END AS ops_level FROM n")
@@ -161,24 +179,73 @@ def o03_health(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.health(n).select("user_id", "vector_level", "ops_level")
 
 
-@query(_RUNS + " SELECT command, status, count(*) AS n, round(sum(duration_ms), 2) AS total FROM runs GROUP BY ALL")
+@query(_RUNS + " SELECT command, count(*) FILTER (WHERE status = 'success') AS good, count(*) FILTER (WHERE status <> 'success') AS bad, round(sum(CASE WHEN status = 'success' THEN duration_ms END), 2) AS good_sum FROM runs GROUP BY ALL")
 def b06_conditional_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return _runs(spark, folder).groupBy("command", "status").agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 2).alias("total"))
+    return scan.outcomes(_runs(spark, folder), ["command"], "status", "duration_ms")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'see the-new now' ELSE 'see it now' END AS t FROM customer")
+@query(
+    r"WITH c AS (SELECT c_custkey, concat('old-one, x-old-one and old-one-x; ', CASE WHEN c_custkey % 3 = 0 THEN 'see (old-one) ' ELSE '' END, c_name, ' OLD-ONE old-one') AS t FROM customer) "
+    r"SELECT c_custkey, regexp_replace(regexp_replace(t, '(^|[^a-z0-9_-])old-one($|[^a-z0-9_-])', '\1the-new\2', 'g'), '(^|[^a-z0-9_-])old-one($|[^a-z0-9_-])', '\1the-new\2', 'g') AS t FROM c"
+)
 def j14_renamed(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN 'see old-one now' ELSE 'see it now' END AS chunk_text")
+    c = table(spark, folder, "customer").selectExpr("c_custkey", "concat('old-one, x-old-one and old-one-x; ', CASE WHEN c_custkey % 3 = 0 THEN 'see (old-one) ' ELSE '' END, c_name, ' OLD-ONE old-one') AS chunk_text")
     return graph.renamed(c, "old-one", "the-new").withColumnRenamed("chunk_text", "t")
 
 
-@query()
+_EVENT_SECRETS = [r"AIza[0-9A-Za-z_-]{30,}", r"AQ\.[0-9A-Za-z_-]{30,}", r"sk-[0-9A-Za-z_-]{20,}", r"ghp_[0-9A-Za-z]{30,}", r"xox[baprs]-[0-9A-Za-z-]{10,}", r"Bearer\s+[0-9A-Za-z._~+/=-]{16,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"]
+_TOLD_SECRET = "concat(text, CASE WHEN doc_id % 5 = 0 THEN ' Bearer abcdefghijklmnopqrst' WHEN doc_id % 5 = 1 THEN concat(' sk-', md5(text), ' and ghp_', md5(source)) ELSE '' END)"
+
+
+def _blanked(first: str, patterns: list[str], by: str) -> str:
+    """CTEs that blank one pattern after the other in t and count them in n."""
+    out = f"WITH s0 AS (SELECT doc_id, {first} AS t, 0 AS n FROM documents)"
+    for i, p in enumerate(patterns):
+        out += f", s{i + 1} AS (SELECT doc_id, regexp_replace(t, '{p}', '{by}', 'g') AS t, n + len(regexp_extract_all(t, '{p}')) AS n FROM s{i})"
+    return out
+
+
+@query(_blanked(_TOLD_SECRET, _EVENT_SECRETS, "[REDACTED]") + f" SELECT doc_id, CAST(n AS INTEGER) AS n, md5(t) AS digest FROM s{len(_EVENT_SECRETS)}")
 def m03_event_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").select("doc_id", extract.event_secrets(F.concat("text", F.when(F.col("doc_id") % 5 == 0, " Bearer abcdefghijklmnopqrst").otherwise(""))).alias("s"))
-    return d.select("doc_id", F.col("s.count").alias("n"), F.length("s.text").alias("length"))
+    d = table(spark, folder, "documents").select("doc_id", extract.event_secrets(F.expr(_TOLD_SECRET)).alias("s"))
+    return d.select("doc_id", F.col("s.count").alias("n"), F.md5(F.col("s.text").cast("binary")).alias("digest"))
+
+
+_FAILED = "concat('cannot read ', source, CASE doc_id % 4 WHEN 0 THEN ' with Bearer abc.def' WHEN 1 THEN ' of /home/ann/.netrc now' WHEN 2 THEN concat(' key AIza', substring(concat(md5(text), md5(source)), 1, 35)) ELSE ' sk-ant-api03-zz' END)"
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, 'AIza[A-Za-z0-9_-]{{35}}', 'AIza[REDACTED]', 'g'), 'sk-ant-(oat|api)[A-Za-z0-9_-]+', 'sk-ant-\1[REDACTED]', 'g'), 'Bearer\s+[A-Za-z0-9_.-]+', 'Bearer [REDACTED]', 'g'), '/home/[^/\s]+/\.[^\s]+', '/home/[USER]/[REDACTED-DOTFILE]', 'g') AS message FROM (SELECT doc_id, {_FAILED} AS t FROM documents)")
+def m03_audit_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", extract.audit_scrubbed(F.expr(_FAILED)).alias("message"))
+
 
+_ERROR = "CASE doc_id % 5 WHEN 0 THEN 'ValidationError' WHEN 1 THEN 'NotFoundError' WHEN 2 THEN 'TypeError' WHEN 3 THEN 'ConflictError' ELSE 'RetrievalEmptyError' END"
+_CAUSE = "CASE doc_id % 3 WHEN 0 THEN concat('bad field ', text) WHEN 1 THEN concat('password=', source, ' is wrong') ELSE concat('no file /etc/', source) END"
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS temporal FROM documents")
+
+def _withheld() -> str:
+    """The message without secrets (p) and in one line (line)."""
+    p = "m"
+    for pattern in (r"AIza[0-9A-Za-z_-]{20,}", r"sk-[A-Za-z0-9]{20,}", r"(?i)Bearer\s+[A-Za-z0-9._-]{20,}", r"(key|token)=[A-Za-z0-9_-]{16,}", r"(?i)(password|passphrase)=[^\s&]+", r"\b[A-Z]{2,}_[A-Z_]+=[^\s]+"):
+        p = f"regexp_replace({p}, '{pattern}', '[REDACTED]', 'g')"
+    return f"c AS (SELECT *, {p} AS p FROM s), l AS (SELECT *, regexp_replace(p, '[\\r\\n]+', ' ', 'g') AS line FROM c)"
+
+
+@query(
+    f"WITH e AS (SELECT doc_id, {_ERROR} AS kind, {_CAUSE} AS m FROM documents), s AS (SELECT *, CASE kind WHEN 'ValidationError' THEN 400 WHEN 'NotFoundError' THEN 404 WHEN 'ConflictError' THEN 409 WHEN 'RetrievalEmptyError' THEN 503 ELSE 500 END AS status FROM e), "
+    + _withheld()
+    + " SELECT doc_id, CAST(status AS INTEGER) AS status, CASE kind WHEN 'ValidationError' THEN 'VALIDATION_ERROR' WHEN 'NotFoundError' THEN 'NOT_FOUND' WHEN 'ConflictError' THEN 'CONFLICT' WHEN 'RetrievalEmptyError' THEN 'RETRIEVAL_EMPTY' ELSE 'INTERNAL_ERROR' END AS code, "
+    + r"CASE WHEN kind = 'NotFoundError' THEN 'resource not found' WHEN status >= 500 THEN 'internal error' WHEN regexp_matches(p, '/(Users|home|root|var|etc|tmp|opt)/[^\s]+') THEN 'request failed (details redacted)' WHEN length(line) > 200 THEN left(line, 200) || '…' ELSE line END AS error FROM l"
+)
+def m03_public_errors(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").select("doc_id", extract.public_error(F.expr(_ERROR), F.expr(_CAUSE)).alias("e"))
+    return d.select("doc_id", "e.status", "e.code", "e.error")
+
+
+_ABOUT = "concat(text, CASE doc_id % 4 WHEN 0 THEN concat(' quando subiu ', source, '?') WHEN 1 THEN concat(' log of 20', 10 + doc_id % 15, '-01-01') WHEN 2 THEN concat(' whenever ', lang) ELSE '' END)"
+
+
+@query(r"SELECT doc_id, length(trim(q)) >= 3 AND (regexp_matches(q, '(?i)(^|\s)(" + "|".join(vocab.TEMPORAL_WORDS) + r")(\s|[.,?!]|$)') OR regexp_matches(q, '\b\d{4}-\d{2}-\d{2}\b')) AS temporal FROM (SELECT doc_id, " + _ABOUT + " AS q FROM documents)")
 def h12_temporal_queries(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN 'quando subiu o deploy' WHEN 1 THEN 'log of 2025-01-01' ELSE 'plain words' END AS q")
-    return d.select("doc_id", text.is_temporal(F.col("q")).alias("temporal"))
+    return table(spark, folder, "documents").select("doc_id", text.is_temporal(F.expr(_ABOUT)).alias("temporal"))
+

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramix import vocab
+from engramix.sources import files
 
 AS_OF = "2026-01-15"
 _SECTIONS = {0: "compiled", 1: "frontmatter", 2: "timeline"}
@@ -51,7 +52,8 @@ def now() -> Column:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return files.spread(spark.read.parquet(path), path)
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +80,7 @@ ENTITIES = """entities AS (
   UNION ALL SELECT p_partkey * 10 + 2, p_name, 'part', p_partkey % 19 FROM part
   UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 10 + 3, n_name, 'nation', CAST(n_nationkey AS BIGINT) + 5 FROM nation)"""
 RELATIONS = """relations AS (
-  SELECT min(l_orderkey) * 10 + 1 AS id, l_suppkey * 10 + 1 AS source_id, 'uses' AS relation_type, l_partkey * 10 + 2 AS target_id,
+  SELECT l_suppkey * 10000000000 + l_partkey * 10 + 1 AS id, l_suppkey * 10 + 1 AS source_id, 'uses' AS relation_type, l_partkey * 10 + 2 AS target_id,
     CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE round(max(l_discount), 2) + 0.5 END AS confidence,
     CASE l_partkey % 5 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'mentions' WHEN 2 THEN 'extends' ELSE 'unknown' END AS reason, count(*) AS evidence
   FROM lineitem GROUP BY l_suppkey, l_partkey

@@ -34,7 +34,21 @@ def test_engine(store, tmp_path):
     assert store.kg_impact(1).first().score == 12.0
     assert store.answer("parquet store", lambda p: "[chunk_1]")["citations"] in ([1], [3])
     assert {r.check: r.ok for r in store.doctor().collect()} == {"vectors": False, "consolidation": True}
-    assert store.brief("", "memory", 3).count() >= 1
+    assert {r.place for r in store.brief("memory", n=3).collect()} == {1, 2, 3}
+    assert store.brief("global", "bot", since="2w").count() == 3 and store.brief("elsewhere").count() == 0
+    for wrong in (("",), ("a b",), ("memory", "Bad Agent"), ("memory", "", 3, 1200, "9y")):
+        with pytest.raises(ValueError):
+            store.brief(*wrong)
+    found = [tuple(r) for r in store.search("parquet OR store", 5).collect()]
+    store.build_index()
+    assert [tuple(r) for r in store.search("parquet OR store", 5).collect()] == found and store._index(store.table("chunks")).keys() == {"index", "stats"}
+    said = store.reflect("Which Store does Ann use?", lambda p: "parquet" if "\n- Store -> Ann" in p and "- Ann (person) rels: works_on -> Store" in p else p)
+    assert said["answer"] == "parquet" and store.remember(said["entry"]).count() == 1
+    assert store.kg_block("ann and store").first().block.startswith("<vault-facts>\nAnn works_on Store [extends]")
+    assert store.error("TypeError", "x").first().status == 500
+    assert store.merge_candidates(store.table("kg_relations").selectExpr("source_id AS entity_id", "id AS chunk_id")).count() == 0
+    events = store.spark.createDataFrame([("session_end", "s1", "all went well here", None, None, None), ("other", "s1", "x", None, None, None)], "kind string, session_id string, content string, scope string, host string, seq string")
+    assert [r.source_file for r in store.take_in(events).collect()] == ["events/unknown/unscoped/s1.md"]
     for name in ("stats", "salience", "tiers", "kg_merge_preview", "kg_prune", "proposals", "audit", "decisions", "kg_stats", "tier_stats", "retention_stats", "archive_candidates", "shared_stats", "profile", "search_stats", "provider_costs", "coverage", "pending_days"):
         getattr(store, name)().collect()
     assert [df.count() for df in store.insights()] == [0, 0]
@@ -115,7 +129,20 @@ def test_consolidation(spark):
     assert {(r.source_file, r.status, r.text) for r in extract.consolidated(chunks, days, model).collect()} == {("d1.md", 1, "keep"), ("d2.md", -1, None)}
     messages = spark.createDataFrame([("s", i, "user", f"message number {i} with text") for i in range(5)] + [("t", 0, "user", "only one message here")], "session_key string, n long, role string, text string")
     got = extract.blocks(messages, 60).orderBy("block").collect()
-    assert {r.session_key for r in got} == {"s"} and len(got) > 1 and sum(r.text.count("user:") for r in got) == 5
+    assert {r.session_key for r in got} == {"s"} and len(got) > 1 and sum(r.text.count("[USER]:") for r in got) == 5
+    known = spark.createDataFrame([(1, "the known memory of things"), (2, "other")], "id long, chunk_text string")
+
+    def memories(body):
+        if "number 4" in body:
+            raise TimeoutError
+        return [{"text": "the known memory of things", "category": "fact", "importance": 0.9}, {"text": "fresh memory", "category": "fact", "importance": 0.85}, {"text": "weak", "importance": 0.2}]
+
+    kept = extract.distilled(extract.blocks(messages, 60).withColumn("session_key", F.lit("bot:s")), memories, known, F.lit(NOW)).collect()
+    assert [(r.source_file, r.chunk_text, r.tier) for r in kept] == [("sessions/bot/s", "[fact|bot] fresh memory", "working")]
+    found = spark.createDataFrame([("memory/2026-01-02.md", 1, "decisions", "keep it"), ("memory/2026-01-03.md", 1, "decisions", "keep it"), ("x.md", 1, "people", "other"), ("y.md", 1, None, None), ("z.md", -1, None, None)], "source_file string, status int, kind string, text string")
+    assert [(r.file, r.line) for r in extract.sink_lines(found, known).collect()] == [("memory/decisions.md", "- **2026-01-02:** keep it")]
+    daily = spark.createDataFrame([("y.md", "some short empty words"), ("y.md", "long " * 60), ("z.md", "failed words of text")], "source_file string, chunk_text string")
+    assert [r.text_normalized for r in extract.learned_noise(daily, found).collect()] == ["some short empty words"]
     guides = spark.createDataFrame([("atlas", "nothing of it")], "agent string, guide string")
     lesson = spark.createDataFrame([(9, "Atlas should always verify backups", "lesson", dt.date(2026, 1, 10))], "id long, chunk_text string, chunk_type string, source_date date")
     assert [r.agent for r in reports.gaps(lesson, guides, F.lit(NOW)).collect()] == ["atlas"]

@@ -116,12 +116,16 @@ def test_chunk_markdown():
     assert all(len(c.split()) <= chunkers.MOST_WORDS + chunkers.LEAST_WORDS for c in chunks)
     assert chunks[-1].endswith("short") and len(chunks) == 4
     assert chunkers.chunk_markdown(None) == [] and chunkers.chunk_markdown("") == []
+    # what is packed stays, however short; a paragraph ends at an empty line, not at one of blanks
+    assert [len(c.split()) for c in chunkers.chunk_markdown(" ".join(["w"] * 497) + "\n\n" + " ".join(["v"] * 10))] == [497, 10]
+    assert len(chunkers.chunk_markdown(" ".join(["w"] * 400) + "\n \n" + " ".join(["v"] * 200))) == 1
 
 
 def test_chunk_json():
     assert chunkers.chunk_json('[1, {"a": 2}]') == ["1", '{\n  "a": 2\n}']
     assert chunkers.chunk_json('{"k": [1, 2], "m": 3}') == ["k: 1", "k: 2", "m: 3"]
-    assert chunkers.chunk_json("not json") == ["not json"]
+    assert chunkers.chunk_json("not json") == ["not json"] and chunkers.chunk_json("{}") == ["{}"] and chunkers.chunk_json("5") == ["5"]
+    assert chunkers.chunk_json('{"k": {"a": [1, "é"]}}') == ['k: {"a":[1,"é"]}']
 
 
 def test_entity_and_frontmatter():

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from engramix.operators import answers, brief, graph, lifecycle, search, telemetry
+from engramix.operators import answers, brief, extract, graph, lifecycle, search, telemetry
 
 NOW = dt.datetime(2026, 1, 15)
 
@@ -150,7 +151,7 @@ def test_near_copies_by_cosine(spark):
 
 
 def test_churn_searches_all_vectors(spark, monkeypatch):
-    monkeypatch.setattr(search, "BLOCKS", (7, 13))
+    monkeypatch.setattr(search, "PASS_BYTES", 700)
     rng = np.random.default_rng(3)
     e = rng.normal(size=(90, 8))
     e[40:60] = e[:20]  # equal vectors, with other labels
@@ -211,17 +212,162 @@ def test_proposals(spark):
     assert {("slow", "slower", "alert"), ("new", "first_use", "info"), ("old", "dormant", "warn")} <= got
 
 
+BRIEF = "id long, source_file string, chunk_text string, chunk_type string, source_date date, created_at timestamp, last_accessed_at timestamp, access_count int, importance double, pain double, retention_days int"
+
+
+def told(i, text, where="memory", importance=0.5, pain=0.2, age=40):
+    return i, f"{where}/p{i}.md", text, "decision", dt.date(2026, 1, 15) - dt.timedelta(days=age), NOW, None, i, importance, pain, None
+
+
+def briefed(spark, rows, served, **options):
+    chunks = spark.createDataFrame(rows, BRIEF)
+    log = spark.createDataFrame([(i, NOW) for i in served], "chunk_id long, served_at timestamp")
+    out = brief.build(chunks, log, at(), "memory", **options).collect()
+    return sorted((r for r in out if r.place is not None), key=lambda r: r.place), [r for r in out if r.place is None]
+
+
 def test_brief(spark):
-    schema = "id long, source_file string, chunk_text string, chunk_type string, source_date date, created_at timestamp, last_accessed_at timestamp, access_count int, importance double, pain double, retention_days int, agent string"
-    row = lambda i, t, agent, pain=0.2: (i, f"memory/p{i}.md", t, "decision", dt.date(2026, 1, 1), NOW, None, i, 0.5 + i / 100, pain, None, agent)
-    rows = [row(1, "same line of text here", "a"), row(2, "same line of text here", "a"), row(3, "another very different thing", "a"), row(4, "scope only content words", "b", 0.95)]
-    chunks = spark.createDataFrame(rows, schema)
-    log = spark.createDataFrame([(4, NOW), (3, NOW)], "chunk_id long, served_at timestamp")
-    out = brief.build(chunks, log, at(), "a", "memory", 4).collect()
-    lines = [r.line for r in out]
-    assert len(set(lines)) == len(lines) == 3 and lines.count("same line of text here") == 1
-    empty = brief.build(chunks.limit(0), log, at(), "a", "memory", 4)
-    assert empty.count() == 0
+    rows = [told(1, "same line of text here"), told(2, "same line of text here with more"), told(3, "another very different thing"), told(4, "scope only content words", pain=0.95)]
+    now, _ = briefed(spark, rows, [3], n=4)
+    assert {r.id for r in now} == {4, 3, 2} and len({r.line for r in now}) == 3  # 1 is a near copy of 2, which is read more
+    empty, left = briefed(spark, [], [], n=4)
+    assert empty == [] == left
+
+
+def test_brief_shares_its_rows_between_agent_and_scope(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima".split()
+    rows = [told(i, f"{words[i]} {words[i]}s {words[i]}ing", "sessions/bot" if i < 2 else "memory", importance=0.3 if i < 2 else 0.9) for i in range(12)]
+    now, _ = briefed(spark, rows, [], agent="bot", n=4)
+    assert {r.id for r in now} >= {0, 1} and len(now) == 4  # half for the agent, however low its score
+    now, _ = briefed(spark, rows, [], agent="nobody", n=4)
+    assert len(now) == 4 and not {r.id for r in now} & {0, 1}  # what one pool lacks the other fills
+    now, _ = briefed(spark, rows[:3], [], n=10)
+    assert {r.id for r in now} == {2}
+
+
+def test_brief_has_fresh_rows_and_keeps_pain(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima".split()
+    rows = [told(i, f"{words[i]} {words[i]}s {words[i]}ing", importance=0.95) for i in range(6)]
+    rows += [told(6, "grave outage of everything", importance=0.6, pain=0.95), told(7, "recent weighty lesson", importance=0.71, age=2), told(8, "recent served lesson twice", importance=0.72, age=1), told(9, "recent light remark", importance=0.1, age=0)]
+    now, left = briefed(spark, rows, [8, *[0] * 50], n=5)
+    by = {r.id: r for r in now}
+    assert by[7].fresh and by[7].change == "would_enter" and 8 not in by and 9 not in by
+    plain = [r.id for r in briefed(spark, rows, [], n=5, slots=0)[0]]
+    assert {r.id for r in left} == set(plain) - set(by)
+    many, _ = briefed(spark, [*rows, *[told(20 + i, f"{w} hurts {w}ly {w}ed", pain=0.99, importance=0.99) for i, w in enumerate(words[:5])]], [], n=5)
+    assert all(r.pain >= 0.9 for r in many)  # what is painful isn't pushed out by fresh rows
+
+
+def test_boolean_queries(spark):
+    texts = ["red fish", "red bird", "blue fish", "blue bird and red fish", "green"]
+    chunks = spark.createDataFrame([(i, t, "f", "x") for i, t in enumerate(texts)], "id long, chunk_text string, source_file string, chunk_type string")
+    asked = {"red fish": {0, 3}, "red OR blue": {0, 1, 2, 3}, "red NOT fish": {1}, "red fish OR green": {0, 3, 4}, "red AND bird NOT blue fish": {1}, "blue NOT fish NOT bird": set(), "OR red": set(), "red AND": set(), "red or fish": set(), "!!": set(), "RED": {0, 1, 3}}
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = search.postings(chunks).withColumn("part", search.part_of(F.col("token")))
+    for found in (search.bm25(queries, chunks), search.bm25(queries, None, index=index, stats=search.corpus_stats(chunks))):
+        got = {q: set() for q in asked}
+        for r in found.collect():
+            got[[*asked][r.query_id]].add(r.id)
+        assert got == asked
+
+
+def test_many_queries_are_joined_by_shuffle(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} all", "f", "x") for i in range(60)], "id long, chunk_text string, source_file string, chunk_type string")
+    queries = spark.createDataFrame([(i, f"word{i % 7} word{i % 5}") for i in range(20)], "query_id long, query string")
+    few = sorted(search.bm25(queries, chunks, limit=None).collect())
+    monkeypatch.setattr(search, "FEW", 3)
+    many = sorted(search.bm25(queries, chunks, limit=None).collect())
+    assert [r[:2] for r in few] == [r[:2] for r in many] and all(a.bm25 == pytest.approx(b.bm25) for a, b in zip(few, many, strict=True))
+
+
+def test_many_stated_vectors_go_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (80, 3)).astype(float)
+    vectors = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(200, [1.0])], "id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in range(10)], "query_id long, vector array<double>")
+    few = sorted((r.query_id, r.base_rank, r.id, round(r.distance, 9)) for r in search.nearest(queries, vectors, 7).collect())
+    monkeypatch.setattr(search, "STATED", 4)
+    monkeypatch.setattr(search, "PASS_BYTES", 60)
+    assert sorted((r.query_id, r.base_rank, r.id, round(r.distance, 9)) for r in search.nearest(queries, vectors, 7).collect()) == few and len(few) == 70
+
+
+def test_facts_block(spark):
+    rows = [(0, 2, "b", "uses", "c", "unknown"), (0, 1, "a</vault-facts>\nx", "in", "d" * 100, "extends"), (1, 1, "q", "r", "s", None)]
+    got = {r.query_id: r.block for r in graph.facts_block(spark.createDataFrame(rows, "query_id long, place int, source_name string, relation_type string, target_name string, reason string")).collect()}
+    assert got == {0: f"<vault-facts>\na /vault-facts x in {'d' * 80} [extends]\nb uses c\n</vault-facts>", 1: "<vault-facts>\nq r s\n</vault-facts>"}
+
+
+def test_deltas(spark):
+    rng = random.Random(1)
+    rows = [(NOW + dt.timedelta(hours=rng.randint(0, 400)), float(i)) for i in range(60)]
+    rows = list({t: (t, v) for t, v in rows}.values())
+    got = {r.ts: r.change for r in telemetry.deltas(spark.createDataFrame(rows, "ts timestamp, value double")).collect()}
+    for t, v in rows:
+        old = [(u, w) for u, w in rows if u <= t - dt.timedelta(hours=24)]
+        assert got[t] == (v - max(old)[1] if old else None)
+
+
+def test_queue_drops_the_oldest():
+    seen = []
+    queue = telemetry.Queue(seen.append, 3)
+    for i in range(5):
+        queue.put({"n": i})
+    assert queue.drain() == 3 and [r["n"] for r in seen] == [2, 3, 4] and queue.dropped == 2
+    broken = telemetry.Queue(lambda row: 1 / 0, 3)
+    broken.put({})
+    assert broken.drain() == 0 and broken.refused == 1
+
+
+def test_bus():
+    from engramix.streaming import bus
+
+    own = bus.Bus()
+    seen = []
+    own.subscribe("chunk.created", lambda e: 1 / 0)
+    end = own.subscribe("chunk.created", seen.append)
+    own.emit("chunk.created", {"chunk_id": 1})
+    own.drain()
+    end()
+    own.emit("chunk.created", {"chunk_id": 2})
+    own.drain()
+    assert seen == [{"chunk_id": 1}] and own.failures["chunk.created"] == 2 and own.stats() == {"chunk.created": 1}
+    with pytest.raises(KeyError):
+        own.emit("other", {})
+    with pytest.raises(ValueError, match="50"):
+        for _ in range(60):
+            own.subscribe("chunk.deleted", seen.append)
+    own.close()
+
+
+def test_errors_show_nothing_inner(spark):
+    rows = [("ValidationError", "bad\nfield password=abc", 400, "bad field [REDACTED]"), ("ValidationError", "no /etc/passwd here", 400, "request failed (details redacted)"), ("ConflictError", None, 409, "request failed"), ("Whatever", "SELECT *", 500, "internal error"), ("NotFoundError", "secret", 404, "resource not found"), ("ConflictError", "x" * 300, 409, "x" * 200 + "…"), (None, "x", 500, "internal error"), ("ConflictError", r"at C:\\tmp\\a", 409, "request failed (details redacted)")]
+    df = spark.createDataFrame([r[:2] for r in rows], "kind string, message string")
+    got = [(r.e.status, r.e.error) for r in df.select(extract.public_error(F.col("kind"), F.col("message")).alias("e")).collect()]
+    assert got == [r[2:] for r in rows]
+
+
+def test_reflection(spark):
+    schema = "query_hash string, query string, response string, evidence_sources string, model string, created_at timestamp, ttl_hours int, cached_embedding array<float>"
+    cache = spark.createDataFrame([], schema)
+    asked = []
+
+    def gather(question):
+        asked.append(question)
+        return answers.Evidence([("text", "a.md", 1.0)], [("Ann", "person", ["in -> x"])], [("k", "c")], ["Ann -> x"])
+
+    first = answers.reflect("What of Ann?", cache, gather, lambda p: " she is in x " if "Ann (person) rels: in -> x" in p else "", at(), [1.0, 0.0])
+    assert first["answer"] == "she is in x" and first["evidence_count"] == 3 and first["sources"] == ["a.md"]
+    cache = answers.remembered(cache, first["entry"], "m", at())
+    cache = answers.remembered(cache, first["entry"], "m", at())
+    assert cache.count() == 1
+    again = answers.reflect("What of Ann?", cache, gather, lambda p: 1 / 0, at())
+    near = answers.reflect("What about Ann?", cache, gather, lambda p: 1 / 0, at(), [0.99, 0.05])
+    assert (again["cached"], near["cached"], near["answer"], asked) == ("exact", "semantic", "she is in x", ["What of Ann?"])
+    late = answers.reflect("What of Ann?", cache, gather, lambda p: 1 / 0, F.timestamp_add("HOUR", F.lit(30), at()))
+    assert late["cached"] is None and late["answer"].startswith("[reflect error")
+    assert answers.reflect("What of Ann?", cache, gather, lambda p: "", at(), use_cache=False)["answer"] == "[reflect: empty response]"
+    assert answers.names_in("When did Ann meet Bob-Joe, in Rome?") == ["When", "Ann", "Bob-Joe", "Rome"]
+    assert len(answers.Evidence([("x" * 300, "s", 1.0)] * 9, [], [], ["p" * 3000]).text()) == 2000 + len("\n[truncated]")
 
 
 def test_answers(spark):
@@ -232,6 +378,10 @@ def test_answers(spark):
     assert answers.answer("q", hits.limit(0), lambda p: 1 / 0)["answer"] == answers.EMPTY
 
 
+def refuse(prompt):
+    raise PermissionError
+
+
 def test_chain():
     clock = [0.0]
     calls = []
@@ -244,3 +394,7 @@ def test_chain():
     assert chain("x") == "yes" and chain("x") == "yes" and calls == ["bad"]
     clock[0] = 61
     assert chain("x") == "yes" and calls == ["bad", "bad"]
+    slow = answers.Chain([("slow", lambda p: time.sleep(1)), ("good", lambda p: "yes")], lambda: 0.0, timeout=0.05)
+    assert slow("x") == "yes" and "slow" in slow.resting
+    with pytest.raises(PermissionError):
+        answers.Chain([("shut", refuse), ("good", lambda p: "yes")], lambda: 0.0)("x")

@@ -60,6 +60,11 @@ def test_sessions_and_log(spark, tmp_path):
     (tmp_path / "s1.jsonl").write_text('{"role": "user", "content": "hello there"}\n{"role": "tool", "content": "x"}\n{"role": "assistant", "text": "HEARTBEAT ok"}\nnot json\n')
     rows = files.read_sessions(spark, f"file://{tmp_path}/*.jsonl").collect()
     assert [(r.session_key, r.role, r.text) for r in rows] == [("s1", "user", "hello there")]
+    parts = {"type": "message", "message": {"role": "assistant", "content": [{"type": "text", "text": "part one"}, {"type": "image"}, {"type": "text", "text": "part two"}]}}
+    (tmp_path / "s2.jsonl").write_text("\n".join(json.dumps(x) for x in (parts, {"type": "tool", "message": {"role": "user", "content": "not this"}}, {"type": "message", "message": {"role": "user", "content": "a heartbeat story"}}, {"role": "user", "content": "HEARTBEAT_OK yes"}, {"role": "user", "content": "[cron:5] go"})))
+    rows = files.read_sessions(spark, f"file://{tmp_path}/*.jsonl", rows and spark.createDataFrame([("s1",)], "session_key string")).orderBy("n").collect()
+    assert [(r.session_key, r.text) for r in rows] == [("s2", "part one\npart two"), ("s2", "a heartbeat story")]
+    assert files.read_sessions(spark, f"file://{tmp_path}/*.jsonl", since=F.lit("2999-01-01").cast("timestamp")).count() == 0
     (tmp_path / "run.log").write_text("1 OK\n2 FAIL x\n3\n")
     assert [r.state for r in files.read_log(spark, f"file://{tmp_path}/run.log", 2).orderBy(F.desc("n")).collect()] == [None, "FAIL"]
     assert files.grep(spark, f"file://{tmp_path}/run.log", "FAIL").count() == 1
@@ -80,6 +85,17 @@ def test_versions(spark, tmp_path):
         files.write_version(spark.range(v + 1), root, f"{v:03}", keep=2)
     assert files.read_version(spark, root).count() == 4
     assert sorted(p.name for p in (tmp_path / "store").glob("v=*")) == ["v=002", "v=003"]
+    assert not list((tmp_path / "store").glob("_*"))
+    files.restore(spark, root, "002")
+    assert files.current_version(spark, root) == "002" and files.read_version(spark, root).count() == 3
+    files.write_version(spark.range(1).withColumnRenamed("id", "other"), root, "004", keep=3)
+    with pytest.raises(files.BadVersion, match="other columns"):
+        files.restore(spark, root, "002")
+    files.restore(spark, root, "002", force=True)
+    assert files.current_version(spark, root) == "002"
+    for wrong in (lambda: files.restore(spark, root, "009"), lambda: files.write_version(spark.range(1), root, "004")):
+        with pytest.raises(files.BadVersion):
+            wrong()
 
 
 def test_stores(spark, tmp_path):
@@ -103,6 +119,24 @@ def test_watch_stream(spark, tree, tmp_path):
     run = streams.run_ingest(stream, lambda batch, n: seen.extend(r.source_file for r in batch.collect()), f"file://{tmp_path}/ck")
     run.awaitTermination()
     assert len(seen) == 2
+    late = streams.run_ingest(stream, lambda batch, n: seen.append(n), f"file://{tmp_path}/ck2", forbidden=(22, 6), hour=lambda: 23)
+    with pytest.raises(Exception, match="23 h"):
+        late.awaitTermination()
+    assert len(seen) == 2
+    assert [h for h in range(24) if not streams.allowed(h, (22, 6))] == [0, 1, 2, 3, 4, 5, 22, 23] and streams.allowed(5, None) and streams.allowed(5, (7, 7)) and not streams.allowed(8, (8, 9))
+
+
+def test_events_are_checked_and_taken_in_once(spark):
+    at = F.lit("2026-01-15").cast("timestamp")
+    schema = "kind string, session_id string, content string, scope string, host string, seq string"
+    rows = [("session_end", " s1 ", "key sk-" + "a" * 30, "app", "mac", None), ("session_end", "s1", "again", "app", "mac", None), ("pre_compact", "s1", "first", None, "", "1"), ("pre_compact", "s1", "second", None, None, "2"), ("bad", "s1", "x", None, None, None), ("session_end", "", "x", None, None, None), ("session_end", "s2", " \n", None, None, None), ("session_end", "s3", "x" * 20_000, None, None, None), ("session_end", "s4", "x", "a b", None, None), ("session_end", "s5", "x", None, "MAC", None), ("session_end", "s6", "x", None, None, "a b"), ("session_end", "s7", "held", None, None, None)]
+    events = spark.createDataFrame(rows, schema)
+    assert [r.error for r in streams.checked(events).collect()] == [None, None, None, None, "kind", "session_id", "content", "content", "scope", "host", "seq", None]
+    store = spark.createDataFrame([('{"kind": "session_end", "session_id": "s7"}',)], "metadata string")
+    got = {r.source_file: r for r in streams.taken_in(events, store, at).collect()}
+    assert set(got) == {"events/mac/app/s1.md", "events/unknown/unscoped/s1-1.md", "events/unknown/unscoped/s1-2.md"}
+    one = got["events/unknown/unscoped/s1-1.md"]
+    assert one.chunk_text == "## Compaction digest — unscoped (unknown, 2026-01-15)\n\nfirst" and json.loads(one.metadata)["seq"] == "1" and one.retention_days == 90
 
 
 def test_once_only_stream(spark, tmp_path):
