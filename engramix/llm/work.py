@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engramix.sources.files import spread
+
 _MADE: list[tuple[object, str]] = []
 _OWN: list[str] = []
 _PATHS: dict[int, tuple[DataFrame, str]] = {}
@@ -120,4 +122,5 @@ def passes(spark: SparkSession, bitmap: np.ndarray, column: Column) -> Column:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return spread(spark.read.parquet(path), path)
