@@ -25,6 +25,17 @@ def terms(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: fold(t))
 
 
+# Each letter that has accents, with them, as a class of characters.
+_SPELLINGS = {p: f"[{p}{''.join(a for a, b in zip(_ACCENTED, _PLAIN, strict=True) if b == p)}]" for p in dict.fromkeys(_PLAIN)}
+
+
+def found_terms(text: Column, wanted: Column) -> Column:
+    """terms() of a text that are in the array `wanted` of folded terms, found without making the others."""
+    spelled = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), _SPELLINGS.items(), F.array_join(F.array_sort(wanted), "|"))
+    own = F.regexp_extract_all(F.lower(text), F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), spelled, F.lit(r")(?![\p{L}\p{N}])")), F.lit(0))
+    return F.when(F.size(wanted) > 0, F.transform(own, lambda t: fold(t))).otherwise(F.array().cast("array<string>"))
+
+
 def term_count(text: Column) -> Column:
     """How many terms a text has."""
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))

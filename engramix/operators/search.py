@@ -74,8 +74,8 @@ def _terms(chunks: DataFrame, keep: list[str], wanted: DataFrame | None = None)
     """(id, [keep], dl, token, w): every term of every indexed column, or those in the one-row frame wanted (array all); no shuffle."""
     if wanted is not None:
         chunks = chunks.crossJoin(F.broadcast(wanted))  # one row
-    fits = (lambda ts: F.filter(ts, lambda t: F.array_contains("all", t))) if wanted is not None else lambda ts: ts
-    weighted = F.concat(*(_weighted(fits(text.terms(F.coalesce(F.col(c), F.lit("")))), w) for c, w in WEIGHTS.items()))
+    own = (lambda c: text.found_terms(c, F.col("all"))) if wanted is not None else text.terms
+    weighted = F.concat(*(_weighted(own(F.coalesce(F.col(c), F.lit(""))), w) for c, w in WEIGHTS.items()))
     sized = chunks.select("id", *keep, _length().alias("dl"), weighted.alias("ts"))
     return sized.select("id", *keep, "dl", F.explode("ts").alias("t")).select("id", *keep, "dl", "t.token", "t.w")
 
@@ -108,7 +108,8 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = No
         held = _terms(chunks, keep, every).join(hint(asked), "token").groupBy("query_id", "id", *keep, "dl", "token", "scores").agg(F.sum("w").alias("wtf"))
     else:
         held = postings(chunks, keep).join(asked, "token")
-    df = held.groupBy("query_id", *keep, "token").agg(F.count("*").alias("df"))
+    # the sums are read here too, so that both uses of `held` have one plan and its shuffle is done once
+    df = held.groupBy("query_id", *keep, "token").agg(F.count("*").alias("df"), F.max("wtf").alias("top")).filter("top > 0").drop("top")
     stats = corpus_stats(chunks, keep) if stats is None else stats
     rated = held.join(hint(df), ["query_id", *keep, "token"])
     rated = rated.join(stats, keep) if keep else rated.crossJoin(F.broadcast(stats))  # one row
