@@ -389,6 +389,78 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return out.unionByName(first.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
 
+def _counted(words: int, percent: int):
+    """Rows (a, b, text_a, text_b) whose shingle sets are similar enough, as (a, b, shared, total)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                texts = list(dict.fromkeys(t or b"" for c in (2, 3) for t in utf8(part.column(c))))
+                sets: dict[bytes, np.ndarray] = {}
+                for _, run in chunks(texts):
+                    sets.update(zip(run, shingle_sets(run, words), strict=True))
+                rows = []
+                for a, b, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), utf8(part.column(3)), strict=True):
+                    s, t = sets[x or b""], sets[y or b""]
+                    both = np.sort(np.concatenate([s, t]))
+                    same = int((both[1:] == both[:-1]).sum())
+                    if same and 100 * same >= percent * (len(both) - same):
+                        rows.append((a, b, same, len(both) - same))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "shared", "total"])
+
+    return read
+
+
+def _joined(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, classes): the whole join between distinct sets, each known by its smallest id, and the class of each row."""
+    spark = rows.sparkSession
+    small_batches(spark)
+    signed = stored(prefixes(rows, words, percent), "signatures")
+    own = signed.filter("n > 0 and doc is not null")
+    reps = stored(own.groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.min("gid").alias("gid")), "sets")
+    shown = signed.filter("prefix is not null and doc is not null").select("gid", "n", "prefix")
+    n_entries = (shown.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_entries // ENTRIES))
+    # equal prefixes of one group count once; every group is a unit of its own, so all pairs of a bucket are looked at
+    entries = shown.mapInArrow(_explode, _ENTRY).groupBy("token", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")).withColumn("root", F.col("gid"))
+    met = entries.select("token", "gid", "n", "pos", "root").repartition(parts, "token").mapInArrow(_crossings(percent), _PAIR).select("a", "b").distinct()
+    inner = reps.select("gid", F.col("rep").alias("a")).join(reps.select("gid", F.col("rep").alias("b")), "gid").filter("a < b").select("a", "b")
+    members = stored(_expand(met, reps, percent).unionByName(inner).distinct(), "candidates")
+    needed = id_filter(members.select(F.explode(F.array("a", "b")).alias("doc")))
+    texts = rows.filter(passes(spark, needed, F.col("doc"))).groupBy("doc", "text").agg(F.count("*").alias("c"))
+    both = members.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(_counted(words, percent), "a long, b long, shared long, total long")
+    best = found.groupBy("a", "b").agg(F.max_by(F.struct("shared", "total"), F.col("shared") / F.col("total")).alias("s"))
+    pairs = stored(best.select("a", "b", "s.shared", "s.total"), "pairs")
+    drop(members)
+    classes = signed.select("doc", "fp1", "fp2", "n").join(reps, ["fp1", "fp2", "n"], "left").select("doc", "n", "rep")
+    return pairs, classes
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The join itself: (a, b, shared, total), a < b, for every two distinct shingle sets that link, each known by the smallest id
+    that has it, with the sizes of their intersection and union.
+
+    Copies aren't expanded: linked() tells the class of each row. Rows without words or id take no part; an id with several
+    texts stands for each of their sets; an empty table gives no rows. Every candidate pair is verified on whole texts, so
+    the work grows with the pairs that link; near_duplicates() finds the components with less."""
+    return _joined(_rows(docs, id_col, text_col), words, percent)[0]
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_links) for each row: the smallest id with its shingle set, and how many other rows it links
+    with (copies and similar sets). Rows without words have their own id as class and no links; null ids have a null class."""
+    pairs, classes = _joined(_rows(docs, id_col, text_col), words, percent)
+    sizes = classes.filter("rep is not null and doc is not null").groupBy("rep").agg(F.count("*").alias("rows"))
+    either = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    links = either.join(sizes.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("rows").alias("linked"))
+    counted = sizes.join(links, "rep", "left").select("rep", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    out = classes.join(counted, "rep", "left")
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("class_id"), F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+
+
 #: DuckDB SQL for near_duplicates(documents) on small tables: all pairs that share a shingle, then their transitive closure.
 ORACLE = r"""
 WITH RECURSIVE split AS (

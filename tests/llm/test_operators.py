@@ -113,6 +113,34 @@ def test_components_match_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == list(zip(sizes, roots, strict=True))
 
 
+def brute_sets(texts):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    return [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ()) for w in words]
+
+
+def test_whole_join_matches_brute_force(spark):
+    texts = families(4, 90)
+    sets = brute_sets(texts)
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    want = {(first[a], first[b], len(a & b), len(a | b)) for a in first for b in first if first[a] < first[b] and a & b and 100 * len(a & b) >= 80 * len(a | b)}
+    docs = docs_of(spark, texts)
+    assert {tuple(r) for r in ngram_jaccard.similar_pairs(docs).collect()} == want and len(want) > 10
+    links = {i: sum(j != i and bool(s & t) and 100 * len(s & t) >= 80 * len(s | t) for j, t in enumerate(sets)) for i, s in enumerate(sets)}
+    assert {r.doc_id: (r.n_shingles, r.class_id, r.n_links) for r in ngram_jaccard.linked(docs).collect()} == {i: (len(s), first[s], links[i]) for i, s in enumerate(sets)}
+
+
+def test_whole_join_of_odd_rows(spark):
+    text = " ".join(WORDS)
+    docs = docs_of(spark, [text, text, text + " end", None, "", text, "one"], [3, 2, 9, 4, 4, None, 5]).withColumns({"a": F.lit(1), "rep": F.lit("x")})
+    n, m = len(WORDS) - 4, len(WORDS) - 3
+    assert [tuple(r) for r in ngram_jaccard.similar_pairs(docs).collect()] == [(2, 9, n, m)]
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.class_id, r.n_links) for r in ngram_jaccard.linked(docs).collect()), key=str)
+    assert got == sorted([(3, n, 2, 2), (2, n, 2, 2), (9, m, 9, 2), (4, 0, 4, 0), (4, 0, 4, 0), (0, n, None, None), (5, 1, 5, 0)], key=str)
+    assert ngram_jaccard.similar_pairs(docs.limit(0)).count() == ngram_jaccard.linked(docs.limit(0)).count() == 0
+
+
 def test_one_row_of_each_group_stays(spark):
     text = " ".join(WORDS)
     near = text + " end"
