@@ -52,8 +52,7 @@ def sketch(texts: DataFrame, words: int) -> np.ndarray:
         cells = np.zeros(n_cells, np.uint32)
         for batch in batches:
             for _, run in chunks(list(dict.fromkeys(utf8(batch.column(0))))):
-                for s in shingle_sets(run, words):
-                    np.add.at(cells, _cell(s, n_cells), np.uint32(1))
+                np.add.at(cells, _cell(np.concatenate([*shingle_sets(run, words), np.zeros(0, np.uint64)]), n_cells), np.uint32(1))
         blocks = cells.reshape(-1, BLOCK)
         for b in np.flatnonzero(blocks.any(1)):
             low = np.minimum(blocks[b], 0xFFFF).astype(np.uint16)  # more than that in one task are as frequent as any
@@ -71,7 +70,8 @@ def sketch(texts: DataFrame, words: int) -> np.ndarray:
 
     parts = texts.mapInArrow(count, "block int, cells binary")
     out = np.zeros(n_cells, np.uint8)
-    for b, c in parts.repartition(n_cells // BLOCK, "block").mapInArrow(total, "block int, cells binary").toLocalIterator():
+    # a MB at a time reaches the driver, the next one on its way meanwhile
+    for b, c in parts.repartition(n_cells // BLOCK // 8, "block").mapInArrow(total, "block int, cells binary").toLocalIterator(prefetchPartitions=True):
         out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(c, np.uint8)
     return out
 
