@@ -107,26 +107,26 @@ def parse_entity(text: str | None) -> list[tuple[str, str]]:
     return out + [("timeline", m[1].strip()) for m in re.finditer(r"^\s*[-*]\s+(.+)$", timeline, re.M)]
 
 
-@F.udtf(returnType="pos int, chunk string")
+@F.udtf(returnType="pos int, chunk string", useArrow=True)
 class MarkdownChunks:
     def eval(self, text: str) -> Iterator[tuple[int, str]]:
         yield from enumerate(chunk_markdown(text))
 
 
-@F.udtf(returnType="pos int, chunk string")
+@F.udtf(returnType="pos int, chunk string", useArrow=True)
 class JsonChunks:
     def eval(self, text: str) -> Iterator[tuple[int, str]]:
         yield from enumerate(chunk_json(text))
 
 
-@F.udtf(returnType="pos int, section string, chunk string")
+@F.udtf(returnType="pos int, section string, chunk string", useArrow=True)
 class EntityChunks:
     def eval(self, text: str) -> Iterator[tuple[int, str, str]]:
         for i, (section, part) in enumerate(parse_entity(text)):
             yield i, section, part
 
 
-@F.udtf(returnType="relation string, target string")
+@F.udtf(returnType="relation string, target string", useArrow=True)
 class FrontmatterRelations:
     def eval(self, text: str) -> Iterator[tuple[str, str]]:
         yield from frontmatter_relations(text)

@@ -183,8 +183,15 @@ def near_copies(new: DataFrame, index: DataFrame, threshold: float = 0.7, vector
         return same.unionByName(rest.withColumn("cosine", F.lit(None).cast("double")))
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)
     probe = new.select("id", F.array_distinct(F.slice(words("chunk_text"), 1, 8)).alias("ws")).filter(F.size("ws") >= 3)
+    bag = index.select(F.col("id").alias("match_id"), F.array_distinct(words("chunk_text")).alias("held"))
+    # a match has `need` of a row's n words, so one at least of its n - need + 1 rarest: only those are joined
     asked = probe.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    held = index.select(F.col("id").alias("match_id"), F.explode(F.array_distinct(words("chunk_text"))).alias("w"))
-    met = asked.join(held, "w").filter("id <> match_id").groupBy("id", "match_id", "n").agg(F.count("*").alias("c")).withColumn("overlap", F.round(F.col("c") / F.col("n"), 6))
+    held = bag.select("match_id", F.explode("held").alias("w"))
+    often = held.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "w"))
+    need = F.floor(threshold * F.col("n") + 1e-9) + 1
+    rare = asked.join(often, "w", "left").withColumn("p", place).filter(F.col("p") <= F.col("n") - need + 1).filter("df is not null").select("id", "w")
+    met = rare.join(held, "w").filter("id <> match_id").select("id", "match_id").distinct()
+    shared = met.join(probe, "id").join(bag, "match_id").select("id", "match_id", F.round(F.size(F.array_intersect("ws", "held")) / F.size("ws"), 6).alias("overlap"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "match_id"))
-    return met.filter(F.col("overlap") > threshold).withColumn("r", best).filter("r = 1").select("id", "match_id", "overlap")
+    return shared.filter(F.col("overlap") > threshold).withColumn("r", best).filter("r = 1").select("id", "match_id", "overlap")
