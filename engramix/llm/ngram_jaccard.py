@@ -70,8 +70,9 @@ def sketch(texts: DataFrame, words: int) -> np.ndarray:
 
     parts = texts.mapInArrow(count, "block int, cells binary")
     out = np.zeros(n_cells, np.uint8)
-    # a MB at a time reaches the driver, the next one on its way meanwhile
-    for b, c in parts.repartition(n_cells // BLOCK // 8, "block").mapInArrow(total, "block int, cells binary").toLocalIterator(prefetchPartitions=True):
+    # summed by as many tasks as there are blocks; then some MB at a time reach the driver, the next ones on their way meanwhile
+    sums = parts.repartition(n_cells // BLOCK, "block").mapInArrow(total, "block int, cells binary")
+    for b, c in sums.repartition(8).toLocalIterator(prefetchPartitions=True):
         out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(c, np.uint8)
     return out
 
