@@ -28,7 +28,8 @@ def _rendered(template: str) -> Column:
 
 def _placed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(turns with their position pos, from 1; conv, chunk, pos and the prefix hashes p1 and p2)."""
-    # positions and hashes are rolled within chunks, then over the chunks, so that no long conversation is sorted in one task
+    # positions and hashes are rolled within chunks, then over the chunks, so that a long conversation isn't sorted in one task; only
+    # turns of one number, or of none, are
     order = Window.partitionBy("conv", "chunk").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     local = turns.withColumn("k", F.row_number().over(order))
     sizes = turns.groupBy("conv", "chunk").agg(F.count("*").alias("c"))
