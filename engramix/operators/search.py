@@ -86,6 +86,16 @@ def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
     return chunks.select(*keep, _length().alias("dl")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def _candidates(read: DataFrame, dfs: DataFrame, index: DataFrame, keep: list[str]) -> DataFrame:
+    """(query_id, [keep], id) of chunks with the rarest wanted term of an alternative all of whose wanted terms occur: what many
+    queries are looked up by, so that common terms don't join everything with everything."""
+    ways = read.select("query_id", F.posexplode("expression").alias("way", "clause"))
+    wanted = F.array_distinct(F.flatten(F.transform("clause", lambda factor: F.get(factor, F.lit(0)))))
+    terms = ways.select("query_id", "way", F.size(wanted).alias("n"), F.explode(wanted).alias("token")).join(dfs, "token")
+    rarest = terms.groupBy("query_id", "way", *keep).agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.count("*").alias("met"), F.first("n").alias("n")).filter("met = n")
+    return rarest.select("query_id", *keep, "token").distinct().join(index.select("id", *keep, "token"), ["token", *keep]).select("query_id", *keep, "id").distinct()
+
+
 def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = None, limit: int | None = CANDIDATES, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, [by], id, bm25, base_rank): chunks that a query (see parsed()) matches, best first, at most `limit`. Terms that a
     query refuses only don't score.
@@ -99,17 +109,22 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = No
     asked = read.select("query_id", F.explode(F.array_distinct(F.flatten(flat))).alias("token"), positive.alias("ps")).select("query_id", "token", F.array_contains("ps", F.col("token")).alias("scores"))
     few = asked.limit(FEW + 1).count() <= FEW
     hint = F.broadcast if few else lambda df: df
-    if index is not None:
+    if few and index is not None:
         part = "part" in index.columns
         wanted = asked.withColumn("part", part_of(F.col("token"))) if part else asked
         held = index.join(hint(wanted), ["token", "part"] if part else "token")
     elif few:  # other terms are dropped before any shuffle
         every = asked.agg(F.collect_set("token").alias("all"))
         held = _terms(chunks, keep, every).join(hint(asked), "token").groupBy("query_id", "id", *keep, "dl", "token", "scores").agg(F.sum("w").alias("wtf"))
+    if few:
+        # the sums are read here too, so that both uses of `held` have one plan and its shuffle is done once
+        df = held.groupBy("query_id", *keep, "token").agg(F.count("*").alias("df"), F.max("wtf").alias("top")).filter("top > 0").drop("top")
     else:
-        held = postings(chunks, keep).join(asked, "token")
-    # the sums are read here too, so that both uses of `held` have one plan and its shuffle is done once
-    df = held.groupBy("query_id", *keep, "token").agg(F.count("*").alias("df"), F.max("wtf").alias("top")).filter("top > 0").drop("top")
+        every = postings(chunks, keep) if index is None else index.drop("part")
+        own = every.join(asked.select("token").distinct(), "token", "left_semi").groupBy(*keep, "token").agg(F.count("*").alias("df"))
+        found = _candidates(read, own, every, keep)
+        held = found.join(asked, "query_id").join(every, ["id", *keep, "token"])
+        df = asked.select("query_id", "token").join(own, "token")
     stats = corpus_stats(chunks, keep) if stats is None else stats
     rated = held.join(hint(df), ["query_id", *keep, "token"])
     rated = rated.join(stats, keep) if keep else rated.crossJoin(F.broadcast(stats))  # one row

@@ -258,7 +258,9 @@ def test_brief_has_fresh_rows_and_keeps_pain(spark):
     assert all(r.pain >= 0.9 for r in many)  # what is painful isn't pushed out by fresh rows
 
 
-def test_boolean_queries(spark):
+@pytest.mark.parametrize("few", [10_000, 2])
+def test_boolean_queries(spark, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW", few)
     texts = ["red fish", "red bird", "blue fish", "blue bird and red fish", "green"]
     chunks = spark.createDataFrame([(i, t, "f", "x") for i, t in enumerate(texts)], "id long, chunk_text string, source_file string, chunk_type string")
     asked = {"red fish": {0, 3}, "red OR blue": {0, 1, 2, 3}, "red NOT fish": {1}, "red fish OR green": {0, 3, 4}, "red AND bird NOT blue fish": {1}, "blue NOT fish NOT bird": set(), "OR red": set(), "red AND": set(), "red or fish": set(), "!!": set(), "RED": {0, 1, 3}}
