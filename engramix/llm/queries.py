@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramix.llm import bestfit, chat_format, decontaminate, html_text, language, ngram_jaccard, packing, quality, topk, url_lists
+from engramix.llm import bestfit, chat_format, decontaminate, html_text, importance, language, ngram_jaccard, packing, quality, topk, url_lists
 from engramix.llm.work import table
 
 
@@ -56,6 +56,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -67,4 +71,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": decontaminate.ORACLE,
         "op8_exact_top_k": topk.ORACLE,
         "op10_chat_format": chat_format.ORACLE,
+        "op11_importance_resampling": importance.ORACLE,
     }
