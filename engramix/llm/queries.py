@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramix.llm import bestfit, chat_format, decontaminate, html_text, importance, language, ngram_jaccard, packing, quality, runs, topk, url_lists
+from engramix.llm import bestfit, chat_format, decontaminate, html_text, importance, language, lattice, ngram_jaccard, packing, quality, runs, topk, url_lists
 from engramix.llm.work import table
 
 
@@ -60,6 +60,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"))
 

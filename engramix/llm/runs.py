@@ -30,7 +30,7 @@ from engramix.llm.work import small_batches, stored
 #: Fewest words of a run, and least length over period.
 LEAST, EXPONENT = 12, 2
 #: Words of a text that one task scans for all lags; longer texts are dealt out by lags.
-LONG = 1 << 14
+LONG = 1 << 13
 #: Comparisons of a dealt range of lags.
 WORK = 1 << 18
 #: Lags below are compared in full.
