@@ -117,7 +117,10 @@ class Engine:
     def kg_query(self, name: str) -> DataFrame:
         return graph.lookup(self.table("kg_entities"), self.table("kg_relations"), name)
 
-    def kg_path(self, start: int, end: int) -> DataFrame:
+    def kg_path(self, start: int | str, end: int | str) -> DataFrame:
+        """Between two entities by id, or between the first ones whose names hold the words."""
+        if isinstance(start, str) or isinstance(end, str):
+            return graph.named_path(self.table("kg_entities"), self.table("kg_relations"), str(start), str(end))
         return graph.shortest_path(self.table("kg_relations"), start, end)
 
     def kg_impact(self, node: int) -> DataFrame:

@@ -119,8 +119,8 @@ def model_relations(extracted: DataFrame) -> DataFrame:
 
 
 def merged_attributes(old: Column, new: Column) -> Column:
-    """Two JSON objects of strings as one; the new one's keys win."""
-    parse = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """Two JSON objects as one; the new one's keys win. Values keep their types, whatever they are; what isn't an object is empty."""
+    parse = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     kept = F.map_filter(parse(old), lambda k, _: ~F.map_contains_key(parse(new), k))
     return F.to_json(F.map_concat(kept, parse(new)))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
-from engramix.operators.search import if_few
+from engramix.operators.search import if_few, part_of
+from engramix.storage import drop, stored
 
 
 def _named(pattern: str, kind: str) -> Column:
@@ -91,18 +92,51 @@ def confirmed(relations: DataFrame, ids: list[int], as_of: Column) -> DataFrame:
 
 
 def undirected(relations: DataFrame) -> DataFrame:
-    """(u, v) for each relation, either way: an adjacency to store, bucketed by u, where paths are sought often."""
+    """(u, v) for each relation, either way."""
     r = relations.filter("source_id <> target_id")
     return r.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).union(r.select("target_id", "source_id"))
 
 
+def adjacency(relations: DataFrame) -> DataFrame:
+    """(u, v, part): neighbours of each node, each pair once, in parts by node: to be stored by `part`, so that a search reads the
+    parts of its frontier only and never exchanges edges."""
+    return undirected(relations).distinct().withColumn("part", part_of(F.col("u")))
+
+
+def ends_named(entities: DataFrame, name: str) -> DataFrame:
+    """(id, name) of the first entity whose name holds the words, ignoring case."""
+    return entities.filter(F.contains(F.lower("name"), F.lit(name.lower()))).orderBy("id").limit(1).select("id", "name")
+
+
+def named_path(entities: DataFrame, relations: DataFrame, start: str, end: str, most: int = 4, edges: DataFrame | None = None) -> DataFrame:
+    """(step, id, entity, relation): a shortest path between the first entities of those names; the first step's relation is START,
+    the others' the first by name between the two. No rows without either entity or a path."""
+    spark = relations.sparkSession
+    first, last = (ends_named(entities, n).first() for n in (start, end))
+    none = "step int, id long, entity string, relation string"
+    if first is None or last is None:
+        return spark.createDataFrame([], none)
+    found = shortest_path(relations, first.id, last.id, most, edges).first()
+    if found is None:
+        return spark.createDataFrame([], none)
+    steps = spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(zip(found.path, [None, *found.path], strict=False))], "step int, id long, before long")  # most + 1 rows
+    between = relations.filter(F.col("source_id").isin(found.path) & F.col("target_id").isin(found.path))
+    either = between.select(F.col("source_id").alias("before"), F.col("target_id").alias("id"), "relation_type").union(between.select("target_id", "source_id", "relation_type"))
+    kind = either.groupBy("before", "id").agg(F.min("relation_type").alias("relation"))
+    named = entities.filter(F.col("id").isin(found.path)).select("id", F.col("name").alias("entity"))
+    return steps.join(named, "id").join(kind, ["before", "id"], "left").select("step", "id", "entity", F.when(F.col("step") == 0, "START").otherwise(F.col("relation")).alias("relation"))
+
+
 def shortest_path(relations: DataFrame, start: int, end: int, most: int = 4, edges: DataFrame | None = None) -> DataFrame:
     """(depth, path array<long>) of a shortest undirected path of at most `most` edges; of equals the one with the smallest ids.
 
     Searched from both ends, one frontier join a step, until they meet; a node keeps its smallest path from either end, so a
-    frontier never has more rows than nodes. edges: a stored undirected(), else the relations are read once and kept for the steps."""
+    frontier never has more rows than nodes. edges: a stored adjacency(), of which a step reads the parts of its frontier; else the
+    relations' pairs are written first. A small frontier is sent to the edges, which are never exchanged."""
     spark = relations.sparkSession
-    kept = [(undirected(relations) if edges is None else edges.select("u", "v")).persist()]
+    beside = stored(undirected(relations), "edges") if edges is None else edges
+    kept = [] if edges is not None else [beside]
+    place = ["part", "u"] if "part" in beside.columns else ["u"]
     shape = "node long, path array<long>"
     sides = [spark.createDataFrame([(n, [n])], shape) for n in (start, end)]
     seen = [side.select("node") for side in sides]
@@ -112,16 +146,16 @@ def shortest_path(relations: DataFrame, start: int, end: int, most: int = 4, edg
             break
         own = 0 if depth % 2 else 1
         longer = F.array_append("path", F.col("v")) if own == 0 else F.array_prepend("path", F.col("v"))
-        grown = sides[own].join(kept[0], F.col("node") == F.col("u")).select(F.col("v").alias("node"), longer.alias("path"))
-        sides[own] = grown.join(seen[own], "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).persist()
+        frontier = if_few(sides[own].select(F.col("node").alias("u"), "path", part_of(F.col("node")).alias("part")))
+        grown = beside.join(frontier.select("path", *place), place).select(F.col("v").alias("node"), longer.alias("path"))
+        sides[own] = stored(grown.join(seen[own], "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")), "frontier")
         kept.append(sides[own])
         seen[own] = seen[own].union(sides[own].select("node"))
         met = sides[0].join(sides[1].select("node", F.col("path").alias("rest")), "node")
         best = met.agg(F.min(F.concat("path", F.slice("rest", F.lit(2), F.size("rest"))))).first()[0]  # one path
         if best is not None:
             found = [(depth, best)]
-    for df in kept:
-        df.unpersist()
+    drop(*kept)
     return spark.createDataFrame(found, "depth int, path array<long>")
 
 
@@ -249,14 +283,22 @@ def renamed(chunks: DataFrame, old: str, new: str) -> DataFrame:
     return chunks.withColumn("chunk_text", F.regexp_replace("chunk_text", pattern, new.replace("\\", r"\\").replace("$", r"\$")))
 
 
-def rename_cycles(renames: DataFrame, most: int = 16) -> DataFrame:
-    """Slugs (old) whose chain of renames (old, new) comes back to them within `most` steps."""
-    at = renames.select(F.col("old").alias("start"), F.col("new").alias("now"))
-    found = at.filter("start = now").select("start")
-    for _ in range(most - 1):
-        at = at.filter("start <> now").join(renames, F.col("now") == F.col("old")).select("start", F.col("new").alias("now")).distinct()
-        found = found.union(at.filter("start = now").select("start"))
-    return found.distinct()
+def rename_cycles(renames: DataFrame, order: str | None = None) -> DataFrame:
+    """Slugs (start) whose chain of renames (old, new) comes back to them, however long; of several renames of a slug the last
+    by `order` counts (then, or without an order, the greatest new name).
+
+    Each step doubles how far every slug has been followed, so 2^k renames take k joins. Chains that end drop out; whoever is
+    reached after as many steps as there are renames is on a cycle."""
+    last = F.struct(F.col(order), F.col("new")) if order else F.struct("new")
+    at = renames.filter("old is not null and new is not null").groupBy(F.col("old").alias("start")).agg(F.max_by("new", last).alias("now"))
+    at = stored(at, "renames")
+    steps, left = 1, at.count()
+    all_ = left
+    while left and steps <= all_:  # a chain that ends has no more steps than there are renames
+        before, at = at, stored(at.join(at.select(F.col("start").alias("now"), F.col("now").alias("then")), "now").select("start", F.col("then").alias("now")), "renames")
+        drop(before)
+        steps, left = 2 * steps, at.count()
+    return at.select(F.col("now").alias("start")).distinct()
 
 
 def top_entities(entities: DataFrame, n: int = 200) -> DataFrame:

@@ -103,12 +103,13 @@ def compact(chunks: DataFrame, as_of: Column, days: int = 30, least: int = 3, gr
 
 def merge_reread(old: DataFrame, new: DataFrame) -> DataFrame:
     """Chunks of re-read files: one row for each fingerprint of the new reading, with what is known of an equal old chunk
-    (tier, access_count, importance) and its action: kept, added; old chunks of the same files without a match: removed.
+    (tier, access_count, importance; of several the smallest id's) and its action: kept, added; old chunks of the same files without a match: removed.
 
     Old chunks of files that were not re-read are not touched."""
-    mark = lambda df: df.withColumn("fp", text.fingerprint(F.col("source_file"), F.col("chunk_text"))).dropDuplicates(["fp"])
-    a = mark(old.join(new.select("source_file").distinct(), "source_file", "left_semi")).select("fp", F.col("id").alias("old_id"), F.col("source_file").alias("of"), F.col("tier").alias("old_tier"), F.col("access_count").alias("old_access"))
-    b = mark(new).select("fp", F.col("id").alias("new_id"), F.col("source_file").alias("nf"))
+    mark = lambda df: df.withColumn("fp", text.fingerprint(F.col("source_file"), F.col("chunk_text")))
+    one = lambda df: df.groupBy("fp").agg(F.min_by(F.struct(*(c for c in df.columns if c != "fp")), "id").alias("r")).select("fp", "r.*")
+    a = one(mark(old.join(new.select("source_file").distinct(), "source_file", "left_semi"))).select("fp", F.col("id").alias("old_id"), F.col("source_file").alias("of"), F.col("tier").alias("old_tier"), F.col("access_count").alias("old_access"))
+    b = one(mark(new)).select("fp", F.col("id").alias("new_id"), F.col("source_file").alias("nf"))
     action = F.when(F.col("new_id").isNull(), "removed").when(F.col("old_id").isNull(), "added").otherwise("kept")
     return a.join(b, "fp", "full_outer").select("fp", F.coalesce("nf", "of").alias("source_file"), "old_id", "new_id", action.alias("action"), F.coalesce("old_tier", F.lit("peripheral")).alias("tier"), F.coalesce("old_access", F.lit(0)).alias("access_count"))
 

@@ -116,6 +116,19 @@ def j07_shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     return graph.shortest_path(relations, 11, 22).select("depth", F.size("path").alias("nodes"))
 
 
+@query(
+    GRAPH + _EDGES + ", a AS (SELECT min(id) AS id FROM entities WHERE contains(lower(name), 'supplier#000000001')), b AS (SELECT min(id) AS id FROM entities WHERE contains(lower(name), 'nation_2')), "
+    "p1 AS (SELECT a.id AS x, u.v AS y FROM u, a WHERE u.u = a.id), p2 AS (SELECT p1.x, p1.y, u.v AS z FROM p1 JOIN u ON u.u = p1.y), p3 AS (SELECT p2.*, u.v AS w FROM p2 JOIN u ON u.u = p2.z), "
+    "found AS (SELECT [x, y] AS path FROM p1, b WHERE y = b.id UNION ALL SELECT [x, y, z] FROM p2, b WHERE z = b.id UNION ALL SELECT [x, y, z, w] FROM p3, b WHERE w = b.id), "
+    "best AS (SELECT path FROM found ORDER BY len(path), path LIMIT 1), s AS (SELECT unnest(range(0, len(path))) AS i, path FROM best) "
+    "SELECT CAST(i AS INTEGER) AS step, path[i + 1] AS id, e.name AS entity, CASE WHEN i = 0 THEN 'START' ELSE (SELECT min(relation_type) FROM relations r WHERE r.source_id = path[i] AND r.target_id = path[i + 1] OR r.source_id = path[i + 1] AND r.target_id = path[i]) END AS relation FROM s JOIN entities e ON e.id = path[i + 1]"
+)
+def j07_named_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Between a supplier and a nation that are named, over a stored adjacency."""
+    entities, relations = graph_of(spark, folder)
+    return graph.named_path(entities, relations, "supplier#000000001", "nation_2")
+
+
 @query(GRAPH + " SELECT id, target_id AS neighbour, 'out' AS direction FROM relations WHERE source_id = 11 UNION ALL SELECT id, source_id, 'in' FROM relations WHERE target_id = 11 AND source_id <> 11")
 def c13_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
     _, relations = graph_of(spark, folder)

@@ -11,7 +11,7 @@ from engramix.operators import answers, extract, graph, lifecycle, reports, scan
 from engramix.plans.analytics import _RUNS, _runs
 from engramix.plans.registry import ORACLES, query
 from engramix.plans.retrieval import _vectors
-from engramix.plans.views import AS_OF, CHUNKS, GRAPH, chunks, now, table
+from engramix.plans.views import AS_OF, CHUNKS, GRAPH, chunks, now, split_columns, table
 from engramix.plans.views import graph as graph_of
 from engramix.sources import files
 from engramix.vocab import case_sql
@@ -86,13 +86,13 @@ def h13_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", F.round(0.5 * F.exp(-F.pow(days, 2.0) / (2 * 900 * 100.0)), 6).alias("near"))
 
 
-@query("SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS k, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id ELSE event_type END AS s FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('{\"k\":', json_extract_string(props, '$.k'), ',\"n\":{\"x\":[1,true,null]},\"s\":\"u', user_id, '\"}') WHEN 1 THEN concat('{\"s\":\"', event_type, '\",\"k\":', json_extract_string(props, '$.k'), ',\"n\":{\"y\":1.5}}') ELSE concat('{\"s\":\"', event_type, '\",\"k\":', json_extract_string(props, '$.k'), ',\"n\":{\"x\":[1,true,null]}}') END AS m FROM events")
 def h21_merged_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    """Old attributes (a type and a number) with new ones, of which every third has a type."""
-    old = F.to_json(F.struct(F.col("event_type").alias("s"), F.get_json_object("props", "$.k").alias("k")))
-    new = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("s")))).otherwise("{}")
-    merged = extract.merged_attributes(old, new)
-    return table(spark, folder, "events").withColumn("m", merged).select("event_id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.s").alias("s"))
+    """Old attributes (a type, a number, an object) with new ones: another type, another object, or none."""
+    k = F.get_json_object("props", "$.k")
+    old = F.concat(F.lit('{"s":"'), "event_type", F.lit('","k":'), k, F.lit(',"n":{"x":[1,true,null]}}'))
+    new = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"s":"u'), "user_id", F.lit('"}'))).when(F.col("event_id") % 3 == 1, '{"n":{"y":1.5}}').otherwise("{}")
+    return table(spark, folder, "events").select("event_id", extract.merged_attributes(old, new).alias("m"))
 
 
 @query(CHUNKS + f" SELECT id, {case_sql('section', {k: round(v - 1, 6) for k, v in vocab.SECTION_FACTOR_TEMPORAL.items()}, None)} AS temporal, {case_sql('section', {k: round(v - 1, 6) for k, v in vocab.SECTION_FACTOR.items()}, None)} AS plain FROM chunks WHERE section IS NOT NULL")
@@ -193,6 +193,19 @@ def j14_renamed(spark: SparkSession, folder: str) -> DataFrame:
     return graph.renamed(c, "old-one", "the-new").withColumnRenamed("chunk_text", "t")
 
 
+_CHAINS = "p_partkey AS k, CASE WHEN CAST(floor(p_partkey / 40) AS BIGINT) % 2 = 0 THEN CAST(floor(p_partkey / 40) AS BIGINT) * 40 + (p_partkey + 1) % 40 ELSE p_partkey + 1 END AS next"
+
+
+@query(
+    f"WITH RECURSIVE c AS (SELECT {_CHAINS} FROM part), w AS (SELECT k AS start, next AS now, 1 AS n FROM c UNION ALL SELECT w.start, c.next, n + 1 FROM w JOIN c ON c.k = w.now WHERE w.now <> w.start AND n < 41) "
+    "SELECT concat('p', start) AS start FROM w WHERE now = start"
+)
+def j14_rename_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts renamed in rings of 40, and in chains that lead into them."""
+    c = table(spark, folder, "part").selectExpr(*split_columns(_CHAINS))
+    return graph.rename_cycles(c.select(F.concat(F.lit("p"), "k").alias("old"), F.concat(F.lit("p"), "next").alias("new")))
+
+
 _EVENT_SECRETS = [r"AIza[0-9A-Za-z_-]{30,}", r"AQ\.[0-9A-Za-z_-]{30,}", r"sk-[0-9A-Za-z_-]{20,}", r"ghp_[0-9A-Za-z]{30,}", r"xox[baprs]-[0-9A-Za-z-]{10,}", r"Bearer\s+[0-9A-Za-z._~+/=-]{16,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"]
 _TOLD_SECRET = "concat(text, CASE WHEN doc_id % 5 = 0 THEN ' Bearer abcdefghijklmnopqrst' WHEN doc_id % 5 = 1 THEN concat(' sk-', md5(text), ' and ghp_', md5(source)) ELSE '' END)"
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramix import vocab
-from engramix.sources import files
 
 AS_OF = "2026-01-15"
 _SECTIONS = {0: "compiled", 1: "frontmatter", 2: "timeline"}
@@ -52,16 +51,15 @@ def now() -> Column:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}.parquet"
-    return files.spread(spark.read.parquet(path), path)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return docs.selectExpr(*_split(chunk_columns(True)))
+    return docs.selectExpr(*split_columns(chunk_columns(True)))
 
 
-def _split(columns: str) -> list[str]:
+def split_columns(columns: str) -> list[str]:
     """Top-level columns of a select list."""
     out, depth, start = [], 0, 0
     for i, c in enumerate(columns):

@@ -110,6 +110,8 @@ def test_rules_and_models(spark):
 def test_small_columns(spark):
     df = spark.createDataFrame([('{"a": "1", "b": "2"}', '{"b": "3"}', "key sk-" + "a" * 30)], "o string, n string, t string")
     r = df.select(extract.merged_attributes(F.col("o"), F.col("n")).alias("m"), extract.event_secrets(F.col("t")).alias("s")).first()
+    typed = spark.createDataFrame([('{"a":{"x":1},"n":5,"t":true,"z":null,"l":[1,"2"]}', '{"n":6.5,"m":{"y":[{}]}}'), (None, '{"k":1}'), ("[1]", "no json")], "o string, n string").select(extract.merged_attributes(F.col("o"), F.col("n")).alias("m"))
+    assert [x.m for x in typed.collect()] == ['{"a":{"x":1},"t":true,"z":null,"l":[1,"2"],"n":6.5,"m":{"y":[{}]}}', '{"k":1}', "{}"]
     assert r.m == '{"a":"1","b":"3"}' and r.s.text == "key [REDACTED]" and r.s["count"] == 1
     lines = spark.createDataFrame([("## 2026-03-10 — Something decided",), ("**Decisão:** x",), ("nothing",)], "t string").select(reports.decision_line(F.col("t")).alias("l"))
     assert [r.l for r in lines.collect()] == ["- 2026-03-10 — Something decided", "- **Decisão:** x", None]

@@ -100,6 +100,29 @@ def test_merge_and_rename(spark):
     assert {x.start for x in graph.rename_cycles(r).collect()} == {"a", "b"}
 
 
+@pytest.mark.parametrize("n", [1, 2, 17, 1000])
+def test_rings_of_renames_of_any_length(spark, n):
+    ring = [(f"s{i}", f"s{(i + 1) % n}") for i in range(n)]
+    lead = [(f"l{i}", f"l{i + 1}" if i < 30 else "s0") for i in range(31)] + [(f"e{i}", f"e{i + 1}") for i in range(40)]
+    r = spark.createDataFrame([*ring, *lead, (None, "s0"), ("z", None)], "old string, new string")
+    assert {x.start for x in graph.rename_cycles(r).collect()} == {old for old, _ in ring}
+
+
+def test_the_last_rename_of_a_slug_counts(spark):
+    r = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 2)], "old string, new string, at int")
+    assert graph.rename_cycles(r, "at").count() == 0 and graph.rename_cycles(r.filter("at = 1"), "at").count() == 2
+
+
+def test_path_between_names(spark):
+    e = spark.createDataFrame([(1, "Ann Lee"), (2, "store"), (3, "Bob"), (4, "bobby")], "id long, name string")
+    r = spark.createDataFrame([(1, 1, "uses", 2), (2, 3, "runs", 2), (3, 3, "owns", 2)], "id long, source_id long, relation_type string, target_id long")
+    got = graph.named_path(e, r, "ann", "BOB").orderBy("step").collect()
+    assert [(x.id, x.entity, x.relation) for x in got] == [(1, "Ann Lee", "START"), (2, "store", "uses"), (3, "Bob", "owns")]
+    assert graph.named_path(e, r, "ann", "nobody").count() == 0 and graph.named_path(e, r, "ann", "bobby").count() == 0
+    edges = graph.adjacency(r)
+    assert graph.named_path(e, r, "ann", "bob", edges=edges).count() == 3
+
+
 def ratio(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
