@@ -51,24 +51,42 @@ class Items(NamedTuple):
         return int(self.left.max(initial=0))
 
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Primes below 2^31 with a base each: a run's hash is a pair of polynomials modulo them.
+_PRIMES = ((2147483647, 1284865837), (2147483629, 1812433253))
+
+
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo the prime, twice as many each time."""
+    out = np.ones(n, np.int64)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        np.multiply(out[:m], pow(base, k, prime), out=out[k : k + m])
+        out[k : k + m] %= prime
+        k *= 2
+    return out
 
 
 class Sums(NamedTuple):
-    """Hashes of any run of a sequence from prefix sums: equal runs have equal hashes wherever they are."""
+    """Hashes of any run of a sequence from prefix sums: equal runs have equal hashes wherever they are. Powers of two as
+    moduli would give some runs of two words equal hashes whatever the base, so they are primes."""
 
-    sums: np.ndarray
-    back: np.ndarray
+    sums: list[np.ndarray]
+    back: list[np.ndarray]
 
     @classmethod
     def of(cls, values: np.ndarray) -> Sums:
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(values), _MULT)]), dtype=np.uint64)
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(values), _INVERSE)]), dtype=np.uint64)
-        return cls(np.concatenate([[np.uint64(0)], np.cumsum(mix(values.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)]), back)
+        mixed = mix(values.astype(np.uint64) + np.uint64(1)) >> np.uint64(1)
+        sums, back = [], []
+        for prime, base in _PRIMES:
+            terms = (mixed % np.uint64(prime)).astype(np.int64) * _powers(base, prime, len(values)) % prime
+            sums.append(np.concatenate([[0], np.cumsum(terms) % prime]))  # 2^32 words before a sum is beyond 64 bits
+            back.append(_powers(pow(base, -1, prime), prime, len(values) + 1))
+        return cls(sums, back)
 
     def run(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[first]) * self.back[first]
+        one, two = ((s[end] - s[first]) % prime * b[first] % prime for s, b, (prime, _) in zip(self.sums, self.back, _PRIMES, strict=True))
+        return one << 31 | two
 
 
 class Shard:

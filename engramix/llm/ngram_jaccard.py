@@ -353,17 +353,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
 
 
+def _signed(rows: DataFrame, words: int) -> DataFrame:
+    """rows (doc, text, row) as (doc, n, fp1, fp2, row): the size and the fingerprints of each text's set."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, run in chunks(utf8(batch.column(1))):
+                part = batch.slice(first, len(run))
+                n, fp1, fp2 = zip(*(_fingerprint(s) for s in shingle_sets(run, words)), strict=True)
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), signed(fp1), signed(fp2), part.column(2)], ["doc", "n", "fp1", "fp2", "row"])
+
+    return rows.mapInArrow(sign, T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "n", "fp1", "fp2")] + [rows.schema["row"]]))
+
+
+def _sets_of_texts(rows: DataFrame, several: DataFrame, words: int, percent: int) -> DataFrame:
+    """(fp1, fp2, n, component_id, least) of the sets where each text of the ids in several (doc) is a document of its own; least
+    is the smallest id among the component's rows."""
+    spark = rows.sparkSession
+    several = stored(several, "several")
+    may = F.coalesce(passes(spark, id_filter(several), F.col("doc")), F.lit(False))
+    split = _signed(rows.filter(may).select("doc", "text", F.col("text").alias("row")), words).join(several.withColumn("again", F.lit(True)), "doc", "left")
+    own = F.when(F.col("again") & (F.col("n") > 0), F.xxhash64("doc", "fp1", "fp2", "n")).otherwise(F.col("doc"))
+    split = stored(split.select(own.alias("doc"), F.col("doc").alias("of"), F.col("row").alias("text")), "split")
+    signed, sets, _ = _classes(rows.filter(~may).unionByName(split.select("doc", "text")), words, percent)
+    met = signed.filter("doc is not null").select("doc", "fp1", "fp2", "n").join(sets, ["fp1", "fp2", "n"]).join(split.select("doc", "of").distinct(), "doc", "left")
+    least = met.groupBy("component_id").agg(F.min(F.coalesce("of", "doc")).alias("least"))
+    return stored(sets.join(least, "component_id").select("fp1", "fp2", "n", "component_id", "least"), "sets")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one document of each group of near duplicates: that with the smallest id.
 
-    An id is one document, whatever rows repeat it; of the rows of the one that stays, one for each distinct shingle set
-    stays, the first by its columns (so too for its rows without words: null, empty or blank). Other documents without
-    words and all rows with a null id stay. An empty table stays empty. Only rows that may go (by a bounded filter of ids)
+    Groups are of texts: rows that repeat an id with texts that don't link belong to a group each. Of the rows that have
+    their group's smallest id one stays, the first by its columns (so too for rows of an id without words: null, empty or
+    blank). Other documents without words and all rows with a null id stay. An empty table stays empty. Only rows that may go (by a bounded filter of ids)
     take part in joins."""
-    signed, sets, _ = _classes(_rows(docs, id_col, text_col), words, percent)
-    marked = signed.filter("doc is not null").join(sets, ["fp1", "fp2", "n"], "left").groupBy("doc").agg(F.count("*").alias("rows"), F.min("component_id").alias("root"))
-    # an id goes or stays as a whole; the rows of one that stays in several are looked at
-    judged = stored(marked.select(F.col("doc").alias("engramix doc"), (F.col("rows") > 1).alias("engramix again"), F.coalesce(F.col("root") < F.col("doc"), F.lit(False)).alias("engramix gone")).filter("`engramix again` or `engramix gone`"), "gone")
+    rows = _rows(docs, id_col, text_col)
+    signed, sets, _ = _classes(rows, words, percent)
+    sets = sets.withColumn("least", F.col("component_id"))
+    several = signed.filter("n > 0 and doc is not null").groupBy("doc").agg(F.count_distinct("fp1", "fp2", "n").alias("k")).filter("k > 1").select("doc")
+    if several.limit(1).count():
+        sets = _sets_of_texts(rows, several, words, percent)
+    marked = signed.filter("doc is not null").join(sets, ["fp1", "fp2", "n"], "left").groupBy("doc").agg(F.count("*").alias("rows"), F.bool_and(F.coalesce(F.col("least") < F.col("doc"), F.lit(False))).alias("all"))
+    # an id whose rows all go needs no second look; the rows of one that has several are judged one by one
+    judged = stored(marked.select(F.col("doc").alias("engramix doc"), (F.col("rows") > 1).alias("engramix again"), F.col("all").alias("engramix gone")).filter("`engramix again` or `engramix gone`"), "gone")
     own = F.col(id_col).cast("long")
     may = F.coalesce(passes(docs.sparkSession, id_filter(judged.select("engramix doc")), own), F.lit(False))
     asked = docs.filter(may)
@@ -373,20 +407,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         return out
     again = asked.join(judged.filter("`engramix again` and not `engramix gone`"), own == F.col("`engramix doc`"), "left_semi")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    signatures = again.select(own.alias("doc"), F.col(text_col).cast("string").alias("text"), whole)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, run in chunks(utf8(batch.column(1))):
-                part = batch.slice(first, len(run))
-                n, fp1, fp2 = zip(*(_fingerprint(s) for s in shingle_sets(run, words)), strict=True)
-                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), signed(fp1), signed(fp2), part.column(2)], ["doc", "n", "fp1", "fp2", "row"])
-
-    kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "n", "fp1", "fp2")] + [signatures.schema["row"]])
-    placed = signatures.mapInArrow(sign, kinds)
+    placed = _signed(again.select(own.alias("doc"), F.col(text_col).cast("string").alias("text"), whole), words)
     order = F.struct(*(F.col("row")[f.name] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
-    first = placed.groupBy("doc", "fp1", "fp2", "n").agg(F.min_by("row", order).alias("row"))
+    own_group = placed.join(sets.select("fp1", "fp2", "n", "component_id", "least"), ["fp1", "fp2", "n"], "left").filter("component_id is null or least = doc")
+    first = own_group.groupBy("doc", "component_id").agg(F.min_by("row", order).alias("row"))
     return out.unionByName(first.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
 

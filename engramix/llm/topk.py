@@ -26,7 +26,7 @@ from engramix.llm.work import small_batches, stored
 K, SCALE, PIVOTS = 20, 64, 16
 #: Rows of a block of candidates, and queries compared with it at once.
 CANDIDATES, QUERIES = 4096, 256
-#: Candidates of a query and block that are scored first.
+#: Candidates of a query and block that are scored first, or twice k where that is more.
 STEP = 256
 #: Bytes of query vectors that are broadcast in a pass.
 PASS_BYTES = 16 << 20
@@ -50,18 +50,34 @@ def _product(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T if wide else a @ b.T
 
 
+def _full(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of CANDIDATES rows each, the last ones of a task aside, however many rows a batch has."""
+    ids: list[np.ndarray] = []
+    parts: list[np.ndarray] = []
+    held = 0
+    for batch in batches:
+        for lo in range(0, len(batch), CANDIDATES):
+            part = batch.slice(lo, CANDIDATES)
+            ids.append(part.column(0).to_numpy().astype(np.int64))
+            parts.append(_padded(part.column(1).to_pylist(), dim))
+            held += len(part)
+            if held >= CANDIDATES:
+                i, x = np.concatenate(ids), np.concatenate(parts)
+                yield i[:CANDIDATES], x[:CANDIDATES]
+                ids, parts, held = [i[CANDIDATES:]], [x[CANDIDATES:]], held - CANDIDATES
+    if held:
+        yield np.concatenate(ids), np.concatenate(parts)
+
+
 def _blocks(vectors: DataFrame, dim: int, pivots: np.ndarray, longest: float, kind: str) -> DataFrame:
     """vectors (id, v) in blocks of at most CANDIDATES rows with their distances to the pivots."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), CANDIDATES):
-                part = batch.slice(lo, CANDIDATES)
-                x = _padded(part.column(1).to_pylist(), dim)
-                square = (x * x).sum(1)
-                extra = np.sqrt(np.maximum(0, longest - square))
-                far = np.sqrt(np.maximum(0, square[:, None] + extra[:, None] ** 2 + (pivots**2).sum(1) - 2 * (x @ pivots[:, :-1].T + extra[:, None] * pivots[:, -1])))
-                yield _binary(_BLOCK, part.column(0).to_numpy().astype(np.int64), x.astype(kind), extra, far.astype(np.float32))
+        for ids, x in _full(batches, dim):
+            square = (x * x).sum(1)
+            extra = np.sqrt(np.maximum(0, longest - square))
+            far = np.sqrt(np.maximum(0, square[:, None] + extra[:, None] ** 2 + (pivots**2).sum(1) - 2 * (x @ pivots[:, :-1].T + extra[:, None] * pivots[:, -1])))
+            yield _binary(_BLOCK, ids, x.astype(kind), extra, far.astype(np.float32))
 
     return vectors.mapInArrow(read, _BLOCK)
 
@@ -88,11 +104,12 @@ def _best(top: np.ndarray, q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: i
     floor is raised in place. The candidates with the best bounds are scored first; then those whose bounds reach the
     k-th score that they gave. A candidate that is left out has a bound, and so a score, below it."""
     n = top.shape[1]
-    if n > 4 * STEP and not np.isfinite(floor).all():
-        first = np.argpartition(-top, STEP, axis=1)[:, :STEP]
+    step = max(STEP, 2 * k)
+    if n > 4 * step and not np.isfinite(floor).all():
+        first = np.argpartition(-top, step, axis=1)[:, :step]
         s = np.stack([_product(q[i : i + 1], x[first[i]], wide)[0] for i in range(len(q))]).astype(np.float64)
         s[np.take_along_axis(top, first, 1) == -np.inf] = -np.inf
-        np.maximum(floor, np.partition(s, STEP - k, axis=1)[:, STEP - k], out=floor)
+        np.maximum(floor, np.partition(s, step - k, axis=1)[:, step - k], out=floor)
     open_ = (top >= floor[:, None]) & (top > -np.inf)
     # exact integers either way; comparing wide ones with the float floor can only keep more
     none = np.iinfo(np.int64).min if wide else -np.inf
@@ -167,7 +184,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
 
     Components count as floor(scale * x). A query's own id is no candidate. Rows with a null id or vector, or with a
     null or non-finite component, take no part; shorter vectors count as padded with zeros; an id given in several
-    query rows is answered once, and repeated candidate rows count one by one. Empty tables give no rows.
+    query rows is answered once, for the smallest of its vectors, and repeated candidate rows count one by one. Empty tables give no rows.
 
     A task holds PASS_BYTES of queries, their best k and a block of candidates; more queries take several passes over the
     candidates. The pivots are a bounded sample (n_pivots rows with the smallest hashed ids)."""
@@ -175,7 +192,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     small_batches(vectors.sparkSession)
     of = lambda df: df.filter(fine).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
-    x, q = of(vectors), of(queries).dropDuplicates(["id"])
+    x, q = of(vectors), of(queries).groupBy("id").agg(F.min("v").alias("v"))
     spark = vectors.sparkSession
     nothing = "query_id long, rank int, vec_id long, score long"
     bound = [F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)), F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))), F.count("*")]

@@ -149,7 +149,9 @@ def test_one_row_of_each_group_stays(spark):
     want = lambda rows: sorted(((i is not None, i or 0, t) for i, t in rows), key=str)
     assert keep([(1, text), (1, text), (2, text)]) == want([(1, text)])
     assert keep([(2, text), (1, near), (2, near), (3, other)]) == want([(1, near), (3, other)])
-    assert keep([(7, text), (7, other), (7, other), (8, near), (8, "else"), (9, "else")]) == want([(7, text), (7, other)])
+    assert keep([(7, text), (7, other), (7, other), (8, near), (8, "else"), (9, "else")]) == want([(7, text), (7, other), (8, "else")])
+    assert keep([(5, text), (20, text), (20, other), (21, other)]) == want([(5, text), (20, other)])
+    assert keep([(5, text), (5, near), (6, near)]) == want([(5, text)])
     assert keep([(None, text), (None, text), (4, text), (4, text)]) == want([(None, text), (None, text), (4, text)])
     assert keep([(5, None), (5, ""), (6, ""), (6, " "), (9, None), (9, text)])[0][1] == 5 and len(keep([(5, None), (5, ""), (6, ""), (6, " "), (9, None), (9, text)])) == 4
     assert keep([]) == []
@@ -277,6 +279,16 @@ def test_cost_does_not_grow_with_the_longest_item():
     assert n_hit.tolist() == [120_000, 10] and names == {0: ["a"], 1: ["b"]}
 
 
+def test_runs_of_two_words_that_mirror_each_other(spark):
+    mirror = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    first = [f"w{i}" for i in range(1023)]
+    item = " ".join([*first, *mirror])
+    docs = docs_of(spark, [" ".join([*first, *mirror.translate(str.maketrans("ab", "ba"))])])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.item_start: r.length for r in decontaminate.longest_matches(docs, bench).collect()}
+    assert got[0] == 1023
+
+
 def test_longest_matches_table(spark):
     item = " ".join(WORDS)
     docs = docs_of(spark, ["x " + " ".join(WORDS[3:15]) + " y", " ".join(WORDS[3:18])])
@@ -446,6 +458,39 @@ def test_top_k_in_passes_and_blocks(spark, monkeypatch):
         assert [(-r.score, r.vec_id) for r in whole if r.query_id == q] == want
 
 
+@pytest.mark.parametrize("k", [20, 255, 256, 257, 300])
+def test_top_k_of_full_blocks(spark, k, monkeypatch):
+    rng = np.random.default_rng(k)
+    x = rng.integers(-3, 4, (9000, 4)) + 9 * rng.integers(-1, 2, (9000, 1))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    blocks = topk._blocks(df.selectExpr("vec_id id", "embedding v"), 4, np.zeros((1, 5)), 1e9, "<f8")
+    assert [r.n for r in blocks.selectExpr("octet_length(ids) / 8 n").collect()] == [4096, 4096, 808]
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, df.filter("vec_id % 3000 = 0"), k=k, scale=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 9000, 3000):
+        s = x @ x[q]
+        order = np.lexsort((np.arange(9000), -s))
+        assert got[q] == [(int(i), int(s[i])) for i in order if i != q][:k]
+
+
+def test_best_bounds_are_scored_first(monkeypatch):
+    """With bounds that tell candidates apart, most of a block isn't scored."""
+    scored = []
+    product = topk._product
+    monkeypatch.setattr(topk, "_product", lambda a, b, wide: scored.append(len(a) * len(b)) or product(a, b, wide))
+    rng = np.random.default_rng(2)
+    x, q = rng.integers(-9, 9, (4096, 4)).astype(float), rng.integers(-9, 9, (5, 4)).astype(float)
+    topk._best(q @ x.T + 1, q, x, np.full(5, -np.inf), 20, False)
+    assert sum(scored) < 5 * 4096 / 4
+
+
+def test_repeated_query_ids_answer_for_the_smallest_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [0.0, 2.0]), (9, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.top_k(df, asked, k=1, scale=1).collect()] == [2]
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_bound_order_loses_nothing(wide, monkeypatch):
     monkeypatch.setattr(topk, "STEP", 24)
