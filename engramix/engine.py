@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engramix import schemas, vocab
 from engramix.functions import score, text
 from engramix.operators import answers, brief, extract, graph, lifecycle, reports, search, telemetry
+from engramix.operators.index import SearchIndex, content_of
 from engramix.sources import files
 from engramix.streaming import streams
 
@@ -38,43 +39,57 @@ class Engine:
         number = F.monotonically_increasing_id() + F.lit(old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1)
         return files.replaced(old, schemas.migrated(new.withColumn("id", number), "chunks"))
 
-    def build_index(self) -> None:
-        """Writes the search index of the chunks as they are: postings in parts by term, and the collection's statistics. Searches
-        use it until the chunks are of another number."""
-        chunks = self.table("chunks")
-        made = search.postings(chunks).withColumn("part", search.part_of(F.col("token")))
-        made.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/postings")
-        search.corpus_stats(chunks).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/index_stats")
+    def _searched(self) -> SearchIndex:
+        return SearchIndex(self.spark, f"{self.root}/index")
 
-    def _index(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        """The stored index, if it is of these chunks: a search reads the parts of its terms only."""
-        path = f"{self.root}/index_stats"
-        if not files.exists(self.spark, path):
-            return {}
-        stats = self.spark.read.parquet(path)
-        if stats.first().n != chunks.count():
+    def build_index(self) -> int:
+        """Brings the stored search index to the chunks as they are: what is new, changed or gone is written, the rest stays. Searches
+        use it as long as the table of chunks isn't written again. Returns how many chunks were looked at anew."""
+        if not files.exists(self.spark, f"{self.root}/chunks"):
+            return 0
+        return self._searched().refresh(self.table("chunks"), content_of(self.spark, f"{self.root}/chunks"))
+
+    def _index(self) -> dict:
+        """The stored index, if it is of the chunks as they are: a search reads the parts of its terms only."""
+        if not files.exists(self.spark, f"{self.root}/chunks"):
             return {}
-        return {"index": self.spark.read.parquet(f"{self.root}/postings"), "stats": stats}
+        return self._searched().of(content_of(self.spark, f"{self.root}/chunks"))
 
     def search(self, query: str, limit: int = 5, vector: list[float] | None = None) -> DataFrame:
         """Hybrid with a query vector, else lexical. AND, OR and NOT (upper case) join words."""
         limit = max(1, min(int(limit), 50))
         chunks = self.table("chunks")
         if vector is None:
-            found = search.lexical(self._asked(query), chunks, self.as_of, limit, **self._index(chunks))
+            found = search.lexical(self._asked(query), chunks, self.as_of, limit, **self._index())
             return found.select("rank", "score", "id", "chunk_type", "source_file", "chunk_text")
         asked = self.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")
-        return search.hybrid(self._asked(query), asked, self.table("vectors"), chunks, self.as_of, limit)
+        return search.hybrid(self._asked(query), asked, self.table("vectors"), chunks, self.as_of, limit, **self._index())
 
     def cross_search(self, query: str, stores: dict[str, str], limit: int = 5) -> DataFrame | None:
         chunks = files.read_stores(self.spark, stores)
         return None if chunks is None else search.across_stores(self._asked(query), chunks, "agent", limit)
 
-    def answer(self, question: str, complete: answers.Completer, k: int = 5) -> dict[str, object]:
+    def answer(self, question: str, complete: answers.Completer, k: int = 5, vector: list[float] | None = None) -> dict[str, object]:
+        """An answer of an outside model from the hits of search(): hybrid with a vector of the question, else lexical."""
         k = max(1, min(int(k), 20))
-        hits = search.lexical(self._asked(question), self.table("chunks"), self.as_of, 2 * k).select("query_id", "id", F.col("chunk_text").alias("content"), "score", F.sha2("chunk_text", 256).alias("content_hash"))
+        found = self.search(question, 2 * k, vector).select("id", "score")
+        rows = search.if_few(found).join(self.table("chunks").select("id", "chunk_text"), "id")
+        hits = rows.select(F.lit(0).cast("long").alias("query_id"), "id", F.col("chunk_text").alias("content"), "score", F.sha2("chunk_text", 256).alias("content_hash"))
         return answers.answer(question, hits, complete, k)
 
+    def track(self, found: DataFrame) -> None:
+        """Appends what a search has returned to the access log; chunks' counts follow from it (see accessed())."""
+        lifecycle.accesses(found, self.as_of).coalesce(1).write.mode("append").parquet(f"{self.root}/access_log")
+
+    def accessed(self) -> DataFrame:
+        """The chunks with the accesses of the log."""
+        return lifecycle.accessed(self.table("chunks"), self.table("access_log"))
+
+    def decide(self, key: str, content: str, author: str = "", source_file: str = "") -> DataFrame:
+        """The row to append to decision_versions, if the content is new."""
+        new = self.spark.createDataFrame([(key, content, source_file, author)], "decision_key string, content string, source_file string, author string")
+        return graph.decided(self.table("decision_versions"), new, self.as_of)
+
     def reflect(self, question: str, complete: answers.Completer, vector: list[float] | None = None, use_cache: bool = True) -> dict[str, object]:
         """An answer from the cache or, by an outside model, from search results, entities, decisions and a path between the first two
         entities. `entry` is for remember()."""

@@ -159,6 +159,15 @@ def shortest_path(relations: DataFrame, start: int, end: int, most: int = 4, edg
     return spark.createDataFrame(found, "depth int, path array<long>")
 
 
+def decided(versions: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
+    """Rows of decision_versions for new decisions (decision_key, content, source_file, author): the version after the key's
+    newest, or none where the newest has that content already. Rows are appended; what is current follows from the versions."""
+    last = versions.groupBy("decision_key").agg(F.max(F.struct("version", "content")).alias("last"))
+    one = new.groupBy("decision_key").agg(F.max(F.struct("content", "source_file", "author")).alias("n")).select("decision_key", "n.*")
+    met = one.join(last, "decision_key", "left").filter(F.col("last").isNull() | (F.col("last.content") != F.col("content")))
+    return met.select("decision_key", (F.coalesce("last.version", F.lit(0)) + 1).cast("long").alias("version"), "content", "source_file", "author", as_of.alias("created_at"), F.lit(None).cast("timestamp").alias("superseded_at"), F.lit(True).alias("is_current"))
+
+
 def neighbourhood(relations: DataFrame, node: int) -> DataFrame:
     """(id, relation_type, reason, confidence, neighbour, direction) one step around an entity."""
     out = relations.filter(F.col("source_id") == node).withColumns({"neighbour": F.col("target_id"), "direction": F.lit("out")})

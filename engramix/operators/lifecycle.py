@@ -114,6 +114,25 @@ def merge_reread(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "fp", "full_outer").select("fp", F.coalesce("nf", "of").alias("source_file"), "old_id", "new_id", action.alias("action"), F.coalesce("old_tier", F.lit("peripheral")).alias("tier"), F.coalesce("old_access", F.lit(0)).alias("access_count"))
 
 
+def accesses(found: DataFrame, as_of: Column) -> DataFrame:
+    """(id, accessed_at) rows for the access log: one for each chunk that a search has returned."""
+    return found.select("id", as_of.alias("accessed_at"))
+
+
+def accessed(chunks: DataFrame, log: DataFrame) -> DataFrame:
+    """chunks with the log's accesses added to their count, and their last access no earlier than the log's last one."""
+    seen = log.groupBy("id").agg(F.count("*").alias("_n"), F.max("accessed_at").alias("_last"))
+    count = (F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int")
+    last = F.greatest(F.col("last_accessed_at").cast("timestamp"), "_last")
+    return chunks.join(seen, "id", "left").withColumns({"access_count": count, "last_accessed_at": last}).drop("_n", "_last")
+
+
+def to_share(chunks: DataFrame, agent: str, kinds: list[str], reason: str, as_of: Column) -> DataFrame:
+    """Rows of shared_chunks for an agent's chunks of those types; nobody has pulled them yet. Equal texts are shared once."""
+    own = chunks.filter((F.col("agent") == agent) & F.col("chunk_type").isin(kinds)).select("agent", "chunk_text", "chunk_type").distinct()
+    return own.select(F.col("agent").alias("source_agent"), "chunk_text", "chunk_type", F.lit(None).cast("string").alias("tags"), as_of.alias("shared_at"), F.lit("").alias("propagated_to"), F.lit(reason).alias("share_reason"))
+
+
 class WipeGuard(ValueError):
     """A re-read would lose too many chunks."""
 

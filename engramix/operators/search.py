@@ -22,6 +22,8 @@ WEIGHTS = {"chunk_text": 1.0, "source_file": 0.5, "chunk_type": 0.5}
 #: Lexical hits of a query that are ranked further.
 CANDIDATES = 20
 RRF_K = 60
+#: Wordings of a query, at most.
+BATCHES = 16
 
 
 #: Rows of a caller's queries (or of what is found for them) that are sent to every task; more are joined by shuffle.
@@ -66,7 +68,8 @@ def part_of(token: Column, parts: int = 256) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(parts)).cast("int")
 
 
-def _length() -> Column:
+def length() -> Column:
+    """Terms of all indexed columns of a chunk."""
     return sum((text.term_count(F.coalesce(F.col(c), F.lit(""))) for c in WEIGHTS), F.lit(0))
 
 
@@ -76,14 +79,14 @@ def _terms(chunks: DataFrame, keep: list[str], wanted: DataFrame | None = None)
         chunks = chunks.crossJoin(F.broadcast(wanted))  # one row
     own = (lambda c: text.found_terms(c, F.col("all"))) if wanted is not None else text.terms
     weighted = F.concat(*(_weighted(own(F.coalesce(F.col(c), F.lit(""))), w) for c, w in WEIGHTS.items()))
-    sized = chunks.select("id", *keep, _length().alias("dl"), weighted.alias("ts"))
+    sized = chunks.select("id", *keep, length().alias("dl"), weighted.alias("ts"))
     return sized.select("id", *keep, "dl", F.explode("ts").alias("t")).select("id", *keep, "dl", "t.token", "t.w")
 
 
 def corpus_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(n, avgdl), for each group of `by`: one row for a store; to be stored beside an index."""
     keep = by or []
-    return chunks.select(*keep, _length().alias("dl")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return chunks.select(*keep, length().alias("dl")).groupBy(*keep).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def _candidates(read: DataFrame, dfs: DataFrame, index: DataFrame, keep: list[str]) -> DataFrame:
@@ -96,12 +99,12 @@ def _candidates(read: DataFrame, dfs: DataFrame, index: DataFrame, keep: list[st
     return rarest.select("query_id", *keep, "token").distinct().join(index.select("id", *keep, "token"), ["token", *keep]).select("query_id", *keep, "id").distinct()
 
 
-def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = None, limit: int | None = CANDIDATES, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = None, limit: int | None = CANDIDATES, index: DataFrame | None = None, stats: DataFrame | None = None, parts: int = 256) -> DataFrame:
     """(query_id, [by], id, bm25, base_rank): chunks that a query (see parsed()) matches, best first, at most `limit`. Terms that a
     query refuses only don't score.
 
     by: columns of chunks that name a store; each has its own statistics and its own ranking. index and stats: stored
-    postings() and corpus_stats(), with which the chunks aren't read."""
+    postings() and corpus_stats(), with which the chunks aren't read; parts: the number that part_of() was given."""
     keep = by or []
     read = queries.select("query_id", parsed(F.col("query")).alias("expression")).filter("expression is not null")
     flat = F.flatten(F.flatten("expression"))
@@ -111,7 +114,7 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = No
     hint = F.broadcast if few else lambda df: df
     if few and index is not None:
         part = "part" in index.columns
-        wanted = asked.withColumn("part", part_of(F.col("token"))) if part else asked
+        wanted = asked.withColumn("part", part_of(F.col("token"), parts)) if part else asked
         held = index.join(hint(wanted), ["token", "part"] if part else "token")
     elif few:  # other terms are dropped before any shuffle
         every = asked.agg(F.collect_set("token").alias("all"))
@@ -148,9 +151,9 @@ def boosts(as_of: Column, kind: float, recent: float, entities: Column, tiers: b
     return total
 
 
-def lexical(queries: DataFrame, chunks: DataFrame, as_of: Column, limit: int = 5, entities: Column | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, **options: bool) -> DataFrame:
-    """Boosted lexical results: (query_id, id, score, rank) and the chunks' columns. index, stats: see bm25()."""
-    hits = bm25(queries, chunks, index=index, stats=stats).join(chunks, "id")
+def lexical(queries: DataFrame, chunks: DataFrame, as_of: Column, limit: int = 5, entities: Column | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, parts: int = 256, **options: bool) -> DataFrame:
+    """Boosted lexical results: (query_id, id, score, rank) and the chunks' columns. index, stats, parts: see bm25()."""
+    hits = if_few(bm25(queries, chunks, index=index, stats=stats, parts=parts)).join(chunks, "id")
     scored = hits.withColumn("score", score.round2(F.abs("bm25") * (1 + boosts(as_of, 1.0, 0.5, entities or F.lit(0), **options))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "base_rank"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
@@ -203,10 +206,17 @@ def fuse(batches: DataFrame, keep: int) -> DataFrame:
     return ranked.select("query_id", "id", "source_file", (score.round2(F.col("rrf") * 1000)).alias("score"), kind.alias("match_type"), "rank")
 
 
-def hybrid(queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, chunks: DataFrame, as_of: Column, limit: int = 5, dedupe: bool = True) -> DataFrame:
-    """Lexical and semantic results fused, then thinned by the four rules of thin()."""
-    one = lambda df, no, kind: df.select("query_id", F.lit(no).alias("batch_no"), F.lit(kind).alias("kind"), "rank", "id", "source_file", "chunk_text")
-    batches = one(lexical(queries, chunks, as_of, 2 * limit), 0, "fts").unionByName(one(semantic(query_vectors, vectors, chunks, as_of, 4 * limit), 1, "semantic"))
+def hybrid(queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, chunks: DataFrame, as_of: Column, limit: int = 5, dedupe: bool = True, variants: DataFrame | None = None, **index: DataFrame | int) -> DataFrame:
+    """Lexical and semantic results fused, then thinned by the four rules of thin().
+
+    variants: expanded() queries (query_id, batch_no below BATCHES, query), a lexical batch each instead of the queries' own;
+    all batches are searched at once. index: see bm25()."""
+    one = lambda df, no, kind: df.select("query_id", no.alias("batch_no"), F.lit(kind).alias("kind"), "rank", "id", "source_file", "chunk_text")
+    worded = queries.select("query_id", F.lit(0).alias("batch_no"), "query") if variants is None else variants
+    found = lexical(worded.select((F.col("query_id") * BATCHES + F.col("batch_no")).alias("query_id"), "query"), chunks, as_of, 2 * limit, **index)
+    batch = F.pmod("query_id", F.lit(BATCHES)).cast("int")
+    fts = one(found, batch, "fts").withColumn("query_id", F.floor(F.col("query_id") / BATCHES))
+    batches = fts.unionByName(one(semantic(query_vectors, vectors, chunks, as_of, 4 * limit), F.lit(BATCHES), "semantic"))
     fused = fuse(batches, max(3 * limit, 15))
     if not dedupe:
         return fused
@@ -257,9 +267,9 @@ def thin(rows: DataFrame, limit: int) -> DataFrame:
     return kept.groupBy("query_id").applyInPandas(lambda frame: _pick(frame, limit), kept.schema)
 
 
-def across_stores(queries: DataFrame, chunks: DataFrame, store: str, limit: int = 5) -> DataFrame:
-    """Each store's best hits by its own statistics, merged; of equal text starts the best stays."""
-    hits = bm25(queries, chunks, [store], limit).join(chunks.drop(store), "id").withColumn("score", F.round("bm25", 6))
+def across_stores(queries: DataFrame, chunks: DataFrame, store: str, limit: int = 5, **index: DataFrame | int) -> DataFrame:
+    """Each store's best hits by its own statistics, merged; of equal text starts the best stays. index: see bm25()."""
+    hits = if_few(bm25(queries, chunks, [store], limit, **index)).join(chunks.drop(store), "id").withColumn("score", F.round("bm25", 6))
     same = F.row_number().over(Window.partitionBy("query_id", F.substring("chunk_text", 1, 100)).orderBy(F.desc("score"), store, "id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), store, "id"))
     return hits.withColumn("_same", same).filter("_same = 1").withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", store, "id", "score", "rank")

@@ -192,6 +192,17 @@ def f03_ordered_triples(spark: SparkSession, folder: str) -> DataFrame:
 _VERSIONS = "v AS (SELECT o_custkey AS key, o_orderstatus AS content, o_orderdate AS created_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders)"
 
 
+@query(
+    "WITH v AS (SELECT concat('k', o_custkey % 50) AS k, o_orderkey AS version, o_orderstatus AS content FROM orders), last AS (SELECT k, max(version) AS version, arg_max(content, version) AS content FROM v GROUP BY 1), "
+    "n AS (SELECT concat('k', s_suppkey % 70) AS k, max(CASE WHEN s_suppkey % 3 = 0 THEN 'F' ELSE 'O' END) AS content FROM supplier GROUP BY 1) SELECT n.k AS decision_key, coalesce(last.version, 0) + 1 AS version, n.content FROM n LEFT JOIN last USING (k) WHERE last.content IS DISTINCT FROM n.content"
+)
+def j10_decided(spark: SparkSession, folder: str) -> DataFrame:
+    """New contents of decisions over their stored versions."""
+    versions = table(spark, folder, "orders").selectExpr("concat('k', o_custkey % 50) AS decision_key", "o_orderkey AS version", "o_orderstatus AS content")
+    new = table(spark, folder, "supplier").selectExpr("concat('k', s_suppkey % 70) AS decision_key", "CASE WHEN s_suppkey % 3 = 0 THEN 'F' ELSE 'O' END AS content", "'s.md' AS source_file", "'ann' AS author")
+    return graph.decided(versions, new, now()).select("decision_key", "version", "content")
+
+
 @query("WITH " + _VERSIONS + " SELECT key, version, content, epoch_us(lead(created_at) OVER (PARTITION BY key ORDER BY version)) AS superseded_us, lead(version) OVER (PARTITION BY key ORDER BY version) IS NULL AS is_current FROM v")
 def j10_decision_history(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders").withColumn("created_at", F.col("o_orderdate").cast("timestamp"))
@@ -370,6 +381,11 @@ def k09_procedures(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.procedures(rows).select("id", "runs", F.col("success_rate").cast("double").alias("success_rate"))
 
 
+@query(CHUNKS + " SELECT DISTINCT agent AS source_agent, md5(chunk_text) AS chunk, chunk_type FROM chunks WHERE agent = 'agent1' AND chunk_type IN ('lesson', 'decision')")
+def k10_to_share(spark: SparkSession, folder: str) -> DataFrame:
+    return lifecycle.to_share(chunks(spark, folder), "agent1", ["lesson", "decision"], "of use to all", now()).select("source_agent", F.md5("chunk_text").alias("chunk"), "chunk_type")
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE conv_id % 5 <> 2 AND NOT (turn % 3 = 1 AND conv_id % 2 = 0)")
 def k10_shared_for(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").selectExpr("conv_id", "turn", "concat('agent', conv_id % 5) AS source_agent", "CASE WHEN turn % 3 = 1 AND conv_id % 2 = 0 THEN '[\"agent1\", \"agent2\"]' WHEN turn % 3 = 2 THEN NULL ELSE '[\"agent1\"]' END AS propagated_to")

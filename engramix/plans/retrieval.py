@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramix import vocab
+from engramix import storage, vocab
 from engramix.functions import chunkers, score, text
 from engramix.operators import lifecycle, search
+from engramix.operators.index import SearchIndex, content_of
 from engramix.plans.registry import ORACLES, query
 from engramix.plans.views import AS_OF, CHUNKS, chunks, now, table
 from engramix.sources import files
@@ -16,6 +19,20 @@ from engramix.vocab import case_sql
 _TOKENS = r"list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _indexed(spark: SparkSession, folder: str, by: list[str] | None = None) -> dict:
+    """The arguments of a search over the stored index of the folder's chunks, which is brought up to date first: a search after the
+    first reads its terms' postings only, until the table's files change."""
+    content = content_of(spark, f"{folder}/documents.parquet")
+    key = spark.sparkContext.applicationId, folder
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex(spark, storage.new_folder(spark, "index"), ["agent"])
+    _INDEXES[key].refresh(chunks(spark, folder), content)
+    return _INDEXES[key].of(content, by)
+
+
 def _asked(spark: SparkSession, *queries: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
 
@@ -89,9 +106,11 @@ def a18_merge_reread(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.merge_reread(c.filter("id % 10 < 7"), c.filter("id % 10 > 2")).groupBy("source_file", "action").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, count(*) AS access_count, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM events WHERE event_type = 'view' GROUP BY 1")
+@query(CHUNKS + ", l AS (SELECT user_id AS id, count(*) AS n, max(CAST(ts AS TIMESTAMP)) AS last FROM events WHERE event_type = 'view' GROUP BY 1) SELECT id, CAST(access_count + coalesce(n, 0) AS INTEGER) AS access_count, epoch_us(greatest(CAST(last_accessed_at AS TIMESTAMP), last)) AS last_us FROM chunks LEFT JOIN l USING (id)")
 def a19_access_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").filter("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("access_count"), F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("last_us"))
+    """The counts of all chunks after the accesses that a log holds; events stand for it."""
+    log = lifecycle.accesses(table(spark, folder, "events").filter("event_type = 'view'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts")), F.col("ts"))
+    return lifecycle.accessed(chunks(spark, folder), log).select("id", "access_count", F.unix_micros("last_accessed_at").alias("last_us"))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------
@@ -257,7 +276,7 @@ _PAIR = "no para"
 
 @query(_BM25 + " SELECT id, round(bm25, 6) AS bm25, CAST(base_rank AS INTEGER) AS base_rank FROM top")
 def i01_bm25_and(spark: SparkSession, folder: str) -> DataFrame:
-    return search.bm25(_asked(spark, _PAIR), chunks(spark, folder)).select("id", F.round("bm25", 6).alias("bm25"), "base_rank")
+    return search.bm25(_asked(spark, _PAIR), None, **_indexed(spark, folder)).select("id", F.round("bm25", 6).alias("bm25"), "base_rank")
 
 
 _WORDS_ASKED = ("no", "para", "que", "los")
@@ -267,7 +286,7 @@ _BOOLEAN = _BM25.split(", top AS (")[0].replace("token IN ('no', 'para')", f"tok
 @query(_BOOLEAN + " SELECT id, round(bm25, 6) AS bm25, CAST(row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS INTEGER) AS base_rank FROM bm WHERE (list_contains(have, 'no') AND list_contains(have, 'para') OR list_contains(have, 'que')) AND NOT (list_contains(have, 'que') AND NOT (list_contains(have, 'no') AND list_contains(have, 'para')) AND list_contains(have, 'los')) QUALIFY base_rank <= 20")
 def i01_boolean(spark: SparkSession, folder: str) -> DataFrame:
     """Two words, or one without another."""
-    return search.bm25(_asked(spark, "no AND para OR que NOT los"), chunks(spark, folder)).select("id", F.round("bm25", 6).alias("bm25"), "base_rank")
+    return search.bm25(_asked(spark, "no AND para OR que NOT los"), None, **_indexed(spark, folder)).select("id", F.round("bm25", 6).alias("bm25"), "base_rank")
 
 
 def _deltas(kind: str, recent: str) -> str:
@@ -283,7 +302,7 @@ _LEXICAL = _BM25 + ", sc AS (SELECT *, floor(abs(bm25) * (1 + " + _deltas("1.0",
 
 @query(_LEXICAL + " SELECT id, score, CAST(rank AS INTEGER) AS rank, chunk_type FROM lex WHERE rank <= 10")
 def i02_lexical_boosted(spark: SparkSession, folder: str) -> DataFrame:
-    return search.lexical(_asked(spark, _PAIR), chunks(spark, folder), now(), 10).select("id", F.col("score").cast("double").alias("score"), "rank", "chunk_type")
+    return search.lexical(_asked(spark, _PAIR), chunks(spark, folder), now(), 10, **_indexed(spark, folder)).select("id", F.col("score").cast("double").alias("score"), "rank", "chunk_type")
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -322,13 +341,40 @@ _FUSED = (
 
 @query(_FUSED + " SELECT id, score, match_type, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 15")
 def i12_hybrid_fused(spark: SparkSession, folder: str) -> DataFrame:
-    out = search.hybrid(_asked(spark, _PAIR), _asked_vectors(spark, folder), _vectors(spark, folder), chunks(spark, folder), now(), 5, dedupe=False)
+    out = search.hybrid(_asked(spark, _PAIR), _asked_vectors(spark, folder), _vectors(spark, folder), chunks(spark, folder), now(), 5, dedupe=False, **_indexed(spark, folder))
+    return out.select("id", F.col("score").cast("double").alias("score"), "match_type", "rank")
+
+
+_WORDINGS = {"no para": ("no", "para"), "que la": ("que", "la"), "los que": ("los", "que")}
+
+
+def _lexical_of(words: tuple[str, str], n: int) -> str:
+    """The SQL of one wording's lexical batch, its tables numbered."""
+    own = _LEXICAL.split("tf AS (", 1)[1].replace("'no', 'para'", f"'{words[0]}', '{words[1]}'")
+    for name in ("tf", "df", "bm", "top", "sc", "lex"):
+        own = re.sub(rf"\b{name}\b(?=\.| AS \(| JOIN|\)|,| GROUP| WHERE| USING)", f"{name}{n}", own)
+    kept = re.sub(r"\bdl AS \(.*?FROM dl\), ", "", own)
+    return f"tf{n} AS (" + (own if n == 0 else kept)
+
+
+@query(
+    _LEXICAL.split("tf AS (", 1)[0] + ", ".join(_lexical_of(w, n) for n, w in enumerate(_WORDINGS.values())) + ", " + _SEMANTIC.format(k=40) + ", b AS ("
+    + "".join(f"SELECT {n} AS batch_no, 'fts' AS kind, rank, id, source_file, chunk_text FROM lex{n} WHERE rank <= 10 UNION ALL " for n in range(len(_WORDINGS)))
+    + "SELECT 16, 'semantic', rank, id, source_file, chunk_text FROM sem WHERE rank <= 20), g AS ("
+    + _FUSED.split(", g AS (", 1)[1]
+    + " SELECT id, score, match_type, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 15"
+)
+def i12_hybrid_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """A query and two rewordings of it, fused with the vectors' batch."""
+    wordings = [(0, n, q) for n, q in enumerate(_WORDINGS)]
+    variants = spark.createDataFrame(wordings, "query_id long, batch_no int, query string")
+    out = search.hybrid(_asked(spark, _PAIR), _asked_vectors(spark, folder), _vectors(spark, folder), chunks(spark, folder), now(), 5, dedupe=False, variants=variants, **_indexed(spark, folder))
     return out.select("id", F.col("score").cast("double").alias("score"), "match_type", "rank")
 
 
 @query()
 def i13_hybrid_thinned(spark: SparkSession, folder: str) -> DataFrame:
-    out = search.hybrid(_asked(spark, _PAIR, "que la"), _asked_vectors(spark, folder), _vectors(spark, folder), chunks(spark, folder), now(), 5)
+    out = search.hybrid(_asked(spark, _PAIR, "que la"), _asked_vectors(spark, folder), _vectors(spark, folder), chunks(spark, folder), now(), 5, **_indexed(spark, folder))
     return out.select("query_id", "id", "score", "match_type", "rank")
 
 
@@ -390,7 +436,7 @@ _STORES = (
 
 @query(_STORES + " SELECT agent, id, score, CAST(row_number() OVER (ORDER BY score DESC, agent, id) AS INTEGER) AS rank FROM u QUALIFY rank <= 5")
 def i17_across_stores(spark: SparkSession, folder: str) -> DataFrame:
-    return search.across_stores(_asked(spark, _PAIR), chunks(spark, folder), "agent", 5).drop("query_id")
+    return search.across_stores(_asked(spark, _PAIR), chunks(spark, folder), "agent", 5, **_indexed(spark, folder, ["agent"])).drop("query_id")
 
 
 _WORD = r"list_filter(regexp_split_to_array(lower(chunk_text), '\s+'), lambda t: length(t) > 3)"

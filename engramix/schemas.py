@@ -16,6 +16,7 @@ _DDL = {
     "consolidated_files": "source_file string, status int, processed_at timestamp",
     "dedup_log": "chunk_text_preview string, source_file string, chunk_type string, suppressed_at timestamp, reason string",
     "search_telemetry": "ts timestamp, query_hash string, query_words int, variants_count int, results_count int, has_semantic boolean, latency_ms double, expansion_skipped_reason string",
+    "access_log": "id long, accessed_at timestamp",
     "brief_log": "id long, chunk_id long, scope string, agent string, served_at timestamp",
     "noise_prototypes": "text_normalized string, text_original string, is_builtin boolean, hit_count long, created_at timestamp",
     "reflect_cache": "query_hash string, query string, response string, evidence_sources string, model string, created_at timestamp, ttl_hours int, cached_embedding array<float>",

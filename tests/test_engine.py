@@ -41,7 +41,13 @@ def test_engine(store, tmp_path):
             store.brief(*wrong)
     found = [tuple(r) for r in store.search("parquet OR store", 5).collect()]
     store.build_index()
-    assert [tuple(r) for r in store.search("parquet OR store", 5).collect()] == found and store._index(store.table("chunks")).keys() == {"index", "stats"}
+    assert [tuple(r) for r in store.search("parquet OR store", 5).collect()] == found and store._index().keys() == {"index", "stats", "parts"}
+    hybrid = store.answer("parquet store", lambda p: "[chunk_1]", vector=[1.0, 0.0])
+    assert hybrid["citations"] in ([1], [3])
+    assert store.decide("k", "keep it").first().version == 1
+    store.track(store.search("files"))
+    store.track(store.search("parquet files"))
+    assert {r.id: r.access_count for r in store.accessed().collect()} == {1: 0, 2: 2, 3: 0}
     said = store.reflect("Which Store does Ann use?", lambda p: "parquet" if "\n- Store -> Ann" in p and "- Ann (person) rels: works_on -> Store" in p else p)
     assert said["answer"] == "parquet" and store.remember(said["entry"]).count() == 1
     assert store.kg_block("ann and store").first().block.startswith("<vault-facts>\nAnn works_on Store [extends]")
