@@ -30,7 +30,7 @@ _FURNITURE = set("nav footer aside menu dialog".split())
 _HINTS = set(
     "nav navbar navigation menu sidebar footer masthead topbar toolbar ad ads advert advertisement adverts sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search breadcrumb breadcrumbs "
-    "share sharing social related recommended recommendations widget pagination pager "
+    "share sharing social related recommended recommendations widget pagination pager complementary "
     "copyright legal disclaimer tagcloud".split()
 )
 _COMMENTS = set("comment comments reply replies respond disqus discussion".split())
@@ -41,6 +41,8 @@ PLAIN, HINT, COMMENT, FORM, STRUCTURE = range(5)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKENS = re.compile(r"[a-z]+")
+#: Marks that stand alone, as bars, arrows and dots between links do; they don't count in the share of linked words.
+_MARKS = re.compile(r"(?<!\S)[^\w\s]++(?!\S)")
 _HEADING = re.compile(r"h[1-6]\Z")
 _LEGAL = re.compile(r"\s*(?:\u00a9|\(c\)|copyright\b)|.*\ball rights reserved\b", re.I | re.S)
 
@@ -61,6 +63,10 @@ class Page(NamedTuple):
     outer: list[int]  # the marked element around each marked element; 0 is the page itself
 
 
+def _count(text: str) -> int:
+    return len(_MARKS.sub(" ", text).split())
+
+
 def blocks_of(page: str) -> Page:
     """Blocks with text, in page order: references decoded, white space runs made one space, trimmed."""
     out: list[Block] = []
@@ -75,10 +81,11 @@ def blocks_of(page: str) -> Page:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                linked = len(html.unescape(" ".join(linked_parts)).split())
+                linked = _count(html.unescape(" ".join(linked_parts)))
                 _, article, mark, holder = stack[-1] if stack else ("", 0, PLAIN, 0)
-                n = text.count(" ") + 1
-                out.append(Block(text, n, min(n, linked), article > 0, any(_HEADING.match(t[0]) for t in stack[-2:]), _LEGAL.match(text) is not None, mark, holder))
+                n, plain = text.count(" ") + 1, _count(text) or 1
+                linked = n * min(plain, linked) // plain
+                out.append(Block(text, n, linked, article > 0, any(_HEADING.match(t[0]) for t in stack[-2:]), _LEGAL.match(text) is not None, mark, holder))
         parts.clear()
         linked_parts.clear()
 

@@ -881,6 +881,21 @@ def brute_chats(rows):
     return keep
 
 
+@pytest.mark.parametrize("bar", ["|", "&gt;", "&middot;", "»", "/"])
+def test_menus_with_marks_between_their_links(bar):
+    body = "".join(f"<p>{' '.join(f'word{i * j}' for j in range(40))}</p>" for i in range(1, 4))
+    menu = f" {bar} ".join(f'<a href="/{n}">{n}</a>' for n in ("Home", "About", "News"))
+    got = html_text.main_text(f"<body><div>{menu}</div><article><h1>A title</h1>{body}</article></body>", html_text.train())
+    assert got.startswith("A title\nword0") and "About" not in got and got.count("\n") == 3
+
+
+def test_complementary_roles_are_furniture():
+    body = "".join(f"<p>{' '.join(f'word{i * j}' for j in range(40))}</p>" for i in range(1, 4))
+    page = f'<body><article>{body}</article><div role="complementary"><p>Ten more things that other people have read today here</p></div></body>'
+    assert "Ten more" not in html_text.main_text(page, html_text.train())
+
+
+
 def test_chats_match_brute_force(spark):
     rng = random.Random(2)
     rows = []
