@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engramix import schemas, vocab
 from engramix.functions import score, text
-from engramix.operators import answers, brief, extract, graph, lifecycle, reports, search, telemetry
+from engramix.operators import answers, audit, brief, extract, graph, lifecycle, reports, search, telemetry
 from engramix.operators.index import SearchIndex, content_of
 from engramix.sources import files
 from engramix.streaming import streams
@@ -175,7 +175,20 @@ class Engine:
         return telemetry.proposals(self.table("cli_telemetry"), self.as_of)
 
     def audit(self) -> DataFrame:
-        return telemetry.audit_breakdown(self.table("ops_audit"), self.as_of)
+        return telemetry.audit_breakdown(audit.present(self.table("ops_audit")), self.as_of)
+
+    def audited(self, op_name: str, db_source: str | None = None):
+        """`with engine.audited("reindex") as run:` writes the run's begin and end to the log; run.heartbeat() in between."""
+        return audit.audited(self.spark, f"{self.root}/ops_audit", op_name, db_source)
+
+    def give_up(self, quiet: str = "6 hours") -> int:
+        """Ends runs whose heartbeat has stopped, and tells how many."""
+        log = self.table("ops_audit")
+        dead = audit.given_up(audit.present(log), quiet, as_of=self.as_of)
+        n = dead.count()
+        if n:
+            dead.coalesce(1).write.mode("append").parquet(f"{self.root}/ops_audit")
+        return n
 
     def decisions(self) -> DataFrame:
         return graph.decision_history(self.table("decision_versions").withColumnRenamed("decision_key", "key").drop("superseded_at", "is_current"))
@@ -277,8 +290,12 @@ class Engine:
     def kg_block(self, query: str, k: int = 8) -> DataFrame:
         return graph.facts_block(self.kg_facts(query, k))
 
-    def watch(self, folder: str, handle, checkpoint: str):
-        return streams.run_ingest(streams.watch_files(self.spark, folder), handle, checkpoint)
+    def watch(self, folder: str, handle, checkpoint: str, every: str | None = None, quiet: str = "2 seconds"):
+        """What is in the folder now goes to handle; with `every`, also each file from then on when it hasn't changed for `quiet`."""
+        files_of = streams.watch_files(self.spark, folder)
+        if every:
+            files_of = streams.settled(streams.clock(files_of), quiet).drop("changes", "first")
+        return streams.run_ingest(files_of, handle, checkpoint, every)
 
     def _said(self, value: str) -> DataFrame:
         return self.spark.createDataFrame([(value,)], "said string")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramix import vocab
+from engramix import schemas, vocab
 from engramix.functions import score, text
-from engramix.operators import answers, brief, graph, lifecycle, scan, telemetry
+from engramix.operators import answers, audit, brief, graph, lifecycle, scan, telemetry
 from engramix.plans.registry import query
 from engramix.plans.retrieval import _SALIENT
 from engramix.plans.views import AS_OF, CHUNKS, GRAPH, chunks, now, table
@@ -552,6 +552,36 @@ def _streamed(spark: SparkSession, folder: str, plan, name: str) -> DataFrame:
     return spark.table(view)
 
 
+def _appended(spark: SparkSession, folder: str, plan, name: str) -> DataFrame:
+    """What a stream over events has settled when it has read all that is there, as rows of the files that it wrote."""
+    from engramix import storage
+
+    schema = table(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    out, path = plan(stream), storage.new_folder(spark, name)
+    run = out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+#: Runs of a user's events with gaps below an hour; those that are open when a stream with a delay of an hour has read all stay out.
+_QUIET = "WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), q AS (SELECT user_id, k, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS changes, min(ts) AS first, max(ts) + INTERVAL 1 HOUR AS last, bool_or(event_type = 'purchase') AS ended FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR) "
+
+
+@query(_QUIET + "SELECT user_id, event_id, changes, epoch_us(first) AS first_us FROM q")
+def p01_settled_changes(spark: SparkSession, folder: str) -> DataFrame:
+    plan = lambda s: streams.settled(s.select("user_id", "ts", "event_id"), "1 hour", "1 hour", "ts", ("user_id",))
+    return _appended(spark, folder, plan, "settled").select("user_id", "event_id", "changes", F.unix_micros("first").alias("first_us"))
+
+
+@query(_QUIET + "SELECT user_id AS op_id, 'crashed' AS status, epoch_us(last) AS finished_us FROM q WHERE NOT ended")
+def o02_given_up_runs(spark: SparkSession, folder: str) -> DataFrame:
+    state = F.when(F.col("event_type") == "purchase", "success").otherwise("running").alias("status")
+    log = lambda s: schemas.migrated(s.select(F.col("user_id").alias("op_id"), state, F.col("ts").alias("last_heartbeat_at")), "ops_audit")
+    out = _appended(spark, folder, lambda s: audit.given_up(log(s), "1 hour", "1 hour"), "given-up")
+    return out.select("op_id", "status", F.unix_micros("finished_at").alias("finished_us"))
+
+
 @query("SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def p04_daily_stream(spark: SparkSession, folder: str) -> DataFrame:
     out = _streamed(spark, folder, streams.tumbling, "daily")

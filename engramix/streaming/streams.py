@@ -26,6 +26,32 @@ def latest_of_each(batch: DataFrame) -> DataFrame:
     return batch.withColumn("_r", r).filter("_r = 1").drop("_r")
 
 
+def told(*columns: str) -> Column:
+    """None of the columns is null, as one predicate: its parts alone would be moved below the watermark, whose clock rows they drop."""
+    return ~F.array_contains(F.array(*(F.col(c).isNull() for c in columns)), True)
+
+
+def settled(changes: DataFrame, quiet: str = "2 seconds", delay: str = "1 second", time: str = "modified", keys: tuple[str, ...] = ("source_file",)) -> DataFrame:
+    """A debounce: ([keys], the other columns of the newest change, changes, first) once for each run of changes of a key, after no
+    change has come for longer than `quiet`.
+
+    Of changes of one time the last by the other columns counts; rows with a null key or time say nothing but what time it is (see
+    clock()). A stream holds a row for each run that is open, in its checkpoint, and ends a run once its time has passed by `delay`;
+    changes that come later than that are dropped. A batch ends all runs."""
+    own = changes.withWatermark(time, delay) if changes.isStreaming else changes
+    own = own.filter(told(*keys, time))
+    others = [c for c in changes.columns if c not in keys]
+    newest = F.max(F.struct(F.col(time).alias("_time"), *(F.col(c) for c in others)))
+    runs = own.groupBy(F.session_window(time, quiet).alias("w"), *keys).agg(newest.alias("r"), F.count("*").alias("changes"))
+    return runs.select(*keys, *(F.col(f"r.{c}").alias(c) for c in others), "changes", F.col("w.start").alias("first"))
+
+
+def clock(changes: DataFrame, time: str = "modified", per_second: int = 1) -> DataFrame:
+    """The stream with rows that hold the time alone, so that the last change of a quiet folder settles too."""
+    ticks = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return changes.unionByName(ticks.select(*(F.col("timestamp").alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in changes.schema.fields)))
+
+
 def allowed(hour: int, forbidden: tuple[int, int] | None) -> bool:
     """Whether a batch may run at this hour of the day; forbidden: (from, to) hours, over midnight if from is the larger."""
     if forbidden is None or forbidden[0] == forbidden[1]:
