@@ -161,6 +161,17 @@ def test_protected_names_are_a_risk(spark):
     assert {(r.a, r.b, r.shared, r.risk) for r in got} == {(1, 2, 1, "protected"), (3, 4, 0, "low")}
 
 
+def test_cached_answers_by_cosine(spark):
+    """Of equal cosines the greatest response; unlike sizes and vectors with nulls don't meet; all questions of one file are dealt out."""
+    cache = spark.createDataFrame([("h1", "a", [1.0, 0.0]), ("h2", "b", [2.0, 0.0]), ("h3", "c", [0.0, 1.0]), ("h4", "z", [1.0, 0.0, 0.0]), ("h5", "y", [1.0, None]), ("h6", "n", [0.0, 0.0])], "query_hash string, response string, cached_embedding array<double>")
+    cache = cache.withColumns({"created_at": at(), "ttl_hours": F.lit(24)})
+    asked = spark.createDataFrame([(1, "q", [5.0, 0.1]), (2, "h3", [1.0, 0.0]), (3, "q", [-1.0, -1.0]), (4, "q", None), (5, "q", [None, 1.0]), (6, "q", [0.0, 0.0, 2.0]), (7, "q", [3.0, 0.0, 0.0])], "query_id long, query_hash string, embedding array<double>").coalesce(1)
+    found = answers.cached(asked, cache, at(), 0.5)
+    assert {(r.query_id, r.hit, r.response) for r in found.collect()} == {(1, "semantic", "b"), (2, "exact", "c"), (7, "semantic", "z")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "zip_with" not in plan and "Repartition" in plan
+
+
 def test_names_of_all_types_are_sought_together(spark):
     c = spark.createDataFrame([(1, "a thathing", "x", None), (2, "That thing, THAT", "x", None), (3, "the thing", "x", None)], "id long, chunk_text string, chunk_type string, source_date date")
     got = {(r.chunk_id, r.name, r.entity_type) for r in graph.mentions(c, {"person": ["that"], "project": ["thing"], "agent": ["That"], "none": []}).collect()}
