@@ -56,13 +56,20 @@ def anchors(body: Column, names: list[str] | None = None) -> Column:
     give = [(t, t) for t in [*COGNATES, *(names or [])]] + [*TRANSLATIONS.items()] + [(en, pt) for pt, en in TRANSLATIONS.items()]
     plain = [(t.lower(), out) for t, out in give if re.fullmatch(r"[A-Za-z0-9_]+", t)]
     other = [(t, out) for t, out in give if not re.fullmatch(r"[A-Za-z0-9_]+", t)]
-    # terms of up to three letters are words, longer ones begin them; those beyond ASCII are sought by pattern
-    terms = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(len(t) <= 3).alias("whole"), F.lit(out).alias("out")) for t, out in plain))
+    # terms of up to three letters are words, longer ones begin them; those beyond ASCII are sought by pattern, if any of them is there
+    outs: dict[str, list[str]] = {}
+    for t, out in plain:
+        outs.setdefault(t, []).append(out)
+    given = F.from_json(F.lit(json.dumps(outs)), "map<string, array<string>>")
+    lengths = F.array(*(F.lit(n) for n in sorted({len(t) for t in outs if len(t) > 3})))
     tokens = F.array_distinct(F.filter(F.split(F.lower(body), "[^a-z0-9_]+"), lambda w: w != ""))
-    begun = lambda ws: F.transform(F.filter(terms, lambda d: F.exists(ws, lambda w: F.when(d["whole"], w == d["t"]).otherwise(F.startswith(w, d["t"])))), lambda d: d["out"])
-    words = F.flatten(F.transform(F.array(tokens), begun))
-    for term, out in other:
-        words = F.concat(words, F.when(body.rlike(rf"(?i)(?<![A-Za-z0-9_]){re.escape(term)}\w*(?![A-Za-z0-9_])"), F.array(F.lit(out))).otherwise(F.array().cast("array<string>")))
+    begun = lambda w: F.transform(F.filter(lengths, lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n))
+    starts = F.flatten(F.transform(tokens, lambda w: F.when(F.length(w) > 3, begun(w)).otherwise(F.array(w))))
+    met = F.array_intersect(starts, F.array(*(F.lit(t) for t in outs)))
+    words = F.flatten(F.transform(met, lambda t: F.element_at(given, t)))
+    sought = lambda terms: body.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(map(re.escape, terms))})\w*(?![A-Za-z0-9_])")
+    beyond = F.concat(*(F.when(sought([term]), F.array(F.lit(out))).otherwise(F.array().cast("array<string>")) for term, out in other))
+    words = F.concat(words, F.when(sought([term for term, _ in other]), beyond).otherwise(F.array().cast("array<string>")))
     found = [F.transform(F.filter(F.regexp_extract_all(body, F.lit(p), F.lit(1)), lambda m: F.length(m) >= 4), lambda m: F.lower(m)) for p in _IDENTIFIERS]
     return F.array_join(F.array_sort(F.array_distinct(F.concat(words, *found))), " ")
 

@@ -14,6 +14,7 @@ from engramix.plans.retrieval import _vectors
 from engramix.plans.views import AS_OF, CHUNKS, GRAPH, chunks, now, split_columns, table
 from engramix.plans.views import graph as graph_of
 from engramix.sources import files
+from engramix.storage import dealt
 from engramix.vocab import case_sql
 
 
@@ -77,7 +78,7 @@ def h10_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def h11_anchors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", extract.anchors(F.concat("text", F.lit(" erro no banco v1.2.3 MAX_SIZE"))).alias("anchors"))
+    return dealt(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", extract.anchors(F.concat("text", F.lit(" erro no banco v1.2.3 MAX_SIZE"))).alias("anchors"))
 
 
 @query(f"SELECT o_orderkey, round(CAST(0.5 AS DOUBLE) * exp(-pow(CAST(date_diff('day', DATE '1996-06-01', CAST(o_orderdate AS DATE)) AS DOUBLE), 2) / (2 * 900 * CAST(100 AS DOUBLE))), 6) AS near FROM orders")

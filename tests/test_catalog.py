@@ -68,6 +68,12 @@ def test_anchors_match_brute_force(spark, folder):
         assert got[r.doc_id] == " ".join(sorted(want)), r.doc_id
 
 
+def test_anchors_are_sought_by_all_cores(spark, folder):
+    found = catalog.QUERIES["h11_anchors"](spark, folder)
+    assert found.rdd.getNumPartitions() > 1  # the table is one file of one row group
+    assert "exists(" not in found._jdf.queryExecution().optimizedPlan().toString()  # words aren't compared with each term
+
+
 def test_thinned_results_match_brute_force(spark, folder):
     c = views.chunks(spark, folder)
     asked = spark.createDataFrame([(0, "no para"), (1, "que la")], "query_id long, query string")
