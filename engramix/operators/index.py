@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engramix.operators import search
+from engramix.storage import dealt
 
 #: Folders of a segment's postings, by term.
 PARTS = 32
@@ -116,9 +117,10 @@ class SearchIndex:
             held.join(marked.select("id", "hash"), ["id", "hash"], "left_anti").select("id", "segment").write.parquet(f"{path}/gone")
             written += self.spark.read.parquet(f"{path}/gone").count()
         made = search.postings(fresh, self.by).withColumn("part", search.part_of(F.col("token"), self.parts))
-        rows = fresh.select("id", "hash", *self.by, search.length().alias("dl"))
+        rows = dealt(fresh).select("id", "hash", *self.by, search.length().alias("dl"))
         schemas = {"postings": made, "rows": rows, "gone": rows.select("id", F.lit("").alias("segment"))}
-        made.repartition("part").sortWithinPartitions("part", "token", "id").write.partitionBy("part").parquet(f"{path}/postings")
+        files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.parts)  # of a part, so that no task sorts too much
+        made.repartition(files * self.parts, "part", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("part", "token", "id").write.partitionBy("part").parquet(f"{path}/postings")
         rows.write.parquet(f"{path}/rows")
         written += self.spark.read.parquet(f"{path}/rows").count()
         new = {"content": content, "segments": [*old["segments"], segment], "gone": [*old["gone"], *([segment] if state is not None else [])], "by": self.by, "parts": self.parts, "stats": f"{segment}/stats", "schemas": {k: df.schema.jsonValue() for k, df in schemas.items()}}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
+from engramix.storage import dealt
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Weight of a term in each indexed column.
@@ -35,6 +36,11 @@ def if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
+def if_few_asked(df: DataFrame, queries: DataFrame, each: int) -> DataFrame:
+    """df, which has at most `each` rows of a query, with a broadcast hint if the queries are few; df itself isn't computed for that."""
+    return F.broadcast(df) if queries.limit(FEW // each + 1).count() <= FEW // each else df
+
+
 def parsed(query: Column) -> Column:
     """The query as alternatives (OR) of factors (AND) of groups of terms: a factor's first group is wanted, each other one
     (NOT) is refused; within a group all terms. The operators are upper-case words; words beside each other are a group. Null
@@ -58,9 +64,10 @@ def _weighted(tokens: Column, weight: float) -> Column:
 
 def postings(chunks: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(id, token, wtf, dl): weighted frequency of each term in each chunk, and the chunk's terms over all columns: an index to
-    store, partitioned by part_of(token), where one store is searched often. by: columns to keep."""
+    store, partitioned by part_of(token), where one store is searched often. by: columns to keep. Whole texts are exchanged by id, so
+    that the terms, which are many times more, needn't be."""
     keep = by or []
-    return _terms(chunks, keep).groupBy("id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
+    return _terms(dealt(chunks, "id"), keep).groupBy("id", *keep, "dl", "token").agg(F.sum("w").alias("wtf"))
 
 
 def part_of(token: Column, parts: int = 256) -> Column:
@@ -153,7 +160,7 @@ def boosts(as_of: Column, kind: float, recent: float, entities: Column, tiers: b
 
 def lexical(queries: DataFrame, chunks: DataFrame, as_of: Column, limit: int = 5, entities: Column | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, parts: int = 256, **options: bool) -> DataFrame:
     """Boosted lexical results: (query_id, id, score, rank) and the chunks' columns. index, stats, parts: see bm25()."""
-    hits = if_few(bm25(queries, chunks, index=index, stats=stats, parts=parts)).join(chunks, "id")
+    hits = if_few_asked(bm25(queries, chunks, index=index, stats=stats, parts=parts), queries, CANDIDATES).join(chunks, "id")
     scored = hits.withColumn("score", score.round2(F.abs("bm25") * (1 + boosts(as_of, 1.0, 0.5, entities or F.lit(0), **options))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "base_rank"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
@@ -184,7 +191,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def semantic(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, as_of: Column, limit: int = 5, entities: Column | None = None, **options: bool) -> DataFrame:
     """Boosted vector results: twice `limit` neighbours, base (1 - d / max d) * 10, cut to limit."""
-    hits = nearest(queries, vectors, 2 * limit)
+    hits = if_few_asked(nearest(queries, vectors, 2 * limit), queries, 2 * limit)
     widest = F.max("distance").over(Window.partitionBy("query_id"))
     based = hits.withColumn("base", F.when(widest == 0, 10.0).otherwise((1 - F.col("distance") / F.when(widest > 0, widest)) * 10)).join(chunks, "id")
     scored = based.withColumn("score", score.round2(F.col("base") * (1 + boosts(as_of, 0.5, 0.2, entities or F.lit(0), **options))))
@@ -217,10 +224,11 @@ def hybrid(queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, chu
     batch = F.pmod("query_id", F.lit(BATCHES)).cast("int")
     fts = one(found, batch, "fts").withColumn("query_id", F.floor(F.col("query_id") / BATCHES))
     batches = fts.unionByName(one(semantic(query_vectors, vectors, chunks, as_of, 4 * limit), F.lit(BATCHES), "semantic"))
-    fused = fuse(batches, max(3 * limit, 15))
+    most = max(3 * limit, 15)
+    fused = fuse(batches, most)
     if not dedupe:
         return fused
-    rows = fused.drop("source_file").join(chunks.select("id", "source_file", "chunk_text", "chunk_type", "section"), "id")
+    rows = if_few_asked(fused.drop("source_file"), queries, most).join(chunks.select("id", "source_file", "chunk_text", "chunk_type", "section"), "id")
     return thin(rows, limit)
 
 

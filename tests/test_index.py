@@ -78,3 +78,12 @@ def test_variants_are_batches_of_their_own(spark):
     assert found(None) == {(5, 1, "fts"), (5, 3, "semantic")}
     worded = spark.createDataFrame([(5, 0, "alpha one"), (5, 1, "beta"), (5, 2, "three gamma")], "query_id long, batch_no int, query string")
     assert found(worded) == {(5, 1, "fts"), (5, 2, "fts"), (5, 3, "hybrid")}
+
+
+def test_terms_are_not_exchanged_to_be_counted(spark):
+    """Texts are exchanged once, by id; few hits are sent to the chunks, whose texts stay where they are."""
+    c = spark.createDataFrame([(i, "f", "some words and some more", "x") for i in range(20)], "id long, source_file string, chunk_text string, chunk_type string")
+    plan = search.postings(c)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line for line in plan.splitlines()) == 1 and {(r.token, r.wtf) for r in search.postings(c).filter("id = 3").collect()} == {("some", 2.0), ("words", 1.0), ("and", 1.0), ("more", 1.0), ("f", 0.5), ("x", 0.5)}
+    found = search.if_few_asked(c.limit(5), c.limit(1), 5).join(c.select("id"), "id")
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
