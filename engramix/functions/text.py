@@ -22,7 +22,7 @@ def fold(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Search terms in order, with repeats: runs of letters and digits, folded."""
-    return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: fold(t))
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")  # folding maps letters to letters, so it may come first
 
 
 # Each letter that has accents, with them, as a class of characters.
