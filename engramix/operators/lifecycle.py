@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
-from engramix.operators import search
+from engramix.operators import blocks, search
+from engramix.storage import stored
 
 
 def _columns() -> dict[str, Column]:
@@ -201,17 +207,37 @@ def near_copies(new: DataFrame, index: DataFrame, threshold: float = 0.7, vector
         same = like.withColumn("r", best).filter("r = 1").select(F.col("query_id").alias("id"), F.col("id").alias("match_id"), F.round("cosine", 6).alias("cosine"), F.lit(None).cast("double").alias("overlap"))
         rest = near_copies(new.join(held, "id", "left_anti"), index, threshold)
         return same.unionByName(rest.withColumn("cosine", F.lit(None).cast("double")))
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 3)
-    probe = new.select("id", F.array_distinct(F.slice(words("chunk_text"), 1, 8)).alias("ws")).filter(F.size("ws") >= 3)
-    bag = index.select(F.col("id").alias("match_id"), F.array_distinct(words("chunk_text")).alias("held"))
-    # a match has `need` of a row's n words, so one at least of its n - need + 1 rarest: only those are joined
-    asked = probe.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    held = bag.select("match_id", F.explode("held").alias("w"))
-    often = held.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "w"))
-    need = F.floor(threshold * F.col("n") + 1e-9) + 1
-    rare = asked.join(often, "w", "left").withColumn("p", place).filter(F.col("p") <= F.col("n") - need + 1).filter("df is not null").select("id", "w")
-    met = rare.join(held, "w").filter("id <> match_id").select("id", "match_id").distinct()
-    shared = met.join(probe, "id").join(bag, "match_id").select("id", "match_id", F.round(F.size(F.array_intersect("ws", "held")) / F.size("ws"), 6).alias("overlap"))
+    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
+    words = F.filter(F.split(F.lower("chunk_text"), r"\s+"), lambda w: F.length(w) > 3)
+    first = F.array_sort(F.array_distinct(hashed(F.slice(words, 1, 8))))
+    probe = stored(new.select("id", first.alias("ws")).filter(F.size("ws") >= 3).select("id", F.xxhash64("ws").alias("key"), "ws"), "probes")
+    # rows that ask for the same words ask once; the two best of each are kept, as one may be the row itself
+    asked = probe.groupBy("key").agg(F.first("ws").alias("ws"))
+    held = index.select("id", F.coalesce(hashed(words), F.array().cast("array<bigint>")).alias("words"))
+    met = blocks.in_passes(asked, held, lambda sent: _sharing(sent, threshold), "key long, match_id long, shared int, n int")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "match_id"))
+    top = met.groupBy("key", "match_id", "n").agg(F.max("shared").alias("shared")).withColumn("p", rank).filter("p <= 2")
+    like = probe.select("id", "key").join(top, "key").filter("id <> match_id").select("id", "match_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "match_id"))
-    return shared.filter(F.col("overlap") > threshold).withColumn("r", best).filter("r = 1").select("id", "match_id", "overlap")
+    return like.filter(F.col("overlap") > threshold).withColumn("r", best).filter("r = 1").select("id", "match_id", "overlap")
+
+
+def _sharing(sent: Broadcast, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over batches of texts (id, words): the two that share most words with each of the sets sent, if more than the threshold."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = sent.value.column("key").to_numpy()
+        known, sets = blocks.packed(sent.value.column("ws"))
+        n = (sets < len(known)).sum(1)
+        spare = n - (np.floor(threshold * n + 1e-9).astype(int) + 1)
+        two = blocks.Two(len(sets))
+        for block, _ in blocks.blocks(known, batches, {"words": 1.0}):
+            found, lacking, text = blocks.fullest(block, sets, spare)
+            two.add(found, lacking, block.ids[text])
+        at, which = np.nonzero(two.lacking < two.NONE)
+        for lo in range(0, len(at), 1 << 16):
+            i, j = at[lo : lo + (1 << 16)], which[lo : lo + (1 << 16)]
+            shared = n[i] - two.lacking[i, j]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(two.ids[i, j]), pa.array(shared.astype(np.int32)), pa.array(n[i].astype(np.int32))], ["key", "match_id", "shared", "n"])
+
+    return search
