@@ -198,22 +198,36 @@ def near_copies(new: DataFrame, index: DataFrame, threshold: float = 0.7, vector
         held = vectors.filter("embedding is not null and size(embedding) > 0")
         own = held.join(new.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("own"))
         first = F.array_join(F.slice(F.filter(F.split("chunk_text", r"\s+"), lambda w: w != ""), 1, 8), " ")
-        asked = new.join(held, "id", "left_semi").select(F.col("id").alias("query_id"), first.alias("query"))
+        asked = new.select("id", first.alias("query")).join(held.select("id"), "id", "left_semi").withColumnRenamed("id", "query_id")
         found = search.bm25(asked, index, limit=hits + 1).filter("id <> query_id")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("base_rank"))
         top = found.withColumn("p", place).filter(F.col("p") <= hits).join(held, "id").join(own, "query_id")
         like = top.filter(F.size("own") == F.size("embedding")).withColumn("cosine", search.cosine(F.col("own"), F.col("embedding"))).filter(F.col("cosine") >= least)
         best = F.row_number().over(Window.partitionBy("query_id").orderBy("p"))
         same = like.withColumn("r", best).filter("r = 1").select(F.col("query_id").alias("id"), F.col("id").alias("match_id"), F.round("cosine", 6).alias("cosine"), F.lit(None).cast("double").alias("overlap"))
-        rest = near_copies(new.join(held, "id", "left_anti"), index, threshold)
+        rest = _overlapping(_eight_words(new).join(held.select("id"), "id", "left_anti"), index, threshold)
         return same.unionByName(rest.withColumn("cosine", F.lit(None).cast("double")))
-    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
-    words = F.filter(F.split(F.lower("chunk_text"), r"\s+"), lambda w: F.length(w) > 3)
-    first = F.array_sort(F.array_distinct(hashed(F.slice(words, 1, 8))))
-    probe = stored(new.select("id", first.alias("ws")).filter(F.size("ws") >= 3).select("id", F.xxhash64("ws").alias("key"), "ws"), "probes")
+    return _overlapping(_eight_words(new), index, threshold)
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _words() -> Column:
+    return F.filter(F.split(F.lower("chunk_text"), r"\s+"), lambda w: F.length(w) > 3)
+
+
+def _eight_words(chunks: DataFrame) -> DataFrame:
+    """(id, ws): hashes of a text's first eight words, if three are different."""
+    return chunks.select("id", F.array_sort(F.array_distinct(_hashed(F.slice(_words(), 1, 8)))).alias("ws")).filter(F.size("ws") >= 3)
+
+
+def _overlapping(probes: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    probe = stored(probes.select("id", F.xxhash64("ws").alias("key"), "ws"), "probes")
     # rows that ask for the same words ask once; the two best of each are kept, as one may be the row itself
     asked = probe.groupBy("key").agg(F.first("ws").alias("ws"))
-    held = index.select("id", F.coalesce(hashed(words), F.array().cast("array<bigint>")).alias("words"))
+    held = index.select("id", F.coalesce(_hashed(_words()), F.array().cast("array<bigint>")).alias("words"))
     met = blocks.in_passes(asked, held, lambda sent: _sharing(sent, threshold), "key long, match_id long, shared int, n int")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "match_id"))
     top = met.groupBy("key", "match_id", "n").agg(F.max("shared").alias("shared")).withColumn("p", rank).filter("p <= 2")

@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
-from engramix.storage import dealt
+from engramix.operators import blocks
+from engramix.storage import dealt, stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Weight of a term in each indexed column.
@@ -118,6 +121,8 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = No
     positive = F.flatten(F.transform(F.flatten("expression"), lambda factor: F.get(factor, F.lit(0))))
     asked = read.select("query_id", F.explode(F.array_distinct(F.flatten(flat))).alias("token"), positive.alias("ps")).select("query_id", "token", F.array_contains("ps", F.col("token")).alias("scores"))
     few = asked.limit(FEW + 1).count() <= FEW
+    if not few and index is None and limit and not keep:
+        return _bm25_in_blocks(read, chunks, corpus_stats(chunks) if stats is None else stats, limit)
     hint = F.broadcast if few else lambda df: df
     if few and index is not None:
         part = "part" in index.columns
@@ -147,6 +152,65 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = No
     return ranked.filter(F.col("base_rank") <= limit) if limit else ranked
 
 
+def _bm25_in_blocks(read: DataFrame, chunks: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
+    """bm25() of many queries (query_id, expression): a bit for each text finds those with all wanted terms, which are scored where
+    they are; neither terms nor pairs are exchanged, only the best of each task. Equal queries are asked once."""
+    terms = chunks.select("id", *(F.transform(text.terms(F.coalesce(F.col(c), F.lit(""))), lambda t: F.xxhash64(t)).alias(c) for c in WEIGHTS))
+    code = lambda c, depth: F.transform(c, (lambda t: F.xxhash64(t)) if depth == 1 else lambda x: code(x, depth - 1))
+    keyed = read.select("query_id", F.xxhash64(F.to_json("expression")).alias("key"), "expression")  # an array's hash doesn't tell how it is nested
+    asked = keyed.groupBy("key").agg(F.first("expression").alias("expression")).select("key", code(F.col("expression"), 4).alias("expression"))
+    first = lambda factors: F.array_distinct(F.flatten(F.transform(factors, lambda f: F.get(f, F.lit(0)))))
+    size = stats.first()
+    dfs = terms.select(F.explode(F.array_distinct(F.concat(*WEIGHTS))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(size.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    worth = asked.select("key", F.explode(first(F.flatten("expression"))).alias("token")).join(dfs, "token").groupBy("key").agg(F.collect_list(F.struct("token", idf.alias("idf"))).alias("ts"))
+    ways = asked.select("key", F.explode("expression").alias("clause"))
+    refused = F.flatten(F.transform("clause", lambda f: F.slice(f, F.lit(2), F.size(f))))
+    sent = ways.select("key", first(F.col("clause")).alias("ws"), refused.alias("refused")).join(worth, "key").select("key", "ws", "refused", F.col("ts.token").alias("tokens"), F.col("ts.idf").alias("idfs"))
+    met = blocks.in_passes(stored(sent, "asked"), terms, lambda b: _scored(b, size.avgdl, limit), "key long, id long, bm25 double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.round("bm25", 9).desc(), "id"))
+    top = met.groupBy("key", "id").agg(F.max("bm25").alias("bm25")).withColumn("base_rank", rank).filter(F.col("base_rank") <= limit)
+    return keyed.select("query_id", "key").join(top, "key").select("query_id", "id", "bm25", "base_rank")
+
+
+def _scored(sent: Broadcast, avgdl: float, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over batches of texts (id, [WEIGHTS: term hashes]): the `limit` best of those that hold all wanted terms of a way to satisfy a query."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = sent.value.column("key").to_numpy()
+        wanted, refused, tokens, idfs = (sent.value.column(c).combine_chunks() for c in ("ws", "refused", "tokens", "idfs"))
+        groups = refused.flatten()
+        known = np.unique(np.concatenate([wanted.flatten().to_numpy(), groups.flatten().to_numpy(), tokens.flatten().to_numpy()]))
+        place, start, idf = np.searchsorted(known, tokens.flatten().to_numpy()), tokens.offsets.to_numpy(), idfs.flatten().to_numpy()
+        start = start - start[0]
+        sets = blocks.by_width(known, wanted)
+        refusals = {i: [np.searchsorted(known, g) for g in refused[i].as_py()] for i in np.flatnonzero(np.diff(refused.offsets.to_numpy()))}
+        best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def cut(*more: np.ndarray) -> tuple[np.ndarray, ...]:
+            i, ids, score = (np.concatenate([a, b]) for a, b in zip(best, more, strict=True))
+            order = np.lexsort((ids, -np.round(score, 9), i))
+            return blocks.first_of(i[order], limit, i[order], ids[order], score[order])
+
+        for block, lengths in blocks.blocks(known, batches, WEIGHTS):
+            norm = K1 * (1 - B + B * lengths / avgdl)
+            for of, rows in sets:
+                for i, texts in blocks.holding(block, of, rows, refusals):
+                    for lo in range(0, len(i), 1 << 17):
+                        q, d = i[lo : lo + (1 << 17)], texts[lo : lo + (1 << 17)]
+                        n = start[q + 1] - start[q]
+                        pair = np.repeat(np.arange(len(q)), n)
+                        term = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[q], n)
+                        at, held = block.find(place[term], d[pair])
+                        wtf = np.where(held, block.weights[at], 0.0)
+                        gain = idf[term] * wtf * (K1 + 1) / (wtf + norm[d[pair]])
+                        best = cut(q, block.ids[d], np.bincount(pair, gain, len(q)))
+        i, ids, score = best
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(ids), pa.array(score)], ["key", "id", "bm25"])
+
+    return search
+
+
 def boosts(as_of: Column, kind: float, recent: float, entities: Column, tiers: bool = False, salience: bool = False) -> Column:
     """The sum of all deltas; factors are never multiplied."""
     c = {k: F.col(k) for k in ("last_accessed_at", "source_date", "created_at", "retention_days", "chunk_type", "importance", "pain", "access_count")}

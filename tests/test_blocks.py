@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from engramix.operators import blocks, lifecycle
+from engramix.operators import blocks, lifecycle, search
 
 
 def _best(sets, texts, spare):
@@ -52,3 +52,19 @@ def test_words_of_texts_are_not_exchanged(spark):
     near = lifecycle.near_copies(texts, texts)
     assert "Generate" not in near._jdf.queryExecution().executedPlan().toString()
     assert {r.id: (r.match_id, r.overlap) for r in near.collect()} == {i: (0 if i else 1, 1.0) for i in range(300)}
+
+
+def test_many_queries_rank_as_few_do(spark, monkeypatch):
+    draw = random.Random(3)
+    word = lambda: draw.choice("alpha bravo charlie delta echo foxtrot golf hotel".split())
+    chunks = spark.createDataFrame([(i, " ".join(word() for _ in range(draw.randrange(30))) or None, f"{word()}/{i % 4}.md", word()) for i in range(200)], "id long, chunk_text string, source_file string, chunk_type string")
+    texts = [" ".join(word() for _ in range(draw.randrange(1, 4))) for _ in range(40)]
+    texts += [f"{word()} NOT {word()} {word()}" for _ in range(10)] + [f"{word()} {word()} OR {word()} AND {word()} NOT {word()}" for _ in range(10)] + ["alpha NOT bravo", "alpha bravo", "nowhere alpha", "alpha bravo charlie delta echo foxtrot golf hotel alpha OR x y z alpha bravo charlie delta echo foxtrot golf"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    told = lambda found: sorted((r.query_id, r.base_rank, r.id, round(r.bm25, 9)) for r in found.collect())
+    few = told(search.bm25(queries, chunks, limit=6))
+    monkeypatch.setattr(search, "FEW", 3)
+    many = search.bm25(queries, chunks, limit=6)
+    assert told(many) == few
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # texts' terms aren't joined
