@@ -20,6 +20,11 @@ def fold(text: Column) -> Column:
     return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _PLAIN))
 
 
+def caseless(text: Column) -> Column:
+    """The text, in lower case but for A-Z where it is plain ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.lower(text))
+
+
 def terms(text: Column) -> Column:
     """Search terms in order, with repeats: runs of letters and digits, folded."""
     return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")  # folding maps letters to letters, so it may come first

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
-from engramix.operators import blocks, search
+from engramix.operators import blocks, hashes, search
 from engramix.storage import stored
 
 
@@ -210,25 +210,41 @@ def near_copies(new: DataFrame, index: DataFrame, threshold: float = 0.7, vector
     return _overlapping(_eight_words(new), index, threshold)
 
 
-def _hashed(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _words(chunks: DataFrame, body: Column) -> DataFrame:
+    """(id, words): texts to be split into words of four characters or more (_hashed())."""
+    return chunks.select("id", text.caseless(F.coalesce(body, F.lit(""))).alias("words"))
 
 
-def _words() -> Column:
-    return F.filter(F.split(F.lower("chunk_text"), r"\s+"), lambda w: F.length(w) > 3)
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return hashes.in_lists(batches, ["words"], hashes.SPACED, 4)
 
 
 def _eight_words(chunks: DataFrame) -> DataFrame:
     """(id, ws): hashes of a text's first eight words, if three are different."""
-    return chunks.select("id", F.array_sort(F.array_distinct(_hashed(F.slice(_words(), 1, 8)))).alias("ws")).filter(F.size("ws") >= 3)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _hashed(batches):
+            flat, at = batch.column("words").values.to_numpy(), batch.column("words").offsets.to_numpy()
+            of = np.flatnonzero(np.diff(at) >= 3)
+            place = np.minimum(np.arange(8), np.diff(at)[of, None] - 1)  # the last one again where there are fewer
+            rows = np.sort(flat[at[of, None] + place], axis=1)
+            new = np.diff(rows, axis=1, prepend=rows[:, :1]) != 0
+            new[:, 0] = True
+            keep = new.sum(1) >= 3
+            rows, new = rows[keep], new[keep]
+            ends = np.concatenate([[0], new.sum(1).cumsum()]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of[keep])), pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[new]))], ["id", "ws"])
+
+    begin = F.substring("chunk_text", 1, 512)  # is enough for most texts
+    asked = _words(chunks, F.when(F.regexp_count(begin, F.lit(r"\S{4,}+\s")) >= 8, begin).otherwise(F.col("chunk_text")))
+    return asked.mapInArrow(read, f"id {asked.schema['id'].dataType.simpleString()}, ws array<long>")
 
 
 def _overlapping(probes: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     probe = stored(probes.select("id", F.xxhash64("ws").alias("key"), "ws"), "probes")
     # rows that ask for the same words ask once; the two best of each are kept, as one may be the row itself
     asked = probe.groupBy("key").agg(F.first("ws").alias("ws"))
-    held = index.select("id", F.coalesce(_hashed(_words()), F.array().cast("array<bigint>")).alias("words"))
-    met = blocks.in_passes(asked, held, lambda sent: _sharing(sent, threshold), "key long, match_id long, shared int, n int")
+    met = blocks.in_passes(asked, _words(index, F.col("chunk_text")), lambda sent: _sharing(sent, threshold), "key long, match_id long, shared int, n int")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "match_id"))
     top = met.groupBy("key", "match_id", "n").agg(F.max("shared").alias("shared")).withColumn("p", rank).filter("p <= 2")
     like = probe.select("id", "key").join(top, "key").filter("id <> match_id").select("id", "match_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
@@ -244,9 +260,14 @@ def _sharing(sent: Broadcast, threshold: float) -> Callable[[Iterator[pa.RecordB
         known, sets = blocks.packed(sent.value.column("ws"))
         n = (sets < len(known)).sum(1)
         spare = n - (np.floor(threshold * n + 1e-9).astype(int) + 1)
-        two = blocks.Two(len(sets))
-        for block, _ in blocks.blocks(known, batches, {"words": 1.0}):
-            found, lacking, text = blocks.fullest(block, sets, spare)
+        two, held = blocks.Two(len(sets)), np.zeros(len(known) + 1, np.int64)
+        for turn, (block, _) in enumerate(blocks.blocks(known, _hashed(batches), {"words": 1.0}), 1):
+            held += block.count[block.row]
+            if turn & (turn - 1) == 0:  # by what has been read so far, words of few texts come first
+                sets = np.take_along_axis(sets, np.argsort(held[sets], axis=1, kind="stable"), 1)
+            # two texts before this block's stand unless one here lacks fewer words
+            stands = two.ids.max(1) < block.ids[0]
+            found, lacking, text = blocks.fullest(block, sets, np.where(stands, np.minimum(spare, two.lacking[:, 1].astype(int) - 1), spare))
             two.add(found, lacking, block.ids[text])
         at, which = np.nonzero(two.lacking < two.NONE)
         for lo in range(0, len(at), 1 << 16):
