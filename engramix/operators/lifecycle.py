@@ -244,7 +244,7 @@ def _overlapping(probes: DataFrame, index: DataFrame, threshold: float) -> DataF
     probe = stored(probes.select("id", F.xxhash64("ws").alias("key"), "ws"), "probes")
     # rows that ask for the same words ask once; the two best of each are kept, as one may be the row itself
     asked = probe.groupBy("key").agg(F.first("ws").alias("ws"))
-    met = blocks.in_passes(asked, _words(index, F.col("chunk_text")), lambda sent: _sharing(sent, threshold), "key long, match_id long, shared int, n int")
+    met = blocks.in_passes(asked, _words(index, F.col("chunk_text")), lambda sent: _sharing(sent, threshold), "key long, match_id long, shared int, n int", sent=_packed)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "match_id"))
     top = met.groupBy("key", "match_id", "n").agg(F.max("shared").alias("shared")).withColumn("p", rank).filter("p <= 2")
     like = probe.select("id", "key").join(top, "key").filter("id <> match_id").select("id", "match_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
@@ -252,19 +252,23 @@ def _overlapping(probes: DataFrame, index: DataFrame, threshold: float) -> DataF
     return like.filter(F.col("overlap") > threshold).withColumn("r", best).filter("r = 1").select("id", "match_id", "overlap")
 
 
+def _packed(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    return rows.column("key").to_numpy(), *blocks.packed(rows.column("ws"))
+
+
 def _sharing(sent: Broadcast, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over batches of texts (id, words): the two that share most words with each of the sets sent, if more than the threshold."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = sent.value.column("key").to_numpy()
-        known, sets = blocks.packed(sent.value.column("ws"))
+        keys, known, sets = sent.value
         n = (sets < len(known)).sum(1)
         spare = n - (np.floor(threshold * n + 1e-9).astype(int) + 1)
         two, held = blocks.Two(len(sets)), np.zeros(len(known) + 1, np.int64)
         for turn, (block, _) in enumerate(blocks.blocks(known, _hashed(batches), {"words": 1.0}), 1):
             held += block.count[block.row]
             if turn & (turn - 1) == 0:  # by what has been read so far, words of few texts come first
-                sets = np.take_along_axis(sets, np.argsort(held[sets], axis=1, kind="stable"), 1)
+                parts = np.array_split(sets, -(-len(sets) // blocks.LOOKED_UP))
+                sets = np.concatenate([np.take_along_axis(p, np.argsort(held[p], axis=1, kind="stable"), 1) for p in parts])
             # two texts before this block's stand unless one here lacks fewer words
             stands = two.ids.max(1) < block.ids[0]
             found, lacking, text = blocks.fullest(block, sets, np.where(stands, np.minimum(spare, two.lacking[:, 1].astype(int) - 1), spare))

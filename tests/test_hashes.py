@@ -58,7 +58,7 @@ def test_sets_that_are_settled_are_not_looked_at_again(spark, monkeypatch):
     monkeypatch.setattr(blocks, "TEXTS", 50)
 
     class Sent:
-        value = pa.table({"key": [7], "ws": pa.array([hashes.hashed(pa.array(["alpha bravo charlie delta"]), hashes.SPACED)[0].tolist()], pa.list_(pa.int64()))})
+        value = lifecycle._packed(pa.table({"key": [7], "ws": pa.array([hashes.hashed(pa.array(["alpha bravo charlie delta"]), hashes.SPACED)[0].tolist()], pa.list_(pa.int64()))}))
 
     spares = []
     fullest = blocks.fullest
