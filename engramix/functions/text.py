@@ -25,6 +25,11 @@ def caseless(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.lower(text))
 
 
+def term_text(text: Column) -> Column:
+    """A text whose runs of ASCII letters, digits and all other characters' bytes are its terms(), but for the case of A-Z."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def terms(text: Column) -> Column:
     """Search terms in order, with repeats: runs of letters and digits, folded."""
     return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")  # folding maps letters to letters, so it may come first

@@ -197,8 +197,8 @@ def near_copies(new: DataFrame, index: DataFrame, threshold: float = 0.7, vector
     if vectors is not None:
         held = vectors.filter("embedding is not null and size(embedding) > 0")
         own = held.join(new.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("own"))
-        first = F.array_join(F.slice(F.filter(F.split("chunk_text", r"\s+"), lambda w: w != ""), 1, 8), " ")
-        asked = new.select("id", first.alias("query")).join(held.select("id"), "id", "left_semi").withColumnRenamed("id", "query_id")
+        first = F.regexp_replace(F.regexp_extract("chunk_text", r"^\s*+(\S++(?:\s++\S++){0,7})", 1), r"\s+", " ")
+        asked = stored(new.select("id", first.alias("query")).join(held.select("id"), "id", "left_semi").withColumnRenamed("id", "query_id"), "queries")
         found = search.bm25(asked, index, limit=hits + 1).filter("id <> query_id")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("base_rank"))
         top = found.withColumn("p", place).filter(F.col("p") <= hits).join(held, "id").join(own, "query_id")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from engramix import vocab
 from engramix.functions import score, text
-from engramix.operators import blocks
+from engramix.operators import blocks, hashes
 from engramix.storage import dealt, stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -32,6 +32,8 @@ BATCHES = 16
 
 #: Rows of a caller's queries (or of what is found for them) that are sent to every task; more are joined by shuffle.
 FEW = 10_000
+#: Scores that a task holds before it keeps each query's best.
+_WAITING = 1 << 17
 
 
 def if_few(df: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = No
     asked = read.select("query_id", F.explode(F.array_distinct(F.flatten(flat))).alias("token"), positive.alias("ps")).select("query_id", "token", F.array_contains("ps", F.col("token")).alias("scores"))
     few = asked.limit(FEW + 1).count() <= FEW
     if not few and index is None and limit and not keep:
-        return _bm25_in_blocks(read, chunks, corpus_stats(chunks) if stats is None else stats, limit)
+        return _bm25_in_blocks(read, chunks, stats, limit)
     hint = F.broadcast if few else lambda df: df
     if few and index is not None:
         part = "part" in index.columns
@@ -152,29 +154,63 @@ def bm25(queries: DataFrame, chunks: DataFrame | None, by: list[str] | None = No
     return ranked.filter(F.col("base_rank") <= limit) if limit else ranked
 
 
-def _bm25_in_blocks(read: DataFrame, chunks: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
+def _bm25_in_blocks(read: DataFrame, chunks: DataFrame, stats: DataFrame | None, limit: int) -> DataFrame:
     """bm25() of many queries (query_id, expression): a bit for each text finds those with all wanted terms, which are scored where
     they are; neither terms nor pairs are exchanged, only the best of each task. Equal queries are asked once."""
-    terms = chunks.select("id", *(F.transform(text.terms(F.coalesce(F.col(c), F.lit(""))), lambda t: F.xxhash64(t)).alias(c) for c in WEIGHTS))
-    code = lambda c, depth: F.transform(c, (lambda t: F.xxhash64(t)) if depth == 1 else lambda x: code(x, depth - 1))
-    keyed = read.select("query_id", F.xxhash64(F.to_json("expression")).alias("key"), "expression")  # an array's hash doesn't tell how it is nested
-    asked = keyed.groupBy("key").agg(F.first("expression").alias("expression")).select("key", code(F.col("expression"), 4).alias("expression"))
+    texts = chunks.select("id", *(text.term_text(F.coalesce(c, F.lit(""))).alias(c) for c in WEIGHTS))
+    keyed = stored(read.select("query_id", F.xxhash64(F.to_json("expression")).alias("key"), "expression"), "expressions")  # an array's hash doesn't tell how it is nested
+    schema = "key long, expression array<array<array<array<long>>>>"
+    asked = stored(keyed.groupBy("key").agg(F.first("expression").alias("expression")).mapInArrow(_coded, schema), "coded")
     first = lambda factors: F.array_distinct(F.flatten(F.transform(factors, lambda f: F.get(f, F.lit(0)))))
-    size = stats.first()
-    dfs = terms.select(F.explode(F.array_distinct(F.concat(*WEIGHTS))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(size.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    worth = asked.select("key", F.explode(first(F.flatten("expression"))).alias("token")).join(dfs, "token").groupBy("key").agg(F.collect_list(F.struct("token", idf.alias("idf"))).alias("ts"))
+    scoring = asked.select("key", F.explode(first(F.flatten("expression"))).alias("token"))
+    tokens = scoring.groupBy(F.col("token").alias("key")).agg(F.array("token").alias("ws"))
+    told = blocks.in_passes(tokens, texts, _counted, "token long, n long, words long")
+    counts = stored(told.groupBy("token").agg(F.sum("n").alias("df"), F.sum("words").alias("words")), "counts")
+    # each pass has told the words and texts of the table; without a token nothing is found
+    whole = counts.filter("token is null").first()
+    n, avgdl = stats.select("n", "avgdl").first() if stats is not None else (chunks.count(), whole.words / whole.df if whole and whole.df else 0.0)
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    worth = scoring.join(counts.filter("df > 0"), "token").groupBy("key").agg(F.collect_list(F.struct("token", idf.alias("idf"))).alias("ts"))
     ways = asked.select("key", F.explode("expression").alias("clause"))
     refused = F.flatten(F.transform("clause", lambda f: F.slice(f, F.lit(2), F.size(f))))
     sent = ways.select("key", first(F.col("clause")).alias("ws"), refused.alias("refused")).join(worth, "key").select("key", "ws", "refused", F.col("ts.token").alias("tokens"), F.col("ts.idf").alias("idfs"))
-    met = blocks.in_passes(stored(sent, "asked"), terms, lambda b: _scored(b, size.avgdl, limit), "key long, id long, bm25 double")
+    met = blocks.in_passes(stored(sent, "asked"), texts, lambda b: _scored(b, avgdl, limit), "key long, id long, bm25 double", blocks.SETS // 2)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.round("bm25", 9).desc(), "id"))
     top = met.groupBy("key", "id").agg(F.max("bm25").alias("bm25")).withColumn("base_rank", rank).filter(F.col("base_rank") <= limit)
     return keyed.select("query_id", "key").join(top, "key").select("query_id", "id", "bm25", "base_rank")
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), hashes.coded(batch.column(1))], ["key", "expression"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return hashes.in_lists(batches, list(WEIGHTS), hashes.TERMS)
+
+
+def _counted(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over batches of texts (id, [WEIGHTS]): texts that hold each of the words sent, and, without a word, all texts and their words."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unique(sent.value.column("key").to_numpy())
+        table, n = hashes.Known(known), np.zeros(len(known), np.int64)
+        texts = words = 0
+        for batch in _hashed(batches):
+            lists = [batch.column(c) for c in WEIGHTS]
+            of = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(x.offsets.to_numpy())) for x in lists])
+            place = table.find(np.concatenate([x.values.to_numpy() for x in lists]))
+            keys = np.sort(place[place >= 0] * np.int64(batch.num_rows) + of[place >= 0])
+            n += np.bincount(keys[np.diff(keys, prepend=-1) != 0] // batch.num_rows, minlength=len(known))
+            texts, words = texts + batch.num_rows, words + len(of)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *known[met].tolist()], pa.int64()), pa.array(np.append(texts, n[met])), pa.array(np.append(words, np.zeros(len(met), np.int64)))], ["token", "n", "words"])
+
+    return search
+
+
 def _scored(sent: Broadcast, avgdl: float, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over batches of texts (id, [WEIGHTS: term hashes]): the `limit` best of those that hold all wanted terms of a way to satisfy a query."""
+    """Over batches of texts (id, [WEIGHTS]): the `limit` best of those that hold all wanted terms of a way to satisfy a query."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = sent.value.column("key").to_numpy()
@@ -185,14 +221,19 @@ def _scored(sent: Broadcast, avgdl: float, limit: int) -> Callable[[Iterator[pa.
         start = start - start[0]
         sets = blocks.by_width(known, wanted)
         refusals = {i: [np.searchsorted(known, g) for g in refused[i].as_py()] for i in np.flatnonzero(np.diff(refused.offsets.to_numpy()))}
-        best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        best: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        least = np.full(len(keys), -np.inf)  # scores that `limit` texts have reached; equal ones go by their ids
+        waiting = 0
 
-        def cut(*more: np.ndarray) -> tuple[np.ndarray, ...]:
-            i, ids, score = (np.concatenate([a, b]) for a, b in zip(best, more, strict=True))
+        def cut() -> None:
+            i, ids, score = (np.concatenate(c) for c in zip(*best, strict=True))
             order = np.lexsort((ids, -np.round(score, 9), i))
-            return blocks.first_of(i[order], limit, i[order], ids[order], score[order])
+            i, ids, score = blocks.first_of(i[order], limit, i[order], ids[order], score[order])
+            best[:] = [(i, ids, score)]
+            full = np.flatnonzero(np.bincount(i, minlength=len(keys)) >= limit)
+            least[full] = np.round(score[np.searchsorted(i, full, "right") - 1], 9)
 
-        for block, lengths in blocks.blocks(known, batches, WEIGHTS):
+        for block, lengths in blocks.blocks(known, _hashed(batches), WEIGHTS):
             norm = K1 * (1 - B + B * lengths / avgdl)
             for of, rows in sets:
                 for i, texts in blocks.holding(block, of, rows, refusals):
@@ -204,8 +245,15 @@ def _scored(sent: Broadcast, avgdl: float, limit: int) -> Callable[[Iterator[pa.
                         at, held = block.find(place[term], d[pair])
                         wtf = np.where(held, block.weights[at], 0.0)
                         gain = idf[term] * wtf * (K1 + 1) / (wtf + norm[d[pair]])
-                        best = cut(q, block.ids[d], np.bincount(pair, gain, len(q)))
-        i, ids, score = best
+                        score = np.bincount(pair, gain, len(q))
+                        good = np.round(score, 9) >= least[q]
+                        best.append((q[good], block.ids[d[good]], score[good]))
+                        waiting += len(best[-1][0])
+                        if waiting > max(_WAITING, len(best[0][0])):  # so that all cuts together sort each row a few times
+                            cut()
+                            waiting = 0
+        cut()
+        i, ids, score = best[0]
         yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(ids), pa.array(score)], ["key", "id", "bm25"])
 
     return search

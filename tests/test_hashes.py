@@ -8,8 +8,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from engramix.operators import blocks, hashes, lifecycle
+from engramix.functions import text
+from engramix.operators import blocks, hashes, lifecycle, search
 
 _SPACE = r"[ \t\n\x0b\f\r]+"
 
@@ -83,3 +85,44 @@ def test_overlap_of_odd_texts(spark):
         if found and -min(found)[0] > 0.7:
             want[i] = min(found)[1], round(-min(found)[0], 6)
     assert {r.id: (r.match_id, r.overlap) for r in lifecycle.near_copies(rows, rows).collect()} == want
+
+
+def test_terms_of_odd_texts(spark):
+    draw = random.Random(11)
+    texts = ["".join(draw.choice(["a", "Ab", "É", "ç", "ß", "İ", "9", "²", "日本", "😀", "_", "-", " ", "\n", "́", " ", "K"]) for _ in range(draw.randrange(30))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", text.terms(F.col("t")).alias("terms"), text.term_text(F.col("t")).alias("t")).toArrow()
+    want = rows["terms"].to_pylist()
+    words, at = hashes.hashed(rows["t"].combine_chunks(), hashes.TERMS)
+    assert np.diff(at).tolist() == [len(ts) for ts in want]
+    pairs = set(zip((t for ts in want for t in ts), words.tolist(), strict=True))
+    assert len(pairs) == len({t for t, _ in pairs}) == len({h for _, h in pairs})
+    assert hashes.coded(rows["terms"].combine_chunks()).to_pylist() == [words[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+
+@pytest.mark.parametrize("waiting", [1 << 17, 0])
+def test_hits_are_sorted_once_for_many_blocks(monkeypatch, waiting):
+    monkeypatch.setattr(blocks, "TEXTS", 50)
+    monkeypatch.setattr(search, "_WAITING", waiting)
+    cuts = []
+    first_of = blocks.first_of
+    monkeypatch.setattr(blocks, "first_of", lambda *a: (cuts.append(1), first_of(*a))[1])
+    draw = random.Random(2)
+    names = [f"w{i}" for i in range(12)]
+    code = dict(zip(names, hashes.hashed(pa.array(names), hashes.TERMS)[0].tolist(), strict=True))
+    texts = [[draw.choice(names) for _ in range(draw.randrange(1, 20))] for _ in range(400)]
+    asked = [draw.sample(names, draw.randrange(1, 4)) for _ in range(60)]
+    df = {w: sum(w in t for t in texts) for w in names}
+    idf = {w: max(1e-6, float(np.log((400 - df[w] + 0.5) / (df[w] + 0.5)))) for w in names}
+    avgdl = sum(map(len, texts)) / 400
+    gain = lambda w, t: idf[w] * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avgdl))
+    want = {(i, j) for i, ws in enumerate(asked) for _, j in sorted((-round(sum(gain(w, t) for w in ws), 9), j) for j, t in enumerate(texts) if set(ws) <= set(t))[:6]}
+    lists = pa.list_(pa.int64())
+    coded = pa.array([[code[w] for w in ws] for ws in asked], lists)
+
+    class Sent:
+        value = pa.table({"key": pa.array(range(60)), "ws": coded, "refused": pa.array([[]] * 60, pa.list_(lists)), "tokens": coded, "idfs": pa.array([[idf[w] for w in ws] for ws in asked], pa.list_(pa.float64()))})
+
+    batch = pa.record_batch({"id": pa.array(range(400)), "chunk_text": pa.array([" ".join(t) for t in texts]), "source_file": pa.array([""] * 400), "chunk_type": pa.array([""] * 400)})
+    (rows,) = search._scored(Sent, avgdl, 6)(iter([batch]))
+    assert set(zip(rows["key"].to_pylist(), rows["id"].to_pylist(), strict=True)) == want
+    assert len(cuts) == 1 if waiting else len(cuts) > 1
